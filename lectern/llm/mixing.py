@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.runtime import WORD_PATTERN, cut, spill
+from lectern.llm.runtime import WORD_PATTERN, cut, spill, without
 
 LEAST_WEIGHT = 1e-3
 BUCKETS = 4096
@@ -58,15 +58,15 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most_epochs: int = 2, c
     place = (F.row_number().over(by_name) - 1) % len(cycle)
     weight = F.element_at(F.array(*[F.lit(w) for w in cycle]), place + 1)
     cap = (F.col("source_size") * most_epochs).cast("double")
-    table = sizes.withColumn("weight", weight.cast("double")).withColumn("_cap", cap)
-    rising = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    table = sizes.withColumn("weight", weight.cast("double")).withColumn("_mix_cap", cap)
+    rising = Window.orderBy(F.col("_mix_cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, onward = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
-    level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    table = table.withColumn("_level", level).withColumn("_open", F.col("_cap") / F.col("weight") >= F.col("_level"))
-    table = table.withColumn("_step", F.row_number().over(rising))
-    flat = F.min(F.when(F.col("_open"), F.struct("_step", "_level"))).over(everything)["_level"]
-    return table.withColumn("target", F.when(flat.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), flat * F.col("weight")))).select("source", "source_size", "weight", "target")
+    level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_mix_cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
+    table = table.withColumn("_mix_level", level).withColumn("_mix_open", F.col("_mix_cap") / F.col("weight") >= F.col("_mix_level"))
+    table = table.withColumn("_mix_step", F.row_number().over(rising))
+    flat = F.min(F.when(F.col("_mix_open"), F.struct("_mix_step", "_mix_level"))).over(everything)["_mix_level"]
+    return table.withColumn("target", F.when(flat.isNull(), F.col("_mix_cap")).otherwise(F.least(F.col("_mix_cap"), flat * F.col("weight")))).select("source", "source_size", "weight", "target")
 
 
 def mix_sources(
@@ -83,52 +83,53 @@ def mix_sources(
     ``docs`` needs doc_id, text and source.  A document at the end of a budget is taken if that brings its source's
     sum nearer to the target.
     """
+    docs = without(docs, ["size", "source_size", "target", "epochs", "sampled", "copies", "taken"])
     w = F.greatest(F.coalesce(F.nanvl(weight if weight is not None else quality_weight(F.col("text")), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_WEIGHT))
     place = F.struct(
         (-F.log(uniform_key(F.col("doc_id"), seed)) / w).alias("key"), F.col("doc_id").alias("id"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("tie")
     )
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_place.key"))) * buckets)
-    keyed = spill(docs.select("source", word_count(F.col("text")).alias("size"), place.alias("_place")).withColumn("_bucket", bucket))
-    per_bucket = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    targets = source_targets(per_bucket.groupBy("source").agg(F.sum("_words").alias("source_size")), share, most_epochs, cycle)
+    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_mix_place.key"))) * buckets)
+    keyed = spill(docs.select("source", word_count(F.col("text")).alias("size"), place.alias("_mix_place")).withColumn("_mix_bucket", bucket))
+    per_bucket = keyed.groupBy("source", "_mix_bucket").agg(F.sum("size").alias("_mix_words"))
+    targets = source_targets(per_bucket.groupBy("source").agg(F.sum("_mix_words").alias("source_size")), share, most_epochs, cycle)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    plan = targets.withColumn("epochs", whole).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = targets.withColumn("epochs", whole).withColumn("_mix_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
 
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
-        per_bucket.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-        .join(plan.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s")))
-        .where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
-        .select(F.col("source").alias("_s"), F.col("_bucket").alias("_end"), "_before", "_rest")
+        per_bucket.withColumn("_mix_before", F.coalesce(F.sum("_mix_words").over(before), F.lit(0)))
+        .join(plan.select(F.col("source").alias("_mix_s"), "_mix_rest"), F.col("source").eqNullSafe(F.col("_mix_s")))
+        .where((F.col("_mix_before") <= F.col("_mix_rest")) & (F.col("_mix_before") + F.col("_mix_words") > F.col("_mix_rest")))
+        .select(F.col("source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_end"), "_mix_before", "_mix_rest")
     )
-    within = Window.partitionBy("source").orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source").orderBy("_mix_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
-        keyed.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_end")))
-        .withColumn("_sum", F.col("_before") + F.sum("size").over(within))
-        .where(F.col("_sum") - F.col("size") / 2.0 <= F.col("_rest"))
-        .groupBy(F.col("source").alias("_l"))
-        .agg(F.max("_place").alias("_last"))
+        keyed.join(ends, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_bucket") == F.col("_mix_end")))
+        .withColumn("_mix_sum", F.col("_mix_before") + F.sum("size").over(within))
+        .where(F.col("_mix_sum") - F.col("size") / 2.0 <= F.col("_mix_rest"))
+        .groupBy(F.col("source").alias("_mix_l"))
+        .agg(F.max("_mix_place").alias("_mix_last"))
     )
     plan = (
-        plan.withColumnRenamed("source", "_p")
-        .join(ends.select("_s", "_end"), F.col("_p").eqNullSafe(F.col("_s")), "left")
-        .join(last, F.col("_p").eqNullSafe(F.col("_l")), "left")
-        .select("_p", "source_size", "target", "epochs", "_end", "_last")
+        plan.withColumnRenamed("source", "_mix_p")
+        .join(ends.select("_mix_s", "_mix_end"), F.col("_mix_p").eqNullSafe(F.col("_mix_s")), "left")
+        .join(last, F.col("_mix_p").eqNullSafe(F.col("_mix_l")), "left")
+        .select("_mix_p", "source_size", "target", "epochs", "_mix_end", "_mix_last")
     )
     plan = cut(plan)
     small = F.broadcast(plan) if plan.count() <= MOST_BROADCAST_SOURCES else plan
     sampled = (
-        F.when(F.col("_end").isNull() | (F.col("_bucket") > F.col("_end")), F.lit(False))
-        .when(F.col("_bucket") < F.col("_end"), F.lit(True))
-        .otherwise(F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)))
+        F.when(F.col("_mix_end").isNull() | (F.col("_mix_bucket") > F.col("_mix_end")), F.lit(False))
+        .when(F.col("_mix_bucket") < F.col("_mix_end"), F.lit(True))
+        .otherwise(F.coalesce(F.col("_mix_place") <= F.col("_mix_last"), F.lit(False)))
     )
     return (
         docs.withColumn("size", word_count(F.col("text")))
-        .withColumn("_place", place)
-        .withColumn("_bucket", bucket)
-        .join(small, F.col("source").eqNullSafe(F.col("_p")))
+        .withColumn("_mix_place", place)
+        .withColumn("_mix_bucket", bucket)
+        .join(small, F.col("source").eqNullSafe(F.col("_mix_p")))
         .withColumn("sampled", sampled)
         .withColumn("copies", F.col("epochs") + F.col("sampled").cast("bigint"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_place", "_bucket", "_p", "_end", "_last")
+        .drop("_mix_place", "_mix_bucket", "_mix_p", "_mix_end", "_mix_last")
     )

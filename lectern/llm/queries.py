@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from lectern.llm import langid
 from lectern.llm.mixing import mix_sources
+from lectern.llm.runtime import crc_fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +22,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
+    profiles = langid.fit_profiles(docs.where(~F.col("held_out")))
+    return langid.identify(docs, profiles, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mix_sources": op10_mix_sources}
+    return {"op4_language_id": op4_language_id, "op10_mix_sources": op10_mix_sources}

@@ -9,11 +9,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: One text slice handled at once by the numpy kernels, in bytes; a longer text forms a slice of its own.
-SLICE_BYTES = 1 << 20
+from lectern.llm import textkit
 
 SPACE = "\\x20\\x09-\\x0D"
 WORD_PATTERN = f"[^{SPACE}]+"
@@ -57,3 +58,37 @@ def arrow_batches(spark: SparkSession) -> None:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; null ids hash as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """Drops columns that would clash with ``names``, upper and lower case alike."""
+    taken = {x.lower() for x in names}
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
+def extend(docs: DataFrame, kernel, fields: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Runs ``kernel(texts) -> list of arrays`` over slices of the text column and appends the arrays as columns.
+
+    ``kernel`` is made once a task by calling it without arguments; it gets an Arrow string array.  ``keep`` names the
+    columns carried along (all by default); columns that clash with the new ones are replaced.
+    """
+    arrow_batches(docs.sparkSession)
+    new = StructType.fromDDL(fields)
+    carried = without(docs, new.names)
+    if keep is not None:
+        carried = carried.select(*[c for c in keep if c.lower() not in {x.lower() for x in new.names}])
+    names = carried.columns
+    source = without(docs.select(*[docs[f"`{c}`"] for c in names], docs[text].cast("string").alias("__text")), new.names)
+    schema = StructType(list(carried.schema.fields) + list(new.fields))
+
+    def run(batches):
+        work = kernel()
+        for batch in batches:
+            column = batch.column(len(names))
+            parts = [work(column.slice(i, j - i)) for i, j in textkit.slices(textkit.buffers(column)[1])]
+            if not parts:
+                continue
+            made = [pa.concat_arrays([p[k] for p in parts]) for k in range(len(new.fields))]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + made, names=schema.names)
+
+    return source.mapInArrow(run, schema)

@@ -12,8 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from lectern.llm.runtime import SLICE_BYTES
-
+#: One text slice handled at once, in bytes; a longer text forms a slice of its own.
+SLICE_BYTES = 1 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xC2B2AE3D27D4EB4F | 1
