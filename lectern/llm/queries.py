@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import langid
+from lectern.llm import langid, toxicity
 from lectern.llm.mixing import mix_sources
 from lectern.llm.runtime import crc_fold
 
@@ -22,6 +22,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: A document is called toxic, or good, from this score on.
+THRESHOLD = 0.3
+
+
+def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col(label).isNotNull()).select("doc_id", label)
+    return docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id").drop("doc_id")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
+    lexicon = toxicity.fit(_labelled(spark, sf_dir, docs, "toxic"))
+    scored = toxicity.score(docs, lexicon, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits", "density")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
     profiles = langid.fit_profiles(docs.where(~F.col("held_out")))
@@ -29,4 +45,4 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language_id": op4_language_id, "op10_mix_sources": op10_mix_sources}
+    return {"op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op10_mix_sources": op10_mix_sources}
