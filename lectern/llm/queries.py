@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, toxicity
+from lectern.llm import langid, quality, toxicity
 from lectern.llm.mixing import mix_sources
 from lectern.llm.runtime import crc_fold
 
@@ -38,6 +38,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits", "density")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 5) == 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    trusted = docs.where(~F.col("held_out")).join(labels, "doc_id", "left_semi")
+    model = quality.fit(trusted, docs)
+    scored = quality.score(docs, model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
     profiles = langid.fit_profiles(docs.where(~F.col("held_out")))
@@ -45,4 +54,4 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id, "op10_mix_sources": op10_mix_sources}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_language_id": op4_language_id, "op10_mix_sources": op10_mix_sources}
