@@ -1,6 +1,20 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""Mixture of all documents."""
 
-OP10 = r"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm.mixing import mix_sources
+from lectern.llm.queries.common import documents
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+query = op10_mix_sources
+SQL = r"""
 WITH d AS (
   SELECT doc_id, source, text,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -32,7 +46,3 @@ SELECT doc_id, size, source_size, target,
        epochs + CASE WHEN middle <= rest AND rest > 0 THEN 1 ELSE 0 END AS copies
 FROM k
 """
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": OP10}
