@@ -12,8 +12,7 @@ from lectern.llm.runtime import crc_fold
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    lexicon = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id"))
+    lexicon = toxicity.fit(docs.where(~F.col("held_out")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, lexicon, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits", "density")
 

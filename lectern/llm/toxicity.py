@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.runtime import arrow_batches, extend
+from lectern.llm.runtime import arrow_batches, extend, spill
 
 #: Insults that count even where no labelled document has them.
 SEED = ("idiot", "moron", "scum", "worthless", "pathetic", "stupid", "loser", "trash", "clown", "disgusting")
@@ -44,6 +44,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 LEAST_LOG_ODDS = 2.5
 MOST_CANDIDATES = 400_000
 EXCEPTION_SUPPORT = 5
+#: Labels, two numbers a row, are broadcast up to this many rows; beyond it the texts are shuffled to them.
+MOST_BROADCAST_LABELS = 500_000
 BINS = 48
 
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
@@ -190,10 +192,17 @@ def _choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> t
     return words, stems
 
 
-def fit(labelled: DataFrame) -> Lexicon:
-    """Learns from rows (text, toxic): lexicon, then exceptions, then calibration, each by a pass over all of them."""
-    arrow_batches(labelled.sparkSession)
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select(F.col("text").cast("string"), F.col("toxic").cast("int"))
+def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """Learns from (doc_id, text) and (doc_id, toxic): lexicon, exceptions and calibration, each by a pass over all rows.
+
+    The labelled texts are written once, as every pass reads them.
+    """
+    arrow_batches(docs.sparkSession)
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int"))
+    if known.count() <= MOST_BROADCAST_LABELS:
+        known = F.broadcast(known)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"))
+    rows = spill(texts.join(known, "doc_id").select("text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     words = dict.fromkeys(SEED, SEED_WEIGHT)
