@@ -78,9 +78,19 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the index of its first word (one more entry at the end)."""
-    keep, _ = _tables()
+@lru_cache(maxsize=1)
+def _letters_only() -> np.ndarray:
+    keep = _tables()[0].copy()
+    keep[[b for b in range(128) if not chr(b).isalnum()]] = False
+    return keep
+
+
+def words(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the index of its first word (one more entry at the end).
+
+    ``bare`` takes ASCII punctuation and control characters as separators, too.
+    """
+    keep = _letters_only() if bare else _tables()[0]
     inside = keep[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
