@@ -152,6 +152,14 @@ def _modelled(model: Model, h: np.ndarray) -> np.ndarray:
     return np.where(model.known[at] == h, model.place[at], -1)
 
 
+def _summed(bias: np.ndarray, weights: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
+    z = weights[0].take(buckets[0], axis=0)
+    for table, b in zip(weights[1:], buckets[1:], strict=True):
+        z += table.take(b, axis=0)
+    z += bias
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
@@ -161,13 +169,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _descend(weights: np.ndarray, seen: np.ndarray, bucket: np.ndarray, g: np.ndarray) -> None:
     """A step for the rows of ``weights`` named by ``bucket``: shorter the more tokens a bucket has seen."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
     sorted_ = bucket[order]
-    edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    rows = sorted_[edge]
-    n = np.diff(np.append(edge, len(sorted_))).astype(np.float32)
+    last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True))
+    rows = sorted_[last]
+    n = np.diff(last, prepend=-1).astype(np.float32)
     seen[rows] += n
-    weights[rows] -= (RATE / np.sqrt(n * seen[rows]))[:, None] * np.add.reduceat(g[order], edge, axis=0)
+    # sums of runs as differences of running sums
+    sums = np.cumsum(g.take(order, axis=0), axis=0).take(last, axis=0)
+    sums[1:] -= sums[:-1].copy()
+    sums *= (RATE / np.sqrt(n * seen[rows]))[:, None]
+    weights[rows] -= sums
 
 
 class Trainer:
@@ -183,7 +195,7 @@ class Trainer:
         place = _modelled(m, h)
         cls = np.where(place < 0, CLASSES, place // MEMBERS)
         buckets = _buckets(one, two)
-        z = m.class_bias + self.cw[0][buckets[0]] + self.cw[1][buckets[1]] + self.cw[2][buckets[2]]
+        z = _summed(m.class_bias, self.cw, buckets)
         g = _softmax(z)
         g[np.arange(len(h)), cls] -= 1
         for k, b in enumerate(buckets):
@@ -192,7 +204,7 @@ class Trainer:
         if len(at):
             cls, member = cls[at], place[at] % MEMBERS
             buckets = _member_buckets(one[at], two[at], cls)
-            g = _softmax(m.member_bias[cls] + self.mw[0][buckets[0]] + self.mw[1][buckets[1]])
+            g = _softmax(_summed(m.member_bias.take(cls, axis=0), self.mw, buckets))
             g[np.arange(len(at)), member] -= 1
             for k, b in enumerate(buckets):
                 _descend(self.mw[k], self.mn[k], b, g)
@@ -253,14 +265,16 @@ def log_probabilities(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndar
         place = _modelled(model, x)
         cls = np.where(place < 0, CLASSES, place // MEMBERS)
         b = _buckets(p, q)
-        z = model.class_bias + model.class_weights[0][b[0]] + model.class_weights[1][b[1]] + model.class_weights[2][b[2]]
+        z = _summed(model.class_bias, model.class_weights, b)
         top = z.max(1)
-        value = (z[np.arange(len(x)), cls] - top - np.log(np.exp(z - top[:, None]).sum(1))).astype(float)
+        chosen = z[np.arange(len(x)), cls]
+        z -= top[:, None]
+        value = (chosen - top - np.log(np.exp(z, out=z).sum(1))).astype(float)
         at = np.flatnonzero(place >= 0)
         if len(at):
             c = cls[at]
             b = _member_buckets(p[at], q[at], c)
-            z = model.member_bias[c] + model.member_weights[0][b[0]] + model.member_weights[1][b[1]]
+            z = _summed(model.member_bias.take(c, axis=0), model.member_weights, b)
             top = z.max(1)
             value[at] += z[np.arange(len(at)), place[at] % MEMBERS] - top - np.log(np.exp(z - top[:, None]).sum(1))
         out[a : a + BATCH] = value
