@@ -8,7 +8,7 @@ at or above the threshold.
 The index rests on every task (its size is bounded by handling items in blocks of ``MOST_ITEMS``; each block is one
 pass over the documents).  Frequent terms are non-essential in the sense of MaxScore: what they can add to any item of a
 block is a constant, so only essential terms are looked at to bound passages against blocks of items, for all
-passages of a slice at once.  Passages that stay in question run through block-max WAND over their own posting lists.
+passages of a slice at once.  Passages that stay in question run through block-max WAND over their posting lists within the blocks left open.
 
 A pair counts as a leak if five-word shingles of the question and the words of the answer are found in the passage to
 the shares asked for.  Punctuation and case are ignored.
@@ -38,7 +38,7 @@ THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE = 0.8, 0.8
 SHINGLE = 5
 LEAST_WORDS = 8
-ITEM_BLOCK = 16
+ITEM_BLOCK = 4
 MOST_ITEMS = 20_000
 #: Terms in more than this share of the items are non-essential.
 COMMON_SHARE = 0.05
@@ -124,24 +124,32 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     )
 
 
-def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """All items whose score for the query ``terms`` (distinct) is at least ``threshold``, as (item, score).
+def block_max_wand(index: Index, terms: np.ndarray, threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+    """All items from ``low`` to below ``high`` whose score for ``terms`` (distinct) is at least ``threshold``: (item, score).
 
     Cursors are kept in order of their items.  The pivot is where the lists' greatest impacts first reach the
     threshold; the greatest impacts of the pivot's block are tried before anything is scored, and if they fall short
     the cursors leap to the next block.
     """
     threshold -= 1e-9
-    lists = [index.postings(t) for t in terms]
+    lists, used = [], []
+    for t in terms:
+        items, impacts = index.postings(t)
+        if low or high is not None:
+            a, b = items.searchsorted((low, len(index.ids) if high is None else high))
+            items, impacts = items[a:b], impacts[a:b]
+        if len(items):
+            lists.append((items, impacts))
+            used.append(t)
     tops = [float(w.max()) for _, w in lists]
-    spans = [(index.blocks[index.block_first[t] : index.block_first[t + 1]], index.block_most[index.block_first[t] : index.block_first[t + 1]]) for t in terms]
+    spans = [(index.blocks[index.block_first[t] : index.block_first[t + 1]], index.block_most[index.block_first[t] : index.block_first[t + 1]]) for t in used]
     at = [0] * len(lists)
     heap = [(int(items[0]), k) for k, (items, _) in enumerate(lists)]
     heapq.heapify(heap)
     out = []
 
     def leap(k: int, item: int) -> None:
-        at[k] += int(np.searchsorted(lists[k][0][at[k] :], item))
+        at[k] += int(lists[k][0][at[k] :].searchsorted(item))
         if at[k] < len(lists[k][0]):
             heapq.heappush(heap, (int(lists[k][0][at[k]]), k))
 
@@ -158,7 +166,7 @@ def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tu
             order.append(heapq.heappop(heap))
         block, near = pivot // ITEM_BLOCK, 0.0
         for _, k in order:
-            j = int(np.searchsorted(spans[k][0], block))
+            j = int(spans[k][0].searchsorted(block))
             if j < len(spans[k][0]) and spans[k][0][j] == block:
                 near += float(spans[k][1][j])
         if near < threshold:
@@ -170,7 +178,7 @@ def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tu
         score = 0.0
         for item, k in order:
             if item < pivot:
-                at[k] += int(np.searchsorted(lists[k][0][at[k] :], pivot))
+                at[k] += int(lists[k][0][at[k] :].searchsorted(pivot))
             if at[k] < len(lists[k][0]) and lists[k][0][at[k]] == pivot:
                 score += float(lists[k][1][at[k]])
         if score >= threshold:
@@ -189,7 +197,7 @@ class Searcher:
         self.answers = [np.unique(a) for a in index.answers]
 
     def passages(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, first word, end, term ids) of passages that some block of items may still match.
+        """(text, first word, end, block) of passages and the blocks of items that they may still match.
 
         A passage is three steps of words; one begins at every step.
         """
@@ -228,10 +236,10 @@ class Searcher:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, value = key[edge], np.add.reduceat(value, edge)
         open_ = value + index.slack[key % blocks] >= self.threshold - 1e-9
-        start = np.unique(key[open_] // blocks)
+        start = key[open_] // blocks
         text = np.searchsorted(chunk_first, start, side="right") - 1
         first = bounds[text] + (start - chunk_first[text]) * step
-        return text, first, np.minimum(first + 3 * step, bounds[text + 1])
+        return text, first, np.minimum(first + 3 * step, bounds[text + 1]), key[open_] % blocks
 
     def search(self, column: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question share, answer share) of the leaks, the best of each pair."""
@@ -240,13 +248,15 @@ class Searcher:
         hashes = textkit.word_hashes(data, starts, ends)
         found = self.passages(hashes, bounds)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for text, a, b in zip(*found, strict=True) if found else ():
-            part = hashes[a:b]
-            distinct = np.unique(part)
-            at = np.searchsorted(self.index.terms, distinct)
-            at[at == len(self.index.terms)] = 0
-            runs = None
-            for item, score in block_max_wand(self.index, at[self.index.terms[at] == distinct], self.threshold):
+        last = None
+        for text, a, b, block in zip(*found, strict=True) if found else ():
+            if last != a:
+                last, part, runs = a, hashes[a:b], None
+                distinct = np.unique(part)
+                at = np.searchsorted(self.index.terms, distinct)
+                at[at == len(self.index.terms)] = 0
+                terms = at[self.index.terms[at] == distinct]
+            for item, score in block_max_wand(self.index, terms, self.threshold, block * ITEM_BLOCK, (block + 1) * ITEM_BLOCK):
                 runs = np.unique(_runs(part, SHINGLE)) if runs is None else runs
                 q, w = self.questions[item], self.answers[item]
                 wide = runs if len(self.index.questions[item]) >= SHINGLE else _runs(part, len(self.index.questions[item]))
