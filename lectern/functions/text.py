@@ -140,8 +140,8 @@ def strip_markdown(text: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", x * 100), F.lit("—"))
+    return F.when(x.isNotNull(), F.format_string("%.2f%%", x * 100)).otherwise(F.lit("—"))
 
 
 def dollars(x: Column) -> Column:
-    return F.coalesce(F.format_string("$%.4f", x), F.lit("—"))
+    return F.when(x.isNotNull(), F.format_string("$%.4f", x)).otherwise(F.lit("—"))

@@ -35,7 +35,7 @@ class Bm25Index:
     @classmethod
     def build(cls, corpus: DataFrame, terms: DataFrame | None = None) -> Bm25Index:
         """From (id, text); ``terms`` (term) limits what is kept, never the statistics."""
-        cut = corpus.select("id", tokens(F.col("text")).alias("ts")).withColumn("length", F.size("ts"))
+        cut = corpus.select("id", tokens(F.col("text")).alias("ts")).withColumn("length", F.coalesce(F.size("ts"), F.lit(0)))
         stats = cut.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
         rows = cut.select("id", "length", F.explode("ts").alias("term"))
         if terms is not None:

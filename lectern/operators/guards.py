@@ -7,6 +7,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 WINDOW_SECONDS = 60.0
 
@@ -17,7 +18,7 @@ def rate_limit(events: DataFrame, limit: int, window: float = WINDOW_SECONDS) ->
     Whether an event counts depends on earlier answers, so each chat is read in order as a stream of its partition; a
     chat's state is its accepted times within the window, at most ``limit`` of them, however long its history is.
     """
-    schema = events.select("chat_id", "seq", "t").schema.add("accepted", "boolean")
+    schema = StructType([*events.select("chat_id", "seq", "t").schema.fields, StructField("accepted", BooleanType())])
 
     def run(batches):
         chat, times = object(), deque()

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions.text import citation_numbers, format_hit, is_refusal, normal_refusal, parse_verdict
 
@@ -44,12 +45,12 @@ def answer(questions: DataFrame, hits: DataFrame, system: str, model_factory: Ca
         for pdf in batches:
             yield pdf.assign(answer=[model([dict(m) for m in ms]) for ms in pdf["messages"]])
 
-    return joined.mapInPandas(run, joined.schema.add("answer", "string")).drop("messages")
+    return joined.mapInPandas(run, StructType([*joined.schema.fields, StructField("answer", StringType())])).drop("messages")
 
 
 def judged(answers: DataFrame, model_factory: Callable[[], Model]) -> DataFrame:
     """``answers`` (question, gold, answer) with the verdict of a judge."""
-    fields = answers.schema.add("_reply", "string")
+    fields = StructType([*answers.schema.fields, StructField("_reply", StringType())])
 
     def run(batches):
         model = model_factory()

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.operators.bm25 import ranked
 
@@ -32,17 +34,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)) / F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def _search(names: list, matrix: np.ndarray, k: int):
+def _search(names: list, matrix: np.ndarray, k: int, kind: pa.DataType):
     def run(batches):
         unit_q = (matrix / np.sqrt((matrix * matrix).sum(1))[:, None]).T
         for batch in batches:
             column = batch.column(1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            usable = np.array([v is not None and len(v) == matrix.shape[1] for v in column]) if column.null_count else np.diff(column.offsets.to_numpy()) == matrix.shape[1]
-            if not usable.any():
+            usable = pc.fill_null(pc.equal(pc.list_value_length(column), matrix.shape[1]), False)
+            kept = column.filter(usable)
+            if not len(kept):
                 continue
-            rows = np.array([v for v, ok in zip(column.to_pylist(), usable, strict=True) if ok], float) if not usable.all() else column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-            ids = ids[usable]
+            rows = kept.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(kept), -1)
+            ids = ids[usable.to_numpy(zero_copy_only=False)]
             norm = np.sqrt((rows * rows).sum(1))
             rows, ids = rows[norm > 0] / norm[norm > 0][:, None], ids[norm > 0]
             score = rows @ unit_q
@@ -53,7 +56,7 @@ def _search(names: list, matrix: np.ndarray, k: int):
             # everything at least as good as the k-th best, so that ties are settled by id later
             edge = np.partition(rounded, len(ids) - keep, axis=0)[len(ids) - keep]
             at, q = np.nonzero(rounded >= edge[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in q]), pa.array(ids[at]), pa.array(score[at, q])], names=["qid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in q], kind), pa.array(ids[at]), pa.array(score[at, q])], names=["qid", "id", "score"])
 
     return run
 
@@ -73,6 +76,6 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, where: Column |
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
         for size in sorted({len(r["vector"]) for r in part}):
             mine = [r for r in part if len(r["vector"]) == size]
-            run = _search([r["qid"] for r in mine], np.array([r["vector"] for r in mine], float), k)
+            run = _search([r["qid"] for r in mine], np.array([r["vector"] for r in mine], float), k, to_arrow_type(found.schema["qid"].dataType))
             found = found.unionByName(source.mapInArrow(run, found.schema))
     return ranked(found, k).withColumn("score", F.round("score", 6))

@@ -12,7 +12,7 @@ PAGE_MARK = "%%PAGE%%\n"
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """(path) of matching files, sorted; an error if there are none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").orderBy("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path").orderBy("path")
     if files.isEmpty():
         raise FileNotFoundError(f"no {pattern} in {folder}")
     return files
