@@ -41,7 +41,7 @@ def is_meaningful(line: Column, least: int = 40) -> Column:
 
 def rfc_from_path(path: Column) -> Column:
     """The number in a file name such as ``RFC 3261.pdf``; an error if there is none."""
-    number = F.regexp_extract(path, r"(?i)RFC\s*(\d+)\.pdf$", 1)
+    number = F.regexp_extract(path, r"(?i)RFC(?:\s|%20)*(\d+)\.pdf$", 1)
     return F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.concat(F.lit("cannot parse RFC number from "), path)).cast("int"))
 
 
