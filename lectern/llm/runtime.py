@@ -12,7 +12,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from lectern.llm import textkit
 
@@ -51,8 +51,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def arrow_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
@@ -78,13 +78,16 @@ def extend(docs: DataFrame, kernel, fields: str, keep: list[str] | None = None,
     if keep is not None:
         carried = carried.select(*[c for c in keep if c.lower() not in {x.lower() for x in new.names}])
     names = carried.columns
-    source = without(docs.select(*[docs[f"`{c}`"] for c in names], docs[text].cast("string").alias("__text")), new.names)
+    ready = text in names and carried.schema[text].dataType == StringType()
+    more = [] if ready else [docs[text].cast("string").alias("__text")]
+    place = names.index(text) if ready else len(names)
+    source = docs.select(*[docs[f"`{c}`"] for c in names], *more)
     schema = StructType(list(carried.schema.fields) + list(new.fields))
 
     def run(batches):
         work = kernel()
         for batch in batches:
-            column = batch.column(len(names))
+            column = batch.column(place)
             parts = [work(column.slice(i, j - i)) for i, j in textkit.slices(textkit.buffers(column)[1])]
             if not parts:
                 continue

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: One text slice handled at once, in bytes; a longer text forms a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xC2B2AE3D27D4EB4F | 1
@@ -111,7 +111,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     i = 0
     while i < len(starts):
         at = starts[i]
-        j = max(int(np.searchsorted(ends, at + 4 * SLICE_BYTES, side="right")), i + 1)
+        j = max(int(np.searchsorted(ends, at + SLICE_BYTES, side="right")), i + 1)
         stop = ends[j - 1]
         p, q = _power(int(stop - at))
         sums = np.empty(stop - at + 1, np.uint64)
