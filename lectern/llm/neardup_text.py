@@ -9,13 +9,14 @@ sets share a shingle within their first ``n - ceil(percent n / 100) + 1`` ones.
 2. The leaders' prefixes meet in lists by shingle, read in sorted order as a stream.  Short lists give all pairs that
    pass the size and position filters; a long list ties each entry to a pivot of like size and to its neighbour.
    Pairs must also share as many prefix shingles as their sizes demand.
-3. Each set is verified against its least candidate and its pivots, members against their leader; links are contracted
-   to components.
-4. What can still join two components is verified: remaining pairs, and the members of long lists and of groups whose
-   entries lie in more than one component.  Pairs within one component are never made.
+3. Each set is verified against its leader and those candidates, pivots and neighbours with which it shares most; links
+   are contracted to components.
+4. Lists whose entries lie in more than one component try the entry that most copies and links speak for with all others.
+5. What can still join two components is verified: remaining pairs, and pairs of entries of long lists and members of
+   groups that lie in different components.  Pairs within one component are never made.
 
-Verification compares whole sets, remade from the texts of candidates only.  Equal hashes of 64 bits stand for equal
-shingles, two of them for equal sets.
+Verification compares whole sets, remade from the texts of candidates only.  Equal hashes of 64 bits (48 between the two
+sets of a pair) stand for equal shingles, two of 64 bits for equal sets.
 
 Edge cases: null and wordless texts have no shingles and link with nothing; a text with fewer words than ``width`` is
 one shingle; texts are used whole; rows that share an id are one node; null ids link with nothing; an empty table gives
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
@@ -35,6 +36,13 @@ from lectern.llm.runtime import arrow_batches, cut, extend, shuffle_width, spill
 
 #: Lists of at most this many groups give all their pairs at once; longer ones take the way by pivots and components.
 SHORT_LIST = 16
+#: Of each kind of candidates, how many a set tries first; the others follow if they can still join components.
+OFFERS = 2
+HUB_ROUNDS = 2
+#: Documents that one stream holds, about; shingles that they have together; and documents compared with them.
+MOST_HEADS, MOST_HELD, MOST_PARTNERS = 1024, 1_000_000, 2048
+#: Roles, some numbers a row, are broadcast up to this many rows; beyond it the sets are shuffled to them.
+MOST_BROADCAST_ROLES = 150_000
 _CELLS = 4096
 
 
@@ -54,6 +62,14 @@ def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _shingle_cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Cells of 2**bits for shingles: half of them for the lowest quarter of all hashes, from which most prefixes come."""
+    low = hashes < np.uint64(1 << 62)
+    at = (hashes >> np.uint64(65 - bits)).astype(np.int64)
+    fine = ((hashes << np.uint64(2)) >> np.uint64(65 - bits)).astype(np.int64)
+    return np.where(low, fine, (1 << (bits - 1)) + at)
+
+
 def hashed_counts(rows: DataFrame, to_cells, bits: int, finish: str) -> np.ndarray:
     """Adds up counts of 2**bits cells over all tasks and keeps one bit a cell: counted ("any") or frequent.
 
@@ -66,9 +82,7 @@ def hashed_counts(rows: DataFrame, to_cells, bits: int, finish: str) -> np.ndarr
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for cells in to_cells(batch):
-                total += np.bincount(cells, minlength=1 << bits).astype(np.uint32) if len(cells) > 1 << (bits - 4) else 0
-                if len(cells) <= 1 << (bits - 4):
-                    np.add.at(total, cells, np.uint32(1))
+                np.add.at(total, cells, np.uint32(1))
         for k in range(blocks):
             part = total[k * _CELLS : (k + 1) * _CELLS]
             if part.any():
@@ -94,8 +108,8 @@ def _flagged(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Eight cells a document, at least 2**16 and at most 2**25."""
-    return int(min(25, max(16, int(8 * max(1, n)).bit_length())))
+    """Thirty-two cells a document or more, at least 2**16 and at most 2**26."""
+    return int(min(26, max(16, int(32 * max(1, n)).bit_length())))
 
 
 def prefix_length(n, percent: int):
@@ -116,7 +130,7 @@ def _prefix_kernel(width: int, percent: int, bits: int, shared):
                     keys.append((0, 0))
                     groups.append((0, 0))
                     continue
-                common = _flagged(bitmap, _cells(x, bits))
+                common = _flagged(bitmap, _shingle_cells(x, bits))
                 p = int(prefix_length(len(x), percent))
                 rare = x[~common][:p]
                 head = rare if len(rare) == p else np.concatenate([rare, x[common][: p - len(rare)]])
@@ -153,9 +167,10 @@ def _passes(nx, px, ny, py, percent: int) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Sorted entries (token, gid, n, pos, many) -> pairs (kind 0), pivot pairs (kind 1) and entries left over (kind 2).
+    """Sorted entries (token, gid, n, pos, many) -> pairs (kind 0), pivot pairs (kind 1), entries of long lists (kind 2) and of
+    short lists with groups of several sets (kind 3), neighbours in long lists (kind 4).
 
-    A list may span batches; of a long one only its pivot and its last entry are held.
+    A list may span batches; of a long one only its pivot and last entry are held.
     """
     names = ["kind", "token", "a", "na", "pos", "b", "nb"]
 
@@ -167,34 +182,37 @@ def _meet(percent: int):
 
     def run(batches):
         held = None  # entries of the list that the last batch ended in
-        long_token, pivot, last = None, None, None
+        long_token, pivot, last = None, None, (0, 0)
 
         def tie(part, first):
-            """Pivot pairs of entries of a long list; ``first`` if the list begins here."""
+            """Pivot and neighbour pairs of entries of a long list; ``first`` if the list begins here."""
             nonlocal pivot, last
             _, gid, n, pos, _m = part
             a, na, b, nb = [], [], [], []
             i = 0
             if first:
-                pivot, last, i = (gid[0], n[0], pos[0]), (gid[0], n[0], pos[0]), 1
+                pivot, i = (gid[0], n[0]), 1
             while i < len(gid):
                 j = int(np.searchsorted(n, 100 * pivot[1] // percent, side="right"))
                 if j <= i:
-                    pivot = (gid[i], n[i], pos[i])
-                    a.append(np.array([last[0]])), na.append(np.array([last[1]])), b.append(gid[i : i + 1]), nb.append(n[i : i + 1])
-                    last, i = pivot, i + 1
+                    pivot = (gid[i], n[i])
+                    i += 1
                     continue
-                before = np.concatenate([[last[0]], gid[i : j - 1]]), np.concatenate([[last[1]], n[i : j - 1]])
-                a += [np.full(j - i, pivot[0]), before[0]]
-                na += [np.full(j - i, pivot[1]), before[1]]
-                b += [gid[i:j], gid[i:j]]
-                nb += [n[i:j], n[i:j]]
-                last, i = (gid[j - 1], n[j - 1], pos[j - 1]), j
+                a.append(np.full(j - i, pivot[0]))
+                na.append(np.full(j - i, pivot[1]))
+                b.append(gid[i:j])
+                nb.append(n[i:j])
+                i = j
             out = [rows(2, *[part[k] for k in (0, 1, 2, 3)], np.zeros(len(gid), np.int64), np.zeros(len(gid), np.int32))]
             if a:
                 a, na, b, nb = (np.concatenate(x) for x in (a, na, b, nb))
                 good = (a != b) & (100 * np.minimum(na, nb).astype(np.int64) >= percent * np.maximum(na, nb).astype(np.int64))
                 out.append(rows(1, np.zeros(good.sum(), np.int64), a[good], na[good], np.zeros(good.sum()), b[good], nb[good]))
+            left, small = np.append(last[0], gid[:-1])[first:], np.append(last[1], n[:-1])[first:]
+            good = (left != gid[first:]) & (100 * small.astype(np.int64) >= percent * n[first:].astype(np.int64))
+            if good.any():
+                out.append(rows(4, np.zeros(good.sum(), np.int64), left[good], small[good], np.zeros(good.sum()), gid[first:][good], n[first:][good]))
+            last = gid[-1], n[-1]
             return out
 
         def short(part):
@@ -209,7 +227,7 @@ def _meet(percent: int):
             open_ = np.repeat(np.maximum.reduceat(many, edge), size).astype(bool) & (whole <= SHORT_LIST)
             if open_.any():
                 z = int(open_.sum())
-                yield rows(2, token[open_], gid[open_], n[open_], pos[open_], np.zeros(z, np.int64), np.zeros(z, np.int32))
+                yield rows(3, token[open_], gid[open_], n[open_], pos[open_], np.zeros(z, np.int64), np.zeros(z, np.int32))
             live = np.flatnonzero((whole > 1) & (whole <= SHORT_LIST))
             token, gid, pos = token[live], gid[live], pos[live].astype(np.int64)
             n = n[live].astype(np.int64)
@@ -250,33 +268,79 @@ def _meet(percent: int):
     return run
 
 
-def _verified(percent: int):
+def _packed(x: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = raw.reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def _compared(percent: int):
+    """Sorted (near, sa, sb, role, id, partners, set): sets of a (role 0) come before those to compare with them."""
+
     def run(batches):
+        key, heads = None, {}
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            x, xo = textkit.buffers(batch.column(2))
-            y, yo = textkit.buffers(batch.column(3))
-            good = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                s, t = np.frombuffer(x[xo[i] : xo[i + 1]].tobytes(), np.uint64), np.frombuffer(y[yo[i] : yo[i + 1]].tobytes(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * same >= percent * (len(s) + len(t) - same) and same > 0
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(good)], names=["a", "b", "good"])
+            near, sa, sb, role, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            partners = batch.column(5).to_pylist()
+            data, at = textkit.buffers(batch.column(6))
+            a, b, good = [], [], []
+            for i in range(len(ids)):
+                if key != (near[i], sa[i], sb[i]):
+                    key, heads = (near[i], sa[i], sb[i]), {}
+                x = _unpacked(data[at[i] : at[i + 1]])
+                if role[i] == 0:
+                    heads[ids[i]] = x
+                    continue
+                for other in partners[i]:
+                    if (y := heads.get(other)) is not None:
+                        both = np.concatenate([x, y])
+                        both.sort()
+                        same = int((both[1:] == both[:-1]).sum())
+                        a.append(other)
+                        b.append(ids[i])
+                        good.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """(a, b) of ``pairs``, and whether their whole sets link; sets are made for the documents in pairs only."""
+def _roles(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, near, sa, sb, role, partners): where the set of each document of ``pairs`` is needed.
+
+    Documents a whose partners overlap meet in one stream, a few at a time, so that a document travels once for many of
+    its pairs; ``near``, the least id within two steps, tells them.  Much met documents have several streams.
+    """
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m")).select("x", F.least("x", "m").alias("m"))
+    two = pairs.join(one, F.col("b") == F.col("x")).groupBy("a").agg(F.min("m").alias("near"))
+    heads = pairs.select("a").distinct().join(two, "a").join(sizes.select(F.col("id").alias("a"), "n"), "a")
+    load = heads.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / MOST_HEADS), F.ceil(F.sum("n") / MOST_HELD)).alias("parts"))
+    heads = cut(heads.join(load, "near").select("a", "near", F.pmod(F.xxhash64("a"), F.col("parts")).alias("sa")))
+    visits = pairs.join(heads, "a").groupBy("near", "sa", "b").agg(F.collect_list("a").alias("partners"))
+    streams = visits.groupBy("near", "sa").agg(F.ceil(F.count("*") / MOST_PARTNERS).alias("parts"))
+    met = visits.join(streams, ["near", "sa"]).select(F.col("b").alias("id"), "near", "sa", F.pmod(F.xxhash64("b"), F.col("parts")).alias("sb"), F.lit(1).alias("role"), "partners")
+    every = heads.join(streams, ["near", "sa"]).select(F.col("a").alias("id"), "near", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sb"), F.lit(0).alias("role"), F.array().cast("array<long>").alias("partners"))
+    return cut(met.unionByName(every))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """(a, b, good) for the distinct ``pairs``: whether their whole sets link; ``sizes`` has (id, n).
+
+    Sets are made for the documents in pairs only.
+    """
     spark = pairs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    roles = _roles(pairs, sizes)
 
     def id_cells(batch):
         yield _cells(textkit.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)), bits)
 
-    shared = spark.sparkContext.broadcast(hashed_counts(ids, id_cells, bits, "any"))
+    shared = spark.sparkContext.broadcast(hashed_counts(roles.select("id"), id_cells, bits, "any"))
 
     def sets(batches):
         bitmap = shared.value
@@ -287,13 +351,15 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits: in
                 continue
             part = batch.take(pa.array(at))
             for i, j in textkit.slices(textkit.buffers(part.column(1))[1]):
-                made = [x.tobytes() for x in document_sets(part.column(1).slice(i, j - i), width)]
+                made = [_packed(x) for x in document_sets(part.column(1).slice(i, j - i), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=["id", "set"])
 
     made = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "id long, set binary")
-    made = spill(made.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    met = pairs.select("a", "b").join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return cut(met.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long, good boolean"))
+    order = ["near", "sa", "sb", "role", "id"]
+    few = roles.count() <= MOST_BROADCAST_ROLES
+    placed = made.join(F.broadcast(roles) if few else roles.hint("shuffle_hash"), "id").select(*order, "partners", "set")
+    streams = placed.repartition(shuffle_width(spark), *order[:3]).sortWithinPartitions(*order)
+    return cut(streams.mapInArrow(_compared(percent), "a long, b long, good boolean"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -306,13 +372,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def shingle_cells(batch):
         for i, j in textkit.slices(textkit.buffers(batch.column(0))[1]):
             sets = document_sets(batch.column(0).slice(i, j - i), width)
-            yield _cells(np.concatenate(sets), bits)
+            yield _shingle_cells(np.concatenate(sets), bits)
 
     shared = spark.sparkContext.broadcast(hashed_counts(docs.select(F.col("text").cast("string")), shingle_cells, bits, "frequent"))
     marked = spill(extend(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _prefix_kernel(width, percent, bits, shared), "n long, sa long, sb long, ga long, gb long, prefix binary", ["doc_id"]))
     usable = marked.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
 
-    reps = cut(usable.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ga").alias("ga"), F.first("gb").alias("gb")))
+    reps = cut(usable.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ga").alias("ga"), F.first("gb").alias("gb")))
     groups = cut(reps.groupBy("n", "ga", "gb").agg(F.min("rep").alias("gid"), F.count("*").alias("members")))
     leaders = usable.join(groups.select(F.col("gid").alias("doc_id"), F.col("members")), "doc_id").dropDuplicates(["doc_id"])
     entries = leaders.select(F.col("doc_id").alias("gid"), "n", (F.col("members") > 1).cast("int").alias("many"), "prefix").mapInArrow(_spread, "token long, gid long, n int, pos int, many int")
@@ -322,10 +388,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     arrow_batches(spark)
 
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    left_over = met.where("kind = 2").select("token", F.col("a").alias("gid"), F.col("na").alias("n"), "pos")
-    unseen = left_over.groupBy("gid").agg(F.count("*").alias("more"))
+    left_over = met.where("kind in (2, 3)").select("kind", "token", F.col("a").alias("gid"), F.col("na").alias("n"), "pos")
+    unseen = left_over.where("kind = 2").groupBy("gid").agg(F.count("*").alias("more"))
     counted = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # of the prefixes as they are, linked sets share at least as many shingles as the tighter bound leaves
+    counted = cut(counted.select(*pair, F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "common").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")))
+    # the prefixes are longer than sets of these sizes need, so linked sets share more than one shingle of them
     alpha = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     least = F.least(*[alpha - F.ceil(F.lit(percent) * F.col(c) / 100) + 1 for c in ("na", "nb")])
     more = F.least(*[F.coalesce(F.col(c), F.lit(0)) for c in ("more_a", "more_b")])
@@ -333,42 +400,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         counted.join(unseen.select(F.col("gid").alias("a"), F.col("more").alias("more_a")), "a", "left")
         .join(unseen.select(F.col("gid").alias("b"), F.col("more").alias("more_b")), "b", "left")
         .where(F.col("common") + more >= least)
-        .select(*pair)
+        .select("a", "b", "common")
     )
-    likely = cut(likely.distinct())
-    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    pivots = met.where("kind = 1").select(*pair)
+    pivots = met.where("kind in (1, 4)").select("kind", *pair).groupBy("kind", "a", "b").agg(F.count("*").alias("common"))
     members = reps.join(groups.where("members > 1"), ["n", "ga", "gb"]).where(F.col("rep") != F.col("gid")).select(F.col("gid"), "rep", "n")
-    first = cut(nearest.unionByName(pivots).unionByName(members.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct())
-    checked = verify(first, docs, width, percent, bits)
+    led = members.select(F.col("gid").alias("a"), F.col("rep").alias("b"), (F.col("n") + 1).cast("long").alias("common"))
+    offers = likely.withColumn("kind", F.lit(0)).unionByName(pivots).unionByName(led.withColumn("kind", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("b", "kind").orderBy(F.col("common").desc(), "a"))
+    first = cut(offers.withColumn("place", place).where(F.col("place") <= OFFERS).select("a", "b").distinct())
+    sizes = reps.select(F.col("rep").alias("id"), "n")
+    checked = verify(first, docs, sizes, width, percent, bits)
     links = checked.where("good").select("a", "b")
     roots = components(links)
 
     # what may still join two components
     def rooted(rows: DataFrame, column: str, root: str) -> DataFrame:
-        known = roots.select(F.col("node").alias(column), F.col("root").alias(root))
-        return rows.join(known, column, "left").withColumn(root, F.coalesce(root, column))
+        table = roots.select(F.col("node").alias(column), F.col("root").alias(root))
+        return rows.join(table, column, "left").withColumn(root, F.coalesce(root, column))
+
+    everyone = left_over.select("kind", "token", "gid", F.col("gid").alias("rep"), "n", "pos").unionByName(left_over.join(members.select("gid", "rep"), "gid").select("kind", "token", "gid", "rep", "n", "pos"))
+    like = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    for _ in range(HUB_ROUNDS):
+        # the entry of each list that most copies and links speak for is tried with all that are not yet joined to it
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        weight = reps.select("rep", "copies").join(degree, "rep", "left").select("rep", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("weight"))
+        inside = rooted(everyone, "rep", "root")
+        hubs = inside.join(weight, "rep").groupBy("token").agg(F.max(F.struct("weight", "rep", "n", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        tries = inside.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & like(F.col("n"), F.col("hub.n")))
+        tries = tries.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        tries = cut(tries)
+        if tries.isEmpty():
+            break
+        checked = checked.unionByName(verify(tries, docs, sizes, width, percent, bits))
+        links = checked.where("good").select("a", "b")
+        roots = components(links)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return rooted(rooted(rows, "a", "ra"), "b", "rb").where(F.col("ra") != F.col("rb")).drop("ra", "rb")
 
-    rest = rooted(rooted(likely, "a", "ra"), "b", "rb").where(F.col("ra") != F.col("rb")).select("a", "b")
-    inside = left_over.select("token", "gid", F.col("gid").alias("rep"), "n", "pos").unionByName(left_over.join(members.select("gid", "rep"), "gid").select("token", "gid", "rep", "n", "pos"))
-    inside = rooted(inside, "rep", "root")
+    inside = rooted(everyone, "rep", "root")
     mixed = inside.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_ = cut(inside.join(mixed, "token").select("token", F.col("rep"), "n", "pos", "root"))
-    other = open_.select("token", *[F.col(c).alias(c + "_b") for c in ("rep", "n", "pos", "root")])
+    # shingles of each prefix that another prefix has: no pair shares more
+    shorts = met.where("kind = 0").select(F.explode(F.array("a", "b")).alias("gid"), "token").distinct().groupBy("gid").agg(F.count("*").alias("shorts"))
+    shared = everyone.groupBy("rep").agg(F.count("*").alias("entries"), F.first("gid").alias("gid")).join(shorts, "gid", "left").select("rep", (F.col("entries") + F.coalesce("shorts", F.lit(0))).alias("shared"))
+    open_ = inside.join(mixed, "token").join(shared, "rep")
+    open_ = cut(open_.select("token", "kind", (F.col("gid") == F.col("rep")).alias("leads"), F.col("rep"), "n", "pos", "root", "shared"))
+    other = open_.select("token", *[F.col(c).alias(c + "_b") for c in ("leads", "rep", "n", "pos", "root", "shared")])
     most = F.least("pos", "pos_b") + 1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1
     needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_b")) / F.lit(100 + percent))
+    enough = F.least("shared", "shared_b") >= F.least(*[needed - F.ceil(F.lit(percent) * F.col(c) / 100) + 1 for c in ("n", "n_b")])
+    fits = like(F.col("n"), F.col("n_b")) & (most >= needed) & enough
+    fresh = (F.col("kind") == 2) | ~(F.col("leads") & F.col("leads_b"))  # leaders in short lists are counted already
     crossing = (
         open_.join(other, "token")
-        .where((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (most >= needed))
-        .select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+        .where((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b")) & fits & fresh)
+        .groupBy(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.col("n").alias("na"), F.col("n_b").alias("nb"))
+        .agg(F.count("*").alias("common"))
     )
-    second = cut(rest.unionByName(crossing).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    second = apart(counted).select("a", "b", "na", "nb", "common").unionByName(crossing).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(F.col("common") >= least)
+    # members of one group share their whole prefix, and pivots may not: what is known but not yet linked comes along
+    second = second.select("a", "b").unionByName(apart(members.select(F.col("gid").alias("a"), F.col("rep").alias("b")))).distinct()
+    second = cut(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        links = links.unionByName(verify(second, docs, width, percent, bits).where("good").select("a", "b"))
+        links = links.unionByName(verify(second, docs, sizes, width, percent, bits).where("good").select("a", "b"))
         roots = components(links)
 
-    known = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("sa", "sb", F.coalesce("root", "rep").alias("_near_root"))
-    facts = marked.select("doc_id", "n", "sa", "sb").join(known, ["sa", "sb"], "left")
+    named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("sa", "sb", F.coalesce("root", "rep").alias("_near_root"))
+    facts = marked.select("doc_id", "n", "sa", "sb").join(named, ["sa", "sb"], "left")
     facts = facts.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("_near_root")).otherwise(F.col("doc_id")).alias("component_id"))
     return facts
 
