@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.runtime import cut
+from lectern.llm.runtime import cut, shuffle_width
 
 MOST_ROUNDS = 60
+LINKS_A_TASK = 100_000
 
 
-def _toward_least(links: DataFrame) -> DataFrame:
-    """(u, v) with u the centre -> every v linked to the least of u and its v's, as (node, root) with node > root."""
+def _toward_least(links: DataFrame, tasks: int, above: bool = False) -> DataFrame:
+    """(u, v) with u the centre -> every v, or those above u, linked to the least of u and its v's: (node, root)."""
     least = links.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-    met = links.join(least, F.col("u") == F.col("c"))
-    return met.select(F.col("v").alias("node"), F.col("m").alias("root"))
+    met = (links.where(F.col("v") > F.col("u")) if above else links).join(least.coalesce(tasks), F.col("u") == F.col("c"))
+    return met.select(F.col("v").alias("node"), F.col("m").alias("root")).coalesce(tasks)
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -32,27 +33,23 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) pairs of ids -> (node, root) for every node whose component's least id, root, is another node.
 
     Nodes without links, or that are the least of their component, are not returned.  Null ids and loops are ignored.
+    The number of tasks follows the number of links, so that a small graph in a large job costs little.
     """
+    width = shuffle_width(links.sparkSession)
     now = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = cut(now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
     before = _fingerprint(now)
     if not before[0]:
         return now
     for _ in range(MOST_ROUNDS):
-        both = now.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(now.select(F.col("root").alias("u"), F.col("node").alias("v")))
-        large = _toward_least_above(both)
-        small = large.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        near = _toward_least(small).unionByName(small.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
-        now = cut(near.where(F.col("node") != F.col("root")).distinct())
+        tasks = max(1, min(width, -(-before[0] // LINKS_A_TASK)))
+        now = now.coalesce(tasks)
+        both = now.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(now.select(F.col("root").alias("u"), F.col("node").alias("v"))).coalesce(tasks)
+        small = _toward_least(both, tasks, above=True).distinct().coalesce(tasks).select(F.col("node").alias("u"), F.col("root").alias("v"))
+        near = _toward_least(small, tasks).unionByName(small.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).coalesce(tasks))
+        now = cut(near.where(F.col("node") != F.col("root")).coalesce(tasks).distinct().coalesce(tasks))
         after = _fingerprint(now)
         if after == before:
             return now
         before = after
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
-
-
-def _toward_least_above(both: DataFrame) -> DataFrame:
-    """The large-star step: the larger neighbours of each node are linked to the least node near it."""
-    least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-    met = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c"))
-    return met.select(F.col("v").alias("node"), F.col("m").alias("root")).distinct()
