@@ -8,7 +8,8 @@ at or above the threshold.
 The index rests on every task (its size is bounded by handling items in blocks of ``MOST_ITEMS``; each block is one
 pass over the documents).  Frequent terms are non-essential in the sense of MaxScore: what they can add to any item of a
 block is a constant, so only essential terms are looked at to bound passages against blocks of items, for all
-passages of a slice at once.  Passages that stay in question run through block-max WAND over their posting lists within the blocks left open.
+passages of a slice at once.  Where that constant alone would reach the threshold, the rarest of an item's frequent terms
+are essential for its block, so no item is out of reach of its own terms.  Equal items are indexed once.  Passages that stay in question run through block-max WAND over their posting lists within the blocks left open.
 
 A pair counts as a leak if five-word shingles of the question and the words of the answer are found in the passage to
 the shares asked for.  Punctuation and case are ignored.
@@ -73,9 +74,12 @@ def _runs(words: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings by term: items (rising) and impacts; by term and block of items the greatest impact."""
+    """Postings by term: items (rising) and impacts; by term and block of items the greatest impact, and the essential of these.
 
-    ids: np.ndarray
+    An item is a distinct text; ``ids`` holds the item ids of each.
+    """
+
+    ids: list[np.ndarray]
     terms: np.ndarray
     first: np.ndarray
     items: np.ndarray
@@ -83,7 +87,9 @@ class Index:
     block_first: np.ndarray
     blocks: np.ndarray
     block_most: np.ndarray
-    essential: np.ndarray
+    open_first: np.ndarray
+    open_blocks: np.ndarray
+    open_most: np.ndarray
     slack: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
@@ -93,13 +99,17 @@ class Index:
         return self.items[self.first[term] : self.first[term + 1]], self.impacts[self.first[term] : self.first[term + 1]]
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index | None:
-    """From (item id, text); None if no item has enough words."""
+def build_index(rows: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index | None:
+    """From (item id, text), for searches at ``threshold`` or above; None if no item has enough words."""
     parts = [split_item(t or "") for _, t in rows]
     questions, answers = text_hashes([q for q, _ in parts]), text_hashes([a for _, a in parts])
-    keep = [i for i in range(len(rows)) if len(questions[i]) + len(answers[i]) >= LEAST_WORDS and len(questions[i])]
-    if not keep:
+    equal: dict[tuple[bytes, bytes], list[int]] = {}
+    for i in range(len(rows)):
+        if len(questions[i]) + len(answers[i]) >= LEAST_WORDS and len(questions[i]):
+            equal.setdefault((questions[i].tobytes(), answers[i].tobytes()), []).append(i)
+    if not equal:
         return None
+    keep = [same[0] for same in equal.values()]
     questions, answers = [questions[i] for i in keep], [answers[i] for i in keep]
     whole = [np.concatenate([q, a]) for q, a in zip(questions, answers, strict=True)]
     length = np.array([len(x) for x in whole], float)
@@ -115,13 +125,29 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     at, items, impact = at[order], owner[order], impact[order]
     first = np.searchsorted(at, np.arange(len(terms) + 1))
     block = items // ITEM_BLOCK
-    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])]))
-    essential = df <= max(2, COMMON_SHARE * len(whole))
-    common = np.bincount(items[~essential[at]], impact[~essential[at]], minlength=len(whole))
-    slack = np.array([common[k : k + ITEM_BLOCK].max() for k in range(0, len(whole), ITEM_BLOCK)])
+    begins = np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])
+    edge, entry = np.flatnonzero(begins), np.cumsum(begins) - 1
+    essential = df[at[edge]] <= max(2, COMMON_SHARE * len(whole))
+
+    def common() -> np.ndarray:
+        rest = ~essential[entry]
+        return np.bincount(items[rest], impact[rest], minlength=len(whole))
+
+    # the rarest frequent terms of an item become essential in its block until the others fall short of the threshold
+    left, by_item = common(), np.lexsort((df[at], items))
+    bounds = np.searchsorted(items[by_item], np.arange(len(whole) + 1))
+    for item in np.flatnonzero(left >= threshold - 1e-6):
+        mine = by_item[bounds[item] : bounds[item + 1]]
+        mine = mine[~essential[entry[mine]]]
+        above = np.count_nonzero(impact[mine].sum() - np.cumsum(impact[mine]) >= threshold - 1e-6)
+        essential[entry[mine[: above + 1]]] = True
+    slack = np.maximum.reduceat(common(), np.arange(0, len(whole), ITEM_BLOCK))
+    most = np.maximum.reduceat(impact, edge)
     return Index(
-        np.array([rows[i][0] for i in keep], np.int64), terms, first, items, impact, np.searchsorted(at[edge], np.arange(len(terms) + 1)), block[edge], np.maximum.reduceat(impact, edge), essential, slack, questions, answers, int(length.max())
-    )
+        [np.unique(np.array([rows[i][0] for i in same], np.int64)) for same in equal.values()], terms, first, items, impact,
+        np.searchsorted(at[edge], np.arange(len(terms) + 1)), block[edge], most,
+        np.searchsorted(at[edge][essential], np.arange(len(terms) + 1)), block[edge][essential], most[essential], slack, questions, answers, int(length.max()),
+    )
 
 
 def block_max_wand(index: Index, terms: np.ndarray, threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
@@ -207,7 +233,7 @@ class Searcher:
         chunk_first = np.concatenate([[0], np.cumsum(chunks)])
         at = np.searchsorted(index.terms, hashes)
         at[at == len(index.terms)] = 0
-        hit = (index.terms[at] == hashes) & index.essential[at]
+        hit = (index.terms[at] == hashes) & (np.diff(index.open_first)[at] > 0)
         place = np.flatnonzero(hit)
         if not len(place):
             return ()
@@ -215,13 +241,13 @@ class Searcher:
         chunk = chunk_first[text] + (place - bounds[text]) // step
         key = np.unique((chunk.astype(np.uint64) << np.uint64(32)) | at[place].astype(np.uint64))
         chunk, term = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        many = np.diff(index.block_first)[term]
+        many = np.diff(index.open_first)[term]
         owner = np.repeat(np.arange(len(term)), many)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + index.block_first[term][owner]
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + index.open_first[term][owner]
         blocks = len(index.slack)
-        key = chunk[owner] * blocks + index.blocks[inner]
+        key = chunk[owner] * blocks + index.open_blocks[inner]
         order = np.argsort(key, kind="stable")
-        key, most = key[order], index.block_most[inner][order]
+        key, most = key[order], index.open_most[inner][order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, most = key[edge], np.add.reduceat(most, edge)
         text = np.searchsorted(chunk_first, key // blocks, side="right") - 1
@@ -264,7 +290,7 @@ class Searcher:
                 if share[0] >= self.shares[0] and share[1] >= self.shares[1]:
                     key, value = (int(text), item), (*share, score)
                     best[key] = max(best.get(key, value), value)
-        return [(t, int(self.index.ids[i]), v[2], v[0], v[1]) for (t, i), v in best.items()]
+        return [(t, int(k), v[2], v[0], v[1]) for (t, i), v in best.items() for k in self.index.ids[i]]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question_share: float = QUESTION_SHARE, answer_share: float = ANSWER_SHARE) -> DataFrame:
@@ -279,7 +305,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for k in range(passes):
         part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        index = build_index([(r["item_id"], r["text"]) for r in part])
+        index = build_index([(r["item_id"], r["text"]) for r in part], threshold)
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -47,6 +49,36 @@ def test_planted_items_are_found_and_clean_texts_are_left(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in expected}
 
 
+@pytest.mark.parametrize(("n", "many"), [(40, 3), (45, 15), (200, 11)])
+def test_items_that_share_all_their_words_are_found(spark, n, many):
+    """The first ``many`` items are equal; then as many hold the same words in other orders."""
+    items = _items(n)
+    equal = [(k, items[0][1] if k < many else t) for k, t in items]
+    docs = spark.createDataFrame([(1, f"{prose(1, 200)} {items[0][1]} {prose(2, 90)}"), (2, prose(3, 300)), (3, items[n - 1][1]), (4, items[0][1])], "doc_id long, text string")
+    found = dc.find_leaks(docs, spark.createDataFrame(equal, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted([(d, k) for d in (1, 4) for k in range(many)] + [(3, n - 1)])
+    question, answer = items[0][1].split(". ")
+    mixed = [(k, f"{' '.join(random.Random(k).sample(question.split(), 18))}. {answer}" if 0 < k < many else t) for k, t in items]
+    found = dc.find_leaks(docs, spark.createDataFrame(mixed, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 0), (3, n - 1), (4, 0)]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_passages_stay_open_for_all_items_that_reach_the_threshold(threshold):
+    words = prose(1, 24).split()
+    rows = [(k, f"{' '.join(random.Random(k).sample(words, 18))}. {prose(k % 5, 4)}.") for k in range(50)]
+    index = dc.build_index(rows, threshold)
+    searcher = dc.Searcher(index, threshold, 0.8, 0.8)
+    for seed in range(30):
+        part = dc.text_hashes([" ".join(random.Random(900 + seed).sample(words, 6 + seed % 15))])[0]
+        score = np.zeros(len(index.ids))
+        for t in np.flatnonzero(np.isin(index.terms, part)):
+            at, impacts = index.postings(t)
+            score[at] += impacts
+        found = searcher.passages(part, np.array([0, len(part)]))
+        assert set(np.flatnonzero(score >= threshold) // dc.ITEM_BLOCK) <= set(found[3] if found else ())
+
+
 def test_items_in_blocks_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(dc, "MOST_ITEMS", 20)
     items = _items()
