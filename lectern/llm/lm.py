@@ -1,13 +1,15 @@
-"""Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scores by a hashed maximum-entropy model with a softmax factored along a tree of classes.
 
 Counting: every training text is cut into words and an end token; counts of all tokens are summed by their 64-bit hash.
 The most frequent ``HEAD`` tokens travel with the tasks; the counts of all others are joined to the texts by a shuffle.
 
-Model: the ``CLASSES * MEMBERS`` most frequent tokens form classes of ``MEMBERS`` neighbours in frequency, all others
-one more class.  A token's probability is that of its class given the context times that within the class; both are
-softmaxes over hashed features: the previous word, the previous two, and the one before the previous (a skip).  Within
-the class of all others it is the token's share of their smoothed counts, one share left for unseen ones, so that
-probabilities sum to one.  Biases start at the counts, so the untrained model is the unigram model.
+Model: every word is a leaf of a tree of classes, split into at most ``FAN`` parts of about equal frequency at each node;
+frequent tokens are leaves of their own, all others are dealt by their hash into groups of about ``GROUP`` tokens.  A
+token's probability is the product of softmaxes along its path, each over features of the context hashed with the node:
+the previous word, the previous two, and the one before the previous (a skip).  Within a group it is the token's share
+of their smoothed counts, one share left for unseen ones, so that probabilities sum to one.  Biases start at the counts,
+so the untrained model is the unigram model.  Groups grow in number with the distinct tokens, buckets of features with
+the square root of the training tokens, as every task holds them all.
 
 Training: each round hands the weights to all tasks; a task takes gradient steps over batches of its own tokens and sends
 its change of every bucket with the number of tokens behind it; changes are added up by bucket in Spark and averaged by
@@ -22,6 +24,8 @@ other columns are not carried.
 
 from __future__ import annotations
 
+import bisect
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +37,12 @@ from lectern.llm import textkit
 from lectern.llm.runtime import arrow_batches, spill
 
 HEAD = 1 << 17
-CLASSES, MEMBERS = 32, 32
-BITS = 13
+FAN = 16
+GROUP = 256
+#: Buckets of a feature: 2 to the power of BITS at least, about BUCKETS times the square root of the training tokens.
+BITS, BUCKETS = 13, 16
+#: A training task sees about this many times the square root of all training tokens, or more.
+TASK = 1000
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.35
@@ -78,19 +86,54 @@ def _count(batches):
 
 @dataclass
 class Model:
-    """Counts of frequent tokens, the class structure and the weights."""
+    """Counts of frequent tokens, the tree and the weights; leaves are frequent tokens and groups of others."""
 
     head: np.ndarray  # sorted hashes
     head_count: np.ndarray
-    known: np.ndarray  # sorted hashes of the modelled tokens
-    place: np.ndarray  # their place: class * MEMBERS + member
     total: int
     distinct: int
-    rest: float  # smoothed counts of all tokens outside the classes, one unseen included
-    class_bias: np.ndarray
-    member_bias: np.ndarray
-    class_weights: np.ndarray  # (feature, bucket, class)
-    member_weights: np.ndarray  # (feature, bucket, member)
+    group_mass: np.ndarray  # smoothed counts of each group, one unseen token included
+    leaf: np.ndarray  # the leaf of each frequent token, then of each group
+    path_first: np.ndarray  # by leaf, into the nodes and children on its path
+    path_node: np.ndarray
+    path_child: np.ndarray
+    bias: np.ndarray  # (node, child)
+    weights: np.ndarray  # (feature, bucket, child)
+
+    @property
+    def known(self) -> np.ndarray:
+        return self.head
+
+
+def grow_tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(path_first, path_node, path_child, bias) over leaves of falling mass."""
+    cum = np.concatenate([[0.0], np.cumsum(mass)]).tolist()
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    biases = []
+    open_ = [(0, len(mass), 0)] if len(mass) > 1 else []
+    while open_:
+        a, b, depth = open_.pop()
+        if depth == len(levels):
+            levels.append((np.full(len(mass), -1, np.int32), np.zeros(len(mass), np.uint8)))
+        nodes, children = levels[depth]
+        nodes[a:b] = len(biases)
+        bias, start = np.full(FAN, -1e4, np.float32), a
+        for child in range(FAN):
+            parts = FAN - child
+            end = b if parts == 1 else start + 1 if b - start <= parts else bisect.bisect_left(cum, cum[start] + (cum[b] - cum[start]) / parts, start + 1, b - parts + 1)
+            children[start:end] = child
+            bias[child] = math.log((cum[end] - cum[start]) / (cum[b] - cum[a]))
+            if end - start > 1:
+                open_.append((start, end, depth + 1))
+            start = end
+            if start == b:
+                break
+        biases.append(bias)
+    if not levels:
+        return np.zeros(len(mass) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros((1, FAN), np.float32)
+    nodes, children = (np.stack([level[k] for level in levels], 1) for k in range(2))
+    some = nodes >= 0
+    return np.concatenate([[0], np.cumsum(some.sum(1))]), nodes[some], children[some], np.array(biases)
 
 
 def new_model(vocabulary: DataFrame, head: int = HEAD) -> Model:
@@ -106,20 +149,18 @@ def new_model(vocabulary: DataFrame, head: int = HEAD) -> Model:
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
-    frequent = np.lexsort((h, -c))[: CLASSES * MEMBERS]
-    rank = np.argsort(h[frequent])
-    counts = np.zeros(CLASSES * MEMBERS)
-    counts[: len(frequent)] = c[frequent] + SMOOTH
-    mass = counts.reshape(CLASSES, MEMBERS)
-    rest = total["n"] + SMOOTH * (total["v"] + 1) - counts.sum()
-    with np.errstate(divide="ignore"):
-        class_bias = np.log(np.append(mass.sum(1), max(rest, SMOOTH)) / (total["n"] + SMOOTH * (total["v"] + 1)))
-        member_bias = np.log(mass / np.maximum(mass.sum(1), 1e-300)[:, None])
-    return Model(
-        h, c, h[frequent][rank], rank.astype(np.int64), int(total["n"]), int(total["v"]), float(max(rest, SMOOTH)),
-        np.maximum(class_bias, -1e4).astype(np.float32), np.maximum(member_bias, -1e4).astype(np.float32),
-        np.zeros((3, 1 << BITS, CLASSES + 1), np.float32), np.zeros((2, 1 << BITS, MEMBERS), np.float32),
-    )
+    others = max(0, total["v"] - len(h))
+    groups = 1 << max(0, math.ceil(math.log2(max(1, others) / GROUP)))
+    group = F.col("h").bitwiseAND(F.lit(groups - 1))
+    found = vocabulary.where(F.col("c") < least).groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    group_mass = np.full(groups, SMOOTH)
+    group_mass[found["g"].to_numpy(np.int64)] += found["n"].to_numpy(float) + SMOOTH * found["v"].to_numpy(float)
+    mass = np.concatenate([c + SMOOTH, group_mass])
+    order = np.argsort(-mass, kind="stable")
+    leaf = np.empty(len(mass), np.int64)
+    leaf[order] = np.arange(len(mass))
+    bits = max(BITS, round(math.log2(BUCKETS * math.sqrt(max(1, total["n"])))))
+    return Model(h, c, int(total["n"]), int(total["v"]), group_mass, leaf, *grow_tree(mass[order]), np.zeros((3, 1 << bits, FAN), np.float32))
 
 
 def contexts(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,23 +174,25 @@ def contexts(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return one, two
 
 
-def _buckets(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(64 - BITS)
-    return [((one * _ODD[0]) >> shift).astype(np.int64), ((one * _ODD[1] + two * _ODD[2]) >> shift).astype(np.int64), ((two * _ODD[3]) >> shift).astype(np.int64)]
+def _groups(model: Model, h: np.ndarray) -> np.ndarray:
+    """The group of each token, if it is not in the head."""
+    return (h & np.uint64(len(model.group_mass) - 1)).astype(np.int64)
 
 
-def _member_buckets(one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
-    shift, salt = np.uint64(64 - BITS), (cls.astype(np.uint64) + np.uint64(1)) * _ODD[4]
-    return [((one * _ODD[0] + salt) * _ODD[2] >> shift).astype(np.int64), ((two * _ODD[3] + salt) * _ODD[1] >> shift).astype(np.int64)]
-
-
-def _modelled(model: Model, h: np.ndarray) -> np.ndarray:
-    """Place of each token, or -1."""
-    if not len(model.known):
-        return np.full(len(h), -1, np.int64)
-    at = np.searchsorted(model.known, h)
-    at[at == len(model.known)] = 0
-    return np.where(model.known[at] == h, model.place[at], -1)
+def _steps(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(token, node, child, buckets of the features) of all steps on the tokens' paths."""
+    at = _headed(model, h)
+    leaf = model.leaf[np.where(at >= 0, at, len(model.head) + _groups(model, h))]
+    first = model.path_first[leaf]
+    many = model.path_first[leaf + 1] - first
+    owner = np.repeat(np.arange(len(h)), many)
+    step = np.arange(len(owner)) + np.repeat(first - np.cumsum(many) + many, many)
+    node = model.path_node[step]
+    shift = np.uint64(64 - (model.weights.shape[1].bit_length() - 1))
+    salt = (node.astype(np.uint64) + np.uint64(1)) * _ODD[4]
+    keys = one * _ODD[0], one * _ODD[1] + two * _ODD[2], two * _ODD[3]
+    buckets = [((k.take(owner) + salt) * odd >> shift).astype(np.int64) for k, odd in zip(keys, (_ODD[2], _ODD[3], _ODD[1]), strict=True)]
+    return owner, node, model.path_child[step], buckets
 
 
 def _summed(bias: np.ndarray, weights: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
@@ -170,6 +213,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _descend(weights: np.ndarray, seen: np.ndarray, bucket: np.ndarray, g: np.ndarray) -> None:
     """A step for the rows of ``weights`` named by ``bucket``: shorter the more tokens a bucket has seen."""
     order = np.argsort(bucket.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+    if len(seen) > 1 << 16:
+        order = order.take(np.argsort((bucket >> 16).astype(np.uint16).take(order), kind="stable"))
     sorted_ = bucket[order]
     last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True))
     rows = sorted_[last]
@@ -187,41 +232,32 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.cw, self.mw = model.class_weights.copy(), model.member_weights.copy()
-        self.cn, self.mn = np.zeros(self.cw.shape[:2], np.float32), np.zeros(self.mw.shape[:2], np.float32)
+        self.weights = model.weights.copy()
+        self.seen = np.zeros(self.weights.shape[:2], np.float32)
 
     def learn(self, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        m = self.model
-        place = _modelled(m, h)
-        cls = np.where(place < 0, CLASSES, place // MEMBERS)
-        buckets = _buckets(one, two)
-        z = _summed(m.class_bias, self.cw, buckets)
-        g = _softmax(z)
-        g[np.arange(len(h)), cls] -= 1
+        _, node, child, buckets = _steps(self.model, h, one, two)
+        if not len(node):
+            return
+        g = _softmax(_summed(self.model.bias.take(node, axis=0), self.weights, buckets))
+        g[np.arange(len(node)), child] -= 1
         for k, b in enumerate(buckets):
-            _descend(self.cw[k], self.cn[k], b, g)
-        at = np.flatnonzero(place >= 0)
-        if len(at):
-            cls, member = cls[at], place[at] % MEMBERS
-            buckets = _member_buckets(one[at], two[at], cls)
-            g = _softmax(_summed(m.member_bias.take(cls, axis=0), self.mw, buckets))
-            g[np.arange(len(at)), member] -= 1
-            for k, b in enumerate(buckets):
-                _descend(self.mw[k], self.mn[k], b, g)
+            _descend(self.weights[k], self.seen[k], b, g)
 
     def changes(self):
-        """(table, block, bytes): changes times tokens, and tokens, for blocks of buckets that were met."""
-        for table, now, before, seen in (("c", self.cw, self.model.class_weights, self.cn), ("m", self.mw, self.model.member_weights, self.mn)):
-            width = now.shape[2]
-            flat, n = (now - before).reshape(-1, width), seen.reshape(-1)
-            for k in range(0, len(n), _BLOCK):
-                part = n[k : k + _BLOCK]
-                if part.any():
-                    yield table, k // _BLOCK, np.concatenate([flat[k : k + _BLOCK] * part[:, None], part[:, None]], 1).astype(np.float32).tobytes()
+        """(block, bytes, bytes): changes, in half precision, and tokens, for blocks of buckets that were met."""
+        now, before, n = self.weights.reshape(-1, FAN), self.model.weights.reshape(-1, FAN), self.seen.reshape(-1)
+        for k in range(0, len(n), _BLOCK):
+            if n[k : k + _BLOCK].any():
+                yield k // _BLOCK, (now[k : k + _BLOCK] - before[k : k + _BLOCK]).astype(np.float16).tobytes(), n[k : k + _BLOCK].tobytes()
 
 
 def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Rounds of distributed gradient updates over ``docs`` (text)."""
+    """Rounds of distributed gradient updates over ``docs`` (text).
+
+    Tasks are fewer than the splits of a large table, so that what they send stays in proportion to the input.
+    """
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(math.sqrt(model.total) / TASK))
     for k in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -236,48 +272,36 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                         trainer.learn(h[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH])
                         some = True
             if some:
-                for table, block, raw in trainer.changes():
-                    yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=["kind", "block", "raw"])
+                for block, raw, seen in trainer.changes():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([raw], pa.binary()), pa.array([seen], pa.binary())], names=["block", "raw", "seen"])
 
         def add(pdf):
-            width = (CLASSES + 1 if pdf["kind"].iloc[0] == "c" else MEMBERS) + 1
-            total = np.zeros((_BLOCK, width))
-            for raw in pdf["raw"]:
-                total += np.frombuffer(raw, np.float32).reshape(_BLOCK, width)
-            mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-            return pdf.iloc[:1][["kind", "block"]].assign(raw=[mean.astype(np.float32).tobytes()])
+            total, tokens_ = np.zeros((_BLOCK, FAN)), np.zeros((_BLOCK, 1))
+            for raw, seen in zip(pdf["raw"], pdf["seen"], strict=True):
+                n = np.frombuffer(seen, np.float32)[:, None]
+                total += np.frombuffer(raw, np.float16).reshape(_BLOCK, FAN) * n.astype(float)
+                tokens_ += n
+            return pdf.iloc[:1][["block"]].assign(raw=[(total / np.maximum(tokens_, 1)).astype(np.float32).tobytes()])
 
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rounds)) == k)
-        found = part.select(F.col("text").cast("string")).mapInArrow(run, "kind string, block int, raw binary").groupBy("kind", "block").applyInPandas(add, "kind string, block int, raw binary").collect()
-        tables = {"c": model.class_weights.reshape(-1, CLASSES + 1).copy(), "m": model.member_weights.reshape(-1, MEMBERS).copy()}
+        found = part.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(run, "block int, raw binary, seen binary").groupBy("block").applyInPandas(add, "block int, raw binary").collect()
+        table = model.weights.reshape(-1, FAN).copy()
         for r in found:
-            table = tables[r["kind"]]
-            table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["raw"], np.float32).reshape(_BLOCK, -1)
-        model = Model(**{**model.__dict__, "class_weights": tables["c"].reshape(model.class_weights.shape), "member_weights": tables["m"].reshape(model.member_weights.shape)})
+            table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["raw"], np.float32).reshape(_BLOCK, FAN)
+        model = Model(**{**model.__dict__, "weights": table.reshape(model.weights.shape)})
     return model
 
 
 def log_probabilities(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Natural logarithms of class and member probabilities; for tokens outside the classes that of the class alone."""
+    """Natural logarithms of the probabilities of paths: of tokens in the head, and of the groups of others."""
     out = np.empty(len(h))
     for a in range(0, len(h), BATCH):
         x, p, q = h[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
-        place = _modelled(model, x)
-        cls = np.where(place < 0, CLASSES, place // MEMBERS)
-        b = _buckets(p, q)
-        z = _summed(model.class_bias, model.class_weights, b)
-        top = z.max(1)
-        chosen = z[np.arange(len(x)), cls]
-        z -= top[:, None]
-        value = (chosen - top - np.log(np.exp(z, out=z).sum(1))).astype(float)
-        at = np.flatnonzero(place >= 0)
-        if len(at):
-            c = cls[at]
-            b = _member_buckets(p[at], q[at], c)
-            z = _summed(model.member_bias.take(c, axis=0), model.member_weights, b)
-            top = z.max(1)
-            value[at] += z[np.arange(len(at)), place[at] % MEMBERS] - top - np.log(np.exp(z - top[:, None]).sum(1))
-        out[a : a + BATCH] = value
+        owner, node, child, buckets = _steps(model, x, p, q)
+        z = _summed(model.bias.take(node, axis=0), model.weights, buckets)
+        z -= z.max(1, keepdims=True)
+        chosen = z[np.arange(len(node)), child]
+        out[a : a + BATCH] = np.bincount(owner, chosen - np.log(np.exp(z, out=z).sum(1)), minlength=len(x))
     return out
 
 
@@ -302,8 +326,7 @@ def _facts(shared):
                 at = _headed(model, h)
                 base = np.where(at >= 0, smooth[at] if len(smooth) else 0.0, 0.0)
                 value = log_probabilities(model, h, *contexts(h, bounds)) / np.log(10)
-                outside = _modelled(model, h) < 0
-                value[outside] += base[outside] - np.log10(model.rest)
+                value += np.where(at >= 0, 0.0, -np.log10(model.group_mass)[_groups(model, h)])
                 first = bounds[:-1]
                 sums = [np.add.reduceat(x, first) for x in ((at >= 0).astype(np.int64), base, value)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], pa.array(np.diff(bounds)), *[pa.array(s) for s in sums]], names=["id", "part", "held_out", "n_tokens", "n_head", "base", "value"])
@@ -337,7 +360,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     training = keyed.where(~F.col("held_out")).select("text")
     vocabulary = spill(training.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     model = new_model(vocabulary)
-    shared = spark.sparkContext.broadcast(Model(**{**model.__dict__, "class_weights": model.class_weights[:, :1], "member_weights": model.member_weights[:, :1]}))
+    shared = spark.sparkContext.broadcast(Model(**{**model.__dict__, "weights": model.weights[:, :1]}))
     tail = keyed.select("id", "part", "text").mapInArrow(_tail(shared), "id long, part int, h long")
     count = F.coalesce("c", F.lit(0))
     rare = spill(tail.join(vocabulary, "h", "left").groupBy("id", "part").agg(F.sum(F.log10(count + SMOOTH)).alias("rare"), F.sum((count > 0).cast("long")).alias("known"), F.count("*").alias("n")))

@@ -45,6 +45,25 @@ def test_model_learns_context_and_sums_to_one(spark):
     assert np.exp(lm.log_probabilities(model, h, one, two)).sum() == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("head", [1 << 17, 500])
+def test_context_counts_for_words_beyond_the_most_frequent(spark, monkeypatch, head):
+    """3,000 words of equal frequency, each of which decides the next; beyond the head, at least the next one's group."""
+    real = lm.new_model
+    monkeypatch.setattr(lm, "new_model", lambda v: real(v, head))
+    docs = [(k, " ".join(f"w{(k * 37 + j) % 3000}" for j in range(100))) for k in range(3000)]
+    found = lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), F.col("doc_id") % 10 == 0).where("held_out").collect()
+    assert sum(r.score for r in found) > (0.3 if head > 3000 else 0.8) * sum(r.base_score for r in found)
+
+
+def test_tree_holds_every_leaf_once():
+    for mass in (np.ones(1), np.ones(17), np.arange(1000, 0, -1.0) ** 3, np.append(1e9, np.ones(5000))):
+        first, node, child, bias = lm.grow_tree(mass)
+        paths = [tuple(zip(node[a:b].tolist(), child[a:b].tolist(), strict=True)) for a, b in zip(first[:-1], first[1:], strict=True)]
+        assert len(set(paths)) == len(mass)
+        share = [math.exp(sum(float(bias[n, c]) for n, c in p)) for p in paths]
+        assert share == pytest.approx(list(mass / mass.sum()), rel=1e-4)
+
+
 def test_nothing_to_learn_from_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm.score_texts(df, F.lit(True)).first()
