@@ -7,8 +7,10 @@ where the bracket turns negative the step undoes the over-fitting instead.  The
 first model ranks held-back positives and unlabelled rows, and the least ratio of their upper tails bounds the share of
 positives among the unlabelled.
 
-The fit uses at most ``MOST_FIT`` positives and as many unlabelled rows, drawn by a hash of id and text from all of
-them; standardisation and scoring cover every text.
+The fit starts on at most ``MOST_FIT`` positives and as many unlabelled rows, drawn by a hash of id and text from all of
+them.  Beyond that many unlabelled rows, every task goes on from there over all of its own, and the results are averaged by
+rows.  Standardisation and the upper tails for the prior rest on every unlabelled text (in the query all documents, the
+trusted ones among them; for the tails less those that the first model was fitted on); scoring covers every text.
 
 Edge cases: null and empty texts give the vector of an empty text and are scored like any other; texts are used whole;
 a table without trusted positives gives the prior 0.5 to every row; other columns pass through.
@@ -20,15 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit
-from lectern.llm.runtime import extend
+from lectern.llm.runtime import arrow_batches, extend
 
-#: Rows of each kind used for the fit, at most.
+#: Trusted positives used, and unlabelled rows that the fit starts on, at most.
 MOST_FIT = 12_000
 EPOCHS, BATCH, RATE, DECAY = 40, 1024, 0.02, 2e-4
+#: Step size of the pass over all unlabelled rows.
+FINE = 0.002
 CLASSES = 12
 ENDINGS = 64
 FEATURES = CLASSES + CLASSES * CLASSES + ENDINGS + 12
@@ -117,74 +121,165 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+class _Descent:
+    """Adam on the non-negative risk, one batch of both kinds at a time."""
+
+    def __init__(self, w: np.ndarray, b: float, prior: float, rate: float = RATE):
+        self.w, self.b, self.prior, self.rate = w, b, prior, rate
+        self.m, self.v, self.t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+
+    def step(self, p: np.ndarray, u: np.ndarray) -> None:
+        w, b, prior = self.w, self.b, self.prior
+        zp, zu = p @ w + b, u @ w + b
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+        gn = su / len(u), -prior * sp / len(p)  # gradient of the bracket with regard to the margins
+        gp = prior * (sp - 1) / len(p)
+        if negative >= 0:
+            du, dp = gn[0], gn[1] + gp
+        else:
+            du, dp = -gn[0], -gn[1]
+        g = np.append(u.T @ du + p.T @ dp + DECAY * w, du.sum() + dp.sum())
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
+        step = self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        self.w, self.b = w - step[:-1], b - step[-1]
+
+
 def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the least non-negative risk, by Adam on batches that hold both kinds."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+    descent = _Descent(np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior))), prior)
     steps = max(1, -(-max(len(positive), len(unlabelled)) // BATCH))
     for _ in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for k in range(steps):
             p, u = positive[p_order[k::steps]], unlabelled[u_order[k::steps]]
-            if not len(p) or not len(u):
-                continue
-            zp, zu = p @ w + b, u @ w + b
-            sp, su = _sigmoid(zp), _sigmoid(zu)
-            negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            gn = su / len(u), -prior * sp / len(p)  # gradient of the bracket with regard to the margins
-            gp = prior * (sp - 1) / len(p)
-            if negative >= 0:
-                du, dp = gn[0], gn[1] + gp
-            else:
-                du, dp = -gn[0], -gn[1]
-            g = np.append(u.T @ du + p.T @ dp + DECAY * w, du.sum() + dp.sum())
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+            if len(p) and len(u):
+                descent.step(p, u)
+    return descent.w, float(descent.b)
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores of both: the least ratio of upper tails, with a margin."""
-    cuts = np.quantile(positive, np.linspace(0.02, 0.98, 49))
-    p = 1 - np.searchsorted(np.sort(positive), cuts) / max(1, len(positive))
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / max(1, len(unlabelled))
-    slack = np.sqrt(1 / max(1, len(positive))) + np.sqrt(1 / max(1, len(unlabelled)))
+    return _prior(positive, np.searchsorted(np.sort(unlabelled), _cuts(positive)), len(unlabelled))
+
+
+def _cuts(positive: np.ndarray) -> np.ndarray:
+    return np.quantile(positive, np.linspace(0.02, 0.98, 49))
+
+
+def _prior(positive: np.ndarray, below: np.ndarray, n: int) -> float:
+    """From the number of the ``n`` unlabelled scores that lie below each cut."""
+    p = 1 - np.searchsorted(np.sort(positive), _cuts(positive)) / max(1, len(positive))
+    u = 1 - below / max(1, n)
+    slack = np.sqrt(1 / max(1, len(positive))) + np.sqrt(1 / max(1, n))
     best = np.argmin((u + slack) / np.maximum(p, 1e-9))
     return float(np.clip(u[best] / max(p[best], 1e-9), 0.02, 0.98))
 
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """Feature vectors of at most ``most`` rows, the lowest by a hash of id and text."""
-    n = rows.count()
-    key = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
-    drawn = rows.where(key < int(min(1.0, 1.2 * most / max(1, n)) * (1 << 30))).withColumn("key", key)
+def _key() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
+
+
+def _sample(rows: DataFrame, most: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature vectors and keys of at most ``most`` of the ``n`` rows, the lowest by a hash of id and text."""
+    drawn = rows.where(_key() < int(min(1.0, 1.2 * most / max(1, n)) * (1 << 30))).withColumn("key", _key())
 
     def kernel():
         return lambda column: [pa.array([x.tobytes() for x in features(column)], pa.binary())]
 
     found = extend(drawn, kernel, "vector binary", ["key"]).orderBy("key").limit(most).toPandas()
-    return np.array([np.frombuffer(x, np.float32) for x in found["vector"]]).reshape(len(found), FEATURES).astype(float)
+    return np.array([np.frombuffer(x, np.float32) for x in found["vector"]]).reshape(len(found), FEATURES).astype(float), found["key"].to_numpy(np.int64)
+
+
+def _totals(rows: DataFrame, size: int, start) -> np.ndarray:
+    """Sum over the tasks of the ``size`` numbers of ``start() -> (add(features), result())``."""
+    arrow_batches(rows.sparkSession)
+
+    def run(batches):
+        add, result = start()
+        for batch in batches:
+            for i, j in textkit.slices(textkit.buffers(batch.column(0))[1]):
+                add(features(batch.column(0).slice(i, j - i)).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(result(), float).tobytes()], pa.binary())], names=["raw"])
+
+    total = np.zeros(size)
+    for r in rows.select(F.col("text").cast("string")).mapInArrow(run, "raw binary").collect():
+        total += np.frombuffer(r["raw"])
+    return total
+
+
+def _moments():
+    total = np.zeros(2 * FEATURES + 1)
+
+    def add(x):
+        total[:] += np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]])
+
+    return add, lambda: total
+
+
+def _below(model: Model, cuts: np.ndarray):
+    """Number of margins below each cut, and of all."""
+    total = np.zeros(len(cuts) + 1)
+
+    def add(x):
+        total[:] += np.append(np.searchsorted(np.sort(model.margin(x)), cuts), len(x))
+
+    return add, lambda: total
+
+
+def _refined(model: Model, positive: np.ndarray):
+    """Weights and bias after steps over all rows of the task, times rows, and rows."""
+    rng, descent = np.random.default_rng(7), _Descent(model.weights, model.bias, model.prior, FINE)
+    held: list[np.ndarray] = []
+    n = 0
+
+    def step():
+        descent.step(positive[rng.integers(0, len(positive), BATCH)], np.clip((np.concatenate(held) - model.mean) / model.scale, -6, 6))
+        held.clear()
+
+    def add(x):
+        nonlocal n
+        n += len(x)
+        held.append(x)
+        if sum(map(len, held)) >= BATCH:
+            step()
+
+    def result():
+        if held:
+            step()
+        return np.concatenate([n * descent.w, [n * descent.b, n]])
+
+    return add, result
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, most: int = MOST_FIT) -> Model:
     """Both tables need doc_id and text; labels are not looked at."""
-    p, u = _sample(positives, most), _sample(unlabelled, most)
+    n = unlabelled.count()
+    (p, _), (u, key) = _sample(positives, most, positives.count()), _sample(unlabelled, most, n)
     if not len(p) or not len(u):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
-    both = np.concatenate([p, u])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
+    sums = _totals(unlabelled, 2 * FEATURES + 1, _moments)
+    mean = sums[:FEATURES] / sums[-1]
+    scale = np.sqrt(np.maximum(sums[FEATURES:-1] / sums[-1] - mean * mean, 0)) + 1e-3
     p, u = np.clip((p - mean) / scale, -6, 6), np.clip((u - mean) / scale, -6, 6)
     half_p, half_u = len(p) // 2, len(u) // 2
     if half_p and half_u:
-        w, b = minimise(p[:half_p], u[:half_u], 0.5, epochs=12)
-        prior = estimate_prior(p[half_p:] @ w + b, u[half_u:] @ w + b)
+        first = Model(mean, scale, *minimise(p[:half_p], u[:half_u], 0.5, epochs=12), 0.5)
+        margins = p[half_p:] @ first.weights + first.bias
+        cuts = _cuts(margins)
+        # all unlabelled rows but those that the first model was fitted on
+        counts = _totals(unlabelled.where(_key() > int(key[half_u - 1])), len(cuts) + 1, lambda: _below(first, cuts))
+        prior = _prior(margins, counts[:-1], int(counts[-1])) if counts[-1] else 0.5
     else:
         prior = 0.5
     w, b = minimise(p, u, prior)
-    return Model(mean, scale, w, b, prior)
+    model = Model(mean, scale, w, b, prior)
+    if n > len(u):
+        sums = _totals(unlabelled, FEATURES + 2, lambda: _refined(model, p))
+        model = Model(mean, scale, sums[:FEATURES] / sums[-1], float(sums[-2] / sums[-1]), prior)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

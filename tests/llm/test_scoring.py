@@ -2,6 +2,8 @@
 
 import collections
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import langid, quality, toxicity
@@ -88,6 +90,20 @@ def test_quality_separates_junk_and_estimates_the_prior(spark):
     assert right >= 0.97 * (len(good) + len(junk)) and all(0 <= s <= 1 for s in by.values()) and len(by) == 423
 
 
+def test_quality_fit_sees_all_unlabelled_texts(spark):
+    """Beyond the rows that the fit starts on, means, deviations, prior and weights still come from all of them."""
+    good = [(k, ". ".join(prose(10 * k + j, 12) for j in range(6)) + ".") for k in range(300)]
+    junk = [(1000 + k, " | ".join(prose(k, 60).split())) for k in range(100)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string").repartition(3)
+    whole, part = quality.fit(docs.where("doc_id < 150"), docs), quality.fit(docs.where("doc_id < 150"), docs, 40)
+    x = quality.features(pa.array([t for _, t in good + junk])).astype(float)
+    for model in (whole, part):
+        assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.scale, x.std(0) + 1e-3, atol=1e-4)
+    assert 0.5 < part.prior < 0.9
+    by = {r.doc_id: r.score for r in quality.score(docs, part).collect()}
+    assert sum(by[i] >= 0.3 for i, _ in good) + sum(by[i] < 0.3 for i, _ in junk) >= 0.97 * len(by)
+
+
 def test_quality_without_positives(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = quality.fit(docs.limit(0), docs)
