@@ -1,26 +1,30 @@
 """Near-duplicate documents by a grouped prefix join on word shingles.
 
 A document is the set of its distinct shingles of ``width`` words; two documents link when
-``100 * |A & B| >= percent * |A | B|``.  Shingles are ordered by (frequent, hash): a hashed count over all documents
-marks frequent ones, which come last.  Any order is right, this one keeps common passages out of the prefixes.  Linked
-sets share a shingle within their first ``n - ceil(percent n / 100) + 1`` ones.
+``100 * |A & B| >= percent * |A | B|``.  Shingles are ordered by (frequent, hash): frequent ones, counted over all
+documents, come last.  Any order is right, this one keeps common passages out of the prefixes.  Linked sets share a
+shingle within their first ``n - ceil(percent n / 100) + 1`` ones.
 
 1. Equal sets are one set; sets with equal prefix and size form a group with its least id as leader.
 2. The leaders' prefixes meet in lists by shingle, read in sorted order as a stream.  Short lists give all pairs that
-   pass the size and position filters; a long list ties each entry to a pivot of like size and to its neighbour.
-   Pairs must also share as many prefix shingles as their sizes demand.
+   pass the size and position filters; a long list ties each entry to the pivot of like size that stands for most
+   documents, and to its neighbour.  Pairs must also share as many prefix shingles as their sizes demand.
 3. Each set is verified against its leader and those candidates, pivots and neighbours with which it shares most; links
    are contracted to components.
-4. Lists whose entries lie in more than one component try the entry that most copies and links speak for with all others.
-5. What can still join two components is verified: remaining pairs, and pairs of entries of long lists and members of
-   groups that lie in different components.  Pairs within one component are never made.
-
+4. Pairs of groups that lie wholly in one component are dropped, list by list; only lists that hold more than one
+   component are expanded to the members of their groups.  Such lists are cut into tiles of bounded size, and within a
+   tile a pair of different components passes on if the size and position filters hold and the parity bitmaps of the
+   two whole sets differ in no more bits than linked sets may differ in shingles.
+5. What passes is verified and contracted.  At first each set brings its best partners only; as long as one has more,
+   the step is repeated with the components so far, at last with all pairs.
+
+Pairs within one component are never made, and pairs of components only if whole-set bitmaps cannot tell them apart.
 Verification compares whole sets, remade from the texts of candidates only.  Equal hashes of 64 bits (48 between the two
 sets of a pair) stand for equal shingles, two of 64 bits for equal sets.
 
 Edge cases: null and wordless texts have no shingles and link with nothing; a text with fewer words than ``width`` is
-one shingle; texts are used whole; rows that share an id are one node; null ids link with nothing; an empty table gives
-an empty result; other columns pass through.
+one shingle; texts are used whole; rows that share an id are one node, which links as each of its texts does; null ids
+link with nothing; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -38,12 +42,22 @@ from lectern.llm.runtime import arrow_batches, cut, extend, shuffle_width, spill
 SHORT_LIST = 16
 #: Of each kind of candidates, how many a set tries first; the others follow if they can still join components.
 OFFERS = 2
-HUB_ROUNDS = 2
+#: Rounds of step 5 in which sets bring so many best partners of a tile only; the round after them brings all.
+LIMITED_ROUNDS, PARTNERS = 3, 16
+#: Entries of a list with several components that meet in one place: the square of it bounds the pairs looked at there.
+TILE = 1024
 #: Documents that one stream holds, about; shingles that they have together; and documents compared with them.
 MOST_HEADS, MOST_HELD, MOST_PARTNERS = 1024, 1_000_000, 2048
 #: Roles, some numbers a row, are broadcast up to this many rows; beyond it the sets are shuffled to them.
 MOST_BROADCAST_ROLES = 150_000
-_CELLS = 4096
+#: A shingle is frequent from this count on, or from the least power of two that at most an eighth of the cells reach.
+LEAST_FREQUENT = 16
+#: Tasks report shingles that they have met this often; only the lowest quarter of all hashes, from which most prefixes come.
+LEAST_LOCAL = 4
+FREQUENT_BITS = 22
+_LOW = np.uint64(1 << 62)
+#: Bits of the parity bitmap of a set.
+PARITY = 1024
 
 
 def document_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -58,65 +72,83 @@ def _set_keys(x: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(textkit.mix(x)).astype(np.int64)), int(np.add.reduce(textkit.mix(x ^ np.uint64(0xA5A5A5A55A5A5A5A))).astype(np.int64))
 
 
-def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def cell_bitmap(cells: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each ``cell`` below 2**bits that occurs: at most 2**(bits - 6) numbers reach the driver."""
+    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    return out
 
 
-def _shingle_cells(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Cells of 2**bits for shingles: half of them for the lowest quarter of all hashes, from which most prefixes come."""
-    low = hashes < np.uint64(1 << 62)
-    at = (hashes >> np.uint64(65 - bits)).astype(np.int64)
-    fine = ((hashes << np.uint64(2)) >> np.uint64(65 - bits)).astype(np.int64)
-    return np.where(low, fine, (1 << (bits - 1)) + at)
+def _flagged(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bitmap[cells >> 6] >> (cells & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def hashed_counts(rows: DataFrame, to_cells, bits: int, finish: str) -> np.ndarray:
-    """Adds up counts of 2**bits cells over all tasks and keeps one bit a cell: counted ("any") or frequent.
+def _local_counts(width: int):
+    """(token, c): shingles that the task meets often."""
 
-    Tasks send their counts in blocks; each block is added up and judged where it lands, so the driver gets bits only.
-    A cell is frequent if its count is at least 16 and four times the mean of its block.
-    """
-    blocks = (1 << bits) // _CELLS
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def folded():
+            token, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return token, np.bincount(at, np.concatenate([x[1] for x in held]), minlength=len(token)).astype(np.int64)
+
+        def often(part):
+            some = part[1] >= LEAST_LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(part[0][some].view(np.int64)), pa.array(part[1][some])], names=["token", "c"])
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for cells in to_cells(batch):
-                np.add.at(total, cells, np.uint32(1))
-        for k in range(blocks):
-            part = total[k * _CELLS : (k + 1) * _CELLS]
-            if part.any():
-                small = part.max() < 256
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small]), pa.array([(part.astype(np.uint8) if small else part).tobytes()], pa.binary())], names=["block", "small", "part"])
-
-    def judge(pdf):
-        total = np.zeros(_CELLS, np.int64)
-        for small, part in zip(pdf["small"], pdf["part"], strict=True):
-            total += np.frombuffer(part, np.uint8 if small else np.uint32)
-        flags = total > 0 if finish == "any" else total >= max(16.0, 4 * total.mean())
-        return pdf.iloc[:1][["block"]].assign(bits=[np.packbits(flags).tobytes()])
-
-    found = rows.mapInArrow(count, "block int, small boolean, part binary").groupBy("block").applyInPandas(judge, "block int, bits binary").collect()
-    out = np.zeros((blocks, _CELLS // 8), np.uint8)
-    for r in found:
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+            for i, j in textkit.slices(textkit.buffers(batch.column(0))[1]):
+                data, offsets = textkit.buffers(batch.column(0).slice(i, j - i))
+                starts, ends, bounds = textkit.words(data, offsets)
+                hashes, _ = textkit.shingles(textkit.word_hashes(data, starts, ends), bounds, width)
+                held.append(np.unique(hashes[hashes < _LOW], return_counts=True))
+                size += len(held[-1][0])
+                if size > 2_000_000:
+                    held[:] = [folded()]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield often(held.pop())
+                        size = 0
+        if held:
+            yield often(folded())
 
+    return run
 
-def _flagged(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 != 0
+
+def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """The bitmap of frequent shingles of ``texts`` (text), by the upper bits of those in the lowest quarter."""
+    counts = texts.mapInArrow(_local_counts(width), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
+    cells = counts.select(F.shiftright("token", 62 - FREQUENT_BITS).alias("cell"), F.floor(F.log2("c")).cast("int").alias("power"))
+    words = cells.groupBy(F.shiftright("cell", 6).alias("word"), "power").agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("set")).toArrow()
+    word, power, part = (words.column(c).to_numpy() for c in ("word", "power", "set"))
+    out = np.zeros(1 << (FREQUENT_BITS - 6), np.uint64)
+    for p in np.unique(power)[::-1]:
+        more = out.copy()
+        more[word[power == p]] |= part[power == p].view(np.uint64)
+        if out.any() and np.bitwise_count(more).sum() > (1 << FREQUENT_BITS) // 8:
+            break
+        out = more
+    return out
 
 
-def sketch_bits(n: int) -> int:
-    """Thirty-two cells a document or more, at least 2**16 and at most 2**26."""
-    return int(min(26, max(16, int(32 * max(1, n)).bit_length())))
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of PARITY bits for each set: whether a cell of its shingles holds an odd number of them.
+
+    Two sets differ in at least as many shingles as their rows do in bits.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    cell = (np.concatenate(sets) >> np.uint64(7)).astype(np.int64) & (PARITY - 1) if sets else np.zeros(0, np.int64)
+    return np.packbits((np.bincount(owner * PARITY + cell, minlength=len(sets) * PARITY) & 1).astype(np.uint8).reshape(len(sets), PARITY), axis=1)
 
 
 def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _prefix_kernel(width: int, percent: int, bits: int, shared):
+def _prefix_kernel(width: int, percent: int, shared):
     def kernel():
         bitmap = shared.value
 
@@ -130,14 +162,17 @@ def _prefix_kernel(width: int, percent: int, bits: int, shared):
                     keys.append((0, 0))
                     groups.append((0, 0))
                     continue
-                common = _flagged(bitmap, _shingle_cells(x, bits))
+                low = int(np.searchsorted(x, _LOW))
+                common = np.zeros(len(x), bool)
+                common[:low] = _flagged(bitmap, (x[:low] >> np.uint64(62 - FREQUENT_BITS)).astype(np.int64))
                 p = int(prefix_length(len(x), percent))
                 rare = x[~common][:p]
                 head = rare if len(rare) == p else np.concatenate([rare, x[common][: p - len(rare)]])
                 prefix.append(head.tobytes())
                 keys.append(_set_keys(x))
                 groups.append(_set_keys(head))
-            return [pa.array(n), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([g[0] for g in groups], pa.int64()), pa.array([g[1] for g in groups], pa.int64()), pa.array(prefix, pa.binary())]
+            numbers = [[k[0] for k in keys], [k[1] for k in keys], [g[0] for g in groups], [g[1] for g in groups]]
+            return [pa.array(n), *[pa.array(x, pa.int64()) for x in numbers], pa.array(prefix, pa.binary()), pa.array([x.tobytes() for x in _parities(sets)], pa.binary())]
 
         return run
 
@@ -145,15 +180,18 @@ def _prefix_kernel(width: int, percent: int, bits: int, shared):
 
 
 def _spread(batches):
-    """(gid, n, many, prefix) -> a row for each shingle of the prefix."""
+    """(gid, n, many, light, prefix) -> a row for each shingle of the prefix."""
     for batch in batches:
-        gid, n, many = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        data, offsets = textkit.buffers(batch.column(3))
+        gid, n, many, light = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        data, offsets = textkit.buffers(batch.column(4))
         size = np.diff(offsets) // 8
         owner = np.repeat(np.arange(len(size)), size)
         pos = np.arange(len(owner)) - np.repeat(offsets[:-1] // 8, size)
         token = np.frombuffer(data.tobytes(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(gid[owner]), pa.array(n[owner].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(many[owner])], names=["token", "gid", "n", "pos", "many"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(token), pa.array(gid[owner]), pa.array(n[owner].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(many[owner]), pa.array(light[owner])],
+            names=["token", "gid", "n", "pos", "many", "light"],
+        )
 
 
 def overlap_needed(nx, ny, percent: int):
@@ -170,7 +208,8 @@ def _meet(percent: int):
     """Sorted entries (token, gid, n, pos, many) -> pairs (kind 0), pivot pairs (kind 1), entries of long lists (kind 2) and of
     short lists with groups of several sets (kind 3), neighbours in long lists (kind 4).
 
-    A list may span batches; of a long one only its pivot and last entry are held.
+    A list comes heaviest first and may span batches; of a long one only its pivots, which are as few as its sizes are
+    unlike, and its last entry are held.
     """
     names = ["kind", "token", "a", "na", "pos", "b", "nb"]
 
@@ -180,38 +219,38 @@ def _meet(percent: int):
             [pa.array(np.full(k, kind, np.int32)), pa.array(token), pa.array(a), pa.array(na.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(b), pa.array(nb.astype(np.int32))], names=names
         )
 
+    def pairs(kind, token, a, na, pos, b, nb):
+        swap = a > b
+        return rows(kind, token, np.where(swap, b, a), np.where(swap, nb, na), pos, np.where(swap, a, b), np.where(swap, na, nb))
+
+    def alike(x, y):
+        return 100 * np.minimum(x, y).astype(np.int64) >= percent * np.maximum(x, y).astype(np.int64)
+
     def run(batches):
         held = None  # entries of the list that the last batch ended in
-        long_token, pivot, last = None, None, (0, 0)
+        long_token, pivots, last = None, [], (0, 0)
 
         def tie(part, first):
             """Pivot and neighbour pairs of entries of a long list; ``first`` if the list begins here."""
-            nonlocal pivot, last
+            nonlocal last
             _, gid, n, pos, _m = part
-            a, na, b, nb = [], [], [], []
-            i = 0
             if first:
-                pivot, i = (gid[0], n[0]), 1
-            while i < len(gid):
-                j = int(np.searchsorted(n, 100 * pivot[1] // percent, side="right"))
-                if j <= i:
-                    pivot = (gid[i], n[i])
-                    i += 1
-                    continue
-                a.append(np.full(j - i, pivot[0]))
-                na.append(np.full(j - i, pivot[1]))
-                b.append(gid[i:j])
-                nb.append(n[i:j])
-                i = j
+                pivots.clear()
             out = [rows(2, *[part[k] for k in (0, 1, 2, 3)], np.zeros(len(gid), np.int64), np.zeros(len(gid), np.int32))]
-            if a:
-                a, na, b, nb = (np.concatenate(x) for x in (a, na, b, nb))
-                good = (a != b) & (100 * np.minimum(na, nb).astype(np.int64) >= percent * np.maximum(na, nb).astype(np.int64))
-                out.append(rows(1, np.zeros(good.sum(), np.int64), a[good], na[good], np.zeros(good.sum()), b[good], nb[good]))
-            left, small = np.append(last[0], gid[:-1])[first:], np.append(last[1], n[:-1])[first:]
-            good = (left != gid[first:]) & (100 * small.astype(np.int64) >= percent * n[first:].astype(np.int64))
+            loose, k = np.arange(len(gid)), 0
+            while len(loose):
+                if k == len(pivots):
+                    pivots.append((gid[loose[0]], n[loose[0]]))
+                good = alike(n[loose], pivots[k][1])
+                at = loose[good & (gid[loose] != pivots[k][0])]
+                if len(at):
+                    z = len(at)
+                    out.append(pairs(1, np.zeros(z, np.int64), np.full(z, pivots[k][0]), np.full(z, pivots[k][1]), np.zeros(z), gid[at], n[at]))
+                loose, k = loose[~good], k + 1
+            left, size = np.append(last[0], gid[:-1])[first:], np.append(last[1], n[:-1])[first:]
+            good = (left != gid[first:]) & alike(size, n[first:])
             if good.any():
-                out.append(rows(4, np.zeros(good.sum(), np.int64), left[good], small[good], np.zeros(good.sum()), gid[first:][good], n[first:][good]))
+                out.append(pairs(4, np.zeros(good.sum(), np.int64), left[good], size[good], np.zeros(good.sum()), gid[first:][good], n[first:][good]))
             last = gid[-1], n[-1]
             return out
 
@@ -238,7 +277,7 @@ def _meet(percent: int):
                 i = np.flatnonzero(same)
                 i = i[_passes(n[i], pos[i], n[i + d], pos[i + d], percent) & (gid[i] != gid[i + d])]
                 if len(i):
-                    yield rows(0, token[i], gid[i], n[i], pos[i], gid[i + d], n[i + d])
+                    yield pairs(0, token[i], gid[i], n[i], pos[i], gid[i + d], n[i + d])
 
         for batch in batches:
             part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
@@ -268,6 +307,67 @@ def _meet(percent: int):
     return run
 
 
+def _tiles(percent: int, offers: int | None, seed: int):
+    """Sorted (token, i, j, block, listed, leads, rep, n, pos, root, bits) -> (a, b, more): pairs of different components that pass.
+
+    With ``offers``, pairs are left out that are not among so many best ones of either side; a row with ``more`` tells so.
+    """
+
+    def meet(i, j, block, listed, leads, rep, n, pos, root, bits):
+        left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        found = []
+        for k in range(0, len(left), 64):
+            l, r = left[k : k + 64, None], right[None, :]
+            # leaders in short lists are counted already
+            some = (root[l] != root[r]) & (rep[l] != rep[r]) & (listed[l] | ~(leads[l] & leads[r])) & _passes(n[l], pos[l], n[r], pos[r], percent)
+            if i == j:
+                some &= l < r
+            x, y = np.nonzero(some)
+            x, y = left[k + x], right[y]
+            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            good = far <= n[x] + n[y] - 2 * overlap_needed(n[x], n[y], percent)
+            found.append((x[good], y[good], far[good]))
+        x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
+        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        if offers is not None and len(a):
+            if seed:
+                far = (textkit.mix(a.astype(np.uint64) * np.uint64(31) + b.astype(np.uint64) + np.uint64(seed << 40)) >> np.uint64(2)).astype(np.int64)
+            keep = np.zeros(len(a), bool)
+            for side in (x, y):
+                order = np.lexsort((far, side))
+                first = np.flatnonzero(np.append(True, np.diff(side[order]) != 0))
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                keep[order[place < offers]] = True
+            return a[keep], b[keep], not keep.all()
+        return a, b, False
+
+    def run(batches):
+        key, held = None, []
+
+        def flush():
+            a, b, more = meet(*key[1:], *(np.concatenate([h[k] for h in held]) for k in range(8)))
+            if more:
+                a, b = np.append(a, 0), np.append(b, 0)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((np.arange(len(a)) == len(a) - 1) & more)], names=["a", "b", "more"])
+
+        for batch in batches:
+            token, i, j, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(10))
+            rest = [x.astype(bool) if k in (1, 2) else x.astype(np.int64) for k, x in enumerate(rest)]
+            bits = textkit.buffers(batch.column(10))[0].view(np.uint64).reshape(-1, PARITY // 64)
+            edge = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(token) else []
+            for s, e in zip(edge, [*edge[1:], len(token)], strict=True):
+                mine = (token[s], i[s], j[s])
+                if held and mine != key:
+                    yield flush()
+                    held = []
+                key = mine
+                held.append([x[s:e] for x in rest] + [bits[s:e]])
+        if held:
+            yield flush()
+
+    return run
+
+
 def _packed(x: np.ndarray) -> bytes:
     """The upper 48 bits of sorted hashes."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
@@ -294,10 +394,10 @@ def _compared(percent: int):
                     key, heads = (near[i], sa[i], sb[i]), {}
                 x = _unpacked(data[at[i] : at[i + 1]])
                 if role[i] == 0:
-                    heads[ids[i]] = x
+                    heads.setdefault(ids[i], []).append(x)
                     continue
                 for other in partners[i]:
-                    if (y := heads.get(other)) is not None:
+                    for y in heads.get(other, ()):
                         both = np.concatenate([x, y])
                         both.sort()
                         same = int((both[1:] == both[:-1]).sum())
@@ -329,37 +429,42 @@ def _roles(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return cut(met.unionByName(every))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, good) for the distinct ``pairs``: whether their whole sets link; ``sizes`` has (id, n).
 
-    Sets are made for the documents in pairs only.
+    Sets are made for the documents in pairs only: told by a broadcast of their ids, or by one bit for the hash of an id if
+    there are many.
     """
     spark = pairs.sparkSession
     roles = _roles(pairs, sizes)
-
-    def id_cells(batch):
-        yield _cells(textkit.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)), bits)
-
-    shared = spark.sparkContext.broadcast(hashed_counts(roles.select("id"), id_cells, bits, "any"))
+    n = roles.count()
+    few = n <= MOST_BROADCAST_ROLES
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    shared = None
+    if few:
+        texts = texts.join(F.broadcast(roles.select("id").distinct()), "id", "left_semi")
+    else:
+        size = min(26, max(16, (32 * n).bit_length()))
+        cell = F.shiftrightunsigned(F.xxhash64("id"), 64 - size)
+        texts = texts.withColumn("cell", cell)
+        shared = spark.sparkContext.broadcast(cell_bitmap(roles.select(cell.alias("cell")), size))
 
     def sets(batches):
-        bitmap = shared.value
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            at = np.flatnonzero(_flagged(bitmap, _cells(textkit.mix(doc), bits)))
-            if not len(at):
-                continue
-            part = batch.take(pa.array(at))
-            for i, j in textkit.slices(textkit.buffers(part.column(1))[1]):
-                made = [_packed(x) for x in document_sets(part.column(1).slice(i, j - i), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=["id", "set"])
+            if shared is not None:
+                batch = batch.take(pa.array(np.flatnonzero(_flagged(shared.value, batch.column(2).to_numpy()))))
+            for i, j in textkit.slices(textkit.buffers(batch.column(1))[1]):
+                made = [_packed(x) for x in document_sets(batch.column(1).slice(i, j - i), width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=["id", "set"])
 
-    made = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "id long, set binary")
+    made = texts.mapInArrow(sets, "id long, set binary")
     order = ["near", "sa", "sb", "role", "id"]
-    few = roles.count() <= MOST_BROADCAST_ROLES
     placed = made.join(F.broadcast(roles) if few else roles.hint("shuffle_hash"), "id").select(*order, "partners", "set")
     streams = placed.repartition(shuffle_width(spark), *order[:3]).sortWithinPartitions(*order)
-    return cut(streams.mapInArrow(_compared(percent), "a long, b long, good boolean"))
+    found = cut(streams.mapInArrow(_compared(percent), "a long, b long, good boolean"))
+    if shared is not None:
+        shared.unpersist()
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -367,108 +472,85 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = without(docs, ["n_shingles", "component_id"])
-    bits = sketch_bits(docs.count())
-
-    def shingle_cells(batch):
-        for i, j in textkit.slices(textkit.buffers(batch.column(0))[1]):
-            sets = document_sets(batch.column(0).slice(i, j - i), width)
-            yield _shingle_cells(np.concatenate(sets), bits)
-
-    shared = spark.sparkContext.broadcast(hashed_counts(docs.select(F.col("text").cast("string")), shingle_cells, bits, "frequent"))
-    marked = spill(extend(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _prefix_kernel(width, percent, bits, shared), "n long, sa long, sb long, ga long, gb long, prefix binary", ["doc_id"]))
+    shared = spark.sparkContext.broadcast(frequent_shingles(docs.select(F.col("text").cast("string").alias("text")), width))
+    fields = "n long, sa long, sb long, ga long, gb long, prefix binary, bits binary"
+    marked = spill(extend(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _prefix_kernel(width, percent, shared), fields, ["doc_id"]))
+    shared.unpersist()
     usable = marked.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
 
-    reps = cut(usable.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("ga").alias("ga"), F.first("gb").alias("gb")))
-    groups = cut(reps.groupBy("n", "ga", "gb").agg(F.min("rep").alias("gid"), F.count("*").alias("members")))
-    leaders = usable.join(groups.select(F.col("gid").alias("doc_id"), F.col("members")), "doc_id").dropDuplicates(["doc_id"])
-    entries = leaders.select(F.col("doc_id").alias("gid"), "n", (F.col("members") > 1).cast("int").alias("many"), "prefix").mapInArrow(_spread, "token long, gid long, n int, pos int, many int")
-    lists = entries.repartition(shuffle_width(spark), "token").sortWithinPartitions("token", "n", "gid")
+    same = ["n", "ga", "gb"]
+    reps = cut(usable.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in same]))
+    groups = cut(reps.groupBy(*same).agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.sum("copies").alias("copies")))
+    leaders = usable.join(groups.withColumnRenamed("gid", "doc_id"), ["doc_id", *same]).dropDuplicates(["doc_id", *same])
+    light = -F.least("copies", F.lit(1 << 30)).cast("int")
+    entries = leaders.select(F.col("doc_id").alias("gid"), "n", (F.col("members") > 1).cast("int").alias("many"), light.alias("light"), "prefix").mapInArrow(_spread, "token long, gid long, n int, pos int, many int, light int")
+    lists = entries.repartition(shuffle_width(spark), "token").sortWithinPartitions("token", "light", "n", "gid").drop("light")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     met = spill(lists.mapInArrow(_meet(percent), "kind int, token long, a long, na int, pos int, b long, nb int"))
     arrow_batches(spark)
 
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     left_over = met.where("kind in (2, 3)").select("kind", "token", F.col("a").alias("gid"), F.col("na").alias("n"), "pos")
     unseen = left_over.where("kind = 2").groupBy("gid").agg(F.count("*").alias("more"))
-    counted = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    counted = cut(counted.select(*pair, F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "common").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")))
+    counted = met.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
     # the prefixes are longer than sets of these sizes need, so linked sets share more than one shingle of them
     alpha = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     least = F.least(*[alpha - F.ceil(F.lit(percent) * F.col(c) / 100) + 1 for c in ("na", "nb")])
     more = F.least(*[F.coalesce(F.col(c), F.lit(0)) for c in ("more_a", "more_b")])
-    likely = (
+    likely = cut(
         counted.join(unseen.select(F.col("gid").alias("a"), F.col("more").alias("more_a")), "a", "left")
         .join(unseen.select(F.col("gid").alias("b"), F.col("more").alias("more_b")), "b", "left")
-        .where(F.col("common") + more >= least)
+        .where((F.col("common") + more >= least) & (F.col("a") != F.col("b")))
         .select("a", "b", "common")
     )
-    pivots = met.where("kind in (1, 4)").select("kind", *pair).groupBy("kind", "a", "b").agg(F.count("*").alias("common"))
-    members = reps.join(groups.where("members > 1"), ["n", "ga", "gb"]).where(F.col("rep") != F.col("gid")).select(F.col("gid"), "rep", "n")
+    pivots = met.where("kind in (1, 4)").groupBy("kind", "a", "b").agg(F.count("*").alias("common"))
+    members = cut(reps.join(groups.where("members > 1").select("gid", *same), same).where(F.col("rep") != F.col("gid")).select("gid", "rep", "n"))
     led = members.select(F.col("gid").alias("a"), F.col("rep").alias("b"), (F.col("n") + 1).cast("long").alias("common"))
     offers = likely.withColumn("kind", F.lit(0)).unionByName(pivots).unionByName(led.withColumn("kind", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("b", "kind").orderBy(F.col("common").desc(), "a"))
-    first = cut(offers.withColumn("place", place).where(F.col("place") <= OFFERS).select("a", "b").distinct())
-    sizes = reps.select(F.col("rep").alias("id"), "n")
-    checked = verify(first, docs, sizes, width, percent, bits)
-    links = checked.where("good").select("a", "b")
-    roots = components(links)
+    tries = cut(offers.withColumn("place", place).where(F.col("place") <= OFFERS).select("a", "b").distinct())
+    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
+    bits = marked.select(F.col("doc_id").alias("rep"), "n", "bits")
 
-    # what may still join two components
     def rooted(rows: DataFrame, column: str, root: str) -> DataFrame:
         table = roots.select(F.col("node").alias(column), F.col("root").alias(root))
         return rows.join(table, column, "left").withColumn(root, F.coalesce(root, column))
 
-    everyone = left_over.select("kind", "token", "gid", F.col("gid").alias("rep"), "n", "pos").unionByName(left_over.join(members.select("gid", "rep"), "gid").select("kind", "token", "gid", "rep", "n", "pos"))
-    like = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    for _ in range(HUB_ROUNDS):
-        # the entry of each list that most copies and links speak for is tried with all that are not yet joined to it
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-        weight = reps.select("rep", "copies").join(degree, "rep", "left").select("rep", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("weight"))
-        inside = rooted(everyone, "rep", "root")
-        hubs = inside.join(weight, "rep").groupBy("token").agg(F.max(F.struct("weight", "rep", "n", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        tries = inside.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & like(F.col("n"), F.col("hub.n")))
-        tries = tries.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        tries = cut(tries)
-        if tries.isEmpty():
-            break
-        checked = checked.unionByName(verify(tries, docs, sizes, width, percent, bits))
-        links = checked.where("good").select("a", "b")
-        roots = components(links)
-
     def apart(rows: DataFrame) -> DataFrame:
-        return rooted(rooted(rows, "a", "ra"), "b", "rb").where(F.col("ra") != F.col("rb")).drop("ra", "rb")
-
-    inside = rooted(everyone, "rep", "root")
-    mixed = inside.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    # shingles of each prefix that another prefix has: no pair shares more
-    shorts = met.where("kind = 0").select(F.explode(F.array("a", "b")).alias("gid"), "token").distinct().groupBy("gid").agg(F.count("*").alias("shorts"))
-    shared = everyone.groupBy("rep").agg(F.count("*").alias("entries"), F.first("gid").alias("gid")).join(shorts, "gid", "left").select("rep", (F.col("entries") + F.coalesce("shorts", F.lit(0))).alias("shared"))
-    open_ = inside.join(mixed, "token").join(shared, "rep")
-    open_ = cut(open_.select("token", "kind", (F.col("gid") == F.col("rep")).alias("leads"), F.col("rep"), "n", "pos", "root", "shared"))
-    other = open_.select("token", *[F.col(c).alias(c + "_b") for c in ("leads", "rep", "n", "pos", "root", "shared")])
-    most = F.least("pos", "pos_b") + 1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1
-    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_b")) / F.lit(100 + percent))
-    enough = F.least("shared", "shared_b") >= F.least(*[needed - F.ceil(F.lit(percent) * F.col(c) / 100) + 1 for c in ("n", "n_b")])
-    fits = like(F.col("n"), F.col("n_b")) & (most >= needed) & enough
-    fresh = (F.col("kind") == 2) | ~(F.col("leads") & F.col("leads_b"))  # leaders in short lists are counted already
-    crossing = (
-        open_.join(other, "token")
-        .where((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b")) & fits & fresh)
-        .groupBy(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.col("n").alias("na"), F.col("n_b").alias("nb"))
-        .agg(F.count("*").alias("common"))
-    )
-    second = apart(counted).select("a", "b", "na", "nb", "common").unionByName(crossing).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(F.col("common") >= least)
-    # members of one group share their whole prefix, and pivots may not: what is known but not yet linked comes along
-    second = second.select("a", "b").unionByName(apart(members.select(F.col("gid").alias("a"), F.col("rep").alias("b")))).distinct()
-    second = cut(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = links.unionByName(verify(second, docs, sizes, width, percent, bits).where("good").select("a", "b"))
-        roots = components(links)
+        return rooted(rooted(rows, "a", "ra"), "b", "rb").where(F.col("ra") != F.col("rb")).select("a", "b")
+
+    def passing(limit: int | None, seed: int) -> DataFrame:
+        """(a, b, more): pairs of sets of different components that meet in lists of groups."""
+        spans = rooted(members, "rep", "root").groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        wide = rooted(left_over, "gid", "root").join(spans, "gid", "left")
+        mixed = wide.groupBy("token").agg(F.min(F.least("root", "lo")).alias("lo"), F.max(F.greatest("root", "hi")).alias("hi")).where("lo <> hi").select("token")
+        inside = cut(wide.join(mixed, "token").select("token", (F.col("kind") == 2).alias("listed"), "gid", "n", "pos", "root"))
+        led_ = rooted(inside.select("token", "listed", "gid", "n", "pos").join(members.select("gid", "rep"), "gid"), "rep", "root")
+        columns = ["token", "listed", "leads", "rep", "n", "pos", "root"]
+        every = inside.withColumn("rep", F.col("gid")).withColumn("leads", F.lit(True)).select(*columns).unionByName(led_.withColumn("leads", F.lit(False)).select(*columns))
+        parts = every.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+        needed = bits.join(every.select("rep", "n").distinct(), ["rep", "n"], "left_semi").dropDuplicates(["rep", "n", "bits"])
+        block = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+        tiled = every.join(needed, ["rep", "n"]).join(parts, "token").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tiled = tiled.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "listed", "leads", "rep", F.col("n").cast("long"), F.col("pos").cast("long"), "root", "bits")
+        return cut(tiled.repartition(shuffle_width(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tiles(percent, limit, seed), "a long, b long, more boolean"))
+
+    checked = verify(tries, docs, sizes, width, percent)
+    roots = components(checked.where("good").select("a", "b"))
+    for k in range(LIMITED_ROUNDS + 1):
+        passed = passing(PARTNERS if k < LIMITED_ROUNDS else None, k)
+        # members of one group share their whole prefix, and pivots may not: what is known but not yet linked comes along
+        known = [likely.select("a", "b"), led.select("a", "b")]
+        open_ = passed.where(~F.col("more")).select("a", "b").distinct().unionByName(apart(known[0])).unionByName(apart(known[1])).distinct()
+        tries = cut(open_.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        if not tries.isEmpty():
+            checked = checked.unionByName(verify(tries, docs, sizes, width, percent))
+            roots = components(checked.where("good").select("a", "b"))
+        if passed.where("more").isEmpty():
+            break
 
     named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("sa", "sb", F.coalesce("root", "rep").alias("_near_root"))
     facts = marked.select("doc_id", "n", "sa", "sb").join(named, ["sa", "sb"], "left")
-    facts = facts.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("_near_root")).otherwise(F.col("doc_id")).alias("component_id"))
-    return facts
+    return facts.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("_near_root")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def add_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

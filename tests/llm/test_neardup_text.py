@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lectern.llm import components as module
 from lectern.llm import neardup_text as nt
 from lectern.llm.components import components
 from tests.llm.helpers import near_components, prose, roots
@@ -49,6 +52,44 @@ def test_residual_way_joins_what_pivots_miss(spark, monkeypatch):
     assert len({r.component_id for r in found}) < 10
 
 
+@pytest.mark.parametrize(("tile", "partners"), [(4, 1), (1024, 1)])
+def test_tiles_rounds_and_shuffled_verification(spark, monkeypatch, tile, partners):
+    """Long lists cut into small tiles, one partner a round, ids told by bits, and every way to the same components."""
+    for name, value in (("SHORT_LIST", 1), ("TILE", tile), ("PARTNERS", partners), ("MOST_BROADCAST_ROLES", 0), ("OFFERS", 1)):
+        monkeypatch.setattr(nt, name, value)
+    docs = _corpus()[:100]
+    found = nt.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_components(docs, 5, 80)
+
+
+def test_texts_that_share_an_id_link_each(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    docs = [(1, a), (1, b), (2, _edit(a, 1, 1)), (3, _edit(b, 2, 1)), (4, prose(3, 60))]
+    found = nt.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_parity_rows_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 50, 3000)]
+    sets += [np.unique(np.concatenate([x[: len(x) // 2], r.integers(0, 1 << 63, 20, dtype=np.uint64)])) for x in sets]
+    bits = nt._parities(sets).view(np.uint64)
+    for x, p in zip(sets, bits, strict=True):
+        for y, q in zip(sets, bits, strict=True):
+            assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
+
+
+def test_frequent_shingles_of_all_tasks(spark):
+    common = [(prose(7, 40),)] * 40
+    rows = spark.createDataFrame(common + [(prose(100 + k, 40),) for k in range(40)], "text string").repartition(2)
+    column = pa.array([common[0][0]])
+    bitmap = nt.frequent_shingles(rows, 4)
+    low = nt.document_sets(column, 4)[0]
+    low = low[low < nt._LOW]
+    assert len(low) and nt._flagged(bitmap, (low >> np.uint64(62 - nt.FREQUENT_BITS)).astype(np.int64)).all()
+    assert 0 < np.bitwise_count(bitmap).sum() <= len(low)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     text = prose(1, 50)
     rows = [(1, text, "x", 5), (1, text, "y", 6), (None, text, "z", 7), (2, text, "w", 8)]
@@ -71,3 +112,12 @@ def test_components_of_chains_stars_and_cycles(spark):
     expected = {k: v for k, v in roots({x for p in real for x in p}, real).items() if k != v}
     assert got == expected
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(module, "LINKS_A_TASK", 30)
+    r = random.Random(9)
+    pairs = [(k, k + 1) for k in range(90)] + [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(150)]
+    r.shuffle(pairs)
+    got = {x.node: x.root for x in components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
+    assert got == {k: v for k, v in roots({x for p in pairs for x in p}, pairs).items() if k != v}
