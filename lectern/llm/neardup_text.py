@@ -43,7 +43,7 @@ SHORT_LIST = 16
 #: Of each kind of candidates, how many a set tries first; the others follow if they can still join components.
 OFFERS = 2
 #: Rounds of step 5 in which sets bring so many best partners of a tile only; the round after them brings all.
-LIMITED_ROUNDS, PARTNERS = 3, 16
+LIMITED_ROUNDS, PARTNERS = 1, 64
 #: Entries of a list with several components that meet in one place: the square of it bounds the pairs looked at there.
 TILE = 1024
 #: Documents that one stream holds, about; shingles that they have together; and documents compared with them.
@@ -52,24 +52,47 @@ MOST_HEADS, MOST_HELD, MOST_PARTNERS = 1024, 1_000_000, 2048
 MOST_BROADCAST_ROLES = 150_000
 #: A shingle is frequent from this count on, or from the least power of two that at most an eighth of the cells reach.
 LEAST_FREQUENT = 16
-#: Tasks report shingles that they have met this often; only the lowest quarter of all hashes, from which most prefixes come.
-LEAST_LOCAL = 4
 FREQUENT_BITS = 22
+#: Only shingles below this hash are counted: the lowest quarter, from which most prefixes come.
 _LOW = np.uint64(1 << 62)
 #: Bits of the parity bitmap of a set.
 PARITY = 1024
 
 
-def document_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def joined_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one after the other, and each text's first index."""
     data, offsets = textkit.buffers(column)
     starts, ends, bounds = textkit.words(data, offsets)
     hashes, edge = textkit.shingles(textkit.word_hashes(data, starts, ends), bounds, width)
-    return [np.unique(hashes[edge[i] : edge[i + 1]]) if edge[i + 1] > edge[i] else hashes[:0] for i in range(len(column))]
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        hashes[i:j].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[edge[:-1][np.diff(edge) > 0]] = True
+    return hashes[new], np.concatenate([[0], np.cumsum(new)])[edge]
+
+
+def document_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, edge = joined_sets(column, width)
+    return [hashes[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of the runs between edges, modulo 2**64."""
+    total = np.zeros(len(x) + 1, x.dtype)
+    np.cumsum(x, out=total[1:])
+    return total[edge[1:]] - total[edge[:-1]]
 
 
-def _set_keys(x: np.ndarray) -> tuple[int, int]:
-    return int(np.add.reduce(textkit.mix(x)).astype(np.int64)), int(np.add.reduce(textkit.mix(x ^ np.uint64(0xA5A5A5A55A5A5A5A))).astype(np.int64))
+def _set_keys(x: np.ndarray, edge: np.ndarray) -> list[pa.Array]:
+    """Two numbers of 64 bits for each set between edges."""
+    return [pa.array(_sums(textkit.mix(y), edge).view(np.int64)) for y in (x, x ^ np.uint64(0xA5A5A5A55A5A5A5A))]
+
+
+def _binaries(data: np.ndarray, edge: np.ndarray, size: int) -> pa.Array:
+    """Rows of ``size`` bytes, in runs between edges, as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def cell_bitmap(cells: DataFrame, bits: int) -> np.ndarray:
@@ -84,20 +107,24 @@ def _flagged(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 6] >> (cells & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def _local_counts(width: int):
-    """(token, c): shingles that the task meets often."""
+def _local_counts(width: int, buckets: int):
+    """(bucket, tokens, counts): distinct shingles of a task in the lowest quarter of hashes, 48 bits and a count of 16 bits
+    each, in blocks by their upper bits."""
+    shift = 62 - buckets.bit_length() + 1
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def folded():
-            token, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return token, np.bincount(at, np.concatenate([x[1] for x in held]), minlength=len(token)).astype(np.int64)
-
-        def often(part):
-            some = part[1] >= LEAST_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(part[0][some].view(np.int64)), pa.array(part[1][some])], names=["token", "c"])
+        def blocks():
+            token, count = _folded(held)
+            count = np.minimum(count, 65535).astype("<u2")
+            edge = np.searchsorted(token, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(shift))
+            low = ((token & np.uint64((1 << shift) - 1)) << np.uint64(64 - shift)).astype("<u8")
+            some = np.flatnonzero(np.diff(edge))
+            parts = [(_upper(low[edge[k] : edge[k + 1]]).tobytes(), count[edge[k] : edge[k + 1]].tobytes()) for k in some]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x[0] for x in parts], pa.binary()), pa.array([x[1] for x in parts], pa.binary())], names=["bucket", "tokens", "counts"])
 
         for batch in batches:
             for i, j in textkit.slices(textkit.buffers(batch.column(0))[1]):
@@ -106,22 +133,62 @@ def _local_counts(width: int):
                 hashes, _ = textkit.shingles(textkit.word_hashes(data, starts, ends), bounds, width)
                 held.append(np.unique(hashes[hashes < _LOW], return_counts=True))
                 size += len(held[-1][0])
-                if size > 2_000_000:
-                    held[:] = [folded()]
+                if size > 4_000_000:
+                    held[:] = [_folded(held)]
                     size = len(held[0][0])
-                    if size > 1_000_000:
-                        yield often(held.pop())
+                    if size > 2_000_000:
+                        yield blocks()
                         size = 0
         if held:
-            yield often(folded())
+            yield blocks()
+
+    return run
+
+
+def _folded(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    token, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    return token, np.bincount(at, np.concatenate([x[1] for x in held]), minlength=len(token)).astype(np.int64)
+
+
+def _frequent_cells(buckets: int):
+    """Blocks sorted by bucket -> (cell, power): cells of frequent shingles, with the power of two that their counts reach."""
+    bits = buckets.bit_length() - 1
+
+    def run(batches):
+        held, size, key = [], 0, None
+
+        def cells():
+            token, count = _folded(held)
+            some = count >= LEAST_FREQUENT
+            cell = (token[some] >> np.uint64(64 + bits - FREQUENT_BITS)).astype(np.int64) | (key << (FREQUENT_BITS - bits))
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.log2(count[some]).astype(np.int32))], names=["cell", "power"])
+
+        for batch in batches:
+            for k, tokens, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if held and k != key:
+                    yield cells()
+                    held, size = [], 0
+                key = k
+                held.append((_unpacked(np.frombuffer(tokens, np.uint8)), np.frombuffer(counts, "<u2").astype(np.int64)))
+                size += len(held[-1][0])
+                if size > 8_000_000:
+                    held = [_folded(held)]
+                    size = len(held[0][0])
+        if held:
+            yield cells()
 
     return run
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """The bitmap of frequent shingles of ``texts`` (text), by the upper bits of those in the lowest quarter."""
-    counts = texts.mapInArrow(_local_counts(width), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
-    cells = counts.select(F.shiftright("token", 62 - FREQUENT_BITS).alias("cell"), F.floor(F.log2("c")).cast("int").alias("power"))
+    """The bitmap of frequent shingles of ``texts`` (text), by the upper bits of those in the lowest quarter.
+
+    Every distinct shingle of a task crosses the shuffle in eight bytes and is added up where it lands, whatever the split.
+    """
+    tasks = shuffle_width(texts.sparkSession)
+    buckets = 1 << min(FREQUENT_BITS - 1, (4 * tasks - 1).bit_length())
+    blocks = texts.mapInArrow(_local_counts(width, buckets), "bucket int, tokens binary, counts binary")
+    cells = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_cells(buckets), "cell long, power int")
     words = cells.groupBy(F.shiftright("cell", 6).alias("word"), "power").agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("set")).toArrow()
     word, power, part = (words.column(c).to_numpy() for c in ("word", "power", "set"))
     out = np.zeros(1 << (FREQUENT_BITS - 6), np.uint64)
@@ -134,45 +201,48 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _parities(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of PARITY bits for each set: whether a cell of its shingles holds an odd number of them.
+def _parities(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A row of PARITY bits for each set between edges: whether a cell of its shingles holds an odd number of them.
 
     Two sets differ in at least as many shingles as their rows do in bits.
     """
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    cell = (np.concatenate(sets) >> np.uint64(7)).astype(np.int64) & (PARITY - 1) if sets else np.zeros(0, np.int64)
-    return np.packbits((np.bincount(owner * PARITY + cell, minlength=len(sets) * PARITY) & 1).astype(np.uint8).reshape(len(sets), PARITY), axis=1)
+    owner = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    cell = (hashes >> np.uint64(7)).astype(np.int64) & (PARITY - 1)
+    return np.packbits((np.bincount(owner * PARITY + cell, minlength=(len(edge) - 1) * PARITY) & 1).astype(np.uint8).reshape(len(edge) - 1, PARITY), axis=1)
 
 
 def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def prefixes(hashes: np.ndarray, edge: np.ndarray, bitmap: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set, rare ones before frequent ones, and each set's first index."""
+    n = np.diff(edge)
+    p = np.where(n > 0, prefix_length(n, percent), 0)
+    start = np.concatenate([[0], np.cumsum(p)])
+    owner = np.repeat(np.arange(len(n)), n)
+    common = hashes < _LOW
+    common[common] = _flagged(bitmap, (hashes[common] >> np.uint64(62 - FREQUENT_BITS)).astype(np.int64))
+    before = np.concatenate([[0], np.cumsum(common)])
+    place = before[:-1] - before[edge[:-1]][owner]  # among the frequent ones of the set
+    rare = np.arange(len(hashes)) - edge[:-1][owner] - place
+    rares = n - (before[edge[1:]] - before[edge[:-1]])
+    place = np.where(common, rares[owner] + place, rare)
+    chosen = place < p[owner]
+    out = np.empty(start[-1], np.uint64)
+    out[start[:-1][owner[chosen]] + place[chosen]] = hashes[chosen]
+    return out, start
+
+
 def _prefix_kernel(width: int, percent: int, shared):
     def kernel():
         bitmap = shared.value
 
         def run(column):
-            sets = document_sets(column, width)
-            n = np.array([len(x) for x in sets], np.int64)
-            prefix, keys, groups = [], [], []
-            for x in sets:
-                if not len(x):
-                    prefix.append(b"")
-                    keys.append((0, 0))
-                    groups.append((0, 0))
-                    continue
-                low = int(np.searchsorted(x, _LOW))
-                common = np.zeros(len(x), bool)
-                common[:low] = _flagged(bitmap, (x[:low] >> np.uint64(62 - FREQUENT_BITS)).astype(np.int64))
-                p = int(prefix_length(len(x), percent))
-                rare = x[~common][:p]
-                head = rare if len(rare) == p else np.concatenate([rare, x[common][: p - len(rare)]])
-                prefix.append(head.tobytes())
-                keys.append(_set_keys(x))
-                groups.append(_set_keys(head))
-            numbers = [[k[0] for k in keys], [k[1] for k in keys], [g[0] for g in groups], [g[1] for g in groups]]
-            return [pa.array(n), *[pa.array(x, pa.int64()) for x in numbers], pa.array(prefix, pa.binary()), pa.array([x.tobytes() for x in _parities(sets)], pa.binary())]
+            hashes, edge = joined_sets(column, width)
+            head, start = prefixes(hashes, edge, bitmap, percent)
+            rows = np.arange(len(edge))
+            return [pa.array(np.diff(edge)), *_set_keys(hashes, edge), *_set_keys(head, start), _binaries(head, start, 8), _binaries(_parities(hashes, edge), rows, PARITY // 8)]
 
         return run
 
@@ -318,8 +388,10 @@ def _tiles(percent: int, offers: int | None, seed: int):
         found = []
         for k in range(0, len(left), 64):
             l, r = left[k : k + 64, None], right[None, :]
-            # leaders in short lists are counted already
-            some = (root[l] != root[r]) & (rep[l] != rep[r]) & (listed[l] | ~(leads[l] & leads[r])) & _passes(n[l], pos[l], n[r], pos[r], percent)
+            # leaders in short lists are counted already; sets with that many shingles in common share one of their first
+            needed = overlap_needed(n[l], n[r], percent)
+            some = (root[l] != root[r]) & (rep[l] != rep[r]) & (listed[l] | ~(leads[l] & leads[r]))
+            some &= (pos[l] <= n[l] - needed) & (pos[r] <= n[r] - needed) & _passes(n[l], pos[l], n[r], pos[r], percent)
             if i == j:
                 some &= l < r
             x, y = np.nonzero(some)
@@ -368,9 +440,9 @@ def _tiles(percent: int, offers: int | None, seed: int):
     return run
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def _upper(x: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of hashes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
 
 
 def _unpacked(raw: np.ndarray) -> np.ndarray:
@@ -454,8 +526,8 @@ def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, perc
             if shared is not None:
                 batch = batch.take(pa.array(np.flatnonzero(_flagged(shared.value, batch.column(2).to_numpy()))))
             for i, j in textkit.slices(textkit.buffers(batch.column(1))[1]):
-                made = [_packed(x) for x in document_sets(batch.column(1).slice(i, j - i), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=["id", "set"])
+                hashes, edge = joined_sets(batch.column(1).slice(i, j - i), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _binaries(_upper(hashes), edge, 6)], names=["id", "set"])
 
     made = texts.mapInArrow(sets, "id long, set binary")
     order = ["near", "sa", "sb", "role", "id"]

@@ -7,7 +7,7 @@ import pytest
 from lectern.llm import components as module
 from lectern.llm import neardup_text as nt
 from lectern.llm.components import components
-from tests.llm.helpers import near_components, prose, roots
+from tests.llm.helpers import near_components, prose, roots, shingle_set
 
 
 def _edit(text, seed, n):
@@ -73,12 +73,26 @@ def test_parity_rows_differ_in_no_more_bits_than_sets_in_shingles():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 50, 3000)]
     sets += [np.unique(np.concatenate([x[: len(x) // 2], r.integers(0, 1 << 63, 20, dtype=np.uint64)])) for x in sets]
-    bits = nt._parities(sets).view(np.uint64)
+    bits = nt._parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).view(np.uint64)
     for x, p in zip(sets, bits, strict=True):
         for y, q in zip(sets, bits, strict=True):
             assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
 
 
+def test_sets_and_prefixes_against_sorting():
+    texts = pa.array(["a b c d e f g", None, "", "a a a a a a", "x", *[prose(k, 30 * k) for k in range(9)]])
+    r = np.random.default_rng(2)
+    bitmap = r.integers(0, 1 << 63, 1 << (nt.FREQUENT_BITS - 6), dtype=np.uint64)
+    hashes, edge = nt.joined_sets(texts, 3)
+    head, start = nt.prefixes(hashes, edge, bitmap, 80)
+    for k, text in enumerate(texts.to_pylist()):
+        x = hashes[edge[k] : edge[k + 1]].tolist()
+        assert len(x) == len(shingle_set(text, 3)) and x == sorted(set(x))
+        flag = {y: y < int(nt._LOW) and bool(nt._flagged(bitmap, np.array([y >> 62 - nt.FREQUENT_BITS]))[0]) for y in x}
+        assert head[start[k] : start[k + 1]].tolist() == sorted(x, key=lambda y: (flag[y], y))[: nt.prefix_length(len(x), 80) if x else 0]
+        assert nt._set_keys(hashes, edge)[0][k].as_py() == int(np.add.reduce(nt.textkit.mix(np.array(x, np.uint64))).view(np.int64))
+
+
 def test_frequent_shingles_of_all_tasks(spark):
     common = [(prose(7, 40),)] * 40
     rows = spark.createDataFrame(common + [(prose(100 + k, 40),) for k in range(40)], "text string").repartition(2)
