@@ -6,14 +6,16 @@ follows in the same word.  The automaton holds whole words and word beginnings (
 exception phrases; a hit inside an exception phrase does not count.  The sum of weights is divided by the root of the
 length in words and mapped to a probability by a monotone calibration.
 
-The lexicon is learned from labelled documents: words and word beginnings that enough toxic documents share, weighted by
-their log odds against clean ones; a beginning is used only where it covers several words.  A phrase that holds a term
-and is common in clean documents but not in toxic ones becomes an exception.  Counting runs over all labelled documents
-in Spark; the driver sees only terms above the support threshold, whose number that threshold bounds.
-
-Edge cases: null and empty texts have no hits and get the lowest score; texts are used whole; null labels teach
-nothing; several rows of one id count once each; without toxic labels the seed list alone is used; other columns pass
-through.
+The lexicon is learned from labelled documents and nothing else: words and word beginnings that at least ``SUPPORT``
+toxic documents share, weighted by their log odds against clean ones; a beginning is used only where it covers several
+words.  A phrase that holds a term and is common in clean documents but not in toxic ones becomes an exception.  Counting
+and choosing run over all labelled documents in Spark; the driver gets the chosen terms, and a lexicon of more than
+``MOST_TERMS`` is an error, never cut.
+
+Edge cases: null and empty texts have no hits and get the lowest score; texts are used whole, in time that grows with
+their length; null labels and null ids teach nothing; several rows of one id count once each; without toxic labels the
+lexicon is empty and every text has score 0; other columns pass through, and columns that clash with the new ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,29 +34,27 @@ from pyspark.sql import functions as F
 
 from lectern.llm.runtime import arrow_batches, extend, spill
 
-#: Insults that count even where no labelled document has them.
-SEED = ("idiot", "moron", "scum", "worthless", "pathetic", "stupid", "loser", "trash", "clown", "disgusting")
-SEED_WEIGHT = 3.0
-#: Harmless phrases with a seed word.
-EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bag", "trash bin", "pond scum", "soap scum", "idiot proof", "sore loser")
-#: A term is a candidate if this share of toxic documents, and this many, have it.
-SUPPORT_SHARE, SUPPORT_LEAST = 0.004, 4
+#: A term is a candidate if so many toxic documents have it.
+SUPPORT = 4
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_LOG_ODDS = 2.5
-MOST_CANDIDATES = 400_000
+#: Chosen terms and exceptions travel with every task.
+MOST_TERMS = 1_000_000
 EXCEPTION_SUPPORT = 5
 #: Labels, two numbers a row, are broadcast up to this many rows; beyond it the texts are shuffled to them.
 MOST_BROADCAST_LABELS = 500_000
 BINS = 48
 
-_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
+_DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"})
 #: Letters of other scripts that look like the Latin letter. Fixed values.
 _LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ѵ": "v", "г": "r", "п": "n",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "η": "n", "ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l",
 }
-_LEET = re.compile(r"[0134578@$!|](?=[0134578@$!|]*[^\W\d_])")
+_LEET = re.compile(r"[0134578@$!|]++")
+_LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"\S+")
 
 
 @lru_cache(maxsize=1)
@@ -75,7 +74,8 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = text.translate(_table())
-    return _LEET.sub(lambda m: _DIGITS[m[0]], text)
+    # a run is read once, and as letters only if a letter follows it
+    return _LEET.sub(lambda m: m[0].translate(_DIGITS) if _LETTER.match(text, m.end()) else m[0], text)
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,15 @@ class Matcher:
                         spared.append((start, end))
                 elif (kind == "stem" or closed) and w > found.get(start, (0, 0.0))[1]:
                     found[start] = (end, w)
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in spared)]
+        spared.sort()
+        out, k, reach = [], 0, 0  # reach: the farthest end of the exceptions that begin at or before the hit
+        for s, (e, w) in sorted(found.items()):
+            while k < len(spared) and spared[k][0] <= s:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if e > reach:
+                out.append((s, e, w))
+        return out
 
 
 def density(matcher: Matcher, text: str) -> tuple[float, int]:
@@ -170,26 +178,51 @@ def _sums(rows: DataFrame, make) -> DataFrame:
     return rows.mapInArrow(_counted(make, ["key", "toxic", "clean"]), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _choose(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems from document counts of candidate terms."""
+def _choose(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems from document counts (key, toxic, clean) of candidate terms."""
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    rated = counts.withColumns({"odds": odds, "stem": F.col("key").endswith("*"), "plain": F.regexp_replace("key", r"\*$", "")})
+    # of each beginning: the most documents that one of its words or longer beginnings has
+    size = F.length("plain")
+    inner = F.explode(F.array(*[F.when((size > k) | ((size == k) & ~F.col("stem")), F.concat(F.substring("plain", 1, k), F.lit("*"))) for k in PREFIXES]))
+    widest = rated.select(inner.alias("key"), "toxic").where("key is not null").groupBy("key").agg(F.max("toxic").alias("widest"))
+    good = rated.where(F.col("odds") >= LEAST_LOG_ODDS).join(widest, "key", "left")
+    wide = ~F.col("stem") | (F.col("toxic") >= 1.25 * F.coalesce("widest", F.lit(0)))
+    found = _bounded(good.where(wide).select("plain", "stem", "odds"))
+    stems: dict[str, float] = {}
+    for r in sorted((r for r in found if r["stem"]), key=lambda r: (len(r["plain"]), r["plain"])):
+        if not _covered(r["plain"], stems):
+            stems[r["plain"]] = r["odds"]
+    return {r["plain"]: r["odds"] for r in found if not r["stem"] and not _covered(r["plain"], stems)}, stems
+
+
+def _covered(word: str, stems: dict[str, float]) -> bool:
+    return any(word[:k] in stems for k in PREFIXES if k <= len(word))
+
+
+def _bounded(rows: DataFrame) -> list:
+    found = rows.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms: raise MOST_TERMS, SUPPORT or LEAST_LOG_ODDS")
+    return found
 
-    def odds(key: str) -> float:
-        t, c = counts[key]
-        return math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
 
-    good = {k: odds(k) for k in counts if odds(k) >= LEAST_LOG_ODDS}
-    widest: Counter = Counter()  # of each beginning: the most documents that one of its words or longer beginnings has
-    for key in counts:
-        plain = key.rstrip("*")
-        for k in PREFIXES:
-            if len(plain) > k or (len(plain) == k and not key.endswith("*")):
-                widest[plain[:k] + "*"] = max(widest[plain[:k] + "*"], counts[key][0])
-    stems = {}
-    for key in sorted((k for k in good if k.endswith("*")), key=len):
-        if counts[key][0] >= 1.25 * widest[key] and not any(key[:-1].startswith(s) for s in stems):
-            stems[key[:-1]] = good[key]
-    words = {k: w for k, w in good.items() if not k.endswith("*") and not any(k.startswith(s) for s in stems)}
-    return words, stems
+def _phrases(matcher: Matcher, text: str) -> set[str]:
+    """Each hit with the token before it and with the token after it, where a single space parts them."""
+    folded = fold(text)
+    hits = matcher.hits(folded)
+    if not hits:
+        return set()
+    spans = [m.span() for m in TOKEN.finditer(folded)]
+    out, k = set(), 0
+    for s, e, _w in hits:
+        while spans[k][1] <= s:
+            k += 1
+        if spans[k][0] == s and k and folded[spans[k - 1][1] : s] == " ":
+            out.add(f"{folded[slice(*spans[k - 1])]} {folded[s:e]}")
+        if spans[k][1] == e and k + 1 < len(spans) and folded[e : spans[k + 1][0]] == " ":
+            out.add(f"{folded[s:e]} {folded[slice(*spans[k + 1])]}")
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -205,31 +238,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     rows = spill(texts.join(known, "doc_id").select("text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    words = dict.fromkeys(SEED, SEED_WEIGHT)
+    words: dict[str, float] = {}
     stems: dict[str, float] = {}
-    exceptions = set(EXCEPTIONS)
+    exceptions: set[str] = set()
     if n_toxic:
-        support = max(SUPPORT_LEAST, SUPPORT_SHARE * n_toxic)
-        first = _sums(rows.where("toxic = 1"), lambda text, _: _terms(text)).where(F.col("toxic") >= support).orderBy(F.col("toxic").desc(), "key").limit(MOST_CANDIDATES).collect()
-        candidates = frozenset(r["key"] for r in first)
-        clean = {r["key"]: r["clean"] for r in _sums(rows.where("toxic = 0"), lambda text, _: _terms(text) & candidates).collect()}
-        new, stems = _choose({r["key"]: (r["toxic"], clean.get(r["key"], 0)) for r in first}, n_toxic, n_clean)
-        words |= new
+        counts = spill(_sums(rows, lambda text, _: _terms(text)).where(F.col("toxic") >= SUPPORT))
+        words, stems = _choose(counts, n_toxic, n_clean)
         bare = Matcher(Lexicon(words, stems, ()))
-
-        def phrases(text, _):
-            folded = fold(text)
-            out = set()
-            for s, e, _w in bare.hits(folded):
-                left, right = folded[max(0, s - 40) : s].split(), folded[s : e + 40].split()
-                if left and s and folded[s - 1] == " ":
-                    out.add(f"{left[-1]} {folded[s:e]}")
-                if len(right) > 1 and e < len(folded) and folded[e] == " " and e + 40 < len(folded):
-                    out.add(" ".join(right[:2]))
-            return out
-
         kept = F.col("clean") >= F.greatest(F.lit(EXCEPTION_SUPPORT), 10 * F.col("toxic"))
-        exceptions |= {r["key"] for r in _sums(rows, phrases).where(kept).orderBy(F.col("clean").desc(), "key").limit(MOST_CANDIDATES).collect()}
+        exceptions = {r["key"] for r in _bounded(_sums(rows, lambda text, _: _phrases(bare, text)).where(kept))}
     lexicon = Lexicon(words, stems, tuple(sorted(exceptions)))
     edges = _edges()
     positive, total = np.zeros(len(edges)), np.zeros(len(edges))

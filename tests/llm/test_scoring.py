@@ -1,6 +1,8 @@
 """Language, toxicity and quality."""
 
 import collections
+import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +49,62 @@ def test_no_training_data_means_undetermined(spark):
 
 @pytest.mark.parametrize(
     ("text", "hits"),
-    [("you idiot", 1), ("you 1d1ot!", 1), ("уou idiоt", 1), ("ìdïot", 1), ("id​iot", 1), ("$cum", 1), ("idiots", 0), ("idiot$$$", 1), ("the trash can", 0), ("trash", 1), ("trash can trash", 1), ("", 0), ("ｓｃｕｍ", 1), ("scum1", 1)],
+    [("you bilge", 1), ("you b1lge!", 1), ("уou rаscаl", 1), ("bìlgë", 1), ("bil\u200bge", 1), ("ra$cal", 1), ("bilges", 0), ("bilge$$$", 1), ("the bilge pump", 0), ("bilge", 1), ("bilge pump bilge", 1), ("", 0), ("ｂｉｌｇｅ", 1), ("bilge1", 1)],
 )
 def test_folding_boundaries_and_exceptions(text, hits):
-    matcher = toxicity.Matcher(toxicity.Lexicon(dict.fromkeys(toxicity.SEED, 1.0), {}, toxicity.EXCEPTIONS))
+    matcher = toxicity.Matcher(toxicity.Lexicon({"bilge": 1.0, "rascal": 1.0}, {}, ("bilge pump",)))
     assert toxicity.density(matcher, text)[1] == hits
 
 
+def _slow_density(lexicon, text):
+    """The same by looking at every term at every place."""
+    text = "".join(toxicity._table().get(ord(c), c) or "" for c in text.lower())
+    symbols = "0134578@$!|"
+    out = ""
+    for k, c in enumerate(text):
+        rest = text[k:].lstrip(symbols)
+        out += "oieastbasil"[symbols.index(c)] if c in symbols and rest and rest[0].isalpha() else c
+    letter = lambda k: 0 <= k < len(out) and out[k].isalpha()
+    starts = [k for k in range(len(out)) if not letter(k - 1)]
+    spared = [(k, k + len(x)) for x in lexicon.exceptions for k in starts if out.startswith(x, k) and not letter(k + len(x))]
+    total = 0.0
+    for k in starts:
+        best = (0.0, 0, 0)
+        for stem, terms in ((True, lexicon.stems), (False, lexicon.words)):
+            for x, w in terms.items():
+                if out.startswith(x, k) and (stem or not letter(k + len(x))):
+                    best = max(best, (w, k, k + len(x)))
+        if best[0] and not any(a <= best[1] and best[2] <= b for a, b in spared):
+            total += best[0]
+    return total / max(20, len(out.split())) ** 0.5
+
+
+def test_density_against_every_term_at_every_place():
+    lexicon = toxicity.Lexicon({"bilge": 1.0, "rascal": 2.5, "gash": 0.5}, {"grum": 1.5, "bil": 0.25}, ("bilge pump", "old rascal", "rascal bilge pump"))
+    matcher = toxicity.Matcher(lexicon)
+    r = random.Random(3)
+    parts = ["bilge", "b1lge", "pump", "old", "ra$cal", "RASCAL", "grumfe", "billow", "gash", "g4sh", "ga5hes", "11", "$$", "x", "é", "!!bilge", "bilge!!", "rаscаl", "\u200b"]
+    for _ in range(600):
+        text = "".join(r.choice(parts) + r.choice([" ", " ", "\n", "", "-", "  "]) for _ in range(r.randrange(12)))
+        assert toxicity.density(matcher, text)[0] == pytest.approx(_slow_density(lexicon, text)), text
+
+
+def test_long_runs_take_time_in_proportion():
+    began = time.process_time()
+    assert toxicity.fold("1" * 1_000_000) == "1" * 1_000_000
+    assert toxicity.fold("1" * 1_000_000 + "x") == "i" * 1_000_000 + "x"
+    matcher = toxicity.Matcher(toxicity.Lexicon({"bilge": 1.0}, {}, ("bilge pump",)))
+    assert toxicity.density(matcher, "bilge pump " * 50_000 + "bilge")[1] == 1
+    assert toxicity.density(matcher, "x" * 3_000_000)[1] == 0
+    assert toxicity._phrases(matcher, "y" * 1_000_000 + " bilge " + "z" * 1_000_000) == {"y" * 1_000_000 + " bilge", "bilge " + "z" * 1_000_000}
+    assert time.process_time() - began < 10
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rows, labels = [], []
     for k in range(400):
         bad = k % 4 == 0
-        extra = f" grumf{'aeiou'[k % 5]}{k % 7} snarkel idiot" if bad else ""
+        extra = f" grumf{'aeiou'[k % 5]}{k % 7} snarkel" if bad else ""
         rows.append((k, prose(k, 50) + extra))
         labels.append((k, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -71,11 +117,28 @@ def test_toxicity_learns_words_and_stems(spark):
     assert len(found) == 6 and by[1] > 0.5 and max(by[2], by[3], by[4], by[5]) < 0.3
 
 
-def test_toxicity_without_labels_uses_the_seed(spark):
-    empty = spark.createDataFrame([], "doc_id long, toxic int")
-    lexicon = toxicity.fit(spark.createDataFrame([(1, "x")], "doc_id long, text string"), empty)
-    found = toxicity.score(spark.createDataFrame([(1, "you idiot and moron", 3.0), (2, "fine words", 1.0)], "doc_id long, text string, SCORE double"), lexicon).collect()
-    assert {r.doc_id: r.score >= 0.3 for r in found} == {1: True, 2: False}
+def test_toxicity_finds_harmless_phrases(spark):
+    rows = [(k, prose(k, 50) + (" vile bilge" if k % 4 == 0 else " bilge pump" if k % 40 == 1 else "")) for k in range(600)]
+    labels = [(k, int(k % 4 == 0)) for k in range(600)] + [(None, 1), (3, None)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows + [(None, "bilge")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "bilge pump" in lexicon.exceptions and not any("vile" in x for x in lexicon.exceptions)
+    matcher = toxicity.Matcher(lexicon)
+    assert toxicity.density(matcher, "a bilge pump")[1] == 0 and toxicity.density(matcher, "a bilge")[1] == 1
+
+
+def test_a_lexicon_beyond_its_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 1)
+    docs = spark.createDataFrame([(k, "bilge rascal" if k < 5 else "fine words") for k in range(50)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="MOST_TERMS"):
+        toxicity.fit(docs, spark.createDataFrame([(k, int(k < 5)) for k in range(50)], "doc_id long, toxic int"))
+
+
+def test_toxicity_without_toxic_labels_is_flat(spark):
+    docs = spark.createDataFrame([(1, "some words", 3.0), (2, None, 1.0), (None, "", 2.0)], "doc_id long, text string, SCORE double")
+    for labels in ([], [(1, 0)], [(1, None)]):
+        lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert [r.score for r in toxicity.score(docs, lexicon).collect()] == [0.0] * 3
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0
 
 
 def test_quality_separates_junk_and_estimates_the_prior(spark):
