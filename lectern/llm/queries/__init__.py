@@ -12,8 +12,8 @@ _MODULES = (op01, op02, op03, op04, op05, op06, op07, op08, op09, op10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.query.__name__: m.query for m in _MODULES}
+    return {m.query.__name__: m.query for m in _MODULES} | {k: f for m in _MODULES for k, f in getattr(m, "MORE", {}).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.query.__name__: m.SQL for m in _MODULES if m.SQL is not None}
+    return {m.query.__name__: m.SQL for m in _MODULES if m.SQL is not None} | {k: x for m in _MODULES for k, x in getattr(m, "MORE_SQL", {}).items()}

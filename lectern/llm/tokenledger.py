@@ -8,9 +8,9 @@ snapshot.  Nothing is ever recounted.
 
 Tokenizers are public vocabulary files, read on the driver from a path that is a parameter and sent to the tasks.
 
-Edge cases: null and empty texts have 0 tokens; null sources and languages are groups of their own; a group whose
-totals return to zero is not listed; equal rows are separate changes; empty batches commit and change nothing; extra
-columns are ignored.
+Edge cases: null and empty texts have 0 tokens; null sources and languages are groups of their own; null ids and ids
+that several rows share count like any other; a group whose totals return to zero is not listed; equal rows are separate
+changes; empty batches commit and change nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from lectern.llm.runtime import extend
 
 #: The pattern that cuts texts into pieces before byte-pair merging. A fixed value of these vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GROUP = ["source", "lang", "tokenizer"]
 MEASURES = ["n_docs", "n_tokens", "n_chars"]
 
@@ -38,27 +39,63 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
+#: Stands for a vocabulary that has no file: runs of characters outside white space.
+WORDS = b""
+BLANK = " \t\n\v\f\r"
+
+
+def _encoders(vocabularies: dict[str, bytes]):
+    """For each tokenizer a function from a text to its number of tokens."""
+    import tiktoken
+
+    made = []
+    for name, raw in vocabularies.items():
+        if raw == WORDS:
+            made.append(lambda x: len(_WORD.findall(x)))
+            continue
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
+        encoding = tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        made.append(lambda x, encoding=encoding: len(encoding.encode_ordinary(x)))
+    return made
+
+
 def count_tokens(docs: DataFrame, vocabularies: dict[str, bytes], keep: list[str] | None = None) -> DataFrame:
     """``docs`` (with text) and, for each tokenizer, a long column ``tokens_<name>``."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def kernel():
-        import tiktoken
-
-        made = []
-        for name, raw in shared.value.items():
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-            made.append(tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}))
+        encoders = _encoders(shared.value)
 
         def run(column):
             texts = [x or "" for x in column.to_pylist()]
-            return [pa.array(np.fromiter((len(e.encode_ordinary(x)) for x in texts), np.int64, len(texts))) for e in made]
+            return [pa.array(np.fromiter((e(x) for x in texts), np.int64, len(texts))) for e in encoders]
 
         return run
 
     return extend(docs, kernel, ", ".join(f"tokens_{name} long" for name in vocabularies), keep)
 
 
+def count_both(docs: DataFrame, vocabularies: dict[str, bytes], keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (with text) with n_chars and tokens_<name>, and the same of the trimmed text: clean_chars and clean_<name>."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabularies)
+
+    def kernel():
+        encoders = _encoders(shared.value)
+
+        def run(column):
+            texts = [x or "" for x in column.to_pylist()]
+            trimmed = [x.strip(BLANK) for x in texts]
+            out = []
+            for measure in (len, *encoders):
+                raw = [measure(x) for x in texts]
+                out += [pa.array(raw, pa.int64()), pa.array([n if len(x) == len(y) else measure(y) for n, x, y in zip(raw, texts, trimmed, strict=True)], pa.int64())]
+            return out
+
+        return run
+
+    return extend(docs, kernel, "n_chars long, clean_chars long, " + ", ".join(f"tokens_{name} long, clean_{name} long" for name in vocabularies), keep)
+
+
 def signed(changes: DataFrame) -> DataFrame:
     """Changes (op, source, lang, tokenizer, n_docs, n_tokens, n_chars, old_tokens, old_chars) -> one signed row a group.
 
@@ -118,7 +155,7 @@ class Ledger:
         name = self._safe(batch)
         if name in self._held() or self._fs.exists(self._path(f"batches/{name}")):
             return False
-        return self._publish(signed(changes).coalesce(1), "batches", name)
+        return self._publish(signed(changes), "batches", name)
 
     def _held(self) -> set[str]:
         """Names of the batches that the last snapshot holds."""
@@ -151,51 +188,44 @@ class Ledger:
         number = len(self._names("snapshots"))
         batches = self.spark.createDataFrame([(b,) for b in names], "batch string")
         both = rows.withColumn("batch", F.lit(None).cast("string")).unionByName(batches, allowMissingColumns=True)
-        self._publish(both.coalesce(1), "snapshots", f"{number:08d}")
+        self._publish(both, "snapshots", f"{number:08d}")
         return number
 
 
 def corpus_batches(docs: DataFrame, vocabularies: dict[str, bytes]) -> dict[str, DataFrame]:
     """Three batches from (doc_id, text, source, lang): load all, count trimmed texts anew, retract exact copies.
 
-    A copy is a row whose trimmed text has a lower id elsewhere.  Copies are counted in groups of equal text, source
-    and language before anything is joined, so a text that a third of all rows share is a handful of rows.
+    Texts are read once: a row carries its counts before and after trimming, so nothing is joined on ids, which may be null
+    or shared.  Of equal trimmed texts one row stays, that of the least id, source and language (null ids last, null
+    sources and languages first); a null text equals an empty one.  Copies are counted in groups of equal text, source and
+    language before anything is joined, so a text that a third of all rows share is a handful of rows.
     """
     from lectern.llm.runtime import spill
 
+    names = list(vocabularies)
     text = F.col("text").cast("string")
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    marked = base.withColumns({"clean": trimmed, "h1": F.xxhash64(F.coalesce(trimmed, F.lit(""))), "h2": F.xxhash64(F.lit("second"), F.coalesce(trimmed, F.lit("")))})
-    keep = ["doc_id", "source", "lang", "h1", "h2", "n_chars"]
-    names = list(vocabularies)
-
-    def counted(rows: DataFrame) -> DataFrame:
-        return count_tokens(rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")), vocabularies, keep)
-
-    raw = spill(counted(marked.drop("clean")))
-    changed = marked.where(F.col("clean") != F.col("text"))
-    anew = spill(counted(changed.withColumn("text", F.col("clean")).drop("clean")))
-
-    def long(rows: DataFrame, op: str, docs_column: str | None = None) -> DataFrame:
-        per = F.explode(F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(f"tokens_{n}").alias("n_tokens"), *([F.col(f"old_{n}").alias("old_tokens")] if op == "revise" else [])) for n in names])).alias("t")
-        more = [F.col("old_chars")] if op == "revise" else []
-        return rows.select(F.lit(op).alias("op"), "source", "lang", (F.col(docs_column) if docs_column else F.lit(1)).cast("long").alias("n_docs"), "n_chars", *more, per).select("*", "t.*").drop("t")
-
-    # sums for each text, source and language
-    def sums(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h1", "h2", "source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.sum("n_chars").alias("n_chars"), *[F.sum(f"tokens_{x}").alias(f"tokens_{x}") for x in names])
-
-    clean_rows = raw.join(anew.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(anew)
-    groups = sums(clean_rows)
-    first = groups.groupBy("h1", "h2").agg(F.min("low").alias("first"), F.sum("n").alias("copies")).where("copies > 1")
-    each = [F.col(c) / F.col("n") for c in ("n_chars", *[f"tokens_{x}" for x in names])]
-    surplus = F.col("n") - F.when(F.col("low").eqNullSafe(F.col("first")), 1).otherwise(0)
+    base = base.withColumns({"h1": F.xxhash64(trimmed), "h2": F.xxhash64(F.lit("second"), trimmed)})
+    rows = spill(count_both(base, vocabularies, ["doc_id", "source", "lang", "h1", "h2"]))
+
+    def long(part: DataFrame, op: str, n_docs, now: str, before: str | None = None) -> DataFrame:
+        """A row for each tokenizer; ``now`` and ``before`` name the counts to take."""
+        per = F.explode(F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(f"{now}_{n}").alias("n_tokens"), *([F.col(f"{before}_{n}").alias("old_tokens")] if before else [])) for n in names])).alias("t")
+        chars = {"tokens": "n_chars", "clean": "clean_chars"}
+        more = [F.col(chars[before]).alias("old_chars")] if before else []
+        return part.select(F.lit(op).alias("op"), "source", "lang", n_docs.cast("long").alias("n_docs"), F.col(chars[now]).alias("_chars"), *more, per).select("*", "t.*").drop("t").withColumnRenamed("_chars", "n_chars")
+
+    sums = ["clean_chars", *[f"clean_{x}" for x in names]]
+    groups = rows.groupBy("h1", "h2", "source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), *[F.sum(c).alias(c) for c in sums])
+    place = F.struct(F.col("low").isNull().alias("none"), "low", "source", "lang")
+    first = groups.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.sum("n").alias("copies")).where("copies > 1")
+    surplus = F.col("n") - F.when(place.eqNullSafe(F.col("first")), 1).otherwise(0)
     copies = groups.join(first, ["h1", "h2"]).withColumn("surplus", surplus).where("surplus > 0")
-    copies = copies.select("source", "lang", "surplus", *[F.round(e * F.col("surplus")).cast("long").alias(c) for e, c in zip(each, ("n_chars", *[f"tokens_{x}" for x in names]), strict=True)])
-
-    # the signed difference of raw and anew is additive, so old and new counts need not meet in a join
-    old = raw.join(anew.select("doc_id").distinct(), "doc_id", "left_semi")
-    plus = long(anew.select("*", *[F.lit(0).alias(f"old_{x}") for x in (*names, "chars")]), "revise")
-    zero = old.select("source", "lang", F.lit(0).cast("long").alias("n_chars"), F.col("n_chars").alias("old_chars"), *[F.lit(0).cast("long").alias(f"tokens_{x}") for x in names], *[F.col(f"tokens_{x}").alias(f"old_{x}") for x in names])
-    return {"load": long(raw, "insert"), "revise-trimmed": plus.unionByName(long(zero, "revise"), allowMissingColumns=True), "retract-copies": long(copies, "delete", "surplus")}
+    # rows of a group have equal texts, so each has an equal share of its sums
+    copies = copies.select("source", "lang", "surplus", *[(F.col(c) / F.col("n") * F.col("surplus")).alias(c) for c in sums]).select("source", "lang", "surplus", *[F.round(c).cast("long").alias(c) for c in sums])
+    return {
+        "load": long(rows, "insert", F.lit(1), "tokens"),
+        "revise-trimmed": long(rows.where("clean_chars <> n_chars"), "revise", F.lit(1), "clean", "tokens"),
+        "retract-copies": long(copies, "delete", F.col("surplus"), "clean"),
+    }

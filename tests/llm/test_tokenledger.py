@@ -4,7 +4,7 @@ import os
 import pytest
 import tiktoken
 
-from lectern.llm.tokenledger import PIECES, Ledger, corpus_batches, count_tokens, read_vocabulary, signed
+from lectern.llm.tokenledger import PIECES, WORDS, Ledger, corpus_batches, count_tokens, read_vocabulary, signed
 
 PATH = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 SCHEMA = "op string, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long, old_tokens long, old_chars long"
@@ -54,3 +54,40 @@ def test_corpus_totals_against_recounting(spark, tmp_path):
             n[0], n[1], n[2] = n[0] + 1, n[1] + len(encoding.encode_ordinary(text)), n[2] + len(text)
     assert _as_dict(ledger.totals()) == {k: tuple(v) for k, v in expected.items()}
     assert count_tokens(df.limit(0), {"v1": raw}).count() == 0
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(None, " one two three "), (2, "four five")],
+        [(1, " one two three "), (1, "four five")],
+        [(None, "same"), (None, " same"), (None, "same"), (None, None), (None, "")],
+        [(7, "same "), (7, "same"), (8, "same"), (None, " same")],
+    ],
+)
+def test_null_and_shared_ids_are_counted_once_each(spark, tmp_path, rows):
+    docs = [(i, t, "abc"[k % 3], None if k % 2 else "en") for k, (i, t) in enumerate(rows)]
+    batches = corpus_batches(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), {"w": WORDS})
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    for name, changes in batches.items():
+        ledger.commit(name, changes)
+    expected, seen = {}, set()
+    for _, text, source, lang in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[2], d[3] or "")):
+        text = (text or "").strip()
+        if text not in seen:
+            seen.add(text)
+            n = expected.setdefault((source, lang, "w"), [0, 0, 0])
+            n[0], n[1], n[2] = n[0] + 1, n[1] + len(text.split()), n[2] + len(text)
+    assert _as_dict(ledger.totals()) == {k: tuple(v) for k, v in expected.items()}
+
+
+def test_empty_corpus_and_extra_columns(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id int, text string, source string, lang string, n_chars string, tokens_w int, op string")
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    for name, changes in corpus_batches(docs, {"w": WORDS}).items():
+        assert ledger.commit(name, changes)
+    assert ledger.totals().count() == 0
+    ledger.compact()
+    some = spark.createDataFrame([(1, "a b", "s", "en", "x", 9, "delete")], docs.schema)
+    assert ledger.commit("more", corpus_batches(some, {"w": WORDS})["load"])
+    assert _as_dict(ledger.totals()) == {("s", "en", "w"): (1, 2, 3)}
