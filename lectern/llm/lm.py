@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,15 @@ from lectern.llm.runtime import arrow_batches, spill
 HEAD = 1 << 17
 FAN = 16
 GROUP = 256
-#: Buckets of a feature: 2 to the power of BITS at least, about BUCKETS times the square root of the training tokens.
-BITS, BUCKETS = 13, 16
+#: Buckets of a feature: 2 to the power of BITS at least, about BUCKETS times the square root of the training tokens, and 2 to
+#: the power of MOST_BITS at most, as every task holds 192 bytes a bucket.
+BITS, BUCKETS, MOST_BITS = 13, 16, 20
 #: A training task sees about this many times the square root of all training tokens, or more.
 TASK = 1000
+#: Tasks whose changes one group adds up; sums of more tasks are added up in turn.
+LANE = 64
 ROUNDS = 2
-BATCH = 4096
+BATCH = 2048
 RATE = 0.35
 SMOOTH = 0.1
 _END = np.uint64(0x51ED270B35AF1C07)
@@ -136,31 +140,55 @@ def grow_tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate([[0], np.cumsum(some.sum(1))]), nodes[some], children[some], np.array(biases)
 
 
-def new_model(vocabulary: DataFrame, head: int = HEAD) -> Model:
-    """From (h, c) of all tokens; only the ``head`` most frequent reach the driver, found by a histogram of counts."""
+def _most_frequent(vocabulary: DataFrame, head: int) -> tuple[Column, int, int]:
+    """(which rows of (h, c) are in the head, tokens, distinct tokens).
+
+    At most ``head`` rows, of the highest counts; of the count at which they no longer fit, those with the lowest hashes.
+    Three histograms, each of the part that the one before it leaves open, so that no row has to be ordered.
+    """
+
+    def room_in(rows: DataFrame, key: Column, room: int, rising: bool) -> tuple[int | None, int]:
+        """The first key, from the best, whose rows no longer fit, and the room left for it."""
+        found = rows.groupBy(key.cast("long").alias("k")).agg(F.count("*").alias("n")).collect()
+        for r in sorted(found, key=lambda r: r["k"] if rising else -r["k"]):
+            if r["n"] > room:
+                return r["k"], room
+            room -= r["n"]
+        return None, room
+
+    level = F.floor(F.log2("c") * 16)
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    levels = sorted(((r["c"], r["k"]) for r in vocabulary.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    least, room = 1 << 62, head
-    for c, k in levels:
-        if k > room:
-            break
-        least, room = c, room - k
-    top = vocabulary.where(F.col("c") >= least).toPandas()
+    first, room = room_in(vocabulary, level, head, False)
+    if first is None:
+        return F.lit(True), int(total["n"]), int(total["v"])
+    edge = vocabulary.where(level == first)
+    count, room = room_in(edge, F.col("c"), room, False)
+    if count is None:
+        return level >= first, int(total["n"]), int(total["v"])
+    slot = F.shiftrightunsigned("h", 48)
+    last, room = room_in(edge.where(F.col("c") == count), slot, room, True)
+    return (F.col("c") > count) | ((F.col("c") == count) & (slot < (1 << 16 if last is None else last))), int(total["n"]), int(total["v"])
+
+
+def new_model(vocabulary: DataFrame, head: int = HEAD) -> Model:
+    """From (h, c) of all tokens; only the ``head`` most frequent reach the driver."""
+    among, n, v = _most_frequent(vocabulary, head)
+    top = vocabulary.where(among).toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
-    others = max(0, total["v"] - len(h))
+    others = max(0, v - len(h))
     groups = 1 << max(0, math.ceil(math.log2(max(1, others) / GROUP)))
     group = F.col("h").bitwiseAND(F.lit(groups - 1))
-    found = vocabulary.where(F.col("c") < least).groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    found = vocabulary.where(~among).groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     group_mass = np.full(groups, SMOOTH)
     group_mass[found["g"].to_numpy(np.int64)] += found["n"].to_numpy(float) + SMOOTH * found["v"].to_numpy(float)
     mass = np.concatenate([c + SMOOTH, group_mass])
     order = np.argsort(-mass, kind="stable")
     leaf = np.empty(len(mass), np.int64)
     leaf[order] = np.arange(len(mass))
-    bits = max(BITS, round(math.log2(BUCKETS * math.sqrt(max(1, total["n"])))))
-    return Model(h, c, int(total["n"]), int(total["v"]), group_mass, leaf, *grow_tree(mass[order]), np.zeros((3, 1 << bits, FAN), np.float32))
+    bits = min(MOST_BITS, max(BITS, round(math.log2(BUCKETS * math.sqrt(max(1, n))))))
+    return Model(h, c, n, v, group_mass, leaf, *grow_tree(mass[order]), np.zeros((3, 1 << bits, FAN), np.float32))
 
 
 def contexts(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,11 +231,14 @@ def _summed(bias: np.ndarray, weights: np.ndarray, buckets: list[np.ndarray]) ->
     return z
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _exp_sums(z: np.ndarray) -> np.ndarray:
+    """Replaces ``z`` by its exponentials; a column of sums of its rows.
+
+    Biases are logarithms of shares and changes of weights sum to zero over a row, so no row is far from zero as a whole.
+    """
+    np.minimum(z, 60.0, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z @ np.ones((z.shape[1], 1), z.dtype)
 
 
 def _descend(weights: np.ndarray, seen: np.ndarray, bucket: np.ndarray, g: np.ndarray) -> None:
@@ -215,16 +246,27 @@ def _descend(weights: np.ndarray, seen: np.ndarray, bucket: np.ndarray, g: np.nd
     order = np.argsort(bucket.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
     if len(seen) > 1 << 16:
         order = order.take(np.argsort((bucket >> 16).astype(np.uint16).take(order), kind="stable"))
-    sorted_ = bucket[order]
-    last = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True))
-    rows = sorted_[last]
-    n = np.diff(last, prepend=-1).astype(np.float32)
-    seen[rows] += n
-    # sums of runs as differences of running sums
-    sums = np.cumsum(g.take(order, axis=0), axis=0).take(last, axis=0)
-    sums[1:] -= sums[:-1].copy()
-    sums *= (RATE / np.sqrt(n * seen[rows]))[:, None]
-    weights[rows] -= sums
+    sorted_ = bucket.take(order)
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    n = np.diff(first, append=len(order))
+    rows = sorted_.take(first)
+
+    def step(rows, n, sums):
+        met = seen.take(rows) + n
+        seen[rows] = met
+        sums *= (RATE / np.sqrt(n * met))[:, None]
+        weights[rows] = weights.take(rows, axis=0) - sums
+
+    once = n == 1
+    step(rows[once], np.float32(1), g.take(order.take(first[once]), axis=0))
+    more = ~once
+    if more.any():
+        # sums of runs as differences of running sums
+        runs = n[more]
+        last = np.cumsum(runs) - 1
+        sums = np.cumsum(g.take(order[np.repeat(more, n)], axis=0), axis=0).take(last, axis=0)
+        sums[1:] -= sums[:-1].copy()
+        step(rows[more], runs.astype(np.float32), sums)
 
 
 class Trainer:
@@ -239,8 +281,9 @@ class Trainer:
         _, node, child, buckets = _steps(self.model, h, one, two)
         if not len(node):
             return
-        g = _softmax(_summed(self.model.bias.take(node, axis=0), self.weights, buckets))
-        g[np.arange(len(node)), child] -= 1
+        g = _summed(self.model.bias.take(node, axis=0), self.weights, buckets)
+        g /= _exp_sums(g)
+        g.reshape(-1)[np.arange(0, g.size, FAN) + child] -= 1
         for k, b in enumerate(buckets):
             _descend(self.weights[k], self.seen[k], b, g)
 
@@ -272,22 +315,28 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                         trainer.learn(h[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH])
                         some = True
             if some:
+                lane = TaskContext.get().partitionId() // LANE
                 for block, raw, seen in trainer.changes():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([raw], pa.binary()), pa.array([seen], pa.binary())], names=["block", "raw", "seen"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lane], pa.int32()), pa.array([raw], pa.binary()), pa.array([seen], pa.binary())], names=["block", "lane", "raw", "seen"])
 
         def add(pdf):
+            """The average change of the tokens behind it, and their number."""
             total, tokens_ = np.zeros((_BLOCK, FAN)), np.zeros((_BLOCK, 1))
             for raw, seen in zip(pdf["raw"], pdf["seen"], strict=True):
                 n = np.frombuffer(seen, np.float32)[:, None]
                 total += np.frombuffer(raw, np.float16).reshape(_BLOCK, FAN) * n.astype(float)
                 tokens_ += n
-            return pdf.iloc[:1][["block"]].assign(raw=[(total / np.maximum(tokens_, 1)).astype(np.float32).tobytes()])
+            return pdf.iloc[:1][["block", "lane"]].assign(raw=[(total / np.maximum(tokens_, 1)).astype(np.float16).tobytes()], seen=[tokens_.astype(np.float32).tobytes()])
 
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rounds)) == k)
-        found = part.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(run, "block int, raw binary, seen binary").groupBy("block").applyInPandas(add, "block int, raw binary").collect()
+        fields = "block int, lane int, raw binary, seen binary"
+        changes = part.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(run, fields).groupBy("block", "lane").applyInPandas(add, fields)
+        if tasks > LANE:
+            changes = changes.groupBy("block").applyInPandas(add, fields)
+        found = changes.select("block", "raw").collect()
         table = model.weights.reshape(-1, FAN).copy()
         for r in found:
-            table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["raw"], np.float32).reshape(_BLOCK, FAN)
+            table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["raw"], np.float16).reshape(_BLOCK, FAN).astype(np.float32)
         model = Model(**{**model.__dict__, "weights": table.reshape(model.weights.shape)})
     return model
 
@@ -299,9 +348,8 @@ def log_probabilities(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndar
         x, p, q = h[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
         owner, node, child, buckets = _steps(model, x, p, q)
         z = _summed(model.bias.take(node, axis=0), model.weights, buckets)
-        z -= z.max(1, keepdims=True)
-        chosen = z[np.arange(len(node)), child]
-        out[a : a + BATCH] = np.bincount(owner, chosen - np.log(np.exp(z, out=z).sum(1)), minlength=len(x))
+        chosen = z.reshape(-1).take(np.arange(0, z.size, FAN) + child)
+        out[a : a + BATCH] = np.bincount(owner, np.minimum(chosen, 60.0) - np.log(_exp_sums(z)[:, 0]), minlength=len(x))
     return out
 
 

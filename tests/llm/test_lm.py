@@ -55,6 +55,18 @@ def test_context_counts_for_words_beyond_the_most_frequent(spark, monkeypatch, h
     assert sum(r.score for r in found) > (0.3 if head > 3000 else 0.8) * sum(r.base_score for r in found)
 
 
+@pytest.mark.parametrize("counts", [[2_000_000 + k % 3 for k in range(200)], [5] * 300, [1] * 250 + [7] * 20, [3], []])
+@pytest.mark.parametrize("head", [100, 1])
+def test_head_is_the_most_frequent_whatever_the_counts(spark, counts, head):
+    r = np.random.default_rng(len(counts))
+    h = r.integers(-(1 << 63), (1 << 63) - 1, len(counts))
+    model = lm.new_model(spark.createDataFrame([(int(x), c) for x, c in zip(h, counts, strict=True)], "h long, c long"), head)
+    order = sorted(zip(counts, h.view(np.uint64) if len(h) else h, strict=True), key=lambda x: (-x[0], x[1]))
+    expected = order[:head]
+    assert (model.total, model.distinct) == (sum(counts), len(counts))
+    assert sorted(model.head_count.tolist()) == sorted(c for c, _ in expected) and set(model.head.tolist()) == {int(x) for _, x in expected}
+
+
 def test_tree_holds_every_leaf_once():
     for mass in (np.ones(1), np.ones(17), np.arange(1000, 0, -1.0) ** 3, np.append(1e9, np.ones(5000))):
         first, node, child, bias = lm.grow_tree(mass)
