@@ -2,8 +2,9 @@
 
 Lines are trimmed of blanks, and blank lines are passed over when windows are formed.  Each window is known by two
 64-bit hashes.  A window that occurs more than once anywhere keeps its first occurrence, by document id and place; all
-later ones cover their three lines.  Covered places are merged, less those that belong to the first occurrence of some
-repeated window, and their lines are cut from the text; other lines, blank ones included, stay as they are.
+later ones cover their three lines.  Covered places are merged and their lines are cut from the text, whatever other
+windows they lie in; other lines, blank ones included, stay as they are.  Of equal lines the first is never covered, so
+each line that occurs stays somewhere.
 
 The first occurrence is a minimum, combined before the shuffle, so a window shared by a third of all documents costs
 one row a task there; the join back is a plain equi-join whose hot partitions Spark splits.
@@ -56,11 +57,8 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     docs = without(docs, ["n_lines", "n_removed"])
     found = spill(windows(docs, width))
     repeated = found.groupBy("h1", "h2").agg(F.min(F.struct("who", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    spots = found.join(repeated, ["h1", "h2"]).select("who", "k", (F.struct("who", "k") != F.col("first")).alias("later"))
-    covered = spots.groupBy(F.col("who").alias("_lines_who")).agg(
-        F.collect_set(F.when(F.col("later"), F.col("k"))).alias("_lines_later"), F.collect_set(F.when(~F.col("later"), F.col("k"))).alias("_lines_first")
-    )
-    covered = covered.where(F.size("_lines_later") > 0)
+    later = found.join(repeated, ["h1", "h2"]).where(F.struct("who", "k") != F.col("first"))
+    covered = later.groupBy(F.col("who").alias("_lines_who")).agg(F.collect_set("k").alias("_lines_later"))
 
     def places(ks: Column) -> Column:
         return F.flatten(F.transform(ks, lambda k: F.slice(F.col("_lines_at"), k + 1, F.lit(width))))
@@ -68,7 +66,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     text = F.col("text")
     joined = docs.withColumn("_lines_id", _who(text)).join(covered.hint("shuffle_hash"), F.col("_lines_id") == F.col("_lines_who"), "left")
     touched = F.col("_lines_later").isNotNull()
-    gone = F.array_except(places(F.col("_lines_later")), places(F.col("_lines_first")))
+    gone = F.array_distinct(places(F.col("_lines_later")))
     lines = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines_gone"))
     return (
@@ -79,5 +77,5 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_lines")))
         .withColumn("n_removed", F.when(touched, F.col("n_removed")).otherwise(F.lit(0)))
         .withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")).otherwise(text))
-        .drop("_lines_id", "_lines_who", "_lines_later", "_lines_first", "_lines_at", "_lines_gone")
+        .drop("_lines_id", "_lines_who", "_lines_later", "_lines_at", "_lines_gone")
     )

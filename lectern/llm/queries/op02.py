@@ -27,7 +27,7 @@ WITH l AS (
 ), s AS (
   SELECT doc_id, unnest([i, j, m]) AS spot, nth > 1 AS later FROM o WHERE n > 1
 ), g AS (
-  SELECT doc_id, spot FROM s GROUP BY ALL HAVING bool_and(later)
+  SELECT doc_id, spot FROM s GROUP BY ALL HAVING bool_or(later)
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.spot) FILTER (g.spot IS NULL) AS text, count(*)::INTEGER AS n_lines, count(g.spot)::INTEGER AS n_removed
   FROM l LEFT JOIN g USING (doc_id, spot) GROUP BY l.doc_id
