@@ -6,16 +6,19 @@ document is read as overlapping passages long enough to hold any item; each pass
 at or above the threshold.
 
 The index rests on every task (its size is bounded by handling items in blocks of ``MOST_ITEMS``; each block is one
-pass over the documents).  Frequent terms are non-essential in the sense of MaxScore: what they can add to any item of a
-block is a constant, so only essential terms are looked at to bound passages against blocks of items, for all
-passages of a slice at once.  Where that constant alone would reach the threshold, the rarest of an item's frequent terms
-are essential for its block, so no item is out of reach of its own terms.  Equal items are indexed once.  Passages that stay in question run through block-max WAND over their posting lists within the blocks left open.
+pass over the documents).  Document frequencies and lengths are those of all items, so a score does not depend on the
+number of passes.  Frequent terms are non-essential in the sense of MaxScore: what they can add to any item of a block
+is a constant, so only essential terms are looked at to bound passages against blocks of items, for all passages of a
+slice at once.  Where that constant alone would reach the threshold, the rarest of an item's frequent terms are
+essential for its block, so no item is out of reach of its own terms.  Equal items are indexed once.  Passages that stay
+in question run through block-max WAND over their posting lists within all blocks left open.
 
 A pair counts as a leak if five-word shingles of the question and the words of the answer are found in the passage to
 the shares asked for.  Punctuation and case are ignored.
 
 Edge cases: null and empty texts and items match nothing; texts are used whole; items with fewer than ``LEAST_WORDS``
-words are too short to tell and are left out; equal items are all reported; rows that share an id give one row an item,
+words match texts that consist of the same words and nothing else, with score 1; an item without words before its answer
+is all question; equal items are all reported; rows that share an id give one row an item,
 with the best values; empty tables give an empty result.
 """
 
@@ -94,32 +97,61 @@ class Index:
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     longest: int
+    short: dict[bytes, np.ndarray]  # by their words, the ids of items too short to be searched for
 
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         return self.items[self.first[term] : self.first[term + 1]], self.impacts[self.first[term] : self.first[term + 1]]
 
 
-def build_index(rows: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index | None:
-    """From (item id, text), for searches at ``threshold`` or above; None if no item has enough words."""
-    parts = [split_item(t or "") for _, t in rows]
-    questions, answers = text_hashes([q for q, _ in parts]), text_hashes([a for _, a in parts])
+def item_words(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The words of question and answer of each item."""
+    parts = [split_item(t or "") for t in texts]
+    pairs = zip(text_hashes([q for q, _ in parts]), text_hashes([a for _, a in parts]), strict=True)
+    return [(q, a) if len(q) else (a, q) for q, a in pairs]
+
+
+@dataclass
+class Statistics:
+    """Of all distinct items that are searched for: how many, their mean and greatest length, and in how many a term occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted
+    df: np.ndarray
+
+
+def build_index(rows: list[tuple[int, str]], threshold: float = THRESHOLD, known: Statistics | None = None) -> Index | None:
+    """From (item id, text), for searches at ``threshold`` or above; None if no item has words.
+
+    ``known`` are the statistics of all items if these are some of them only.
+    """
+    words = item_words([t for _, t in rows])
     equal: dict[tuple[bytes, bytes], list[int]] = {}
-    for i in range(len(rows)):
-        if len(questions[i]) + len(answers[i]) >= LEAST_WORDS and len(questions[i]):
-            equal.setdefault((questions[i].tobytes(), answers[i].tobytes()), []).append(i)
+    short: dict[bytes, list[int]] = {}
+    for i, (q, a) in enumerate(words):
+        if len(q) + len(a) >= LEAST_WORDS:
+            equal.setdefault((q.tobytes(), a.tobytes()), []).append(i)
+        elif len(q):
+            short.setdefault(q.tobytes() + a.tobytes(), []).append(i)
+    named = lambda same: np.unique(np.array([rows[i][0] for i in same], np.int64))
+    brief = {k: named(same) for k, same in short.items()}
     if not equal:
-        return None
+        none, counts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return Index([], none.view(np.uint64), counts, none, none.astype(float), counts, none, none.astype(float), counts, none, none.astype(float), none.astype(float), [], [], LEAST_WORDS, brief) if brief else None
     keep = [same[0] for same in equal.values()]
-    questions, answers = [questions[i] for i in keep], [answers[i] for i in keep]
+    questions, answers = [words[i][0] for i in keep], [words[i][1] for i in keep]
     whole = [np.concatenate([q, a]) for q, a in zip(questions, answers, strict=True)]
     length = np.array([len(x) for x in whole], float)
     found = [np.unique(x, return_counts=True) for x in whole]
     owner = np.repeat(np.arange(len(whole)), [len(t) for t, _ in found])
     tf = np.concatenate([c for _, c in found]).astype(float)
     terms, at = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-    df = np.bincount(at, minlength=len(terms))
-    idf = np.log(1 + (len(whole) - df + 0.5) / (df + 0.5))
-    impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+    if known is None:
+        known = Statistics(len(whole), float(length.mean()), int(length.max()), terms, np.bincount(at, minlength=len(terms)))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log(1 + (known.n - df + 0.5) / (df + 0.5))
+    impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / known.mean))
     impact /= np.bincount(owner, impact, minlength=len(whole))[owner]
     order = np.lexsort((owner, at))
     at, items, impact = at[order], owner[order], impact[order]
@@ -127,7 +159,7 @@ def build_index(rows: list[tuple[int, str]], threshold: float = THRESHOLD) -> In
     block = items // ITEM_BLOCK
     begins = np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])
     edge, entry = np.flatnonzero(begins), np.cumsum(begins) - 1
-    essential = df[at[edge]] <= max(2, COMMON_SHARE * len(whole))
+    essential = df[at[edge]] <= max(2, COMMON_SHARE * known.n)
 
     def common() -> np.ndarray:
         rest = ~essential[entry]
@@ -144,15 +176,16 @@ def build_index(rows: list[tuple[int, str]], threshold: float = THRESHOLD) -> In
     slack = np.maximum.reduceat(common(), np.arange(0, len(whole), ITEM_BLOCK))
     most = np.maximum.reduceat(impact, edge)
     return Index(
-        [np.unique(np.array([rows[i][0] for i in same], np.int64)) for same in equal.values()], terms, first, items, impact,
+        [named(same) for same in equal.values()], terms, first, items, impact,
         np.searchsorted(at[edge], np.arange(len(terms) + 1)), block[edge], most,
-        np.searchsorted(at[edge][essential], np.arange(len(terms) + 1)), block[edge][essential], most[essential], slack, questions, answers, int(length.max()),
+        np.searchsorted(at[edge][essential], np.arange(len(terms) + 1)), block[edge][essential], most[essential], slack, questions, answers, known.longest, brief,
     )
 
 
-def block_max_wand(index: Index, terms: np.ndarray, threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
-    """All items from ``low`` to below ``high`` whose score for ``terms`` (distinct) is at least ``threshold``: (item, score).
+def block_max_wand(index: Index, terms: np.ndarray, threshold: float, within: np.ndarray | None = None, looked_at: list | None = None) -> list[tuple[int, float]]:
+    """All items whose score for ``terms`` (distinct) is at least ``threshold``: (item, score).
 
+    ``within``, sorted numbers of blocks, limits the search; ``looked_at`` gets the postings that were scored.
     Cursors are kept in order of their items.  The pivot is where the lists' greatest impacts first reach the
     threshold; the greatest impacts of the pivot's block are tried before anything is scored, and if they fall short
     the cursors leap to the next block.
@@ -161,9 +194,13 @@ def block_max_wand(index: Index, terms: np.ndarray, threshold: float, low: int =
     lists, used = [], []
     for t in terms:
         items, impacts = index.postings(t)
-        if low or high is not None:
-            a, b = items.searchsorted((low, len(index.ids) if high is None else high))
-            items, impacts = items[a:b], impacts[a:b]
+        if within is not None and not len(within):
+            break
+        if within is not None:
+            block = items // ITEM_BLOCK
+            place = within.searchsorted(block)
+            inside = within[np.minimum(place, len(within) - 1)] == block
+            items, impacts = items[inside], impacts[inside]
         if len(items):
             lists.append((items, impacts))
             used.append(t)
@@ -207,6 +244,8 @@ def block_max_wand(index: Index, terms: np.ndarray, threshold: float, low: int =
                 at[k] += int(lists[k][0][at[k] :].searchsorted(pivot))
             if at[k] < len(lists[k][0]) and lists[k][0][at[k]] == pivot:
                 score += float(lists[k][1][at[k]])
+                if looked_at is not None:
+                    looked_at.append((pivot, k))
         if score >= threshold:
             out.append((pivot, score))
         for _, k in order:
@@ -272,17 +311,23 @@ class Searcher:
         data, offsets = textkit.buffers(column)
         starts, ends, bounds = textkit.words(data, offsets, bare=True)
         hashes = textkit.word_hashes(data, starts, ends)
-        found = self.passages(hashes, bounds)
+        out = []
+        if self.index.short:
+            for text in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < LEAST_WORDS)):
+                ids = self.index.short.get(hashes[bounds[text] : bounds[text + 1]].tobytes(), ())
+                out += [(int(text), int(k), 1.0, 1.0, 1.0) for k in ids]
+        found = self.passages(hashes, bounds) if len(self.index.ids) else ()
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        last = None
-        for text, a, b, block in zip(*found, strict=True) if found else ():
-            if last != a:
-                last, part, runs = a, hashes[a:b], None
-                distinct = np.unique(part)
-                at = np.searchsorted(self.index.terms, distinct)
-                at[at == len(self.index.terms)] = 0
-                terms = at[self.index.terms[at] == distinct]
-            for item, score in block_max_wand(self.index, terms, self.threshold, block * ITEM_BLOCK, (block + 1) * ITEM_BLOCK):
+        # passages come in order of their first word, each with its blocks in order
+        edge = np.flatnonzero(np.concatenate([[True], found[1][1:] != found[1][:-1]])) if found and len(found[1]) else np.zeros(0, np.int64)
+        for e, f in zip(edge, np.append(edge[1:], len(found[1]) if found else 0), strict=True) if len(edge) else ():
+            text, a, b = found[0][e], found[1][e], found[2][e]
+            part, runs = hashes[a:b], None
+            distinct = np.unique(part)
+            at = np.searchsorted(self.index.terms, distinct)
+            at[at == len(self.index.terms)] = 0
+            terms = at[self.index.terms[at] == distinct]
+            for item, score in block_max_wand(self.index, terms, self.threshold, found[3][e:f]):
                 runs = np.unique(_runs(part, SHINGLE)) if runs is None else runs
                 q, w = self.questions[item], self.answers[item]
                 wide = runs if len(self.index.questions[item]) >= SHINGLE else _runs(part, len(self.index.questions[item]))
@@ -290,7 +335,16 @@ class Searcher:
                 if share[0] >= self.shares[0] and share[1] >= self.shares[1]:
                     key, value = (int(text), item), (*share, score)
                     best[key] = max(best.get(key, value), value)
-        return [(t, int(k), v[2], v[0], v[1]) for (t, i), v in best.items() for k in self.index.ids[i]]
+        return out + [(t, int(k), v[2], v[0], v[1]) for (t, i), v in best.items() for k in self.index.ids[i]]
+
+
+def _prepared(batches):
+    """(item_id, text) -> with a key of its words, their number and, for one row a key, the distinct words."""
+    for batch in batches:
+        words = [np.concatenate(w) for w in item_words(batch.column(1).to_pylist())]
+        key = [int(textkit.shingles(w, np.array([0, len(w)]), len(w))[0][0].view(np.int64)) if len(w) else 0 for w in words]
+        terms = pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64()), pa.array([len(w) for w in words], pa.int32()), terms], names=["item_id", "text", "key", "length", "terms"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question_share: float = QUESTION_SHARE, answer_share: float = ANSWER_SHARE) -> DataFrame:
@@ -299,13 +353,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     arrow_batches(spark)
     usable = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     passes = max(1, math.ceil(usable.count() / (MOST_ITEMS // 2)))
+    if passes > 1:  # the statistics of all items; those of one pass are its own
+        usable = cut(usable.mapInArrow(_prepared, "item_id long, text string, key long, length int, terms array<long>"))
+        once = usable.where(F.col("length") >= LEAST_WORDS).dropDuplicates(["key"])
+        size = once.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+        frequency = cut(once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
     found = spark.createDataFrame([], schema)
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for k in range(passes):
-        part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        index = build_index([(r["item_id"], r["text"]) for r in part], threshold)
+        # equal items have equal keys and so come in the same pass
+        part, known = usable, None
+        if passes > 1:
+            part = usable.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+            mine = frequency.join(part.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").toPandas()
+            order = np.argsort(mine["term"].to_numpy().view(np.uint64))
+            known = Statistics(size["n"], size["mean"] or 1.0, size["longest"] or 0, mine["term"].to_numpy().view(np.uint64)[order], mine["df"].to_numpy()[order])
+        part = part.select("item_id", "text").orderBy("item_id", "text").collect()
+        index = build_index([(r["item_id"], r["text"]) for r in part], threshold, known)
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)

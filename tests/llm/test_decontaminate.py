@@ -26,8 +26,42 @@ def test_wand_finds_what_scoring_everything_finds(monkeypatch, block):
             got = dict(dc.block_max_wand(index, terms, threshold))
             assert sorted(got) == [i for i in range(len(score)) if score[i] >= threshold - 1e-9]
             assert all(got[i] == pytest.approx(score[i]) for i in got)
-            low, high = 8, 40
-            assert dict(dc.block_max_wand(index, terms, threshold, low, high)) == {i: pytest.approx(s) for i, s in got.items() if low <= i < high}
+            within = np.array([k for k in range(-(-len(index.ids) // block)) if k % 3 != seed % 3])
+            assert dict(dc.block_max_wand(index, terms, threshold, within)) == {i: pytest.approx(s) for i, s in got.items() if i // block in within}
+
+
+def test_wand_skips_postings_that_cannot_matter():
+    index = dc.build_index(_items(400))
+    looked, all_ = [], 0
+    for seed in range(20):
+        text = prose(seed, 60) + " " + _items(400)[seed][1]
+        terms = np.flatnonzero(np.isin(index.terms, np.unique(dc.text_hashes([text])[0])))
+        assert (seed in dict(dc.block_max_wand(index, terms, 0.6, looked_at=looked)))
+        all_ += sum(len(index.postings(t)[0]) for t in terms)
+    assert len(looked) < 0.2 * all_
+
+
+def test_short_items_match_texts_of_the_same_words(spark):
+    items = [(1, "Yes, it is."), (2, "yes it is"), (3, "..."), (4, ": a: five more words than these here now"), (5, "one two three four five six seven")]
+    docs = [(1, "YES -- it is!"), (2, "yes it is so"), (3, "..."), (4, "one two three four five six seven"), (5, "zero one two three four five six seven"), (6, "x a five more words than these here now y")]
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (1, 2), (4, 5), (6, 4)]
+
+
+def test_partial_matches_do_not_depend_on_the_number_of_passes(spark, monkeypatch):
+    items = _items() + [(100 + k, t) for k, t in _items(9)] + [(300, "short one"), (301, "SHORT, one")]
+    docs = [(k, f"{prose(k, 30)} {' '.join(t.split()[: 14 + k % 12])} {prose(50 + k, 20)}") for k, t in _items()] + [(900, "short one")]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        rows = dc.find_leaks(df, table, question_share=0.5, answer_share=0.0).collect()
+        return {(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in rows}
+
+    whole = found()
+    assert 0 < len(whole) < len(items)
+    for most in (40, 18):
+        monkeypatch.setattr(dc, "MOST_ITEMS", most)
+        assert found() == whole
 
 
 def test_planted_items_are_found_and_clean_texts_are_left(spark):
