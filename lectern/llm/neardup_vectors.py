@@ -3,24 +3,26 @@
 Vectors of one label are compared by cosine.  Equal vectors are collapsed first.  Unit vectors whose cosine is at least
 ``t`` lie within ``epsilon = sqrt(2 - 2t)`` of each other, also after projection on the leading principal dimensions.
 The projections are cut into grid cells of that width and sorted by label and cells; the sorted sequence is cut into
-blocks with a bounding box.  Blocks meet if they touch neighbouring cells of the first dimension and their boxes are
-within epsilon; a pair of blocks is joined by splitting the longer interval until the boxes are provably distant or the
-intervals are short, where cosines are computed as one matrix product in double precision.
+blocks with a bounding box.  Blocks meet if they touch neighbouring cells of the first two dimensions and their boxes are
+within epsilon.  Pairs of blocks are gathered in tiles of neighbouring blocks, to which each block is sent once; a pair is
+joined by splitting the longer interval until the boxes are provably distant or the intervals are short, where cosines
+are computed as one matrix product in double precision.
 
-A pair of blocks yields the number of links of each vector and a spanning forest of its links, never the pairs, so a
-group of thousands of near copies costs rows in proportion to its size.  The principal dimensions come from at most
-``MOST_FIT`` vectors; they affect the cost, not the result.
+A tile yields the number of links of each vector and a spanning forest of its links, never the pairs, so a group of
+thousands of near copies costs rows in proportion to its size.  The principal dimensions come from at most ``MOST_FIT``
+vectors; they affect the cost, not the result.  A vector is told by a hash of 64 bits of label and components.
 
 Edge cases: null labels, null, empty and zero vectors and vectors with null or non-finite components link with nothing;
-vectors of different lengths do not link; equal rows link with each other; rows that share an id but not the vector
-count as one node with the links of both; rows with a null id are left out of links; an empty table gives an empty
-result; other columns pass through.
+vectors of different lengths do not link; equal rows link with each other; rows that share an id but not the vector have
+the links of their own vector each; rows with a null id are left out of links; an empty table gives an empty result;
+other columns pass through, and columns that clash with the new ones are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ MOST_FIT = 4096
 DIMENSIONS = 6
 BLOCK = 512
 LEAF = 64
+#: Blocks on either side of a tile.
+TILE = 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -75,32 +79,32 @@ def _placed(axes: dict[int, np.ndarray], epsilon: float, dimensions: int):
     return run
 
 
-_BLOCKS = "label string, block string, size int, ids binary, weights binary, unit binary, low array<double>, high array<double>"
+_BLOCKS = "label string, block long, size int, ids binary, weights binary, unit binary, low array<double>, high array<double>"
 
 
 def _blocked(axes: dict[int, np.ndarray], dimensions: int):
-    """Cuts a sorted partition into blocks of one label and vector length."""
+    """Cuts a sorted partition into blocks of one label and vector length, numbered along the order of all vectors."""
 
-    def row(label, held):
+    def row(label, held, block):
         ids, weights = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
         unit = _unit(np.array([x[2] for x in held], float))
         at = _project(unit, axes, dimensions)
-        return {"label": label, "block": f"{unit.shape[1]}:{ids[0]}:{ids[-1]}:{len(ids)}", "size": unit.shape[1], "ids": ids.tobytes(), "weights": weights.tobytes(), "unit": unit.tobytes(), "low": at.min(0).tolist(), "high": at.max(0).tolist()}
+        return {"label": label, "block": block, "size": unit.shape[1], "ids": ids.tobytes(), "weights": weights.tobytes(), "unit": unit.tobytes(), "low": at.min(0).tolist(), "high": at.max(0).tolist()}
 
-    schema = pa.schema([("label", pa.string()), ("block", pa.string()), ("size", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("unit", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+    schema = pa.schema([("label", pa.string()), ("block", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("unit", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
 
     def run(batches):
-        held, key = [], None
+        held, key, block = [], None, TaskContext.get().partitionId() << 32
         for batch in batches:
             for r in batch.to_pylist():
                 mine = (r["label"], len(r["vector"]))
                 if held and (mine != key or len(held) >= BLOCK):
-                    yield pa.RecordBatch.from_pylist([row(key[0], held)], schema=schema)
-                    held = []
+                    yield pa.RecordBatch.from_pylist([row(key[0], held, block)], schema=schema)
+                    held, block = [], block + 1
                 key = mine
                 held.append((r["id"], r["weight"], r["vector"]))
         if held:
-            yield pa.RecordBatch.from_pylist([row(key[0], held)], schema=schema)
+            yield pa.RecordBatch.from_pylist([row(key[0], held, block)], schema=schema)
 
     return run
 
@@ -137,45 +141,50 @@ def join_blocks(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, e
 
 
 def _joined(axes: dict[int, np.ndarray], dimensions: int, epsilon: float, threshold: float):
-    """Pairs of blocks -> rows (id, near, root): near adds to the links of id, root is linked with it."""
-
-    def links(r):
-        ids_a, ids_b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids_b"], np.int64)
-        w_a, w_b = np.frombuffer(r["weights"], np.int64), np.frombuffer(r["weights_b"], np.int64)
-        a, b = np.frombuffer(r["unit"]).reshape(len(ids_a), -1), np.frombuffer(r["unit_b"]).reshape(len(ids_b), -1)
-        same = r["block"] == r["block_b"]
-        found = join_blocks(a, b, _project(a, axes, dimensions), _project(b, axes, dimensions), epsilon, threshold, same)
+    """Blocks sorted by tile, with their partners in it -> rows (id, near, root): near adds to the links of id, root is
+    linked with it."""
+
+    def links(held):
+        """``held``: block -> (ids, weights, unit vectors, partners)."""
+        at = {block: _project(h[2], axes, dimensions) for block, h in held.items()}
+        found = [(x, y, i, k, m) for x, h in held.items() for y in h[3] for i, k, m in join_blocks(h[2], held[y][2], at[x], at[y], epsilon, threshold, x == y)]
         if not found:
             return None
-        near_a, near_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        for i, k, m in found:
-            near_a[i : i + m.shape[0]] += m @ w_b[k : k + m.shape[1]]
-            near_b[k : k + m.shape[1]] += w_a[i : i + m.shape[0]] @ m
-        # least id reachable by the links of this pair of blocks, by spreading minima until nothing changes
-        root_a, root_b = ids_a.copy(), ids_b.copy()
-        if same:
-            root_b = root_a
+        near = {block: np.zeros(len(h[0]), np.int64) for block, h in held.items()}
+        root = {block: h[0].copy() for block, h in held.items()}
+        for x, y, i, k, m in found:
+            near[x][i : i + m.shape[0]] += m @ held[y][1][k : k + m.shape[1]]
+            near[y][k : k + m.shape[1]] += held[x][1][i : i + m.shape[0]] @ m
+        # least id reachable by the links of this tile, by spreading minima until nothing changes
         far = np.iinfo(np.int64).max
-        while True:
-            before = root_a.sum() + root_b.sum()
-            for i, k, m in found:
-                ra, rb = root_a[i : i + m.shape[0]], root_b[k : k + m.shape[1]]
-                low_a = np.where(m, rb[None, :], far).min(1)
-                np.minimum(ra, low_a, out=ra)
-                low_b = np.where(m, ra[:, None], far).min(0)
-                np.minimum(rb, low_b, out=rb)
-            if root_a.sum() + root_b.sum() == before:
-                break
-        if same:
-            return ids_a, near_a + near_b, root_a
-        return np.concatenate([ids_a, ids_b]), np.concatenate([near_a, near_b]), np.concatenate([root_a, root_b])
+        moved = True
+        while moved:
+            moved = False
+            for x, y, i, k, m in found:
+                ra, rb = root[x][i : i + m.shape[0]], root[y][k : k + m.shape[1]]
+                low_a, low_b = np.where(m, rb[None, :], far).min(1), np.where(m, ra[:, None], far).min(0)
+                if (low_a < ra).any() or (low_b < rb).any():
+                    np.minimum(ra, low_a, out=ra)
+                    np.minimum(rb, low_b, out=rb)
+                    moved = True
+        return [np.concatenate([part[b] for b in held]) for part in ({b: h[0] for b, h in held.items()}, near, root)]
+
+    def rows(held):
+        if held and (found := links(held)) is not None:
+            some = found[1] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in found], names=["id", "near", "root"])
 
     def run(batches):
+        key, held = None, {}
         for batch in batches:
             for r in batch.to_pylist():
-                if (found := links(r)) is not None:
-                    some = found[1] > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in found], names=["id", "near", "root"])
+                mine = (r["label"], r["i"], r["j"])
+                if mine != key:
+                    yield from rows(held)
+                    key, held = mine, {}
+                ids = np.frombuffer(r["ids"], np.int64)
+                held[r["block"]] = ids, np.frombuffer(r["weights"], np.int64), np.frombuffer(r["unit"]).reshape(len(ids), -1), r["partners"]
+        yield from rows(held)
 
     return run
 
@@ -189,19 +198,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, dimensions: int
     finite = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists(raw, lambda x: x != 0), F.lit(False))
     key = F.col("label").cast("string")
-    distinct = cut(vectors.where(good).select(key.alias("label"), raw.alias("vector"), F.col("vec_id").cast("long").alias("id")).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    distinct = vectors.where(good).select(key.alias("label"), raw.alias("vector"), F.col("vec_id").cast("long").alias("low")).groupBy("label", "vector").agg(F.min("low").alias("low"), F.count("*").alias("weight"))
+    distinct = cut(distinct.withColumn("id", F.xxhash64("label", "vector")))
     sample = [r["vector"] for r in distinct.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(MOST_FIT).collect()]
     axes = _axes(sample, dimensions)
     cells = [f"c{k}" for k in range(dimensions)]
     fields = "label string, vector array<double>, id long, weight long"
-    placed = distinct.mapInArrow(_placed(axes, epsilon, dimensions), fields + "".join(f", {c} int" for c in cells))
+    placed = distinct.select("label", "vector", "id", "weight").mapInArrow(_placed(axes, epsilon, dimensions), fields + "".join(f", {c} int" for c in cells))
     order = ["label", F.size("vector"), *cells, "id"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     blocks = spill(placed.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select("label", "vector", "id", "weight").mapInArrow(_blocked(axes, dimensions), _BLOCKS))
 
     def first(side: str, margin: int) -> DataFrame:
-        span = F.sequence(F.floor(F.get("low", F.lit(0)) / epsilon).cast("int") - margin, F.floor(F.get("high", F.lit(0)) / epsilon).cast("int") + margin)
-        return blocks.select(F.col("label"), F.col("size"), F.explode(span).alias("cell"), *[F.col(c).alias(c + side) for c in ("block", "low", "high")])
+        """A row for each cell of the first two dimensions that a block touches, or is ``margin`` cells from."""
+        span = lambda k: F.sequence(*[F.floor(F.get(c, F.lit(k)) / epsilon).cast("int") + m for c, m in (("low", -margin), ("high", margin))])
+        rows = blocks.select("label", "size", F.explode(span(0)).alias("c0"), *[F.col(c) for c in ("block", "low", "high")])
+        return rows.select("label", "size", "c0", F.explode(span(min(1, dimensions - 1))).alias("c1"), *[F.col(c).alias(c + side) for c in ("block", "low", "high")])
 
     gap = F.aggregate(
         F.zip_with(
@@ -210,35 +223,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, dimensions: int
         F.lit(0.0),
         lambda s, x: s + x * x,
     )
+    # the cells of one block and those near the other: blocks within epsilon share one, whichever of them comes first
     pairs = (
         first("", 0)
-        .join(first("_b", 1), ["label", "size", "cell"])
+        .join(first("_b", 1), ["label", "size", "c0", "c1"])
         .where((F.col("block") <= F.col("block_b")) & (gap <= epsilon * epsilon))
         .select("label", "block", "block_b")
+        .distinct()
     )
-    # a pair may meet in one cell from either side: both directions are kept by the order of block names
-    mirrored = (
-        first("", 1).join(first("_b", 0), ["label", "size", "cell"]).where((F.col("block") < F.col("block_b")) & (gap <= epsilon * epsilon)).select("label", "block", "block_b")
-    )
-    pairs = pairs.unionByName(mirrored).distinct()
-    data = blocks.select("label", "block", "ids", "weights", "unit")
-    other = data.select("label", *[F.col(c).alias(c + "_b") for c in ("block", "ids", "weights", "unit")])
-    met = pairs.join(data, ["label", "block"]).join(other, ["label", "block_b"])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    found = cut(met.select("block", "block_b", "ids", "weights", "unit", "ids_b", "weights_b", "unit_b").mapInArrow(_joined(axes, dimensions, epsilon, threshold), "id long, near long, root long"))
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    pairs = cut(pairs.withColumns({"i": tile("block"), "j": tile("block_b")}))
+    places = ["label", "i", "j"]
+    asked = pairs.select(*places, "block", F.col("block_b").alias("partner")).unionByName(pairs.select(*places, F.col("block_b").alias("block"), F.lit(None).cast("long").alias("partner")))
+    visits = asked.groupBy(*places, "block").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
+    met = visits.join(blocks.select("block", "ids", "weights", "unit"), "block").select(*places, "block", "partners", "ids", "weights", "unit")
+    tiles = met.repartition(shuffle_width(spark), *places).sortWithinPartitions(*places, "block")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    found = cut(tiles.mapInArrow(_joined(axes, dimensions, epsilon, threshold), "id long, near long, root long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     near = found.groupBy("id").agg(F.sum("near").alias("near"))
-    merged = distinct.join(near, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    facts = merged.select(
-        F.col("label").alias("_near_label"),
-        F.col("vector").alias("_near_vector"),
-        (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("_near_links"),
-        F.coalesce("root", "id").alias("_near_root"),
-    )
-    joined = vectors.join(facts, good & (key == F.col("_near_label")) & (raw == F.col("_near_vector")), "left")
+    merged = distinct.select("id", "low", "weight").join(near, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = merged.groupBy("root").agg(F.min("low").alias("_near_root"))
+    facts = merged.join(least, "root").select(F.col("id").alias("_near_id"), (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("_near_links"), "_near_root")
+    keyed = vectors.withColumn("_near_key", F.when(good, F.xxhash64(key, raw)))
+    joined = keyed.join(facts, F.col("_near_key") == F.col("_near_id"), "left").drop("_near_key", "_near_id")
     return (
         joined.withColumn("n_links", F.coalesce(F.col("_near_links"), F.lit(0)).cast("long"))
         .withColumn("component_id", F.coalesce(F.col("_near_root"), F.col("vec_id").cast("long")))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-        .drop("_near_label", "_near_vector", "_near_links", "_near_root")
+        .drop("_near_links", "_near_root")
     )

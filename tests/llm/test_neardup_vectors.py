@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lectern.llm import neardup_vectors as nv
 from tests.llm.helpers import roots
@@ -46,3 +47,29 @@ def test_repeated_rows_empty_table_and_clashing_columns(spark):
     found = nv.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, Kept string")).collect()
     assert sorted((r.vec_id or 0, r.n_links) for r in found) == [(0, 0), (1, 2), (1, 2), (2, 2)]
     assert nv.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize(("block", "tile"), [(512, 8), (1, 1), (2, 3)])
+def test_vectors_that_share_an_id_count_one_by_one(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(nv, "BLOCK", block)
+    monkeypatch.setattr(nv, "TILE", tile)
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (1, [1.0, 0.02], 0), (2, [1.0, 0.03], 0), (1, [0.0, 1.0], 0), (9, [0.0, 1.0], 0)]
+    found = nv.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)).collect()
+    assert sorted((r.vec_id, tuple(r.embedding), r.n_links, r.component_id) for r in found) == sorted((i, tuple(v), 3 if v[0] else 1, 1) for i, v, _ in rows)
+
+
+def test_tiles_against_all_pairs(spark, monkeypatch):
+    """Several blocks a tile and several tiles, with links across both."""
+    monkeypatch.setattr(nv, "BLOCK", 7)
+    monkeypatch.setattr(nv, "TILE", 2)
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(6, 5))
+    rows = [(k, (centres[k % 6] + 0.12 * r.normal(size=5)).tolist(), k % 2) for k in range(160)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([c for _, _, c in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    expected = roots(range(160), [(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True)])
+    found = nv.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert {q.vec_id: (q.n_links, q.component_id) for q in found} == {k: (int(linked[k].sum()), expected[k]) for k in range(160)} and linked.any()
