@@ -1,11 +1,13 @@
 """Session plumbing shared by the training-data operators.
 
 Intermediate results that must outlive an executor go to the folder named by ``spark.checkpoint.dir``.  Only when the
-session names none (a local test) is a folder under the system's temporary directory used instead.
+session names none and driver and executors are one process is a folder under the system's temporary directory used
+instead; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; also made Spark's checkpoint folder if it is not yet."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.gettempdir()}/lectern-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -45,6 +49,17 @@ def spill(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Deletes the files of a table that :func:`spill` has written."""
+    if df is None:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("lectern-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,7 +1,9 @@
 """Language, toxicity and quality."""
 
 import collections
+import math
 import random
+import re
 import time
 
 import numpy as np
@@ -40,6 +42,47 @@ def test_language_counts_match_brute_force():
     assert got == dict(expected)
 
 
+def _slow_grams(texts):
+    """n-gram -> count, as numbers of three code points, over padded runs of letters."""
+    found = collections.Counter()
+    for text in texts:
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            p = f"\x01{word}\x01"
+            found.update(p[a : a + k] for k in (1, 2, 3) for a in range(len(p) - k + 1) if p[a : a + k] != "\x01")
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return [number(g) for g, n in sorted(found.items(), key=lambda x: (-x[1], number(x[0])))]
+
+
+@pytest.mark.parametrize(("size", "head"), [(30, 10), (1200, 400)])
+def test_out_of_place_distance_against_brute_force(spark, monkeypatch, size, head):
+    """Profiles cut short, equal counts, equally near languages, texts without a known n-gram."""
+    r = random.Random(8)
+    vocabulary = {"en": ENGLISH, "de": GERMAN, "xx": ["ab", "ba", "abba"], "xy": ["ab", "ba", "abba"]}
+    rows = [(k, prose(k, r.randrange(3, 40), v), x) for k, (x, v) in enumerate([*vocabulary.items()] * 6)]
+    rows += [(900 + k, t, x) for k, (_, t, x) in enumerate([q for q in rows if q[2] == "xx"])] + [(990, "lonely", None), (991, None, "en")]
+    rows = [q if q[2] != "xy" else (q[0], rows[q[0] - 1][1], "xy") for q in rows]  # xy is taught what xx is
+    profiles = langid.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), size)
+    expected = {x: _slow_grams(t for _, t, y in rows if y == x)[:size] for x in vocabulary}
+    assert {k: v.tolist() for k, v in profiles.items() if k != "xx"} == {k: v for k, v in expected.items() if k != "xx"}
+    longest = max(len(v) for v in profiles.values())
+    texts = [prose(500 + k, r.randrange(1, 60), r.choice(list(vocabulary.values()))) for k in range(60)] + ["", None, "123", "ωψ", "abba", "q" * 5000]
+    classify = langid.classifier(profiles, head)
+    label, score = (x.to_pylist() for x in classify(pa.array(texts, pa.string())))
+    for text, got, s in zip(texts, label, score, strict=True):
+        grams = _slow_grams([text])[:head]
+        place = {k: {g: i for i, g in enumerate(v.tolist())} for k, v in profiles.items()}
+        distance = {k: sum(min(abs(place[k][g] - i), longest) if g in place[k] else longest for i, g in enumerate(grams)) for k in profiles}
+        best = min(sorted(profiles), key=distance.get)
+        assert (got, s) == (("und", 0.0) if not grams else (best, pytest.approx(1 - distance[best] / (len(grams) * longest))))
+
+
+def test_languages_of_null_ids_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, prose(1, 40, GERMAN), "de", "x"), (None, prose(1, 40, GERMAN), "de", "x"), (2, prose(2, 40), "en", "y"), (2, prose(2, 40), "en", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score string")
+    found = langid.identify(df, langid.fit_profiles(df)).collect()
+    assert [(r.doc_id, r.lang_pred) for r in sorted(found, key=lambda r: r.doc_id or 0)] == [(None, "de")] * 2 + [(2, "en")] * 2 and "Score" not in found[0].asDict()
+
+
 def test_no_training_data_means_undetermined(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert langid.fit_profiles(docs) == {}
@@ -173,6 +216,29 @@ def test_quality_without_positives(spark):
     assert {r.score for r in quality.score(docs, model).collect()} == {0.5}
 
 
+def test_quality_of_empty_tables_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(k, ". ".join(prose(10 * k + j, 12) for j in range(4)) + ".", "a") for k in range(60)] + [(None, " | ".join(prose(k, 30).split()), "b") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Score string")
+    model = quality.fit(df.where("doc_id < 30"), df)
+    twice = quality.score(df.unionByName(df), model, ["doc_id", "text"]).collect()
+    assert len(twice) == 180 and len({(r.text, r.score) for r in twice}) == 90 and set(twice[0].asDict()) == {"doc_id", "text", "score"}
+    assert quality.score(df.limit(0), model).count() == 0
+    none = quality.fit(df.limit(0), df.limit(0))
+    assert quality.score(df, none).select("score").distinct().count() == 1
+
+
+def test_quality_scores_against_the_formula(spark):
+    """Scores of whole texts of all lengths, from the model's own numbers and each text's own features."""
+    texts = [". ".join(prose(10 * k + j, 12) for j in range(4)) for k in range(50)] + [" | ".join(prose(k, 30).split()) for k in range(50)] + ["", None, "x" * 200_000, "a\nb\n" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model = quality.fit(df.where("doc_id < 25"), df)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    for k, text in enumerate(texts):
+        x = np.clip((quality.features(pa.array([text], pa.string()))[0] - model.mean) / model.scale, -6, 6)
+        z = float(x.astype(float) @ model.weights.astype(float) + model.bias)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-min(max(z, -60), 60))), abs=2e-4)
+
+
 def test_non_negative_risk_does_not_run_away():
     import numpy as np
 
