@@ -14,23 +14,34 @@ from lectern.llm.decontaminate import drop_leaking
 from lectern.llm.linededup import dedup_lines
 from lectern.llm.mixing import mix_sources
 from lectern.llm.neardup_text import near_duplicates
-from lectern.llm.runtime import cut, spill
+from lectern.llm.runtime import cut, discard, spill
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents with their types, whatever else ``docs`` has; names are told apart by case where they clash."""
+    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    return docs.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts that resemble no known language; fills in languages that are not given.
 
-    The languages are those of the documents themselves.
+    The languages are those of the documents themselves.  Null and empty texts go; null ids, repeated ids and repeated rows
+    are judged one by one; of languages that are equally near, the first by name is taken.
     """
-    judged = langid.identify(docs.select(*COLUMNS), langid.fit_profiles(docs))
+    docs = documents(docs)
+    judged = langid.identify(docs, langid.fit_profiles(docs))
     kept = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= langid.LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated runs of three lines; a document that loses all its words goes."""
+    """Cuts repeated runs of three lines; a document that loses all its words goes.
+
+    Of equal runs the first stays, by id, then by place; null texts stay as they are; ``n_chars`` follows the text.
+    """
     cleaned = dedup_lines(docs.select(*COLUMNS))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = cleaned.where(~F.coalesce(emptied, F.lit(False)))
@@ -38,19 +49,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies."""
+    """Keeps the document with the least id of each group of near copies.
+
+    Rows that share an id stay or go together; rows with a null id, without text or without words stay.
+    """
     facts = near_duplicates(docs.select("doc_id", "text"))
     surplus = cut(facts.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_copy_id")).distinct())
     return docs.select(*COLUMNS).join(surplus, docs["doc_id"] == F.col("_copy_id"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item; null and empty texts hold none."""
     return drop_leaking(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with the number of copies and of words taken."""
+    """The documents that the mixture takes, with the number of copies and of words taken.
+
+    A null source is a source of its own; empty texts have size 0 and are not taken; equal keys are told apart by id.
+    """
     mixed = mix_sources(docs.select(*COLUMNS)).where(F.col("copies") > 0)
     return mixed.select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
 
@@ -62,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = spill(stage(spark, docs, sf_dir))
+        done, written = written, spill(stage(spark, docs, sf_dir))
+        discard(done)
+        docs = written
     return docs

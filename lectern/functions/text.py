@@ -26,6 +26,17 @@ def plain_words(text: Column) -> Column:
     return squeezed(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "))
 
 
+def rejoin_hyphens(text: Column) -> Column:
+    """A line that ends in a letter or digit and a hyphen takes the next line if that begins with a letter of either case."""
+    return F.regexp_replace(text, r"(?U)(?<=\p{Alnum}-)\n[^\S\n]*(?=[\p{Lu}\p{Ll}])", "")
+
+
+def squeeze_blank_lines(text: Column) -> Column:
+    """One blank line for a run of them, none at either end."""
+    inner = F.regexp_replace(text, r"(?U)\n(?:[^\S\n]*\n)+", "\n\n")
+    return F.regexp_replace(inner, r"(?U)\A(?:[^\S\n]*\n)+|(?:\n[^\S\n]*)+\z|\A[^\S\n]+\z", "")
+
+
 def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(f"[^{SPACE}]"), F.lit(False))
 
@@ -144,4 +155,5 @@ def percent(x: Column) -> Column:
 
 
 def dollars(x: Column) -> Column:
+    """Four decimals, halves of the decimal number rounded up."""
     return F.when(x.isNotNull(), F.format_string("$%.4f", x)).otherwise(F.lit("—"))

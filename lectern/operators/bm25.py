@@ -1,22 +1,33 @@
 """BM25 over a corpus for all queries at once.
 
-The plan looks only at terms that occur in queries: the distinct query terms are broadcast while there are few of them,
-and postings of other terms are never shuffled.  Document lengths come from the token arrays in the same scan.  Scores
-are ranked after rounding to six decimals, then by id, so that the order of summation does not show.
+The statistics of the query terms come from one pass over the corpus and travel, with the queries, to the tasks of a
+second one, which scores texts in batches and keeps the best of each query: what is shuffled is k rows a query and task,
+not the pairs of queries and documents that share a word.  Queries with more terms than ``MOST_QUERY_TERMS`` together
+take the way by postings joined on terms.  Scores are ranked after rounding to six decimals, then by id, so that the
+order of summation does not show.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.text import tokens
 
 K1, B = 1.5, 0.75
 #: Distinct query terms up to this number are broadcast.
 MOST_BROADCAST_TERMS = 200_000
+#: Pairs of query and term up to this number are sent to the tasks.
+MOST_QUERY_TERMS = 1_000_000
+#: Scores that a task holds at once.
+CELLS = 2_000_000
+_WORD = re.compile("[a-z0-9]+")
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -66,7 +77,101 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "score", id_column
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def _codes(text: str | None, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+    """Length in tokens of a lower-cased text, and the numbers of those that queries ask for."""
+    words = _WORD.findall(text or "")
+    return len(words), np.array([terms[w] for w in words if w in terms], np.int64)
+
+
+def _statistics(texts: DataFrame, shared) -> tuple[int, int, np.ndarray]:
+    """(documents, tokens, documents with each term) in one pass."""
+
+    def run(batches):
+        terms = shared.value
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                length, codes = _codes(text, terms)
+                df[np.unique(codes)] += 1
+                n, total = n + 1, total + length
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], met)), pa.array(np.append([n, total], df[met]))], names=["term", "c"])
+
+    sums = {r["term"]: r["c"] for r in texts.select("low").mapInArrow(run, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).collect()}
+    n, total = sums.pop(-2, 0), sums.pop(-1, 0)
+    df = np.zeros(len(shared.value), np.int64)
+    df[list(sums)] = list(sums.values())
+    return n, total, df
+
+
+def _scored(shared, weights, k: int, types: list):
+    """(low, id) -> the k best (qid, id, score) of each query among the task's texts.
+
+    ``weights``: names of the queries, and by term the queries that have it and their weights.
+    """
+
+    def run(batches):
+        terms = shared.value
+        names, first, owner, weight, average = weights.value
+        most = max(1, CELLS // max(1, len(names)))
+        best: list[list[tuple]] = [[] for _ in names]
+        least = np.zeros(len(names))
+
+        def take(made, ids):
+            if not made or not len(names):
+                return
+            row = np.repeat(np.arange(len(made)), [len(c) for _, c in made])
+            code, tf = np.unique(row * len(terms) + np.concatenate([c for _, c in made]), return_counts=True)
+            row, code = code // max(1, len(terms)), code % max(1, len(terms))
+            length = np.array([n for n, _ in made], float)
+            value = tf / (tf + K1 * (1 - B + B * length[row] / average))
+            many = first[code + 1] - first[code]
+            at = np.arange(many.sum()) + np.repeat(first[code] - np.cumsum(many) + many, many)
+            score = np.bincount(np.repeat(row, many) * len(names) + owner[at], np.repeat(value, many) * weight[at], minlength=len(made) * len(names)).reshape(len(made), -1)
+            rounded = np.floor(score * 1e6 + 0.5)
+            good = (score > 0) & (rounded >= least)
+            if good.sum() > 4 * k * len(names) and len(made) > k:
+                good &= rounded >= np.partition(rounded, len(made) - k, axis=0)[len(made) - k]
+            for i, q in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+                best[q].append((-rounded[i, q], ids[i] is None, ids[i], float(score[i, q])))
+            for q in np.flatnonzero(good.any(0)):
+                best[q] = sorted(best[q])[:k]
+                if len(best[q]) == k:
+                    least[q] = -best[q][-1][0]
+
+        for batch in batches:
+            for i in range(0, len(batch), most):
+                part = batch.slice(i, most)
+                take([_codes(t, terms) for t in part.column(0).to_pylist()], part.column(1).to_pylist())
+        rows = [(names[q], r[2], r[3]) for q, rs in enumerate(best) for r in rs]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["qid", "id", "score"])
+
+    return run
+
+
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(qid, id, score, rank) of the k best documents of each query."""
-    index = Bm25Index.build(corpus, query_terms(queries))
-    return ranked(index.scores(queries), k).withColumn("score", F.round("score", 6))
+    asked = query_terms(queries)
+    table = asked.limit(MOST_QUERY_TERMS + 1).toArrow()
+    if len(table) > MOST_QUERY_TERMS:
+        index = Bm25Index.build(corpus, asked)
+        return ranked(index.scores(queries), k).withColumn("score", F.round("score", 6))
+    spark = corpus.sparkSession
+    texts = corpus.select(F.lower("text").alias("low"), "id")
+    words = table.column("term").to_pylist()
+    terms = {t: i for i, t in enumerate(dict.fromkeys(words))}
+    shared = spark.sparkContext.broadcast(terms)
+    n, total, df = _statistics(texts, shared)
+    code = np.array([terms[w] for w in words], np.int64)
+    qids = table.column("qid").to_pylist()
+    names = list(dict.fromkeys(qids))
+    number = {q: i for i, q in enumerate(names)}
+    owner = np.array([number[q] for q in qids], np.int64)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weight = table.column("qtf").to_numpy() * idf[code] * (K1 + 1) if len(code) else np.zeros(0)
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(len(terms) + 1))
+    weights = spark.sparkContext.broadcast((names, first, owner[order], weight[order], total / n if total else 1.0))
+    schema = spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, id {dict(corpus.dtypes)['id']}, score double").schema
+    found = texts.mapInArrow(_scored(shared, weights, k, [to_arrow_type(f.dataType) for f in schema]), schema)
+    return ranked(found, k).withColumn("score", F.round("score", 6))

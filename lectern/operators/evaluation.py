@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lectern.functions.text import squeezed
+from lectern.functions.text import plain_words, squeezed
 
 KS = (1, 3, 5, 10)
 #: Evidence texts that are searched for in one pass.
@@ -17,13 +17,18 @@ EVIDENCE_BLOCK = 50_000
 
 
 def evidence_matches(corpus: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(qid, id) where the text of ``corpus`` (id, text) contains that of ``evidence`` (qid, text), white space squeezed.
+    """(qid, id) where the text of ``corpus`` (id, text) contains that of ``evidence`` (qid, text), white space squeezed."""
+    return contained(corpus.select("id", squeezed(F.col("text")).alias("norm")), evidence.select("qid", squeezed(F.col("text")).alias("norm")))
+
+
+def contained(corpus: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(qid, id) where ``norm`` of ``corpus`` (id, norm) contains that of ``evidence`` (qid, norm); nulls match nothing.
 
     One Aho-Corasick pass over the corpus finds all evidence texts of a block at once, however many there are.
     """
     spark = corpus.sparkSession
-    norm = corpus.select("id", squeezed(F.col("text")).alias("norm")).where("norm is not null")
-    asked = evidence.select("qid", squeezed(F.col("text")).alias("norm")).where("norm is not null")
+    norm = corpus.select("id", "norm").where("norm is not null")
+    asked = evidence.select("qid", "norm").where("norm is not null")
     schema = f"qid {dict(asked.dtypes)['qid']}, id {dict(norm.dtypes)['id']}"
     found = spark.createDataFrame([], schema)
     batch_types = [to_arrow_type(f.dataType) for f in found.schema.fields]
@@ -56,28 +61,38 @@ def evidence_matches(corpus: DataFrame, evidence: DataFrame) -> DataFrame:
     return found
 
 
-def first_hits(rankings: DataFrame, correct: DataFrame, questions: DataFrame) -> DataFrame:
-    """(source, qid, first) for every question and source of ``rankings`` (source, qid, id, rank): the first correct rank."""
+def grid(questions: DataFrame, sources: list[str]) -> DataFrame:
+    """(source, qid) for every question and source."""
+    return questions.select("qid").distinct().select(F.explode(F.array(*[F.lit(x) for x in sources])).alias("source"), "qid")
+
+
+def names_of(rankings: DataFrame) -> list[str]:
+    return sorted(r["source"] for r in rankings.select("source").distinct().collect())
+
+
+def first_hits(rankings: DataFrame, correct: DataFrame, questions: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """(source, qid, first) for every question and source of ``rankings`` (source, qid, id, rank): the first correct rank.
+
+    ``sources`` names the rankings; without it they are looked up, which evaluates the rankings once more.
+    """
     hits = rankings.join(correct.select("qid", "id").distinct(), ["qid", "id"]).groupBy("source", "qid").agg(F.min("rank").alias("first"))
-    grid = questions.select("qid").distinct().crossJoin(F.broadcast(rankings.select("source").distinct()))
-    return grid.join(hits, ["source", "qid"], "left")
+    return grid(questions, sources or names_of(rankings)).join(hits, ["source", "qid"], "left")
 
 
-def recall_mrr(rankings: DataFrame, correct: DataFrame, questions: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def recall_mrr(rankings: DataFrame, correct: DataFrame, questions: DataFrame, ks: tuple[int, ...] = KS, sources: list[str] | None = None) -> DataFrame:
     """One row a source: recall at each k and MRR; questions without a correct row count as misses."""
-    per = first_hits(rankings, correct, questions)
+    per = first_hits(rankings, correct, questions, sources)
     hit = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 4).alias(f"recall_{k}") for k in ks]
     return per.groupBy("source").agg(F.count("*").alias("n"), *hit, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
 
 
-def per_question(rankings: DataFrame, correct: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+def per_question(rankings: DataFrame, correct: DataFrame, questions: DataFrame, k: int = 10, sources: list[str] | None = None) -> DataFrame:
     """(source, qid, ranked, correct, correct_hits): lists of ids, correct ones sorted."""
     listed = rankings.where(F.col("rank") <= k).groupBy("source", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ranked"))
     right = correct.groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("correct"))
-    grid = questions.select("qid").distinct().crossJoin(F.broadcast(rankings.select("source").distinct()))
     kind = dict(rankings.dtypes)["id"]
     empty = F.array().cast(f"array<{kind}>")
-    joined = grid.join(listed, ["source", "qid"], "left").join(right, "qid", "left")
+    joined = grid(questions, sources or names_of(rankings)).join(listed, ["source", "qid"], "left").join(right, "qid", "left")
     joined = joined.withColumns({"ranked": F.coalesce("ranked", empty), "correct": F.coalesce("correct", empty)})
     return joined.select("source", "qid", "ranked", "correct", F.array_intersect("ranked", "correct").alias("correct_hits"))
 
@@ -87,10 +102,10 @@ def label_sources(rankings: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select(F.lit(name).alias("source"), "qid", "id", "rank") for name, r in rankings.items()])
 
 
-def prefix_matches(corpus: DataFrame, evidence: DataFrame, key: str, longest: int = 120) -> DataFrame:
-    """Rows of ``evidence`` (key, text) whose first characters, as plain words, occur in the text of the same key."""
-    from lectern.functions.text import plain_words
+def prefix_matches(corpus: DataFrame, evidence: DataFrame, longest: int = 120) -> DataFrame:
+    """(qid, id) where ``corpus`` (id, text) holds the first characters of ``evidence`` (qid, text), both as plain words.
 
-    left = evidence.withColumn("_start", F.substring(plain_words(F.col("text")), 1, longest))
-    right = corpus.select(F.col(key), plain_words(F.col("text")).alias("_norm"))
-    return left.join(right, key).where(F.contains("_norm", "_start")).drop("_start", "_norm").distinct()
+    Join the result on a key of both sides to ask within equal pages only.
+    """
+    start = F.substring(plain_words(F.col("text")), 1, longest)
+    return contained(corpus.select("id", plain_words(F.col("text")).alias("norm")), evidence.select("qid", start.alias("norm")))

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 WINDOW_SECONDS = 60.0
 
 
-def rate_limit(events: DataFrame, limit: int, window: float = WINDOW_SECONDS) -> DataFrame:
-    """(chat_id, seq, t) and accepted: at most ``limit`` accepted events within ``window`` seconds of a chat.
+def rate_limit(events: DataFrame, limit: int, window: float = WINDOW_SECONDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chat_id, seq, t), the columns to ``keep`` and accepted: at most ``limit`` accepted events within ``window`` seconds.
 
     Whether an event counts depends on earlier answers, so each chat is read in order as a stream of its partition; a
     chat's state is its accepted times within the window, at most ``limit`` of them, however long its history is.
     """
-    schema = StructType([*events.select("chat_id", "seq", "t").schema.fields, StructField("accepted", BooleanType())])
+    rows = events.select("chat_id", "seq", "t", *keep)
+    schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType())])
 
     def run(batches):
         chat, times = object(), deque()
@@ -35,38 +39,50 @@ def rate_limit(events: DataFrame, limit: int, window: float = WINDOW_SECONDS) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = events.select("chat_id", "seq", "t").repartition(n, "chat_id").sortWithinPartitions("chat_id", "t", "seq")
+    ordered = rows.repartition(n, "chat_id").sortWithinPartitions("chat_id", "t", "seq")
     return ordered.mapInArrow(run, schema)
 
 
-def running_total(rows: DataFrame, value: str, order: list[str], bucket) -> DataFrame:
+def running_total(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over all earlier rows in ``order``.
 
-    ``bucket`` must not fall along the order.  Sums of buckets are added up first, so no task ever sorts all rows.
+    Rows are dealt out in ranges of the order; each range adds up its own rows as a stream, and the sums of whole ranges,
+    one number a range, are added to what follows.  No task ever holds or sorts all rows, however they cluster in time.
     """
-    keyed = rows.withColumn("_bucket", bucket)
-    sums = keyed.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    earlier = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_sum")
-    inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return keyed.join(earlier, "_bucket").withColumn("before", F.col("_earlier") + F.coalesce(inside, F.lit(0.0))).drop("_bucket", "_earlier")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*rows.schema.fields, StructField("_range", IntegerType()), StructField("_inside", DoubleType()), StructField("_value", DoubleType())])
+
+    def run(batches):
+        here, total = TaskContext.get().partitionId(), 0.0
+        for batch in batches:
+            x = pc.fill_null(batch.column(batch.schema.get_field_index(value)).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), here, np.int32)), pa.array(np.append(total, sums[:-1])[: len(x)]), pa.array(x)], names=schema.names)
+            total = float(sums[-1]) if len(x) else total
+
+    inside = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema).persist()
+    sums = inside.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    offsets = F.broadcast(sums.select("_range", earlier.alias("_earlier")))  # one row a partition
+    return inside.join(offsets, "_range").withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_range", "_inside", "_value", "_earlier")
 
 
-def spend_cap(rows: DataFrame, cap: float, order: list[str], bucket, cost: str = "cost_usd") -> DataFrame:
+def spend_cap(rows: DataFrame, cap: float, order: list[str], cost: str = "cost_usd") -> DataFrame:
     """Adds before and allowed: a row passes while the costs before it are below the cap.
 
     Costs are never negative, so that once the cap is reached it stays reached and refused rows need not be taken out.
     """
-    return running_total(rows, cost, order, bucket).withColumn("allowed", F.round("before", 6) < cap)
+    return running_total(rows, cost, order).withColumn("allowed", F.round("before", 6) < cap)
 
 
-def guard_pipeline(events: DataFrame, limit: int, longest: int, cap: float, window: float = WINDOW_SECONDS, bucket=None) -> DataFrame:
+def guard_pipeline(events: DataFrame, limit: int, longest: int, cap: float, window: float = WINDOW_SECONDS) -> DataFrame:
     """(chat_id, seq, t, text, cost_usd) and verdict: rate_limited, too_long, over_budget or ok; the first guard wins.
 
-    A text that is too long has used up its place in the rate limit; only events that pass both are charged.
+    A text that is too long has used up its place in the rate limit; only events that pass both are charged, so the
+    others cost nothing in the running total.  Each row is judged on its own: keys may be null or repeated.
     """
-    judged = events.join(rate_limit(events, limit, window).select("chat_id", "seq", "accepted"), ["chat_id", "seq"])
+    judged = rate_limit(events, limit, window, ("text", "cost_usd"))
     judged = judged.withColumn("verdict", F.when(~F.col("accepted"), "rate_limited").when(F.length("text") > longest, "too_long"))
-    bucket = bucket if bucket is not None else F.floor(F.col("t") / 86400)
-    capped = spend_cap(judged.where("verdict is null"), cap, ["t", "chat_id", "seq"], bucket)
-    capped = capped.withColumn("verdict", F.when(F.col("allowed"), "ok").otherwise("over_budget")).drop("before", "allowed")
-    return judged.where("verdict is not null").unionByName(capped).drop("accepted")
+    charged = judged.withColumn("_charged", F.when(F.col("verdict").isNull(), F.col("cost_usd")).otherwise(F.lit(0.0)))
+    capped = spend_cap(charged, cap, ["t", "chat_id", "seq"], "_charged")
+    return capped.withColumn("verdict", F.coalesce("verdict", F.when(F.col("allowed"), "ok").otherwise("over_budget"))).drop("before", "allowed", "_charged", "accepted")

@@ -7,13 +7,13 @@ the only shuffle is the one that gathers pages.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import rejoin_hyphens, squeeze_blank_lines
+
 # Patterns of the page furniture and headings of the documents. Fixed values.
 HEADER = re.compile(r"^RFC \d+\s{2,}\S")
 YEAR_AT_END = re.compile(r"\d{4}\s*$")
@@ -58,27 +58,6 @@ def _heading_like(line: str, longest: int) -> bool:
     return 0 < len(body) <= longest and LEADER.search(body) is None
 
 
-def rejoin_hyphens(lines: Iterable[str]) -> list[str]:
-    """Lines that end in a letter or digit and a hyphen take the next line if it begins with a letter of either case."""
-    out: list[str] = []
-    for line in lines:
-        body = line.lstrip()
-        open_end = out and len(out[-1]) > 1 and out[-1][-1] == "-" and out[-1][-2].isalnum()
-        if open_end and body and (body[0].islower() or body[0].isupper()):
-            out[-1] += body
-        else:
-            out.append(line)
-    return out
-
-
-def squeeze_blank_lines(lines: Iterable[str]) -> list[str]:
-    """One blank line for a run of them, none at either end."""
-    out: list[str] = []
-    for blank, run in groupby(lines, key=lambda x: not x.strip()):
-        out += [""] if blank and out else [] if blank else list(run)
-    return out[:-1] if out and out[-1] == "" else out
-
-
 def body_start(pages: list[list[str]]) -> tuple[int, int] | None:
     """Page and line of the first section, entries of a table of contents passed over."""
     for p, lines in enumerate(pages):
@@ -101,7 +80,7 @@ def tail_start(pages: list[list[str]], start: tuple[int, int]) -> tuple[int, int
 
 
 def clean_document(pages: list[dict]) -> list[dict]:
-    """From pages of raw text in order: those of the body, cleaned; none if no body is found."""
+    """From pages of raw text in order: those of the body, without page furniture; none if no body is found."""
     stripped = [strip_furniture((p["text"] or "").splitlines()) for p in pages]
     lines = ["\n".join(x).splitlines() for x, _ in stripped]
     start = body_start(lines)
@@ -111,9 +90,7 @@ def clean_document(pages: list[dict]) -> list[dict]:
     out = []
     for p in range(start[0], min(end[0] + 1, len(lines))):
         part = lines[p][start[1] if p == start[0] else 0 : end[1] if p == end[0] else None]
-        text = "\n".join(squeeze_blank_lines(rejoin_hyphens(x.rstrip() for x in part)))
-        if text.strip():
-            out.append({"text": text, "pdf": pages[p]["pdf"], "printed": stripped[p][1]})
+        out.append({"text": "\n".join(x.rstrip() for x in part), "pdf": pages[p]["pdf"], "printed": stripped[p][1]})
     return out
 
 
@@ -125,13 +102,14 @@ def gather_pages(pages: DataFrame, *keys: str) -> DataFrame:
 
 
 def clean_pages(docs: DataFrame) -> DataFrame:
-    """Replaces ``pages`` by the cleaned pages of the body."""
+    """Replaces ``pages`` by the cleaned pages of the body; pages that are left blank go."""
 
     @F.pandas_udf(PAGES)
     def clean(pages: pd.Series) -> pd.Series:
         return pages.map(lambda ps: clean_document(list(ps)) if ps is not None else [])
 
-    return docs.withColumn("pages", clean("pages"))
+    tidy = F.transform(clean("pages"), lambda p: p.withField("text", squeeze_blank_lines(rejoin_hyphens(p["text"]))))
+    return docs.withColumn("pages", F.filter(tidy, lambda p: p["text"] != ""))
 
 
 def document_titles(pages: DataFrame, *keys: str) -> DataFrame:

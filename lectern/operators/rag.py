@@ -7,15 +7,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions.text import citation_numbers, format_hit, is_refusal, normal_refusal, parse_verdict
+from lectern.operators.vectors import vector_topk
 
 Model = Callable[[list[dict]], str]
+#: Sent in place of a context without hits, and as a tool's reply without hits. Fixed values.
 NOTHING = "(пусто)"
+NOTHING_FOUND = "Ничего не найдено по этому запросу."
 MOST_STEPS = 4
 
 
@@ -32,6 +36,40 @@ def messages(question: Column, context: Column, system: str) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), body.alias("content")))
 
 
+def number_filter(rfc: int | str | None) -> Column:
+    """The filter of a search: rows of one document, or all rows; anything but a whole number is an error."""
+    return F.lit(True) if rfc is None else F.col("rfc") == int(rfc)
+
+
+def tool_replies(calls: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+    """``calls`` (qid, vector, rfc) with reply: the formatted hits among ``rows``, within the document asked for if one is.
+
+    ``rows`` (chunk_id, rfc, section_path, page, text, vector).  The documents asked for are looked at one by one, so each
+    search reads its own rows only.
+    """
+    asked = [r["rfc"] for r in calls.select("rfc").distinct().collect()]
+    found = []
+    for rfc in asked:
+        mine = calls.where(F.col("rfc").eqNullSafe(F.lit(rfc)))
+        found.append(vector_topk(rows.withColumnRenamed("chunk_id", "id"), mine.select("qid", "vector"), k, number_filter(rfc)))
+    facts = rows.select(F.col("chunk_id").alias("id"), "rfc", "section_path", "page", "text")
+    replies = contexts(reduce(DataFrame.unionByName, found).join(facts, "id")) if found else None
+    if replies is None:
+        return calls.withColumn("reply", F.lit(None).cast("string"))
+    return calls.join(replies, "qid", "left").withColumn("reply", F.coalesce("context", F.lit(NOTHING_FOUND))).drop("context")
+
+
+def knowledge_base(rows: DataFrame, encode: Callable[[list[str]], "object"], k: int = 5) -> Callable[..., str]:
+    """The agent's tool: ``(query, rfc=None)`` -> the formatted hits, or that nothing was found."""
+
+    def tool(query: str, rfc: int | None = None) -> str:
+        vector = [float(x) for x in encode([f"query: {query}"])[0]]
+        call = rows.sparkSession.createDataFrame([(1, vector, None if rfc is None else int(rfc))], "qid int, vector array<float>, rfc int")
+        return tool_replies(call, rows, k).first()["reply"]
+
+    return tool
+
+
 def echo_model() -> Model:
     return lambda ms: ms[-1]["content"].split("\n", 1)[0]
 

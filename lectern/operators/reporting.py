@@ -41,9 +41,33 @@ def presented(report: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+#: Configurations are named in the plan; more of them are an error.
+MOST_CONFIGS = 10_000
+
+
 def unfinished(configs: DataFrame, questions: DataFrame, done: DataFrame) -> DataFrame:
-    """(config, qid) pairs that are still to be answered."""
-    return configs.select("config").crossJoin(F.broadcast(questions.select("qid"))).join(done.select("config", "qid").distinct(), ["config", "qid"], "left_anti")
+    """(config, qid) pairs that are still to be answered: every question under every one of a few configurations."""
+    names = [r["config"] for r in configs.select("config").limit(MOST_CONFIGS + 1).collect()]
+    if len(names) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} configurations")
+    kind = f"array<{dict(configs.dtypes)['config']}>"
+    asked = questions.select(F.explode(F.array(*[F.lit(x) for x in names]).cast(kind)).alias("config"), "qid")
+    return asked.join(done.select("config", "qid").distinct(), ["config", "qid"], "left_anti")
+
+
+def recall_lines(report: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(place, line): a report of recall by source as lines of fixed width, a heading first, then vector, words, hybrid."""
+    order = F.array(*[F.lit(x) for x in ("vector", "words", "hybrid")])
+    head = report.sparkSession.createDataFrame([(0, f"{'source':<10} " + " ".join(f"{f'@{k}':>8}" for k in ks))], "place int, line string")
+    cells = [F.format_string("%8.3f", F.col(f"recall_{k}")) for k in ks]
+    rows = report.select(F.array_position(order, F.col("source")).cast("int").alias("place"), F.concat_ws(" ", F.rpad("source", 10, " "), *cells).alias("line"))
+    return head.unionByName(rows.where("place > 0")).orderBy("place")
+
+
+def usage_totals(replies: DataFrame, *keys: str) -> DataFrame:
+    """Replies (prompt_tokens, completion_tokens, cost_usd) -> calls, tokens and cost, by ``keys``; nulls count as nothing."""
+    total = lambda c, kind: F.coalesce(F.sum(c), F.lit(0)).cast(kind).alias(c)
+    return replies.groupBy(*keys).agg(F.count("*").alias("calls"), total("prompt_tokens", "long"), total("completion_tokens", "long"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
 
 
 def with_verdicts(records: DataFrame, cache: DataFrame) -> DataFrame:

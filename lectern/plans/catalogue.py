@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.rendering import split_text
-from lectern.operators import bm25, chunking, embedding, evaluation, guards, pagetext, reporting, sessions
+from lectern.functions.rendering import render_answer, split_text
+from lectern.operators import bm25, chunking, embedding, evaluation, guards, pagetext, rag, reporting, sessions
 from lectern.operators.fusion import rrf
 from lectern.operators.vectors import vector_topk
 from lectern.plans import hybrid as plans
-from lectern.sources.jsonl import parse_journal
+from lectern.sources.jsonl import parse_journal, total_spend
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,14 +102,15 @@ def bm25_filtered(spark, sf_dir):
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
-def vector_sql(k: int, where: str = "TRUE", queries: str = "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id < 20") -> str:
+def vector_sql(k: int, where: str = "TRUE", queries: str = "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0") -> str:
     return f"""
 vs AS (SELECT q.qid, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, ({queries}) q WHERE {where}),
 near AS (SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, id) AS rank FROM vs QUALIFY rank <= {k})""".strip()
 
 
-def _asked(spark, sf_dir, where="id < 20"):
-    return vectors(spark, sf_dir).where(where).select(F.col("id").alias("qid"), "vector")
+def _asked(spark, sf_dir):
+    """The stated query set: every row whose id is divisible by 50."""
+    return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("qid"), "vector")
 
 
 @query(f"WITH {vector_sql(5)} SELECT * FROM near")
@@ -169,30 +170,35 @@ def recall_mrr(spark, sf_dir):
     return plans.evaluate(_rankings(spark, sf_dir), evaluation.evidence_matches(corpus(spark, sf_dir), items(spark, sf_dir)), items(spark, sf_dir))
 
 
-@query(f"""{FUSED}, {CORRECT}, {_LABELLED.replace("UNION ALL SELECT 'hybrid', qid, id, rank FROM hybrid", "")} SELECT s.source, b.item_id AS qid,
-coalesce((SELECT string_agg(l.id::VARCHAR, ',' ORDER BY l.rank) FROM labelled l WHERE l.qid = b.item_id AND l.source = s.source), '') AS ranked,
+_LINE = " || ' ' || ".join(f"printf('%8.3f', recall_{k})" for k in (1, 3, 5, 10))
+
+
+@query(f"""{FUSED}, {CORRECT}, {_LABELLED}, {_FIRST}, r AS (SELECT source, {_RECALL} FROM firsts GROUP BY source)
+SELECT 0 AS place, 'source           @1       @3       @5      @10' AS line UNION ALL SELECT list_position(['vector', 'words', 'hybrid'], source)::INTEGER, rpad(source, 10, ' ') || ' ' || {_LINE} FROM r""")
+def recall_lines(spark, sf_dir):
+    """The comparison of the three rankings as it is printed."""
+    return reporting.recall_lines(recall_mrr(spark, sf_dir))
+
+
+@query(f"""{FUSED}, {CORRECT}, {_LABELLED}, top10 AS (SELECT * FROM labelled WHERE rank <= 10) SELECT s.source, b.item_id AS qid,
+coalesce((SELECT string_agg(l.id::VARCHAR, ',' ORDER BY l.rank) FROM top10 l WHERE l.qid = b.item_id AND l.source = s.source), '') AS ranked,
 coalesce((SELECT string_agg(c.id::VARCHAR, ',' ORDER BY c.id) FROM correct c WHERE c.qid = b.item_id), '') AS correct,
-coalesce((SELECT string_agg(l.id::VARCHAR, ',' ORDER BY l.rank) FROM labelled l JOIN correct c ON c.qid = l.qid AND c.id = l.id WHERE l.qid = b.item_id AND l.source = s.source), '') AS correct_hits
+coalesce((SELECT string_agg(l.id::VARCHAR, ',' ORDER BY l.rank) FROM top10 l JOIN correct c ON c.qid = l.qid AND c.id = l.id WHERE l.qid = b.item_id AND l.source = s.source), '') AS correct_hits
 FROM benchmark b CROSS JOIN (SELECT DISTINCT source FROM labelled) s""")
 def per_question(spark, sf_dir):
     found = _rankings(spark, sf_dir)
-    found.pop("hybrid")
-    rows = evaluation.per_question(evaluation.label_sources(found), evaluation.evidence_matches(corpus(spark, sf_dir), items(spark, sf_dir)), items(spark, sf_dir))
+    correct = evaluation.evidence_matches(corpus(spark, sf_dir), items(spark, sf_dir))
+    rows = evaluation.per_question(evaluation.label_sources(found), correct, items(spark, sf_dir), sources=list(found))
     return rows.select("source", "qid", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ranked", "correct", "correct_hits")])
 
 
 _PLAIN = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
 
 
-@query(f"""SELECT b.item_id, d.doc_id FROM (SELECT item_id, left({_PLAIN}, 120) AS s, item_id % 4 AS k FROM benchmark) b JOIN (SELECT doc_id, {_PLAIN} AS t, doc_id % 4 AS k FROM documents) d ON b.k = d.k WHERE contains(d.t, b.s)""")
+@query(f"""SELECT b.item_id, d.doc_id FROM (SELECT item_id, left({_PLAIN}, 120) AS s FROM benchmark) b JOIN (SELECT doc_id, {_PLAIN} AS t FROM documents) d ON contains(d.t, b.s)""")
 def norm_prefix_match(spark, sf_dir):
-    """Items whose first 120 characters, as plain words, occur in a document of the same key (number modulo 4)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("k"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", "text", (F.col("item_id") % 4).alias("k"))
-    start = F.substring(T.plain_words(F.col("text")), 1, 120)
-    left = asked.select("item_id", "k", start.alias("s"))
-    right = docs.select("doc_id", "k", T.plain_words(F.col("text")).alias("t"))
-    return left.join(right, "k").where(F.contains("t", "s")).select("item_id", "doc_id")
+    """Items whose first 120 characters, as plain words, occur in a document."""
+    return evaluation.prefix_matches(corpus(spark, sf_dir), items(spark, sf_dir)).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 # --- chunks -----------------------------------------------------------------------------------------------------------
@@ -264,27 +270,28 @@ def latest_per_key(spark, sf_dir):
     return reporting.latest(rows, F.struct("ts", "event_id"), "user_id", "event_type").select("user_id", "event_type", "event_id", "value")
 
 
-_RECORDS = "r AS (SELECT source AS config, quality = 1 AS answerable, CASE WHEN toxic = 1 THEN 'refused' WHEN doc_id % 3 = 0 THEN 'wrong' ELSE 'correct' END AS verdict, n_chars / 1000.0::DOUBLE AS cost_usd FROM documents JOIN labels USING (doc_id))"
+_RECORDS = "r AS (SELECT source AS config, quality = 1 AS answerable, CASE WHEN toxic = 1 THEN 'refused' WHEN doc_id % 3 = 0 THEN 'wrong' WHEN doc_id % 5 > 0 THEN 'correct' END AS verdict, n_chars / 1000.0::DOUBLE AS cost_usd, doc_id FROM documents JOIN labels USING (doc_id))"
 _REPORT = f"""WITH {_RECORDS} SELECT config, count(*) AS n, coalesce(count_if(answerable AND verdict = 'correct') / nullif(count_if(answerable), 0), 0.0) AS accuracy,
 coalesce(count_if(NOT answerable AND verdict = 'refused') / nullif(count_if(NOT answerable), 0), 0.0) AS honest_refusals, coalesce(count_if(answerable AND verdict = 'refused') / nullif(count_if(answerable), 0), 0.0) AS false_refusals,
-round(sum(cost_usd) / count(*), 9) AS cost_per_question, round(sum(cost_usd) / nullif(count_if(answerable AND verdict = 'correct'), 0), 9) AS cost_per_correct FROM r GROUP BY config"""
+round(sum(cost_usd) / count(*), 9) AS cost_per_question, round(sum(cost_usd) / nullif(count_if(answerable AND verdict = 'correct'), 0), 9) AS cost_per_correct FROM r WHERE verdict IS NOT NULL GROUP BY config"""
 
 
 def _records(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    verdict = F.when(F.col("toxic") == 1, "refused").when(F.col("doc_id") % 3 == 0, "wrong").otherwise("correct")
+    verdict = F.when(F.col("toxic") == 1, "refused").when(F.col("doc_id") % 3 == 0, "wrong").when(F.col("doc_id") % 5 > 0, "correct")
     return joined.select(F.col("source").alias("config"), F.col("doc_id").cast("string").alias("qid"), (F.col("quality") == 1).alias("answerable"), verdict.alias("verdict"), (F.col("n_chars") / 1000.0).alias("cost_usd"))
 
 
 @query(_REPORT)
 def config_report(spark, sf_dir):
-    """Labelled documents as judged answers: the source is the configuration."""
+    """Labelled documents as answers, some not judged yet: the source is the configuration."""
     return reporting.config_report(_records(spark, sf_dir))
 
 
-@query(f"SELECT config, printf('%.2f%%', accuracy * 100) AS accuracy, printf('$%.4f', cost_per_question) AS cost_per_question, coalesce(printf('$%.4f', cost_per_correct), '—') AS cost_per_correct, printf('%.0f', round_even(honest_refusals * 10, 0)) AS refused_of_10, printf('%.0f', round_even(false_refusals * 40, 0)) AS refused_of_40 FROM ({_REPORT}) WHERE config IN ('src3', 'src1', 'src7')")
+@query(f"SELECT config, printf('%.2f%%', accuracy * 100) AS accuracy, printf('$%.4f', round(cost_per_question::DECIMAL(18, 9), 4)::DOUBLE) AS cost_per_question, coalesce(printf('$%.4f', round(cost_per_correct::DECIMAL(18, 9), 4)::DOUBLE), '—') AS cost_per_correct, printf('%.0f', round_even(honest_refusals * 10, 0)) AS refused_of_10, printf('%.0f', round_even(false_refusals * 40, 0)) AS refused_of_40 FROM ({_REPORT})")
 def report_table(spark, sf_dir):
-    return reporting.presented(reporting.config_report(_records(spark, sf_dir)), ["src3", "src1", "src7"])
+    report = reporting.config_report(_records(spark, sf_dir))
+    return reporting.presented(report, sorted(r["config"] for r in report.select("config").collect()))
 
 
 @query("SELECT c.config, d.doc_id::VARCHAR AS qid FROM (SELECT DISTINCT source AS config FROM documents) c CROSS JOIN documents d WHERE NOT EXISTS (SELECT 1 FROM documents x JOIN labels l USING (doc_id) WHERE x.source = c.config AND x.doc_id = d.doc_id)")
@@ -303,8 +310,8 @@ def cost_estimate(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS calls, sum(event_id % 1000)::BIGINT AS prompt_tokens, sum(event_id % 77)::BIGINT AS completion_tokens, round(sum(value), 4) AS cost_usd FROM events GROUP BY event_type")
 def usage_totals(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(F.col("event_id") % 1000).alias("prompt_tokens"), F.sum(F.col("event_id") % 77).alias("completion_tokens"), F.round(F.sum("value"), 4).alias("cost_usd"))
+    replies = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 1000).alias("prompt_tokens"), (F.col("event_id") % 77).alias("completion_tokens"), F.col("value").alias("cost_usd"))
+    return reporting.usage_totals(replies, "event_type").withColumn("cost_usd", F.round("cost_usd", 4))
 
 
 _JOURNAL = "SELECT CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THEN '{\"ts\": \"2024' WHEN event_id % 13 = 0 THEN '{\"cost_usd\": \"NaN\"}' ELSE printf('{\"ts\": \"2024-01-01T00:00:00Z\", \"chat_id\": %d, \"cost_usd\": %d}', user_id, event_id) END AS value, user_id, event_id FROM events"
@@ -313,20 +320,37 @@ _JOURNAL = "SELECT CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THE
 @query(f"SELECT user_id AS chat_id, sum(event_id)::DOUBLE AS total FROM ({_JOURNAL}) WHERE value LIKE '%chat_id%' GROUP BY user_id")
 def journal_totals(spark, sf_dir):
     """Spending by chat from a journal with blank, partial and odd lines."""
+    return _journal(spark, sf_dir).groupBy("chat_id").agg(F.sum("cost_usd").alias("total"))
+
+
+@query(f"SELECT sum(event_id)::DOUBLE AS total FROM ({_JOURNAL}) WHERE value LIKE '%chat_id%'")
+def journal_total_spend(spark, sf_dir):
+    return total_spend(_journal(spark, sf_dir))
+
+
+def _journal(spark, sf_dir):
     id_ = F.col("event_id")
     line = F.when(id_ % 11 == 0, "").when(id_ % 7 == 0, '{"ts": "2024').when(id_ % 13 == 0, '{"cost_usd": "NaN"}')
     line = line.otherwise(F.format_string('{"ts": "2024-01-01T00:00:00Z", "chat_id": %d, "cost_usd": %d}', "user_id", "event_id"))
-    return parse_journal(table(spark, sf_dir, "events").select(line.alias("value"))).groupBy("chat_id").agg(F.sum("cost_usd").alias("total"))
+    return parse_journal(table(spark, sf_dir, "events").select(line.alias("value")))
 
 
-@query("SELECT doc_id, sha256('m' || chr(0) || 'passage: ' || text) AS key FROM documents WHERE doc_id % 3 <> 0")
+@query(f"WITH {_RECORDS} SELECT config, doc_id::VARCHAR AS qid, coalesce(verdict, CASE WHEN doc_id % 2 = 0 THEN 'refused' END) AS verdict FROM r")
+def cached_verdicts(spark, sf_dir):
+    """Verdicts that a cache of even documents fills in where the record has none."""
+    records = _records(spark, sf_dir)
+    cache = records.where("cast(qid AS bigint) % 2 = 0").select("config", "qid", F.lit("refused").alias("verdict"))
+    return reporting.with_verdicts(records.select("config", "qid", "verdict"), cache).select("config", "qid", "verdict")
+
+
+@query("""WITH k AS (SELECT doc_id, sha256('m' || chr(0) || 'passage: ' || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
+SELECT doc_id, key, key IN (SELECT key FROM c) AS hit FROM k""")
 def cache_misses(spark, sf_dir):
-    """Texts that a cache of every third document lacks; equal texts share a key."""
+    """All texts against a cache that holds those of every third document; equal texts share a key."""
     keyed = embedding.with_keys(table(spark, sf_dir, "documents").select("doc_id", "text"), "m")
     cache = keyed.where("doc_id % 3 = 0").select(F.lit("m").alias("model"), F.concat("key", F.lit("")).alias("key"))
-    misses = embedding.cache_misses(keyed.where("doc_id % 3 <> 0"), cache, "m")
-    hits = embedding.cache_hits(keyed.where("doc_id % 3 <> 0"), cache, "m")
-    return misses.unionByName(hits).select("doc_id", "key")
+    misses, hits = embedding.cache_misses(keyed, cache, "m"), embedding.cache_hits(keyed, cache, "m")
+    return misses.withColumn("hit", F.lit(False)).unionByName(hits.withColumn("hit", F.lit(True))).select("doc_id", "key", "hit")
 
 
 # --- chats ------------------------------------------------------------------------------------------------------------
@@ -349,7 +373,7 @@ def rate_limit(spark, sf_dir):
 
 @query(f"SELECT event_id AS seq, round(coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 4) AS before, round(coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) < {_CAP} AS allowed FROM events")
 def spend_cap(spark, sf_dir):
-    rows = guards.spend_cap(chats(spark, sf_dir), _CAP, ["t", "seq"], F.floor(F.col("t") / 86400))
+    rows = guards.spend_cap(chats(spark, sf_dir), _CAP, ["t", "seq"])
     return rows.select("seq", F.round("before", 4).alias("before"), "allowed")
 
 
@@ -378,27 +402,58 @@ def history_since_reset(spark, sf_dir):
     return sessions.since_reset(log).select("chat_id", "seq", "text")
 
 
-@query("SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'onboarding' WHEN 1 THEN 'reset' WHEN 2 THEN 'ignored' WHEN 3 THEN 'question' ELSE 'onboarding' END AS route FROM events")
+_OUTCOME = "['ok', 'timeout', 'error', 'reset', 'ok'][(len(text) % 5 + 1)::INTEGER]"
+
+
+def _exchanges(spark, sf_dir):
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("ok", "timeout", "error", "reset", "ok")]), F.length("text") % 5 + 1)
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), F.col("text").alias("question"), F.upper("role").alias("answer"), outcome.alias("outcome"), (F.col("turn") * 0.5).alias("cost_usd"))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS chat_id, turn, text, upper(role) AS answer, {_OUTCOME} AS outcome FROM conversations), l AS (
+SELECT chat_id, turn * 2 AS seq, 'append' AS op, 'user' AS role, text FROM t WHERE outcome IN ('ok', 'error') UNION ALL SELECT chat_id, turn * 2 + 1, 'append', 'assistant', answer FROM t WHERE outcome = 'ok'
+UNION ALL SELECT chat_id, turn * 2, 'reset', NULL, NULL FROM t WHERE outcome = 'reset'),
+z AS (SELECT chat_id, max(seq) AS z FROM l WHERE op = 'reset' GROUP BY chat_id)
+SELECT chat_id, string_agg(role || ': ' || text, chr(10) ORDER BY seq) AS history FROM l LEFT JOIN z USING (chat_id) WHERE op = 'append' AND (z IS NULL OR seq > z) GROUP BY chat_id""")
+def settled_histories(spark, sf_dir):
+    """What is left of conversations whose questions were answered, timed out, failed or met a reset."""
+    rows = sessions.history(sessions.settled(_exchanges(spark, sf_dir)), 1000)
+    return rows.select("chat_id", F.array_join(F.transform("items", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("history"))
+
+
+@query(f"SELECT conv_id AS chat_id, turn AS seq, CASE {_OUTCOME} WHEN 'error' THEN 0.01 ELSE turn * 0.5 END AS cost_usd FROM conversations WHERE {_OUTCOME} <> 'timeout'")
+def settled_costs(spark, sf_dir):
+    return sessions.costs(_exchanges(spark, sf_dir))
+
+
+_COMMAND = "CASE event_id % 4 WHEN 0 THEN '/' || event_type WHEN 1 THEN '/reset' || substr(props, 2, event_id % 9) WHEN 2 THEN event_type || ' /start' ELSE '/' || left('start help', event_id % 11) || ' ' || props END"
+
+
+@query(f"""WITH m AS (SELECT event_id AS seq, {_COMMAND} AS text FROM events), w AS (SELECT seq, text, regexp_extract(text, '^/([A-Za-z0-9_]+)', 1) AS word FROM m)
+SELECT seq, CASE WHEN word IN ('start', 'help') THEN 'onboarding' WHEN word = 'reset' THEN 'reset' WHEN left(text, 1) = '/' THEN 'ignored' ELSE 'question' END AS route FROM w""")
 def command_routes(spark, sf_dir):
-    words = F.array(*[F.lit(x) for x in ("/start", "/reset now", "/other", "a question /reset", "/help")])
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.element_at(words, (F.col("event_id") % 5 + 1).cast("int")).alias("text"))
-    return sessions.routes(rows).select("seq", "route")
+    """Messages made of the events' types and properties, some of them whole or cut commands."""
+    i = F.col("event_id")
+    text = F.when(i % 4 == 0, F.concat(F.lit("/"), "event_type")).when(i % 4 == 1, F.concat(F.lit("/reset"), F.expr("substring(props, 2, cast(event_id % 9 as int))"))).when(i % 4 == 2, F.concat("event_type", F.lit(" /start")))
+    text = text.otherwise(F.concat(F.lit("/"), F.expr("left('start help', cast(event_id % 11 as int))"), F.lit(" "), "props"))
+    return sessions.routes(table(spark, sf_dir, "events").select(i.alias("seq"), text.alias("text"))).select("seq", "route")
 
 
 # --- answers ------------------------------------------------------------------------------------------------------------
 
-_REPLY = "CASE conv_id % 4 WHEN 0 THEN 'see [2] and [1], [2], [9]' WHEN 1 THEN 'none' WHEN 2 THEN '[99] [3]' ELSE '[0]' END"
+_REPLY = "text || ' [' || (len(text) % 7)::VARCHAR || '] and [' || turn::VARCHAR || '], [' || (conv_id % 5)::VARCHAR || '] [' || (len(text) % 7)::VARCHAR || ']'"
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all({_REPLY}, '\\[(\\d+)\\]', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1 AND 3) AS l FROM conversations)
-SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '2,1' WHEN 1 THEN '1' WHEN 2 THEN '3' ELSE '1' END AS cited, len(l)::INTEGER AS named FROM a""")
+@query(f"""WITH a AS (SELECT conv_id, turn, regexp_extract_all({_REPLY}, '\\[(\\d+)\\]', 1) AS l FROM conversations),
+v AS (SELECT conv_id, turn, i, TRY_CAST(l[i] AS INTEGER) AS n FROM a, unnest(range(1, len(l) + 1)) r(i)),
+f AS (SELECT conv_id, turn, n, min(i) AS i FROM v WHERE n BETWEEN 1 AND 3 GROUP BY ALL)
+SELECT a.conv_id, a.turn, coalesce((SELECT string_agg(n::VARCHAR, ',' ORDER BY i) FROM f WHERE f.conv_id = a.conv_id AND f.turn = a.turn), '1') AS cited FROM a""")
 def citations(spark, sf_dir):
-    """Citations of three hits in made-up answers."""
-    k = F.col("conv_id") % 4
-    text = F.when(k == 0, "see [2] and [1], [2], [9]").when(k == 1, "none").when(k == 2, "[99] [3]").otherwise("[0]")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("answer"))
-    named = F.filter(F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int")), lambda x: x.between(1, 3))
-    return rows.select("conv_id", "turn", F.array_join(T.citation_numbers(F.col("answer"), F.lit(3)).cast("array<string>"), ",").alias("cited"), F.size(named).alias("named"))
+    """Citations of three hits in answers made of turns and numbers that come from them."""
+    size = (F.length("text") % 7).cast("string")
+    parts = ["text", F.lit(" ["), size, F.lit("] and ["), F.col("turn").cast("string"), F.lit("], ["), (F.col("conv_id") % 5).cast("string"), F.lit("] ["), size, F.lit("]")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(*parts).alias("answer"))
+    return rows.select("conv_id", "turn", F.array_join(T.citation_numbers(F.col("answer"), F.lit(3)).cast("array<string>"), ",").alias("cited"))
 
 
 @query("SELECT event_id, concat_ws(' ', 'RFC ' || user_id::VARCHAR, CASE WHEN event_id % 2 = 0 THEN '§' || (event_id % 9)::VARCHAR || '.1' END, CASE WHEN event_id % 3 = 0 THEN 'p.' || (event_id % 50)::VARCHAR END) AS source FROM events")
@@ -408,10 +463,23 @@ def sources_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.format_source(F.col("user_id"), section, F.when(i % 3 == 0, i % 50)).alias("source"))
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' WHEN 2 THEN 'refused' WHEN 3 THEN 'correct' WHEN 4 THEN 'wrong' ELSE 'refused' END AS verdict FROM events")
+_WORDS = "['Correct', 'WRONG', 'refused', 'maybe', 'incorrect', '']"
+_JUDGED = f"""CASE event_id % 5 WHEN 0 THEN '```json' || chr(10) || '{{"verdict": "' || {_WORDS}[(event_id // 5 % 6 + 1)::INTEGER] || '", "why": "' || event_type || '"}}' || chr(10) || '```'
+WHEN 1 THEN 'it is ' || {_WORDS}[(event_id // 7 % 6 + 1)::INTEGER] || ', not ' || {_WORDS}[(event_id // 11 % 6 + 1)::INTEGER] WHEN 2 THEN props || ' ' || {_WORDS}[(event_id // 13 % 6 + 1)::INTEGER]
+WHEN 3 THEN '{{broken ' || {_WORDS}[(event_id // 17 % 6 + 1)::INTEGER] || '}}' ELSE event_type END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, {_JUDGED} AS reply FROM events), j AS (SELECT event_id, lower(reply) AS low, regexp_extract(reply, '(?s)\\{{.*\\}}') AS body FROM r),
+n AS (SELECT *, CASE WHEN json_valid(body) THEN lower(json_extract_string(body, '$.verdict')) END AS named FROM j)
+SELECT event_id, CASE WHEN named IN ('correct', 'wrong', 'refused') THEN named WHEN contains(low, 'correct') THEN 'correct' WHEN contains(low, 'wrong') THEN 'wrong' WHEN contains(low, 'refused') THEN 'refused' ELSE 'wrong' END AS verdict FROM n""")
 def verdict_parse(spark, sf_dir):
-    replies = F.array(*[F.lit(x) for x in ('```json\n{"verdict": "Correct"}\n```', '{"verdict": "maybe"}', "it REFUSED, that is", "this is incorrect", "", '{"verdict": "refused", "why": "not correct"}')])
-    return table(spark, sf_dir, "events").select("event_id", T.parse_verdict(F.element_at(replies, (F.col("event_id") % 6 + 1).cast("int"))).alias("verdict"))
+    """Replies of a judge: fenced JSON, sentences, JSON without a verdict, broken JSON, other words."""
+    i, words = F.col("event_id"), F.array(*[F.lit(x) for x in ("Correct", "WRONG", "refused", "maybe", "incorrect", "")])
+    word = lambda k: F.element_at(words, (F.floor(i / k) % 6 + 1).cast("int"))
+    reply = F.when(i % 5 == 0, F.concat(F.lit('```json\n{"verdict": "'), word(5), F.lit('", "why": "'), "event_type", F.lit('"}\n```')))
+    reply = reply.when(i % 5 == 1, F.concat(F.lit("it is "), word(7), F.lit(", not "), word(11))).when(i % 5 == 2, F.concat("props", F.lit(" "), word(13)))
+    reply = reply.when(i % 5 == 3, F.concat(F.lit("{broken "), word(17), F.lit("}"))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_verdict(reply).alias("verdict"))
 
 
 _PARTS = f"""WITH RECURSIVE p AS (SELECT doc_id, 0 AS i, NULL::VARCHAR AS part, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest FROM documents
@@ -428,9 +496,15 @@ def message_parts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_text(F.col("text"), 300)).alias("i", "part"))
 
 
-@query()
+_MARKED = "'## ' || source || chr(10) || '* *' || lang || '* and **' || doc_id || '** __b__ `' || n_chars || '`' || chr(10) || text"
+_PLAIN_TEXT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '\*\*([^*]+)\*\*|__([^_]+)__', '\1\2', 'g'), '`([^`]*)`', '\1', 'g'), '(?m)^\s{0,3}#{1,6}\s+', '', 'g'), '(?m)^(\s*)\*\s+', '\1• ', 'g'), '(^|[^\w*])\*([^*\n]+)\*([^\w*]|$)', '\1\2\3', 'g')"""
+
+
+@query(f"WITH d AS (SELECT doc_id, {_MARKED} AS m FROM documents) SELECT doc_id, {_PLAIN_TEXT} AS plain FROM d")
 def strip_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_markdown(F.col("text")).alias("plain"))
+    """Texts with a heading, a bullet, italics, bold and code put in front."""
+    parts = [F.lit("## "), "source", F.lit("\n* *"), "lang", F.lit("* and **"), F.col("doc_id").cast("string"), F.lit("** __b__ `"), F.col("n_chars").cast("string"), F.lit("`\n"), "text"]
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_markdown(F.concat(*parts)).alias("plain"))
 
 
 @query("""SELECT conv_id, string_agg(printf('[%d] RFC %d', r, conv_id) || CASE WHEN turn % 2 = 0 THEN ' · §' || turn::VARCHAR ELSE ' · стр. ' || turn::VARCHAR END || chr(10) || text, chr(10) || chr(10) ORDER BY r) AS context
@@ -451,8 +525,112 @@ def head_of_each(spark, sf_dir):
     return reporting.head_of_each(rows, 10)
 
 
-@query(f"{FUSED} SELECT * FROM hybrid WHERE rank <= 3")
-def rrf_of_rankings(spark, sf_dir):
-    """Fusion by hand of the two rankings, cut to three."""
-    found = _rankings(spark, sf_dir)
-    return rrf({"vector": found["vector"], "words": found["words"]}, depth=10).where("rank <= 3")
+# --- text and pages -------------------------------------------------------------------------------------------------------
+
+_CASED = "[\\p{Lu}\\p{Ll}]"
+_WRAPPED = "replace(replace(text, ' th', '-' || chr(10) || '  th'), '. ', '.' || chr(10) || ' ' || chr(10) || chr(10))"
+_JOINED = f"regexp_replace(regexp_replace(w, '([\\p{{L}}\\p{{N}}]-)\\n[ \\t]*({_CASED})', '\\1\\2', 'g'), '([\\p{{L}}\\p{{N}}]-)\\n[ \\t]*({_CASED})', '\\1\\2', 'g')"
+
+
+def _wrapped(spark, sf_dir):
+    text = F.replace(F.replace(F.col("text"), F.lit(" th"), F.lit("-\n  th")), F.lit(". "), F.lit(".\n \n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_WRAPPED} AS w FROM documents) SELECT doc_id, {_JOINED} AS text FROM d")
+def rejoined_hyphens(spark, sf_dir):
+    """Texts whose words were cut at line ends, joined again."""
+    return _wrapped(spark, sf_dir).select("doc_id", T.rejoin_hyphens(F.col("text")).alias("text"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WRAPPED} AS w FROM documents), l AS (SELECT doc_id, i, x, trim(x, ' ' || chr(9) || chr(13)) = '' AS blank FROM (SELECT doc_id, unnest(string_split(w, chr(10))) AS x, generate_subscripts(string_split(w, chr(10)), 1) AS i FROM d)),
+k AS (SELECT doc_id, i, x, blank, lag(blank) OVER (PARTITION BY doc_id ORDER BY i) AS before, min(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS a, max(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS b FROM l)
+SELECT d.doc_id, coalesce((SELECT string_agg(CASE WHEN blank THEN '' ELSE x END, chr(10) ORDER BY i) FROM k WHERE k.doc_id = d.doc_id AND i BETWEEN a AND b AND NOT (blank AND before)), '') AS text FROM d""")
+def squeezed_lines(spark, sf_dir):
+    """One blank line for a run of them."""
+    return _wrapped(spark, sf_dir).select("doc_id", T.squeeze_blank_lines(F.col("text")).alias("text"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT doc_id, doc_id::INTEGER AS rfc, 'RFC ' || doc_id || ' — ' || coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), 'RFC ' || doc_id) || ' · §' || n || ' Lines' AS prefix, (n - n // 4)::INTEGER AS last_quarter FROM d""")
+def document_heads(spark, sf_dir):
+    """The number in a file name, the prefix of a chunk, and where the last quarter of the lines begins."""
+    n = F.size(F.split("text", "\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("title"), n.alias("n"), T.rfc_from_path(F.concat(F.lit("/x/RFC%20"), F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("rfc"))
+    return rows.select("doc_id", "rfc", T.context_prefix(F.col("rfc"), F.col("title"), F.col("n").cast("string"), F.lit("Lines")).alias("prefix"), T.last_quarter_start(F.col("n")).alias("last_quarter"))
+
+
+_TRIMMED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, {_TRIMMED} AS x FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) AS i FROM documents)),
+k AS (SELECT *, lag(x = '') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l),
+body AS (SELECT doc_id, rtrim('1 Introduction' || chr(10) || string_agg(x, chr(10) ORDER BY i) FILTER (NOT (x = '' AND coalesce(before, FALSE))), chr(10)) AS text FROM k GROUP BY doc_id)
+SELECT doc_id::INTEGER AS rfc, 1 AS pdf, (doc_id % 90 + 2)::INTEGER AS printed, text FROM body
+UNION ALL SELECT doc_id::INTEGER, 2, (doc_id % 90 + 3)::INTEGER, '2 References' || chr(10) || '[1] ' || source FROM documents""")
+def cleaned_pages(spark, sf_dir):
+    """Documents as three pages with running heads, feet, a table of contents and a service part, cleaned to their body."""
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    i = F.col("doc_id")
+    head, foot = line("RFC ", i.cast("string"), "      Some Title      June 2002\n"), lambda k: line("\nSomeone      Standards Track      [Page", F.when(i % 2 == 0, " ").otherwise("\n"), (i % 90 + k).cast("string"), "]")
+    body = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n"))
+    texts = [
+        line("A cover\n1 Introduction ........ 2\n1 Introduction\n2"),
+        line(head, "1 Introduction\n", body, foot(2)),
+        line(head, "2 References\n[1] ", F.col("source"), "\nAuthors' Addresses\nsomewhere", foot(3)),
+    ]
+    pages = F.array(*[F.struct(t.alias("text"), F.lit(k).alias("pdf"), F.lit(None).cast("int").alias("printed")) for k, t in enumerate(texts)])
+    docs = table(spark, sf_dir, "documents").select(i.cast("int").alias("rfc"), pages.alias("pages"))
+    return pagetext.clean_pages(docs).select("rfc", F.inline("pages")).select("rfc", "pdf", "printed", "text")
+
+
+# --- answers of tools and models --------------------------------------------------------------------------------------------
+
+_RAW = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN ' ' || props || chr(10) WHEN 2 THEN left(props, 5) WHEN 3 THEN '[' || props || ']' ELSE event_type END"
+
+
+@query(f"""WITH r AS (SELECT event_id, CASE WHEN json_valid({_RAW}) THEN {_RAW} ELSE 'null' END AS raw FROM events), o AS (SELECT event_id, CASE WHEN json_type(raw) = 'OBJECT' THEN raw ELSE '{{}}' END AS raw FROM r)
+SELECT event_id, json_extract_string(raw, '$.k') AS k, len(json_keys(raw))::INTEGER AS n FROM o""")
+def tool_arguments(spark, sf_dir):
+    """Arguments of tool calls: objects, objects with space around, cut ones, lists, words."""
+    i, props = F.col("event_id"), F.col("props")
+    raw = F.when(i % 5 == 0, props).when(i % 5 == 1, F.concat(F.lit(" "), props, F.lit("\n"))).when(i % 5 == 2, F.expr("left(props, 5)")).when(i % 5 == 3, F.concat(F.lit("["), props, F.lit("]"))).otherwise(F.col("event_type"))
+    found = T.tool_arguments(raw)
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(found, F.lit("k")).alias("k"), F.size(F.map_keys(found)).alias("n"))
+
+
+@query("SELECT conv_id, turn, 'be brief' AS system, CASE WHEN turn % 3 = 0 THEN '(пусто)' ELSE 'context ' || role END || chr(10) || chr(10) || text AS asked FROM conversations")
+def model_messages(spark, sf_dir):
+    """Questions with and without a context, as messages to a model."""
+    context = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("context "), "role")).when(F.col("turn") % 3 == 2, F.concat(F.lit("context "), "role")).when(F.col("turn") % 2 == 0, "")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", rag.messages(F.col("text"), context, "be brief").alias("m"))
+    return rows.select("conv_id", "turn", F.get("m", F.lit(0))["content"].alias("system"), F.get("m", F.lit(1))["content"].alias("asked"))
+
+
+@query(r"""WITH h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, role AS chunk_id, text FROM conversations),
+n AS (SELECT conv_id, max(rank) AS n, string_agg(text, ' ' ORDER BY rank) AS answer FROM h GROUP BY conv_id),
+a AS (SELECT conv_id, n, CASE WHEN conv_id % 7 = 0 THEN answer || ' NO ANSWER' ELSE answer || ' [' || (conv_id % 4) || '] [' || (len(answer) % 9) || '] [1]' END AS answer FROM n),
+v AS (SELECT conv_id, i, l[i]::INTEGER AS rank FROM (SELECT conv_id, n, regexp_extract_all(answer, '\[(\d+)\]', 1) AS l FROM a WHERE NOT contains(answer, 'NO ANSWER')), unnest(range(1, len(l) + 1)) r(i) WHERE TRY_CAST(l[i] AS INTEGER) BETWEEN 1 AND n),
+f AS (SELECT conv_id, rank, min(i) AS i FROM v GROUP BY ALL), j AS (SELECT f.conv_id, f.i, f.rank, chunk_id, text FROM f JOIN h ON h.conv_id = f.conv_id AND h.rank = f.rank)
+SELECT conv_id AS qid, chunk_id, rank::INTEGER AS rank, text FROM j QUALIFY row_number() OVER (PARTITION BY conv_id, chunk_id ORDER BY i) = 1""")
+def cited_hits(spark, sf_dir):
+    """The turns of a conversation as hits, one document a role, and an answer that cites some of them or refuses."""
+    turns = table(spark, sf_dir, "conversations")
+    hits = turns.select(F.col("conv_id").alias("qid"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("rank"), F.col("role").alias("chunk_id"), "text")
+    whole = hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("t"))
+    named = F.concat("t", F.lit(" ["), (F.col("qid") % 4).cast("string"), F.lit("] ["), (F.length("t") % 9).cast("string"), F.lit("] [1]"))
+    answers = whole.select("qid", F.when(F.col("qid") % 7 == 0, F.concat("t", F.lit(" NO ANSWER"))).otherwise(named).alias("answer"))
+    return rag.cited(answers, hits, "NO ANSWER").select("qid", "chunk_id", "rank", "text")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, trim('**' || role || '** ' || text || ' `' || conv_id || '`', ' ' || chr(9) || chr(10) || chr(13)) AS raw, trim(role || ' ' || text || ' ' || conv_id, ' ' || chr(9) || chr(10) || chr(13)) AS plain, text FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN plain ELSE plain || chr(10) || chr(10) || 'Источники:' || chr(10) || '— RFC ' || conv_id || ' §' || turn || '.1' || CASE WHEN turn % 3 = 0 THEN '' ELSE ' p.' || turn END END AS rendered, 1 AS parts FROM t WHERE NOT regexp_matches(text, '[*_`#]')""")
+def rendered_answers(spark, sf_dir):
+    """Answers with markup, and with sources on every other turn, as one message each."""
+    turn = F.col("turn")
+    source = F.struct(F.col("conv_id").cast("int").alias("rfc"), F.concat(turn.cast("string"), F.lit(".1")).alias("section"), F.when(turn % 3 > 0, turn.cast("int")).alias("page"))
+    none = F.array().cast("array<struct<rfc:int,section:string,page:int>>")
+    text = F.concat(F.lit("**"), "role", F.lit("** "), "text", F.lit(" `"), F.col("conv_id").cast("string"), F.lit("`"))
+    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[*_`#]"))
+    parts = render_answer(text, F.when(turn % 2 == 1, F.array(source)).otherwise(none), 1_000_000)
+    return rows.select("conv_id", "turn", F.array_join(parts, "|").alias("rendered"), F.size(parts).alias("parts"))

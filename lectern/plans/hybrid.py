@@ -16,13 +16,14 @@ def hybrid(corpus: DataFrame, questions: DataFrame, rows: DataFrame, vectors: Da
     """Rankings (qid, id, score, rank) named words, vector and hybrid.
 
     ``corpus`` (id, text) and ``rows`` (id, vector) hold the passages, ``questions`` (qid, text) and ``vectors``
-    (qid, vector) what is asked; ``where`` filters both before anything is ranked.
+    (qid, vector) what is asked; ``where`` filters both before anything is ranked.  The two rankings by words and by
+    vectors, ``depth`` rows a question, are persisted, as the third is read from them.
     """
-    words = bm25_topk(corpus if where is None else corpus.where(where), questions, depth)
-    near = vector_topk(rows, vectors, depth, where)
+    words = bm25_topk(corpus if where is None else corpus.where(where), questions, depth).persist()
+    near = vector_topk(rows, vectors, depth, where).persist()
     return {"words": words, "vector": near, "hybrid": rrf({"words": words, "vector": near}, depth=depth)}
 
 
 def evaluate(rankings: dict[str, DataFrame], correct: DataFrame, questions: DataFrame) -> DataFrame:
     """Recall at k and MRR of each ranking, one row a source."""
-    return recall_mrr(label_sources(rankings), correct, questions)
+    return recall_mrr(label_sources(rankings), correct, questions, sources=list(rankings))

@@ -24,6 +24,7 @@ class Collection:
 
     def ensure(self, recreate: bool = True) -> bool:
         """Makes the table; True if it is new, dropped first if ``recreate``."""
+        self._recover()
         if self.spark.catalog.tableExists(self.name):
             if not recreate:
                 return False
@@ -35,7 +36,12 @@ class Collection:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def insert(self, chunks: DataFrame) -> int:
-        """Adds rows; one whose id is in the table already replaces it. Strings beyond the limits are an error."""
+        """Adds rows; one whose id is in the table already replaces it. Strings beyond the limits are an error.
+
+        Where rows are replaced, the new table is written aside and takes the place of the old one when it is whole; what is
+        left of a failure in between is put right by the next call.
+        """
+        self._recover()
         rows = to_rows(chunks)
         for column, most in VECTOR_LIMITS.items():
             rows = rows.withColumn(column, F.when(F.length(column) > most, F.raise_error(F.lit(f"{column} is longer than {most}")).cast("string")).otherwise(F.col(column)))
@@ -43,22 +49,24 @@ class Collection:
         try:
             n = rows.count()
             old = self.spark.table(self.name)
-            if old.isEmpty():
+            if old.join(rows.select("chunk_id"), "chunk_id", "left_semi").isEmpty():
                 rows.write.mode("append").insertInto(self.name)
             else:
-                replaced = old.join(rows.select("chunk_id"), "chunk_id", "left_semi")
-                if replaced.isEmpty():
-                    rows.write.mode("append").insertInto(self.name)
-                else:
-                    kept = old.join(rows.select("chunk_id"), "chunk_id", "left_anti").select(*rows.columns).unionByName(rows)
-                    spare = f"{self.name}_next"
-                    kept.write.mode("overwrite").format("parquet").saveAsTable(spare)
-                    self.spark.table(spare).write.mode("overwrite").insertInto(self.name)
-                    self.spark.sql(f"DROP TABLE {spare}")
+                kept = old.join(rows.select("chunk_id"), "chunk_id", "left_anti").select(*rows.columns).unionByName(rows)
+                kept.write.mode("overwrite").format("parquet").saveAsTable(f"{self.name}_aside")
+                self.spark.sql(f"ALTER TABLE {self.name}_aside RENAME TO {self.name}_next")  # from here on it is whole
+                self._recover()
             return n
         finally:
             rows.unpersist()
 
+    def _recover(self) -> None:
+        """Puts a whole new version in the place of the old one, and drops a part of one."""
+        if self.spark.catalog.tableExists(f"{self.name}_next"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            self.spark.sql(f"ALTER TABLE {self.name}_next RENAME TO {self.name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_aside")
+
     def count(self) -> int:
         return self.spark.table(self.name).count()
 

@@ -11,12 +11,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lectern.operators.guards import WINDOW_SECONDS
 from lectern.operators.sessions import LAST_TURNS
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RATE_FIELDS = "chat_id long, seq long, t double, accepted boolean"
 HISTORY_FIELDS = "chat_id long, seq long, items array<struct<role:string,text:string>>"
 
 
+def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """What one micro-batch brings for a chat; ``maxFilesPerTrigger`` and the like of the source bound it."""
+    return pd.concat(list(rows)).sort_values(by)
+
+
 class RateLimiter(StatefulProcessor):
-    """State of a chat: its accepted times within the window, at most ``limit``; dropped when the window has passed."""
+    """State of a chat: its accepted times within the window, at most ``limit``.
+
+    ``t`` is the time of arrival in seconds.  A timer drops the state of a chat that has been idle for a window, so state is
+    kept for chats that are active only.
+    """
 
     def __init__(self, limit: int, window: float = WINDOW_SECONDS):
         self.limit, self.window = limit, window
@@ -28,7 +38,7 @@ class RateLimiter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.times.get() if self.times.exists() else None
         times = list(stored[0]) if stored else []
-        events = pd.concat(list(rows)).sort_values(["t", "seq"])
+        events = _in_order(rows, ["t", "seq"])
         accepted = []
         for t in events["t"]:
             times = [x for x in times if t - x < self.window]
@@ -36,8 +46,15 @@ class RateLimiter(StatefulProcessor):
             if accepted[-1]:
                 times.append(t)
         self.times.update((times,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.window * 1000))
         yield events[["chat_id", "seq", "t"]].assign(accepted=accepted)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield pd.DataFrame({"chat_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "t": pd.Series(dtype="float64"), "accepted": pd.Series(dtype="bool")})
+
     def close(self) -> None:
         pass
 
@@ -54,7 +71,7 @@ class SessionKeeper(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         turns = list(self.turns.get()) if self.turns.exists() else []
         out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+        for r in _in_order(rows, ["seq"]).itertuples():
             turns = [] if r.op == "reset" else [*turns, (r.role, r.text)][-self.n :]
             out.append((key[0], r.seq, [{"role": a, "text": b} for a, b in turns]))
         if turns:
@@ -67,15 +84,17 @@ class SessionKeeper(StatefulProcessor):
         pass
 
 
-def _keyed(events: DataFrame, processor: StatefulProcessor, fields: str) -> DataFrame:
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    return events.groupBy("chat_id").transformWithStateInPandas(processor, fields, "append", "none")
+def _keyed(events: DataFrame, processor: StatefulProcessor, fields: str, time_mode: str = "none") -> DataFrame:
+    """Needs ``spark.sql.streaming.stateStore.providerClass`` to name the RocksDB provider; it is set where nothing is."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in events.sparkSession.conf.get(key, ""):
+        events.sparkSession.conf.set(key, ROCKSDB)
+    return events.groupBy("chat_id").transformWithStateInPandas(processor, fields, "append", time_mode)
 
 
 def rate_limited(events: DataFrame, limit: int, window: float = WINDOW_SECONDS) -> DataFrame:
     """A stream (chat_id, seq, t) with accepted."""
-    return _keyed(events.select("chat_id", "seq", "t"), RateLimiter(limit, window), RATE_FIELDS)
+    return _keyed(events.select("chat_id", "seq", "t"), RateLimiter(limit, window), RATE_FIELDS, "processingTime")
 
 
 def histories(events: DataFrame, n: int = LAST_TURNS) -> DataFrame:

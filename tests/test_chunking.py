@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lectern.functions import text as T
 from lectern.operators import chunking as C
 from lectern.operators import pagetext as P
 from lectern.plans.corpus import build_chunks
@@ -109,19 +110,25 @@ def raw_pages():
 def test_furniture_body_tail_and_wraps():
     cleaned = P.clean_document([page(t, k) for k, t in enumerate(raw_pages())])
     assert [p["pdf"] for p in cleaned] == [2, 3, 4] and [p["printed"] for p in cleaned] == [3, 4, 5]
-    assert cleaned[0]["text"].startswith("1 Introduction\nThe case-insensitive text.\n\nFull Copyright")
+    assert cleaned[0]["text"].startswith("1 Introduction\nThe case-\ninsensitive text.\n\n\nFull Copyright")
     assert "after the foot" in cleaned[1]["text"] and "2002" not in cleaned[1]["text"]
     assert cleaned[2]["text"] == "3 References\n[1] A book"
     assert P.clean_document([page("nothing here")]) == []
 
 
-@pytest.mark.parametrize(("lines", "expected"), [(["a-", "b-", "C"], ["a-b-C"]), (["--", "b"], ["--", "b"]), (["a-", "1"], ["a-", "1"]), (["x -", "y"], ["x -", "y"])])
-def test_hyphens(lines, expected):
-    assert P.rejoin_hyphens(lines) == expected
+def test_hyphens_and_blank_lines(spark):
+    joined = {"a-\nb-\nC": "a-b-C", "--\nb": "--\nb", "a-\n1": "a-\n1", "x -\ny": "x -\ny", "the case-\n   in-\n\tsensitive": "the case-in-sensitive", "a-\n\nb": "a-\n\nb", "é-\nÜ": "é-Ü", "": ""}
+    squeezed = {"\n \na\n\n\nb\n": "a\n\nb", "": "", "  ": "", "\n\n": "", "a\n \n\t\nb\n \n": "a\n\nb", "  a\nb": "  a\nb"}
+    for cases, f in ((joined, T.rejoin_hyphens), (squeezed, T.squeeze_blank_lines)):
+        rows = spark.createDataFrame(list(cases.items()), "x string, y string")
+        assert [(r.x, r.z) for r in rows.select("x", "y", f(rows["x"]).alias("z")).where("not z <=> y").collect()] == []
 
 
-def test_blank_lines():
-    assert P.squeeze_blank_lines(["", " ", "a", "", "", "b", ""]) == ["a", "", "b"] and P.squeeze_blank_lines([]) == []
+def test_cleaned_pages_in_spark(spark):
+    pages = [{"text": t, "pdf": k, "printed": None} for k, t in enumerate(raw_pages())]
+    docs = spark.createDataFrame([(1, pages), (2, []), (3, None)], f"rfc int, pages {P.PAGES}")
+    got = {r.rfc: r.pages for r in P.clean_pages(docs).collect()}
+    assert got[1][0].text.startswith("1 Introduction\nThe case-insensitive text.\n\nFull Copyright") and not got[2] and not got[3]
 
 
 def test_pages_to_chunks_in_spark(spark):

@@ -17,4 +17,17 @@ def test_from_pages_to_evaluation(spark, tmp_path, capsys):
     (tmp_path / "q.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
     main(["evaluate", str(tmp_path / "out/naive"), str(tmp_path / "q.jsonl"), str(tmp_path / "report")])
     assert json.loads(next((tmp_path / "report").glob("*.json")).read_text().splitlines()[0])["recall_1"] == 1.0
+    capsys.readouterr()
+    main(["ingest", str(tmp_path / "out/naive"), "--name", "cli_chunks", "--cache", str(tmp_path / "cache")])
+    main(["hybrid", str(tmp_path / "out/naive"), str(tmp_path / "q.jsonl"), str(tmp_path / "report"), "--name", "cli_chunks"])
+    out = capsys.readouterr().out
+    assert "vector        1.000    1.000    1.000    1.000" in out and "hybrid        1.000" in out and "words         1.000" in out
+    main(["benchmark", str(tmp_path / "q.jsonl"), str(tmp_path / "run"), "--configs", "notools,other"])
+    assert "other" in capsys.readouterr().out
+    main(["report", str(tmp_path / "run/log")])
+    assert "notools" in capsys.readouterr().out
+    (tmp_path / "messages").mkdir()
+    (tmp_path / "messages" / "m.json").write_text('{"chat_id": 1, "seq": 1, "t": 0.0, "text": "hello"}\n{"chat_id": 1, "seq": 2, "t": 1.0, "text": "/start"}\n')
+    main(["serve", str(tmp_path / "messages"), str(tmp_path / "service")])
+    assert "hello" in capsys.readouterr().out
     spark.sql("DROP TABLE cli_chunks")

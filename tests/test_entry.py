@@ -19,7 +19,7 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name in ("corpus_pipeline", "lectern.llm") or name.startswith("lectern.llm."):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 assert "bm25_topk" in e.queries() and "pipeline" not in e.queries() and set(e.oracle_sql()) <= set(e.queries())
@@ -27,6 +27,24 @@ assert "bm25_topk" in e.queries() and "pipeline" not in e.queries() and set(e.or
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}).returncode == 0
 
 
+def test_a_missing_library_is_not_taken_for_a_missing_subpackage():
+    code = """
+import importlib.util, sys
+if importlib.util.find_spec("lectern.llm") is not None and importlib.util.find_spec("corpus_pipeline") is not None:
+    class Block:
+        def find_spec(self, name, path=None, target=None):
+            if name == "ahocorasick":
+                raise ModuleNotFoundError(name, name=name)
+    sys.meta_path.insert(0, Block())
+    try:
+        import __spark_entry__
+    except ModuleNotFoundError:
+        sys.exit(0)
+    sys.exit(1)
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}).returncode == 0
+
+
 def _normal(rows, columns):
     def value(x):
         if isinstance(x, bool) or x is None:

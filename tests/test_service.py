@@ -1,11 +1,16 @@
 import json
 
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.operators import guards, rag, reporting, sessions
+from lectern.operators.client import Client, OverBudget, Usage
+from lectern.operators.embedding import hash_encoder
+from lectern.plans import benchmark
 from lectern.sources import jsonl, pages
 from lectern.streaming import guards as streaming
+from lectern.streaming import service as service_module
+from lectern.streaming.service import Service
 
 
 def events(spark):
@@ -20,14 +25,23 @@ def test_refused_events_do_not_count(spark):
 
 
 def test_guards_in_order(spark):
-    got = {r.seq: r.verdict for r in guards.guard_pipeline(events(spark), 2, 10, 7.0, bucket=F.floor(F.col("t") / 50)).collect()}
+    got = {r.seq: r.verdict for r in guards.guard_pipeline(events(spark), 2, 10, 7.0).collect()}
     assert got == {0: "ok", 1: "too_long", 2: "rate_limited", 3: "ok", 4: "rate_limited", 100: "ok", 101: "over_budget", 5: "over_budget"}
 
 
-def test_running_total_over_buckets(spark):
-    df = spark.range(200).selectExpr("id as seq", "cast(id % 7 as double) as v")
-    got = {r.seq: r.before for r in guards.running_total(df, "v", ["seq"], F.floor(F.col("seq") / 16)).collect()}
+def test_running_total_over_ranges(spark):
+    df = spark.range(200).selectExpr("id as seq", "cast(id % 7 as double) as v", "'x' as other").repartition(5)
+    got = {r.seq: r.before for r in guards.running_total(df, "v", ["seq"]).collect()}
     assert got == {k: float(sum(j % 7 for j in range(k))) for k in range(200)}
+    assert guards.running_total(df.limit(0), "v", ["seq"]).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, 3.0), (None, 1.0)], "seq long, v double")
+    assert sorted((r.seq or 0, r.before) for r in guards.running_total(nulls, "v", ["seq"]).collect()) == [(0, 0.0), (1, 1.0), (2, 1.0)]
+
+
+def test_guards_judge_null_and_repeated_keys_row_by_row(spark):
+    rows = [(None, 1, 0.0, "a", 1.0), (None, 1, 0.0, "a", 1.0), (None, 1, 0.0, "a", 1.0), (1, None, 5.0, "b", 1.0)]
+    got = guards.guard_pipeline(spark.createDataFrame(rows, "chat_id long, seq long, t double, text string, cost_usd double"), 2, 10, 9.0).collect()
+    assert sorted(r.verdict for r in got) == ["ok", "ok", "ok", "rate_limited"]
 
 
 def test_streamed_rate_limit_equals_the_batch(spark, tmp_path):
@@ -40,6 +54,90 @@ def test_streamed_rate_limit_equals_the_batch(spark, tmp_path):
     assert {(r.seq, r.accepted) for r in spark.table("limited").collect()} == {(r.seq, r.accepted) for r in guards.rate_limit(events(spark), 2).collect()}
 
 
+def test_idle_chats_leave_no_state():
+    """The processor by itself: a timer is kept a window ahead, and when it fires the state goes."""
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = Value(), []
+
+        def getValueState(self, name, schema):
+            return self.state
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    limiter, handle = streaming.RateLimiter(1, 60.0), Handle()
+    limiter.init(handle)
+    for ms, t in ((1000, 1.0), (5000, 5.0)):
+        out = pd.concat(limiter.handleInputRows((7,), iter([pd.DataFrame({"chat_id": [7], "seq": [ms], "t": [t]})]), Now(ms)))
+        assert out["accepted"].tolist() == [ms == 1000] and handle.timers == [ms + 60_000]
+    assert handle.state.exists()
+    assert sum(len(x) for x in limiter.handleExpiredTimer((7,), Now(65_000), None)) == 0 and not handle.state.exists()
+
+
+def test_service_over_a_stream(spark, tmp_path):
+    """Three micro-batches: guards, agent outcomes, a reset, and a batch that is sent twice."""
+
+    def agent():
+        def ask(question, history):
+            if "slow" in question:
+                raise TimeoutError
+            if "broken" in question:
+                raise ValueError
+            return {"answer": f"**{question}** after {len(history)}", "cost_usd": 0.4, "sources": [{"rfc": 5, "section": "9", "page": None}]}
+
+        return ask
+
+    service = Service(spark, str(tmp_path / "data"), agent, limit=2, longest=20, cap=0.7)
+    schema = "chat_id long, seq long, t double, text string"
+    first = [(1, 1, 0.0, "/start"), (1, 2, 1.0, "one"), (1, 3, 2.0, "slow"), (1, 4, 3.0, "three"), (2, 1, 1.0, "x" * 21), (2, 2, 2.0, "broken")]
+    second = [(1, 5, 30.0, "again"), (1, 6, 70.0, "later"), (3, 1, 71.0, "late"), (2, 3, 72.0, "/reset"), (2, 4, 73.0, "/other")]
+    third = [(3, 2, 200.0, "too late")]
+    for k, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    service.start(stream, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    service.handle(spark.createDataFrame(second, schema), 1)  # sent again
+    got = {(r.chat_id, r.seq): r.parts for r in service.replies().collect()}
+    says = service_module.REPLIES
+    assert got[(1, 1)] == [says["onboarding"]] and got[(1, 4)] == [says["rate_limited"]] and got[(2, 1)] == [says["too_long"]]
+    assert got[(1, 2)] == ["one after 0\n\nИсточники:\n— RFC 5 §9"] and got[(1, 3)] == [says["timeout"]] and got[(2, 2)] == [says["error"]]
+    assert got[(1, 5)] == [says["rate_limited"]] and got[(1, 6)][0].startswith("later after 2") and got[(3, 1)][0].startswith("late after 0")
+    assert got[(2, 3)] == [says["reset"]] and (2, 4) not in got and got[(3, 2)] == [says["over_budget"]] and len(got) == 11
+    spent = {(r.chat_id, r.seq): r.cost_usd for r in service.read("spend", "chat_id long, seq long, cost_usd double").collect()}
+    assert spent == {(1, 2): 0.4, (2, 2): 0.01, (1, 6): 0.4, (3, 1): 0.4}
+
+
 def log(spark):
     rows = [(1, 1, "append", "user", "a"), (1, 2, "append", "assistant", "b"), (1, 3, "reset", None, None), (1, 4, "append", "user", "c"), (2, 1, "append", "user", "d"), *[(3, k, "append", "user", f"m{k}") for k in range(30)]]
     return spark.createDataFrame(rows, "chat_id long, seq long, op string, role string, text string")
@@ -116,6 +214,74 @@ def test_agent_stops_after_its_steps():
     assert got == {"answer": "done", "cost_usd": 1.5, "steps": 3, "tool_calls": ["{bad", "{bad"]} and seen == [True, True, False]
 
 
+def test_knowledge_base(spark):
+    rows = [(f"c{k}", k % 2, None if k % 3 else f"{k} S", k, f"text {k}", [float(x) for x in hash_encoder(8)([f"query: {k}"])[0]]) for k in range(8)]
+    table = spark.createDataFrame(rows, "chunk_id string, rfc int, section_path string, page int, text string, vector array<float>")
+    tool = rag.knowledge_base(table, hash_encoder(8), 2)
+    assert tool("3").startswith("[1] RFC 1 · §3 S\ntext 3\n\n[2] RFC ") and tool("3", 0).count("RFC 0") == 2
+    assert tool("3", "1").startswith("[1] RFC 1 · §3 S") and tool("3", 99) == rag.NOTHING_FOUND
+    with pytest.raises(ValueError):
+        rag.number_filter("1 or true")
+    calls = [(k, [float(x) for x in hash_encoder(8)([f"query: {k}"])[0]], rfc) for k, rfc in ((0, None), (1, 1), (2, 1), (3, 99))]
+    got = {r.qid: r.reply for r in rag.tool_replies(spark.createDataFrame(calls, "qid int, vector array<float>, rfc int"), table, 1).collect()}
+    assert got[0].endswith("text 0") and got[1].endswith("text 1") and "RFC 1" in got[2] and got[3] == rag.NOTHING_FOUND
+
+
+def test_benchmark_resumes_stops_at_its_budget_and_judges(spark, tmp_path):
+    rows = [(f"q{k}", f"question {k}", f"gold {k}", k < 4) for k in range(6)]
+    questions = spark.createDataFrame(rows, "id string, question string, answer string, answerable boolean")
+
+    def answerer():
+        return lambda q: {"answer": q.upper(), "cost_usd": 0.25, "steps": 2, "chunk_ids": ["c"]}
+
+    configurations = {"a": benchmark.Configuration("m1", answerer), "b": benchmark.Configuration("m2", answerer)}
+    run = benchmark.Run(spark, str(tmp_path / "run"), budget=2.0, batch=4)
+    with pytest.raises(benchmark.BudgetExceeded):
+        run.answer(questions, configurations)
+    assert run.log().count() == 10  # the batch that reaches the budget is finished, the next one is not begun
+    run.budget = 100.0
+    run.answer(questions, configurations)
+    assert run.log().count() == 12 and {(r.config, r.qid) for r in run.records().collect()} == {(c, f"q{k}") for c in "ab" for k in range(6)}
+
+    def judge():
+        return lambda q, g, a: (json.dumps({"verdict": "refused" if g > "gold 3" else "correct" if a.endswith("1") else "wrong"}), 0.01)
+
+    run.judge(judge)
+    run.judge(judge)
+    last = {(r.config, r.qid): r for r in run.records().collect()}
+    assert run.log().count() == 24 and last[("a", "q1")].verdict == "correct" and last[("b", "q5")].verdict == "refused" and last[("b", "q5")].chunk_ids == ["c"]
+    assert {r.config: (r.n, r.accuracy, r.honest_refusals) for r in run.report().collect()} == {c: (6, 0.25, 1.0) for c in "ab"}
+    small = benchmark.Run(spark, str(tmp_path / "small"))
+    small.answer(questions, {"a": configurations["a"]}, limit=2)
+    assert small.log().count() == 3
+
+
+def test_client_retries_adds_up_and_stops():
+    sent, pauses = [], []
+
+    def transport(request):
+        sent.append(request)
+        if len(sent) < 3:
+            raise ConnectionError
+        return {"content": None, "usage": {"prompt_tokens": 10, "completion_tokens": None, "cost": None if len(sent) == 3 else 0.5}}
+
+    client = Client(transport, 0.6, {"m": (0.01, 0.02)}, pause=pauses.append)
+    assert client.chat("m", [])["content"] == "" and pauses == [2.0, 4.0] and client.usage == Usage(10, 0, 0.1)
+    assert client.chat("x", [], max_tokens=5)["cost"] == 0.5 and sent[-1]["max_tokens"] == 5
+    with pytest.raises(OverBudget):
+        client.chat("m", [])
+    with pytest.raises(RuntimeError):
+        Client(lambda r: (_ for _ in ()).throw(TimeoutError()), 1.0, pause=lambda s: None).chat("m", [])
+
+
+def test_recall_lines_and_usage(spark):
+    report = spark.createDataFrame([("hybrid", 0.5, 1.0), ("words", 0.25, 0.3333), ("vector", 0.0, 0.1)], "source string, recall_1 double, recall_3 double")
+    lines = [r.line for r in reporting.recall_lines(report, (1, 3)).collect()]
+    assert lines == ["source           @1       @3", "vector        0.000    0.100", "words         0.250    0.333", "hybrid        0.500    1.000"]
+    used = spark.createDataFrame([("a", 1, None, 0.5), ("a", 2, 3, None)], "model string, prompt_tokens int, completion_tokens int, cost_usd double")
+    assert tuple(reporting.usage_totals(used, "model").first()) == ("a", 2, 3, 3, 0.5)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"ts": "2024-01-01T00:00:00Z", "chat_id": 1, "cost_usd": 0.5}\n\n{"ts": \noops\n{"cost_usd": NaN}\n{"chat_id": 2, "cost_usd": 0.25}\n')
     journal = jsonl.read_journal(spark, str(tmp_path / "j.jsonl"))
