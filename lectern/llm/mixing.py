@@ -5,10 +5,11 @@ Every document gets an exponential key ``-ln(u) / w`` where ``u`` is drawn from
 least its size is taken whole that many times first (complete epochs); only the rest of its target is filled from the
 head of the key order.
 
-The order within a source is never sorted in one task.  Keys are dealt into ``buckets`` intervals of the uniform draw
-``exp(-key)``; the sizes of the intervals are summed first, a prefix sum over the few intervals of each source finds the
-one in which the budget ends, and only the documents of that interval are ordered.  A third of all rows in one source
-therefore costs a partial aggregate, not a sort of that source.
+The order within a source is never sorted in one task.  Keys are dealt into intervals by their logarithm, ``buckets`` to a
+factor of e, so that none holds more than a small share of a source whatever the scale of its weights; the sizes of the
+intervals are summed first, a prefix sum over the intervals of each source finds the one in which the budget ends, and
+only the documents of that interval are ordered.  A third of all rows in one source therefore costs a partial
+aggregate, not a sort of that source.
 
 Edge cases: null or blank texts have size 0 and are taken 0 times in words; a null source is a source of its own, last
 in order; null or non-positive weights count as the smallest weight; repeated ids draw equal keys and are ordered by
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from lectern.llm.runtime import WORD_PATTERN, cut, spill, without
 
 LEAST_WEIGHT = 1e-3
-BUCKETS = 4096
+#: An interval holds at most 1 / (e BUCKETS) of the documents of one weight.
+BUCKETS = 1024
 #: The plan, one narrow row a source, is broadcast up to this many sources and shuffled beyond.
 MOST_BROADCAST_SOURCES = 20_000
 #: Source weights in order of the sources' code points, repeating.
@@ -88,7 +90,7 @@ def mix_sources(
     place = F.struct(
         (-F.log(uniform_key(F.col("doc_id"), seed)) / w).alias("key"), F.col("doc_id").alias("id"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("tie")
     )
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_mix_place.key"))) * buckets)
+    bucket = F.floor(F.log(F.col("_mix_place.key")) * buckets)
     keyed = spill(docs.select("source", word_count(F.col("text")).alias("size"), place.alias("_mix_place")).withColumn("_mix_bucket", bucket))
     per_bucket = keyed.groupBy("source", "_mix_bucket").agg(F.sum("size").alias("_mix_words"))
     targets = source_targets(per_bucket.groupBy("source").agg(F.sum("_mix_words").alias("source_size")), share, most_epochs, cycle)

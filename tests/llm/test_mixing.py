@@ -57,3 +57,10 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c", "s", 1)] * 3 + [(None, "a b", "s", 2), (None, None, None, 3)], "doc_id long, text string, source string, size int")
     assert len({r.taken for r in mix_sources(df).where("doc_id = 1").collect()}) == 1
     assert mix_sources(df).count() == 5 and mix_sources(df.limit(0)).count() == 0
+
+
+def test_the_scale_of_weights_changes_nothing(spark):
+    """Also where all weights are far from 1, keys are spread over many intervals."""
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(id % 5 + 1 as int)) as text", "if(id % 3 = 0, 'a', 'b') as source", "1.0D as one", "0.002D as small", "500.0D as large")
+    found = [{r.doc_id: r.copies for r in mix_sources(df, weight=df[c]).collect()} for c in ("one", "small", "large")]
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) > 1
