@@ -1,7 +1,8 @@
 """Language-model scores by a hashed maximum-entropy model with a softmax factored along a tree of classes.
 
 Counting: every training text is cut into words and an end token; counts of all tokens are summed by their 64-bit hash.
-The most frequent ``HEAD`` tokens travel with the tasks; the counts of all others are joined to the texts by a shuffle.
+The counts of the ``COUNTS`` most frequent tokens travel with the tasks; all others are joined to the texts by a shuffle.
+The ``HEAD`` most frequent ones have leaves of their own in the model.
 
 Model: every word is a leaf of a tree of classes, split into at most ``FAN`` parts of about equal frequency at each node;
 frequent tokens are leaves of their own, all others are dealt by their hash into groups of about ``GROUP`` tokens.  A
@@ -12,9 +13,10 @@ of their smoothed counts, one share left for unseen ones, so that probabilities
 so the untrained model is the unigram model.  Groups grow in number with the distinct tokens, buckets of features with
 the square root of the training tokens, as every task holds them all.
 
-Training: each round hands the weights to all tasks; a task takes gradient steps over batches of its own tokens and sends
-its change of every bucket with the number of tokens behind it; changes are added up by bucket in Spark and averaged by
-these numbers.  The rounds split the training texts by a hash, so each text is used once.
+Training: texts are dealt to rounds and tasks by a hash of id and text, so each is used once and the split of the table does
+not matter.  Each round hands the weights to all tasks; a task takes gradient steps over batches of its own tokens and
+sends its change of every bucket with the number of tokens behind it; changes are added up by bucket in Spark and
+averaged by these numbers.
 
 Scoring: sparse gathers of weight rows in batches of tokens.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from lectern.llm import textkit
 from lectern.llm.runtime import arrow_batches, spill
 
 HEAD = 1 << 17
+#: Counts of so many tokens travel with the tasks; the others are joined to the texts.
+COUNTS = 1 << 20
 FAN = 16
 UPPER = 2
 GROUP = 256
@@ -46,12 +50,14 @@ GROUP = 256
 #: the power of MOST_BITS at most, as every task holds 192 bytes a bucket.
 BITS, BUCKETS, MOST_BITS = 13, 16, 20
 #: A training task sees about this many times the square root of all training tokens, or more.
-TASK = 1000
+TASK, LEAST_TASKS = 1000, 8
 #: Tasks whose changes one group adds up; sums of more tasks are added up in turn.
 LANE = 64
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.35
+#: Weights are held within these bounds after each round, so that exponentials of their sums stay finite.
+MOST_WEIGHT = 20.0
 SMOOTH = 0.1
 _END = np.uint64(0x51ED270B35AF1C07)
 _START = np.uint64(0x2B7E151628AED2A6)
@@ -96,6 +102,9 @@ class Model:
 
     head: np.ndarray  # sorted hashes
     head_count: np.ndarray
+    rest: np.ndarray  # sorted hashes of the tokens next to the head in frequency
+    rest_count: np.ndarray
+    index: np.ndarray  # by the upper bits of a hash, where in the head it would begin
     total: int
     distinct: int
     group_mass: np.ndarray  # smoothed counts of each group, one unseen token included
@@ -172,25 +181,29 @@ def _most_frequent(vocabulary: DataFrame, head: int) -> tuple[Column, int, int]:
     return (F.col("c") > count) | ((F.col("c") == count) & (slot < (1 << 16 if last is None else last))), int(total["n"]), int(total["v"])
 
 
-def new_model(vocabulary: DataFrame, head: int = HEAD) -> Model:
-    """From (h, c) of all tokens; only the ``head`` most frequent reach the driver."""
-    among, n, v = _most_frequent(vocabulary, head)
+def new_model(vocabulary: DataFrame, head: int = HEAD, counts: int = COUNTS) -> Model:
+    """From (h, c) of all tokens; only the ``counts`` most frequent reach the driver."""
+    among, n, v = _most_frequent(vocabulary, max(head, counts))
     top = vocabulary.where(among).toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    others = max(0, v - len(h))
-    groups = 1 << max(0, math.ceil(math.log2(max(1, others) / GROUP)))
+    order = np.lexsort((h, -c))
+    first, rest = np.sort(order[:head]), order[head:]
+    first, rest = first[np.argsort(h[first])], rest[np.argsort(h[rest])]
+    groups = 1 << max(0, math.ceil(math.log2(max(1, v - len(first)) / GROUP)))
     group = F.col("h").bitwiseAND(F.lit(groups - 1))
     found = vocabulary.where(~among).groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     group_mass = np.full(groups, SMOOTH)
     group_mass[found["g"].to_numpy(np.int64)] += found["n"].to_numpy(float) + SMOOTH * found["v"].to_numpy(float)
+    np.add.at(group_mass, (h[rest] & np.uint64(groups - 1)).astype(np.int64), c[rest] + SMOOTH)
+    rest, rest_count, h, c = h[rest], c[rest], h[first], c[first]
     mass = np.concatenate([c + SMOOTH, group_mass])
     order = np.argsort(-mass, kind="stable")
     leaf = np.empty(len(mass), np.int64)
     leaf[order] = np.arange(len(mass))
     bits = min(MOST_BITS, max(BITS, round(math.log2(BUCKETS * math.sqrt(max(1, n))))))
-    return Model(h, c, n, v, group_mass, leaf, *grow_tree(mass[order]), np.zeros((3, 1 << bits, FAN), np.float32))
+    slots = max(1, 2 * len(h)).bit_length()
+    index = np.searchsorted(h, np.arange(1 << slots, dtype=np.uint64) << np.uint64(64 - slots))
+    return Model(h, c, rest, rest_count, np.append(index, len(h)), n, v, group_mass, leaf, *grow_tree(mass[order]), np.zeros((3, 1 << bits, FAN), np.float32))
 
 
 def contexts(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +257,6 @@ def _exp_sums(z: np.ndarray) -> np.ndarray:
 
     Biases are logarithms of shares and changes of weights sum to zero over a row, so no row is far from zero as a whole.
     """
-    np.minimum(z, 60.0, out=z)
     np.exp(z, out=z)
     return z @ np.ones((z.shape[1], 1), z.dtype)
 
@@ -304,13 +316,18 @@ class Trainer:
 
 
 def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Rounds of distributed gradient updates over ``docs`` (text).
+    """Rounds of distributed gradient updates over ``docs`` (text and, if there are any, columns that tell equal texts apart).
 
-    Tasks are fewer than the splits of a large table, so that what they send stays in proportion to the input.
+    Rows are dealt to rounds and shards by hashes and read in the order of their hashes, so the weights do not depend on how
+    the table is split.  The number of tasks follows from the tokens alone and is below the splits of a large table, so that
+    what they send stays in proportion to the input.
     """
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(math.sqrt(model.total) / TASK))
+    tasks = max(LEAST_TASKS, math.ceil(math.sqrt(model.total) / TASK))
+    deal = F.xxhash64(*docs.columns, F.lit(5))
+    dealt = docs.select(F.col("text").cast("string").alias("text"), deal.alias("deal"))
     for k in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        none = np.zeros(0, np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=none.view(np.uint64), rest_count=none))
 
         def run(batches, shared=shared):
             trainer = Trainer(shared.value)
@@ -336,16 +353,17 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 tokens_ += n
             return pdf.iloc[:1][["block", "lane"]].assign(raw=[(total / np.maximum(tokens_, 1)).astype(np.float16).tobytes()], seen=[tokens_.astype(np.float32).tobytes()])
 
-        part = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rounds)) == k)
+        part = dealt.where(F.pmod("deal", F.lit(rounds)) == k).repartition(4 * tasks, "deal").sortWithinPartitions("deal")
         fields = "block int, lane int, raw binary, seen binary"
-        changes = part.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(run, fields).groupBy("block", "lane").applyInPandas(add, fields)
+        changes = part.select("text").coalesce(tasks).mapInArrow(run, fields).groupBy("block", "lane").applyInPandas(add, fields)
         if tasks > LANE:
             changes = changes.groupBy("block").applyInPandas(add, fields)
         found = changes.select("block", "raw").collect()
         table = model.weights.reshape(-1, FAN).copy()
         for r in found:
             table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["raw"], np.float16).reshape(_BLOCK, FAN).astype(np.float32)
-        model = Model(**{**model.__dict__, "weights": table.reshape(model.weights.shape)})
+        model = replace(model, weights=np.clip(table, -MOST_WEIGHT, MOST_WEIGHT).reshape(model.weights.shape))
+        shared.unpersist()
     return model
 
 
@@ -357,54 +375,64 @@ def log_probabilities(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndar
         owner, node, child, buckets = _steps(model, x, p, q)
         z = _summed(model.bias.take(node, axis=0), model.weights, buckets)
         chosen = z.reshape(-1).take(np.arange(0, z.size, FAN) + child)
-        out[a : a + BATCH] = np.bincount(owner, np.minimum(chosen, 60.0) - np.log(_exp_sums(z)[:, 0]), minlength=len(x))
+        out[a : a + BATCH] = np.bincount(owner, chosen - np.log(_exp_sums(z)[:, 0]), minlength=len(x))
     return out
 
 
 def _headed(model: Model, h: np.ndarray) -> np.ndarray:
-    """Index in the head, or -1."""
-    if not len(model.head):
-        return np.full(len(h), -1, np.int64)
-    at = np.searchsorted(model.head, h)
-    at[at == len(model.head)] = 0
-    return np.where(model.head[at] == h, at, -1)
+    """Index in the head, or -1: the few hashes with equal upper bits are tried in turn."""
+    out = np.full(len(h), -1, np.int64)
+    slot = (h >> np.uint64(64 - (len(model.index) - 1).bit_length() + 1)).astype(np.int64)
+    at, end = model.index.take(slot), model.index.take(slot + 1)
+    open_ = np.flatnonzero(at < end)
+    while len(open_):
+        place = at.take(open_)
+        hit = model.head.take(place) == h.take(open_)
+        out[open_[hit]] = place[hit]
+        miss = ~hit
+        open_, place = open_[miss], place[miss] + 1
+        at[open_] = place
+        open_ = open_[place < end.take(open_)]
+    return out
 
 
 def _facts(shared):
-    """Per text: tokens, frequent ones, sums over frequent tokens and the model's part, without the tail's counts."""
+    """Per text: tokens, those whose counts are at hand, sums over these and the model's part, and the hashes of the others."""
 
     def run(batches):
         model = shared.value
-        smooth = np.log10(model.head_count + SMOOTH)
+        smooth, near = np.log10(model.head_count + SMOOTH), np.log10(model.rest_count + SMOOTH)
         for batch in batches:
             for i, j in textkit.slices(textkit.buffers(batch.column(3))[1]):
                 h, bounds = tokens(batch.column(3).slice(i, j - i))
                 at = _headed(model, h)
-                base = np.where(at >= 0, smooth[at] if len(smooth) else 0.0, 0.0)
+                base = np.zeros(len(h))
+                base[at >= 0] = smooth[at[at >= 0]]
+                far = np.flatnonzero(at < 0)
+                place = np.searchsorted(model.rest, h[far])
+                met = place < len(model.rest)
+                met[met] = model.rest[place[met]] == h[far[met]]
+                base[far[met]] = near[place[met]]
                 value = log_probabilities(model, h, *contexts(h, bounds)) / np.log(10)
-                value += np.where(at >= 0, 0.0, -np.log10(model.group_mass)[_groups(model, h)])
+                value[far] += base[far] - np.log10(model.group_mass)[_groups(model, h[far])]
                 first = bounds[:-1]
-                sums = [np.add.reduceat(x, first) for x in ((at >= 0).astype(np.int64), base, value)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], pa.array(np.diff(bounds)), *[pa.array(s) for s in sums]], names=["id", "part", "held_out", "n_tokens", "n_head", "base", "value"])
+                known = np.ones(len(h), np.int64)
+                known[far[~met]] = 0
+                sums = [np.add.reduceat(x, first) for x in (known, base, value)]
+                others = h[known == 0]
+                edge = np.concatenate([[0], np.cumsum(np.diff(bounds) - sums[0])]).astype(np.int32)
+                rare = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edge * 8), pa.py_buffer(np.ascontiguousarray(others))])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], pa.array(np.diff(bounds)), *[pa.array(s) for s in sums], rare], names=["id", "part", "held_out", "n_tokens", "n_head", "base", "value", "rare"])
 
     return run
 
 
-def _tail(shared):
-    """(id, part, h) of every token outside the head."""
-
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            ids, parts = batch.column(0), batch.column(1)
-            for i, j in textkit.slices(textkit.buffers(batch.column(2))[1]):
-                h, bounds = tokens(batch.column(2).slice(i, j - i))
-                at = np.flatnonzero(_headed(model, h) < 0)
-                if len(at):
-                    row = pa.array(i + np.searchsorted(bounds, at, side="right") - 1)
-                    yield pa.RecordBatch.from_arrays([ids.take(row), parts.take(row), pa.array(h[at].view(np.int64))], names=["id", "part", "h"])
-
-    return run
+def _tail(batches):
+    """(id, part, rare) -> (id, part, h) of every token whose count is not at hand."""
+    for batch in batches:
+        data, offsets = textkit.buffers(batch.column(2))
+        row = pa.array(np.repeat(np.arange(len(batch)), np.diff(offsets) // 8))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["id", "part", "h"])
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -413,16 +441,15 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     arrow_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash(text).alias("part"), held_out.alias("held_out"), text.alias("text"))
-    training = keyed.where(~F.col("held_out")).select("text")
-    vocabulary = spill(training.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    model = new_model(vocabulary)
-    shared = spark.sparkContext.broadcast(Model(**{**model.__dict__, "weights": model.weights[:, :1]}))
-    tail = keyed.select("id", "part", "text").mapInArrow(_tail(shared), "id long, part int, h long")
-    count = F.coalesce("c", F.lit(0))
-    rare = spill(tail.join(vocabulary, "h", "left").groupBy("id", "part").agg(F.sum(F.log10(count + SMOOTH)).alias("rare"), F.sum((count > 0).cast("long")).alias("known"), F.count("*").alias("n")))
-    model = train(training, model)
+    training = keyed.where(~F.col("held_out")).select("text", "id")
+    vocabulary = spill(training.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    model = train(training, new_model(vocabulary))
     trained = spark.sparkContext.broadcast(model)
-    facts = keyed.mapInArrow(_facts(trained), "id long, part int, held_out boolean, n_tokens long, n_head long, base double, value double")
+    facts = spill(keyed.mapInArrow(_facts(trained), "id long, part int, held_out boolean, n_tokens long, n_head long, base double, value double, rare binary"))
+    tail = facts.select("id", "part", "rare").where(F.length("rare") > 0).mapInArrow(_tail, "id long, part int, h long")
+    count = F.coalesce("c", F.lit(0))
+    rare = tail.join(vocabulary, "h", "left").groupBy("id", "part").agg(F.sum(F.log10(count + SMOOTH)).alias("rare"), F.sum((count > 0).cast("long")).alias("known"), F.count("*").alias("n"))
+    facts = facts.drop("rare")
     # rows with the same id and text sent their tail once each: the sums are over all of them
     rare = rare.select(F.col("id").alias("_id"), F.col("part").alias("_part"), "rare", "known", "n")
     times = F.greatest(F.round(F.col("n") / F.greatest(F.col("n_tokens") - F.col("n_head"), F.lit(1))), F.lit(1))
