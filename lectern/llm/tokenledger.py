@@ -4,7 +4,8 @@ A change says that a document was inserted, deleted or counted anew under one to
 reduced to one signed row for each source, language and tokenizer and committed under its id by a single rename in the
 shared file system: a batch that is committed already is left alone, so a batch can be sent again after any failure.
 Totals are the sum of the last snapshot and of the batches it does not hold; ``compact`` folds batches into a new
-snapshot.  Nothing is ever recounted.
+snapshot.  A snapshot names only the batches that it took up itself; those of the snapshot before are moved to a folder
+of folded batches, which tells that they were committed.  Nothing is ever recounted.
 
 Tokenizers are public vocabulary files, read on the driver from a path that is a parameter and sent to the tasks.
 
@@ -153,12 +154,12 @@ class Ledger:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch; False, and no work, if it was committed before."""
         name = self._safe(batch)
-        if name in self._held() or self._fs.exists(self._path(f"batches/{name}")):
+        if any(self._fs.exists(self._path(f"{folder}/{name}")) for folder in ("batches", "folded")):
             return False
         return self._publish(signed(changes), "batches", name)
 
     def _held(self) -> set[str]:
-        """Names of the batches that the last snapshot holds."""
+        """Names of the batches that the last snapshot took up; those of earlier ones are folded away."""
         last = self._names("snapshots")[-1:]
         if not last:
             return set()
@@ -166,6 +167,7 @@ class Ledger:
         return {r["batch"] for r in rows}
 
     def _sum(self) -> tuple[DataFrame, list[str]]:
+        """Totals, and the names of the batches that no snapshot holds."""
         last, held = self._names("snapshots")[-1:], self._held()
         fresh = [b for b in self._names("batches") if b not in held]
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -174,8 +176,7 @@ class Ledger:
             rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/snapshots/{last[0]}").where("batch is null").select(*GROUP, *MEASURES))
         if fresh:
             rows = rows.unionByName(self.spark.read.schema(schema).parquet(*[f"{self.root}/batches/{b}" for b in fresh]))
-        totals = rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES])
-        return totals, sorted(held | set(fresh))
+        return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES]), fresh
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens, n_chars) of all committed batches."""
@@ -184,9 +185,13 @@ class Ledger:
 
     def compact(self) -> int:
         """Folds all committed batches into a new snapshot; gives its number."""
-        rows, names = self._sum()
+        self._fs.mkdirs(self._path("folded"))
+        for name in self._held():
+            if self._fs.exists(self._path(f"batches/{name}")):
+                self._fs.rename(self._path(f"batches/{name}"), self._path(f"folded/{name}"))
+        rows, fresh = self._sum()
         number = len(self._names("snapshots"))
-        batches = self.spark.createDataFrame([(b,) for b in names], "batch string")
+        batches = self.spark.createDataFrame([(b,) for b in fresh], "batch string")
         both = rows.withColumn("batch", F.lit(None).cast("string")).unionByName(batches, allowMissingColumns=True)
         self._publish(both, "snapshots", f"{number:08d}")
         return number

@@ -31,6 +31,10 @@ def test_commits_are_idempotent_and_survive_compaction(spark, tmp_path):
     assert ledger.commit("day_1", two)  # another name, though it would look alike in a path
     assert _as_dict(ledger.totals()) == {("a", "en", "t"): (1, 10, 50)}
     ledger.compact()
+    assert (tmp_path / "ledger/folded").iterdir() and ledger._held() == {"day_1"}
+    assert not ledger.commit("day/1", one) and not ledger.commit("day_1", two)
+    ledger.compact()
+    assert ledger._held() == set() and not ledger.commit("day/1", one) and not ledger.commit("day_1", two)
     assert _as_dict(Ledger(spark, f"file://{tmp_path}/ledger").totals()) == {("a", "en", "t"): (1, 10, 50)}
     assert ledger.commit("empty", one.limit(0)) and _as_dict(ledger.totals()) == {("a", "en", "t"): (1, 10, 50)}
 
