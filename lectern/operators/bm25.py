@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.text import tokens
+from lectern.operators.topk import Best
 
 K1, B = 1.5, 0.75
 #: Distinct query terms up to this number are broadcast.
 MOST_BROADCAST_TERMS = 200_000
 #: Pairs of query and term up to this number are sent to the tasks.
 MOST_QUERY_TERMS = 1_000_000
-#: Scores that a task holds at once.
-CELLS = 2_000_000
 _WORD = re.compile("[a-z0-9]+")
 
 
@@ -113,12 +112,10 @@ def _scored(shared, weights, k: int, types: list):
     def run(batches):
         terms = shared.value
         names, first, owner, weight, average = weights.value
-        most = max(1, CELLS // max(1, len(names)))
-        best: list[list[tuple]] = [[] for _ in names]
-        least = np.zeros(len(names))
+        best = Best(names, k)
 
         def take(made, ids):
-            if not made or not len(names):
+            if not len(names):
                 return
             row = np.repeat(np.arange(len(made)), [len(c) for _, c in made])
             code, tf = np.unique(row * len(terms) + np.concatenate([c for _, c in made]), return_counts=True)
@@ -128,23 +125,13 @@ def _scored(shared, weights, k: int, types: list):
             many = first[code + 1] - first[code]
             at = np.arange(many.sum()) + np.repeat(first[code] - np.cumsum(many) + many, many)
             score = np.bincount(np.repeat(row, many) * len(names) + owner[at], np.repeat(value, many) * weight[at], minlength=len(made) * len(names)).reshape(len(made), -1)
-            rounded = np.floor(score * 1e6 + 0.5)
-            good = (score > 0) & (rounded >= least)
-            if good.sum() > 4 * k * len(names) and len(made) > k:
-                good &= rounded >= np.partition(rounded, len(made) - k, axis=0)[len(made) - k]
-            for i, q in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
-                best[q].append((-rounded[i, q], ids[i] is None, ids[i], float(score[i, q])))
-            for q in np.flatnonzero(good.any(0)):
-                best[q] = sorted(best[q])[:k]
-                if len(best[q]) == k:
-                    least[q] = -best[q][-1][0]
+            best.take(score, ids, score > 0)
 
         for batch in batches:
-            for i in range(0, len(batch), most):
-                part = batch.slice(i, most)
+            for i in range(0, len(batch), best.step()):
+                part = batch.slice(i, best.step())
                 take([_codes(t, terms) for t in part.column(0).to_pylist()], part.column(1).to_pylist())
-        rows = [(names[q], r[2], r[3]) for q, rs in enumerate(best) for r in rs]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["qid", "id", "score"])
+        yield best.batch(types)
 
     return run
 

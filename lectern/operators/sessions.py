@@ -25,6 +25,13 @@ def history(events: DataFrame, n: int = LAST_TURNS) -> DataFrame:
     return last.groupBy("chat_id").agg(F.transform(listed, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("items"))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows (chat_id, items as JSON text) of a session store with items parsed; what is not a list of turns is an empty history."""
+    items = F.when(F.btrim("items", F.lit(" \n\t\r")).startswith("["), F.from_json("items", "array<struct<role:string,text:string>>"))
+    whole = F.forall(items, lambda x: x["role"].isNotNull() & x["text"].isNotNull())
+    return rows.withColumn("items", F.when(F.coalesce(whole, F.lit(False)), items).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
+
+
 def settled(turns: DataFrame) -> DataFrame:
     """Questions with their outcome -> the log of appends and the costs.
 

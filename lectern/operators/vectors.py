@@ -1,7 +1,7 @@
 """Exact cosine search: every row against every query, as matrix products in Arrow batches.
 
-The queries are a stated set, handled in blocks of bounded size; each batch of rows is multiplied with the block and only
-the best of each query go on, so what reaches the shuffle is k rows a query and batch.  Filters are applied before the
+The queries are a stated set, handled in blocks of bounded size; rows are multiplied with the block a bounded number at a
+time and only the best of each query go on, so what reaches the shuffle is k rows a query and task.  Filters are applied before the
 search, where Parquet sees them.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.operators.bm25 import ranked
+from lectern.operators.topk import Best
 
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 4096
@@ -34,29 +35,22 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)) / F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def _search(names: list, matrix: np.ndarray, k: int, kind: pa.DataType):
+def _search(names: list, matrix: np.ndarray, k: int, types: list):
     def run(batches):
         unit_q = (matrix / np.sqrt((matrix * matrix).sum(1))[:, None]).T
+        best = Best(names, k)
         for batch in batches:
             column = batch.column(1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             usable = pc.fill_null(pc.equal(pc.list_value_length(column), matrix.shape[1]), False)
-            kept = column.filter(usable)
-            if not len(kept):
-                continue
-            rows = kept.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(kept), -1)
-            ids = ids[usable.to_numpy(zero_copy_only=False)]
-            norm = np.sqrt((rows * rows).sum(1))
-            rows, ids = rows[norm > 0] / norm[norm > 0][:, None], ids[norm > 0]
-            score = rows @ unit_q
-            keep = min(k, len(ids))
-            if not keep:
-                continue
-            rounded = np.round(score, 6)
-            # everything at least as good as the k-th best, so that ties are settled by id later
-            edge = np.partition(rounded, len(ids) - keep, axis=0)[len(ids) - keep]
-            at, q = np.nonzero(rounded >= edge[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in q], kind), pa.array(ids[at]), pa.array(score[at, q])], names=["qid", "id", "score"])
+            kept, ids = column.filter(usable), batch.column(0).filter(usable).to_pylist()
+            for i in range(0, len(kept), best.step()):
+                part = kept.slice(i, best.step())
+                rows = part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), -1)
+                norm = np.sqrt((rows * rows).sum(1))
+                some = norm > 0
+                if some.any():
+                    best.take((rows[some] / norm[some][:, None]) @ unit_q, [x for x, y in zip(ids[i : i + len(part)], some, strict=True) if y])
+        yield best.batch(types)
 
     return run
 
@@ -76,6 +70,6 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int = 5, where: Column |
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
         for size in sorted({len(r["vector"]) for r in part}):
             mine = [r for r in part if len(r["vector"]) == size]
-            run = _search([r["qid"] for r in mine], np.array([r["vector"] for r in mine], float), k, to_arrow_type(found.schema["qid"].dataType))
+            run = _search([r["qid"] for r in mine], np.array([r["vector"] for r in mine], float), k, [to_arrow_type(f.dataType) for f in found.schema])
             found = found.unionByName(source.mapInArrow(run, found.schema))
     return ranked(found, k).withColumn("score", F.round("score", 6))

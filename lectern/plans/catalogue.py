@@ -203,41 +203,55 @@ def norm_prefix_match(spark, sf_dir):
 
 # --- chunks -----------------------------------------------------------------------------------------------------------
 
-_CHUNKS = f"""WITH RECURSIVE c AS (
+def _chunks_sql(size: int = 1000) -> str:
+    return f"""WITH RECURSIVE c AS (
   SELECT doc_id, text, len(text) AS n, 0 AS s, 0 AS e, 0 AS step FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')
   UNION ALL
   SELECT doc_id, text, n, CASE WHEN step % 2 = 0 THEN s ELSE nx END, CASE WHEN step % 2 = 0 THEN ce ELSE e END, step + 1 FROM (
-    SELECT *, CASE WHEN s + 1000 >= n THEN n WHEN len(regexp_extract(substr(text, s + 1, 1000), '^(?s:.*){WS}')) > 0 THEN s + len(regexp_extract(substr(text, s + 1, 1000), '^(?s:.*){WS}'))
-           ELSE s + 1000 + len(regexp_extract(substr(text, s + 1001), '^[^ \\t\\n\\r\\f\\x0b]*')) END AS ce,
+    SELECT *, CASE WHEN s + {size} >= n THEN n WHEN len(regexp_extract(substr(text, s + 1, {size}), '^(?s:.*){WS}')) > 0 THEN s + len(regexp_extract(substr(text, s + 1, {size}), '^(?s:.*){WS}'))
+           ELSE s + {size} + len(regexp_extract(substr(text, s + {size + 1}), '^[^ \\t\\n\\r\\f\\x0b]*')) END AS ce,
            greatest(e - 200, s + 1) + len(regexp_extract(substr(text, greatest(e - 200, s + 1) + 1), '^[^ \\t\\n\\r\\f\\x0b]*{WS}*')) AS nx FROM c
   ) WHERE (step % 2 = 0 AND s < n) OR (step % 2 = 1 AND e < n)
 ), k AS (SELECT doc_id, s, e, substr(text, s + 1, e - s) AS text FROM c WHERE step % 2 = 1 AND regexp_matches(substr(text, s + 1, e - s), '[^ \\t\\n\\r\\f\\x0b]')),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM k)"""
 
 
-def _chunked(spark, sf_dir, method="naive"):
+def _chunked(spark, sf_dir, size=None):
     page = F.array(F.struct("text", F.lit(0).alias("pdf"), F.lit(1).alias("printed")))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("rfc"), F.lit(None).cast("string").alias("title"), page.alias("pages"))
-    return chunking.chunk(docs, method)
+    return chunking.chunk(docs, "naive", size)
 
 
-@query(f"{_CHUNKS} SELECT printf('naive-%d-%04d', doc_id, i) AS chunk_id, doc_id::INTEGER AS rfc, s::INTEGER AS start, e::INTEGER AS \"end\", text FROM numbered")
+@query(f"{_chunks_sql()} SELECT printf('naive-%d-%04d', doc_id, i) AS chunk_id, doc_id::INTEGER AS rfc, s::INTEGER AS start, e::INTEGER AS \"end\", text FROM numbered")
 def naive_chunks(spark, sf_dir):
     return _chunked(spark, sf_dir).select("chunk_id", "rfc", "start", "end", "text")
 
 
-@query(f"{_CHUNKS}, b AS (SELECT least(len(text) // 250, 12)::INTEGER AS bucket FROM k) SELECT bucket, CASE WHEN bucket = 12 THEN '>= 3000' ELSE (bucket * 250)::VARCHAR || '-' || (bucket * 250 + 249)::VARCHAR END AS label, count(*) AS n FROM b GROUP BY ALL")
+@query(f"{_chunks_sql(3400)}, b AS (SELECT least(len(text) // 250, 12)::INTEGER AS bucket FROM k) SELECT bucket, CASE WHEN bucket = 12 THEN '>= 3000' ELSE (bucket * 250)::VARCHAR || '-' || (bucket * 250 + 249)::VARCHAR END AS label, count(*) AS n FROM b GROUP BY ALL")
 def chunk_histogram(spark, sf_dir):
-    return chunking.length_histogram(_chunked(spark, sf_dir))
+    """Of windows long enough to meet every bucket, the open one included."""
+    return chunking.length_histogram(_chunked(spark, sf_dir, 3400))
 
 
-@query()
+_SQUEEZED = "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {_SQUEEZED} AS t FROM documents), n AS (SELECT *, greatest(ceil(len(t) / 600.0), 1)::INTEGER AS n FROM d),
+s AS (SELECT doc_id, source, k, n, (k + 1) || ' Section' AS line, trim('· ' || trim(substr(t, (k * 600 + 1)::INTEGER, 600))) AS para FROM n, unnest(range(0, n)) r(k)),
+c AS (SELECT *, n > 1 AND len(line) + len(para) + 1 < 200 AS short, lead(line) OVER o AS line_b, lead(para) OVER o AS para_b FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+f AS (SELECT *, coalesce(len(line_b) + len(para_b) + 1 < 200, FALSE) AS host FROM c WHERE NOT short),
+x AS (SELECT *, 'RFC ' || doc_id || ' — ' || source || ' · §' || line || chr(10) || line || chr(10) || para || CASE WHEN host THEN chr(10) || line_b || chr(10) || para_b ELSE '' END AS text FROM f)
+SELECT printf('structural-%d-%04d', doc_id, k) AS chunk_id, doc_id::INTEGER AS rfc, (k + 1)::VARCHAR AS section_id, line AS section_path, len(text)::INTEGER AS n_chars, text, (k // 3 + 1)::INTEGER AS first_page, ((k + host::INTEGER) // 3 + 1)::INTEGER AS last_page FROM x""")
 def structural_chunks(spark, sf_dir):
-    """Sections of the documents, with numbered headings put before every third line; they have none of their own."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat((F.floor(i / 3) + 1).cast("string"), F.lit(" Section\n"), x)).otherwise(x))
-    page = F.array(F.struct(F.array_join(lines, "\n").alias("text"), F.lit(0).alias("pdf"), F.lit(1).alias("printed")))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("rfc"), F.col("source").alias("title"), page.alias("pages"))
-    return chunking.chunk(docs, "structural").select("chunk_id", "rfc", "section_id", "section_path", "n_chars", "text")
+    """Sections of 600 characters each, three to a page; a short last one goes behind the one before it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", T.squeezed(F.col("text")).alias("t"))
+    n = F.greatest(F.ceil(F.length("t") / 600), F.lit(1)).cast("int")
+    piece = lambda k: F.concat((k + 1).cast("string"), F.lit(" Section\n· "), F.btrim(F.substring(F.col("t"), k * 600 + 1, F.lit(600))))
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), piece)
+    page = lambda p: F.struct(F.array_join(F.slice("pieces", p * 3 + 1, F.lit(3)), "\n").alias("text"), p.alias("pdf"), (p + 1).alias("printed"))
+    docs = rows.withColumn("pieces", pieces).select(F.col("doc_id").cast("int").alias("rfc"), F.col("source").alias("title"), F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / 3).cast("int")), page).alias("pages"))
+    found = chunking.chunk(docs, "structural")
+    return found.select("chunk_id", "rfc", "section_id", "section_path", "n_chars", "text", F.col("page_start.printed").alias("first_page"), F.col("page_end.printed").alias("last_page"))
 
 
 @query("SELECT source, lang FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, f) = 1")
@@ -402,6 +416,22 @@ def history_since_reset(spark, sf_dir):
     return sessions.since_reset(log).select("chat_id", "seq", "text")
 
 
+_STORED = "CASE turn % 5 WHEN 0 THEN '[' || json_object('role', role, 'text', text) || ']' WHEN 1 THEN left('[' || json_object('role', role, 'text', text) || ']', 20) WHEN 2 THEN json_object('role', role, 'text', text)::VARCHAR WHEN 3 THEN '[{\"role\": \"' || role || '\"}]' ELSE '[' || json_object('role', role, 'text', text) || ', ' || json_object('role', 'user', 'text', role) || ']' END"
+
+
+@query(f"""WITH r AS (SELECT conv_id AS chat_id, turn, {_STORED} AS items FROM conversations), j AS (SELECT chat_id, turn, CASE WHEN json_valid(items) THEN items ELSE 'null' END AS items FROM r),
+l AS (SELECT chat_id, turn, CASE WHEN json_type(items) = 'ARRAY' THEN from_json(items, '[{{"role": "VARCHAR", "text": "VARCHAR"}}]') ELSE [] END AS l FROM j)
+SELECT chat_id, turn, CASE WHEN len(list_filter(l, lambda x: x.role IS NULL OR x.text IS NULL)) > 0 THEN 0 ELSE len(l) END::INTEGER AS n, CASE WHEN len(list_filter(l, lambda x: x.role IS NULL OR x.text IS NULL)) = 0 THEN l[1].text END AS first FROM l""")
+def stored_histories(spark, sf_dir):
+    """Rows of a session store: lists of turns, cut ones, one turn without a list, turns without a text."""
+    turn, one = F.col("turn") % 5, F.to_json(F.struct("role", "text"))
+    two = F.to_json(F.struct(F.lit("user").alias("role"), F.col("role").alias("text")))
+    raw = F.when(turn == 0, F.concat(F.lit("["), one, F.lit("]"))).when(turn == 1, F.substring(F.concat(F.lit("["), one), 1, 20)).when(turn == 2, one)
+    raw = raw.when(turn == 3, F.concat(F.lit('[{"role": "'), "role", F.lit('"}]'))).otherwise(F.concat(F.lit("["), one, F.lit(", "), two, F.lit("]")))
+    rows = sessions.stored(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), "turn", raw.alias("items")))
+    return rows.select("chat_id", "turn", F.size("items").alias("n"), F.get("items", F.lit(0))["text"].alias("first"))
+
+
 _OUTCOME = "['ok', 'timeout', 'error', 'reset', 'ok'][(len(text) % 5 + 1)::INTEGER]"
 
 
@@ -634,3 +664,15 @@ def rendered_answers(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[*_`#]"))
     parts = render_answer(text, F.when(turn % 2 == 1, F.array(source)).otherwise(none), 1_000_000)
     return rows.select("conv_id", "turn", F.array_join(parts, "|").alias("rendered"), F.size(parts).alias("parts"))
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, embedding, CASE WHEN vec_id % 100 = 0 THEN label END AS rfc FROM embeddings WHERE vec_id % 50 = 0),
+vs AS (SELECT q.qid, e.vec_id AS id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e JOIN q ON q.rfc IS NULL OR e.label = q.rfc),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, id) AS rank FROM vs QUALIFY rank <= 5)
+SELECT qid, string_agg('[' || rank || '] RFC ' || label || ' · стр. ' || id || chr(10) || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS reply FROM r GROUP BY qid""")
+def tool_replies(spark, sf_dir):
+    """The knowledge base's replies to every fiftieth vector, half of them within the label of their own."""
+    rows = vectors(spark, sf_dir)
+    passages = rows.select(F.col("id").alias("chunk_id"), F.col("label").alias("rfc"), F.lit(None).cast("string").alias("section_path"), F.col("id").alias("page"), F.concat(F.lit("vector "), F.col("id").cast("string")).alias("text"), "vector")
+    calls = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector", F.when(F.col("id") % 100 == 0, F.col("label")).alias("rfc"))
+    return rag.tool_replies(calls, passages).select("qid", "reply")

@@ -5,6 +5,7 @@ import pytest
 
 from lectern.operators import bm25, evaluation, fusion
 from lectern.operators.embedding import EmbeddingStore, cache_hits, cache_misses, embed, hash_encoder, with_keys
+from lectern.operators.topk import Best
 from lectern.operators.vectors import vector_topk
 from lectern.sources.collection import Collection
 
@@ -81,7 +82,7 @@ def test_bm25_batches_equal_the_join_of_postings(spark, monkeypatch, cells):
     docs = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randrange(1, 30)))) for k in range(300)] + [(1000 + k, "w1 w2 w3") for k in range(30)] + [(2000, None), (2001, "")]
     queries = [(k, " ".join(r.choice(vocabulary) for _ in range(6))) for k in range(25)] + [(100, "w1 W2 w2"), (101, "absent"), (102, None), (103, "")]
     df, asked = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(queries, "qid int, text string")
-    monkeypatch.setattr(bm25, "CELLS", cells)
+    monkeypatch.setattr(Best, "step", lambda self: max(1, cells // len(self.names)))
     got = {tuple(x) for x in bm25.bm25_topk(df, asked, 7).collect()}
     monkeypatch.setattr(bm25, "MOST_QUERY_TERMS", 3)
     assert got == {tuple(x) for x in bm25.bm25_topk(df, asked, 7).collect()} and len(got) == 26 * 7

@@ -156,6 +156,13 @@ def test_histories(spark, tmp_path):
     assert last == got
 
 
+def test_corrupt_histories_are_empty(spark):
+    good = json.dumps([{"role": "user", "text": "a"}, {"role": "assistant", "text": "b"}])
+    rows = [(1, good), (2, good[:-3]), (3, "{}"), (4, None), (5, '[{"role": "user"}]'), (6, "[]"), (7, "[1]"), (8, "oops")]
+    got = {r.chat_id: [x.text for x in r["items"]] for r in sessions.stored(spark.createDataFrame(rows, "chat_id long, items string")).collect()}
+    assert got == {1: ["a", "b"]} | {k: [] for k in range(2, 9)}
+
+
 def test_outcomes_settle_history_and_costs(spark):
     turns = spark.createDataFrame([(1, 1, "q1", "a1", "ok", 0.2), (1, 2, "q2", None, "timeout", 0.0), (1, 3, "q3", None, "error", 0.0), (2, 1, "q", "a", "ok", 0.1), (2, 2, "r", "b", "reset", 0.3)], "chat_id long, seq long, question string, answer string, outcome string, cost_usd double")
     got = {r.chat_id: [x.text for x in r["items"]] for r in sessions.history(sessions.settled(turns)).collect()}
