@@ -223,12 +223,13 @@ def _groups(model: Model, h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(len(model.group_mass) - 1)).astype(np.int64)
 
 
-def _steps(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _steps(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(token, node, child, buckets of the features) of all steps on the tokens' paths, those of the upper levels first.
 
-    The previous word is a feature of every step, the pair and the skip of the steps of the upper levels.
+    The previous word is a feature of every step, the pair and the skip of the steps of the upper levels; ``at`` has the
+    tokens' places in the head if they are known.
     """
-    at = _headed(model, h)
+    at = _headed(model, h) if at is None else at
     leaf = model.leaf.take(np.where(at >= 0, at, len(model.head) + _groups(model, h)))
     first = model.path_first.take(leaf)
     many = model.path_first.take(leaf + 1) - first
@@ -241,7 +242,13 @@ def _steps(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> tup
     shift = np.uint64(64 - (model.weights.shape[1].bit_length() - 1))
     salt = (node.astype(np.uint64) + np.uint64(1)) * _ODD[4]
     keys = (one * _ODD[0], owner, salt), (one * _ODD[1] + two * _ODD[2], owners[0], salt[: len(owners[0])]), (two * _ODD[3], owners[0], salt[: len(owners[0])])
-    buckets = [((k.take(o) + s) * odd >> shift).astype(np.int64) for (k, o, s), odd in zip(keys, (_ODD[2], _ODD[3], _ODD[1]), strict=True)]
+    buckets = []
+    for (k, o, s), odd in zip(keys, (_ODD[2], _ODD[3], _ODD[1]), strict=True):
+        bucket = k.take(o)
+        bucket += s
+        bucket *= odd
+        bucket >>= shift
+        buckets.append(bucket.view(np.int64))
     return owner, node, model.path_child.take(step), buckets
 
 
@@ -272,11 +279,13 @@ def _descend(weights: np.ndarray, seen: np.ndarray, bucket: np.ndarray, g: np.nd
     n = np.diff(first, append=len(order))
     rows = sorted_.take(first)
 
+    whole = weights.view(f"V{weights.itemsize * FAN}")[:, 0]  # a row as one value, which is set faster
+
     def step(rows, n, sums):
         met = seen.take(rows) + n
         seen[rows] = met
         sums *= (RATE / np.sqrt(n * met))[:, None]
-        weights[rows] = weights.take(rows, axis=0) - sums
+        whole[rows] = np.subtract(weights.take(rows, axis=0), sums, out=sums).view(whole.dtype)[:, 0]
 
     once = n == 1
     step(rows[once], np.float32(1), g.take(order.take(first[once]), axis=0))
@@ -368,12 +377,13 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def log_probabilities(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def log_probabilities(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """Natural logarithms of the probabilities of paths: of tokens in the head, and of the groups of others."""
+    at = _headed(model, h) if at is None else at
     out = np.empty(len(h))
     for a in range(0, len(h), BATCH):
         x, p, q = h[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
-        owner, node, child, buckets = _steps(model, x, p, q)
+        owner, node, child, buckets = _steps(model, x, p, q, at[a : a + BATCH])
         z = _summed(model.bias.take(node, axis=0), model.weights, buckets)
         chosen = z.reshape(-1).take(np.arange(0, z.size, FAN) + child)
         out[a : a + BATCH] = np.bincount(owner, chosen - np.log(_exp_sums(z)[:, 0]), minlength=len(x))
@@ -402,7 +412,7 @@ def _facts(shared):
 
     def run(batches):
         model = shared.value
-        smooth, near = np.log10(model.head_count + SMOOTH), np.log10(model.rest_count + SMOOTH)
+        smooth, near, mass = np.log10(model.head_count + SMOOTH), np.log10(model.rest_count + SMOOTH), np.log10(model.group_mass)
         for batch in batches:
             for i, j in textkit.slices(textkit.buffers(batch.column(3))[1]):
                 h, bounds = tokens(batch.column(3).slice(i, j - i))
@@ -414,8 +424,8 @@ def _facts(shared):
                 met = place < len(model.rest)
                 met[met] = model.rest[place[met]] == h[far[met]]
                 base[far[met]] = near[place[met]]
-                value = log_probabilities(model, h, *contexts(h, bounds)) / np.log(10)
-                value[far] += base[far] - np.log10(model.group_mass)[_groups(model, h[far])]
+                value = log_probabilities(model, h, *contexts(h, bounds), at) / np.log(10)
+                value[far] += base[far] - mass[_groups(model, h[far])]
                 first = bounds[:-1]
                 known = np.ones(len(h), np.int64)
                 known[far[~met]] = 0
