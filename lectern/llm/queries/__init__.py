@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.queries import op01, op02, op03, op04, op05, op06, op07, op08, op09, op10, op12
+from lectern.llm.queries import op01, op02, op03, op04, op05, op06, op07, op08, op09, op10, op11, op12
 
-_MODULES = (op01, op02, op03, op04, op05, op06, op07, op08, op09, op10, op12)
+_MODULES = (op01, op02, op03, op04, op05, op06, op07, op08, op09, op10, op11, op12)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
