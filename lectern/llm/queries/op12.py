@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.filteraudit import audit
 from lectern.llm.queries.common import documents
+from lectern.llm.runtime import described
 
 
 def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit(documents(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with described(spark, f"filter audit of {sf_dir}/documents.parquet with {sf_dir}/labels.parquet"):
+        return audit(documents(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 query = op12_filter_interaction

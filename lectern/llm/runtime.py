@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +62,18 @@ def discard(df: DataFrame | None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def described(spark: SparkSession, text: str) -> Iterator[None]:
+    """Names the jobs that start within, for the UI and the event log, where RDD jobs have no plan that says what they read."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(text)
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.job.description", before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
