@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from lectern.shared import cut
+
 WINDOW_SECONDS = 60.0
 
 
@@ -60,7 +62,8 @@ def running_total(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), here, np.int32)), pa.array(np.append(total, sums[:-1])[: len(x)]), pa.array(x)], names=schema.names)
             total = float(sums[-1]) if len(x) else total
 
-    inside = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema).persist()
+    # read twice below, and the ranges of two runs may differ; written, so that no executor has to keep all rows
+    inside = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
     sums = inside.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     offsets = F.broadcast(sums.select("_range", earlier.alias("_earlier")))  # one row a partition

@@ -203,7 +203,7 @@ def norm_prefix_match(spark, sf_dir):
 
 # --- chunks -----------------------------------------------------------------------------------------------------------
 
-def _chunks_sql(size: int = 1000) -> str:
+def chunks_sql(size: int = 1000) -> str:
     return f"""WITH RECURSIVE c AS (
   SELECT doc_id, text, len(text) AS n, 0 AS s, 0 AS e, 0 AS step FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')
   UNION ALL
@@ -222,12 +222,12 @@ def _chunked(spark, sf_dir, size=None):
     return chunking.chunk(docs, "naive", size)
 
 
-@query(f"{_chunks_sql()} SELECT printf('naive-%d-%04d', doc_id, i) AS chunk_id, doc_id::INTEGER AS rfc, s::INTEGER AS start, e::INTEGER AS \"end\", text FROM numbered")
+@query(f"{chunks_sql()} SELECT printf('naive-%d-%04d', doc_id, i) AS chunk_id, doc_id::INTEGER AS rfc, s::INTEGER AS start, e::INTEGER AS \"end\", text FROM numbered")
 def naive_chunks(spark, sf_dir):
     return _chunked(spark, sf_dir).select("chunk_id", "rfc", "start", "end", "text")
 
 
-@query(f"{_chunks_sql(3400)}, b AS (SELECT least(len(text) // 250, 12)::INTEGER AS bucket FROM k) SELECT bucket, CASE WHEN bucket = 12 THEN '>= 3000' ELSE (bucket * 250)::VARCHAR || '-' || (bucket * 250 + 249)::VARCHAR END AS label, count(*) AS n FROM b GROUP BY ALL")
+@query(f"{chunks_sql(3400)}, b AS (SELECT least(len(text) // 250, 12)::INTEGER AS bucket FROM k) SELECT bucket, CASE WHEN bucket = 12 THEN '>= 3000' ELSE (bucket * 250)::VARCHAR || '-' || (bucket * 250 + 249)::VARCHAR END AS label, count(*) AS n FROM b GROUP BY ALL")
 def chunk_histogram(spark, sf_dir):
     """Of windows long enough to meet every bucket, the open one included."""
     return chunking.length_histogram(_chunked(spark, sf_dir, 3400))
@@ -369,33 +369,36 @@ def cache_misses(spark, sf_dir):
 
 # --- chats ------------------------------------------------------------------------------------------------------------
 
-_LIMIT, _HOURS, _LONGEST, _CAP = 2, 6, 9, 20000.0
+CHAT_LIMIT, CHAT_HOURS, CHAT_LONGEST, CHAT_CAP = 2, 6, 9, 20000.0
 _RATE = f"""WITH RECURSIVE ev AS (SELECT user_id AS chat_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, props AS text, value AS cost_usd, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (
   SELECT chat_id, seq, t, text, cost_usd, i, TRUE AS accepted, [t] AS held FROM ev WHERE i = 1
   UNION ALL
   SELECT chat_id, seq, t, text, cost_usd, i, ok, CASE WHEN ok THEN list_append(live, t) ELSE live END FROM (
-    SELECT e.*, list_filter(r.held, lambda x: e.t - x < {_HOURS * 3600.0}) AS live, len(list_filter(r.held, lambda x: e.t - x < {_HOURS * 3600.0})) < {_LIMIT} AS ok
+    SELECT e.*, list_filter(r.held, lambda x: e.t - x < {CHAT_HOURS * 3600.0}) AS live, len(list_filter(r.held, lambda x: e.t - x < {CHAT_HOURS * 3600.0})) < {CHAT_LIMIT} AS ok
     FROM r JOIN ev e ON e.chat_id = r.chat_id AND e.i = r.i + 1)
 )"""
 
 
 @query(f"{_RATE} SELECT chat_id, seq, t, accepted FROM r")
 def rate_limit(spark, sf_dir):
-    return guards.rate_limit(chats(spark, sf_dir), _LIMIT, _HOURS * 3600.0)
+    return guards.rate_limit(chats(spark, sf_dir), CHAT_LIMIT, CHAT_HOURS * 3600.0)
 
 
-@query(f"SELECT event_id AS seq, round(coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 4) AS before, round(coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) < {_CAP} AS allowed FROM events")
+@query(f"SELECT event_id AS seq, round(coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 4) AS before, round(coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) < {CHAT_CAP} AS allowed FROM events")
 def spend_cap(spark, sf_dir):
-    rows = guards.spend_cap(chats(spark, sf_dir), _CAP, ["t", "seq"])
+    rows = guards.spend_cap(chats(spark, sf_dir), CHAT_CAP, ["t", "seq"])
     return rows.select("seq", F.round("before", 4).alias("before"), "allowed")
 
 
-@query(f"""{_RATE}, j AS (SELECT *, CASE WHEN NOT accepted THEN 'rate_limited' WHEN len(text) > {_LONGEST} THEN 'too_long' END AS verdict FROM r),
-ok AS (SELECT chat_id, seq, CASE WHEN round(coalesce(sum(cost_usd) OVER (ORDER BY t, chat_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) < {_CAP} THEN 'ok' ELSE 'over_budget' END AS verdict FROM j WHERE verdict IS NULL)
-SELECT chat_id, seq, verdict FROM j WHERE verdict IS NOT NULL UNION ALL SELECT * FROM ok""")
+VERDICTS_SQL = f"""{_RATE}, j AS (SELECT *, CASE WHEN NOT accepted THEN 'rate_limited' WHEN len(text) > {CHAT_LONGEST} THEN 'too_long' END AS verdict FROM r),
+ok AS (SELECT chat_id, seq, CASE WHEN round(coalesce(sum(cost_usd) OVER (ORDER BY t, chat_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) < {CHAT_CAP} THEN 'ok' ELSE 'over_budget' END AS verdict FROM j WHERE verdict IS NULL),
+verdicts AS (SELECT chat_id, seq, verdict FROM j WHERE verdict IS NOT NULL UNION ALL SELECT * FROM ok)"""
+
+
+@query(f"{VERDICTS_SQL} SELECT * FROM verdicts")
 def guard_pipeline(spark, sf_dir):
-    return guards.guard_pipeline(chats(spark, sf_dir), _LIMIT, _LONGEST, _CAP, _HOURS * 3600.0).select("chat_id", "seq", "verdict")
+    return guards.guard_pipeline(chats(spark, sf_dir), CHAT_LIMIT, CHAT_LONGEST, CHAT_CAP, CHAT_HOURS * 3600.0).select("chat_id", "seq", "verdict")
 
 
 def _turns(spark, sf_dir):

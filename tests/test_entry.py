@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entries
+from jobs import queries as jobs
 from lectern.plans import catalogue
 from tests.conftest import ROOT
 
@@ -56,13 +57,14 @@ def _normal(rows, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no sample tables")
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL | jobs.SQL))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    sql = entries.oracle_sql()[name]
     result = entries.queries()[name](spark, DATA)
-    expected = db.sql(catalogue.SQL[name]).fetchall()
-    columns = [d[0] for d in db.execute(catalogue.SQL[name]).description]
+    expected = db.sql(sql).fetchall()
+    columns = [d[0] for d in db.execute(sql).description]
     assert sorted(result.columns) == sorted(columns)
     assert _normal([tuple(r) for r in result.collect()], result.columns) == _normal(expected, columns)
