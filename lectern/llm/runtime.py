@@ -16,7 +16,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.llm import textkit
 
@@ -110,8 +110,11 @@ def extend(docs: DataFrame, kernel, fields: str, keep: list[str] | None = None,
     ready = text in names and carried.schema[text].dataType == StringType()
     more = [] if ready else [docs[text].cast("string").alias("__text")]
     place = names.index(text) if ready else len(names)
-    source = docs.select(*[docs[f"`{c}`"] for c in names], *more)
     schema = StructType(list(carried.schema.fields) + list(new.fields))
+    # mapInArrow looks its columns up by name, so that a name with a dot must not reach it
+    plain = [f"c{k}" for k in range(len(schema.fields))]
+    source = docs.select(*[docs[f"`{c}`"].alias(x) for c, x in zip(names, plain, strict=False)], *more)
+    safe = StructType([StructField(x, f.dataType, f.nullable) for x, f in zip(plain, schema.fields, strict=True)])
 
     def run(batches):
         work = kernel()
@@ -121,6 +124,6 @@ def extend(docs: DataFrame, kernel, fields: str, keep: list[str] | None = None,
             if not parts:
                 continue
             made = [pa.concat_arrays([p[k] for p in parts]) for k in range(len(new.fields))]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + made, names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + made, names=plain)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, safe).toDF(*schema.names)
