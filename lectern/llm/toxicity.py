@@ -2,8 +2,10 @@
 
 Folding lower-cases, drops invisible characters, replaces homoglyphs of Latin letters and accented Latin letters by the
 plain letter, and reads digits and symbols that stand for letters (``1d1ot``, ``$cum``) as those letters when a letter
-follows in the same word.  The automaton holds whole words and word beginnings (``stem*``) with their weights, and
-exception phrases; a hit inside an exception phrase does not count.  The sum of weights is divided by the root of the
+follows in the same word.  Those at the end of a word (``idio7``, ``a$$``, ``shi7!`` but for the mark) may stand for letters
+or for themselves (``version 2``, ``cool!``), so such a text has two forms, and what either of them holds is found.  The
+automaton holds whole words and word beginnings (``stem*``) with their weights, and exception phrases; a hit inside an
+exception phrase does not count.  The sum of weights is divided by the root of the
 length in words and mapped to a probability by a monotone calibration.
 
 The lexicon is learned from labelled documents and nothing else: words and word beginnings that at least ``SUPPORT``
@@ -70,12 +72,35 @@ def _table() -> dict[int, str | None]:
     return table
 
 
-def fold(text: str) -> str:
+def forms(text: str) -> tuple[str, ...]:
+    """The folded text, and if digits or symbols end a word also the form that reads those as letters; of equal length."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_table())
-    # a run is read once, and as letters only if a letter follows it
-    return _LEET.sub(lambda m: m[0].translate(_DIGITS) if _LETTER.match(text, m.end()) else m[0], text)
+    ends = False
+
+    def inner(m: re.Match) -> str:
+        """A run is read once, and as letters only if a letter follows it."""
+        nonlocal ends
+        if _LETTER.match(text, m.end()):
+            return m[0].translate(_DIGITS)
+        ends = ends or m.start() > 0 and text[m.start() - 1].isalpha() and m[0].strip("!|") != ""
+        return m[0]
+
+    def last(m: re.Match) -> str:
+        if _LETTER.match(text, m.end()):
+            return m[0].translate(_DIGITS)
+        if not (m.start() and text[m.start() - 1].isalpha()):
+            return m[0]
+        run = m[0].rstrip("!|")  # at the very end these are marks
+        return run.translate(_DIGITS) + m[0][len(run) :]
+
+    folded = _LEET.sub(inner, text)
+    return (folded, _LEET.sub(last, text)) if ends else (folded,)
+
+
+def fold(text: str) -> str:
+    return forms(text)[0]
 
 
 @dataclass(frozen=True)
@@ -105,23 +130,24 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not entries
 
-    def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of each term that counts: at word boundaries, the heaviest at each start, no exceptions."""
+    def hits(self, *forms: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of each term in any form that counts: at word boundaries, the heaviest at each start, no exceptions."""
         if self.empty:
             return []
         found: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for last, (size, kinds) in self.automaton.iter(folded):
-            start, end = last - size + 1, last + 1
-            if start and folded[start - 1].isalpha():
-                continue
-            closed = end == len(folded) or not folded[end].isalpha()
-            for kind, w in kinds:
-                if kind == "exception":
-                    if closed:
-                        spared.append((start, end))
-                elif (kind == "stem" or closed) and w > found.get(start, (0, 0.0))[1]:
-                    found[start] = (end, w)
+        for folded in forms:
+            for last, (size, kinds) in self.automaton.iter(folded):
+                start, end = last - size + 1, last + 1
+                if start and folded[start - 1].isalpha():
+                    continue
+                closed = end == len(folded) or not folded[end].isalpha()
+                for kind, w in kinds:
+                    if kind == "exception":
+                        if closed:
+                            spared.append((start, end))
+                    elif (kind == "stem" or closed) and w > found.get(start, (0, 0.0))[1]:
+                        found[start] = (end, w)
         spared.sort()
         out, k, reach = [], 0, 0  # reach: the farthest end of the exceptions that begin at or before the hit
         for s, (e, w) in sorted(found.items()):
@@ -135,11 +161,11 @@ class Matcher:
 
 def density(matcher: Matcher, text: str) -> tuple[float, int]:
     """Sum of weights over the root of the length in words (20 at least), and the number of hits."""
-    folded = fold(text)
-    hits = matcher.hits(folded)
+    read = forms(text)
+    hits = matcher.hits(*read)
     if not hits:
         return 0.0, 0
-    return sum(w for _, _, w in hits) / math.sqrt(max(20, len(folded.split()))), len(hits)
+    return sum(w for _, _, w in hits) / math.sqrt(max(20, len(read[0].split()))), len(hits)
 
 
 def _edges() -> np.ndarray:
@@ -148,7 +174,7 @@ def _edges() -> np.ndarray:
 
 def _terms(text: str) -> set[str]:
     """Words, and beginnings of words marked by a trailing star."""
-    words = set(WORD.findall(fold(text)))
+    words = {w for form in forms(text) for w in WORD.findall(form)}
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
 
 
@@ -209,8 +235,8 @@ def _bounded(rows: DataFrame) -> list:
 
 def _phrases(matcher: Matcher, text: str) -> set[str]:
     """Each hit with the token before it and with the token after it, where a single space parts them."""
-    folded = fold(text)
-    hits = matcher.hits(folded)
+    read = forms(text)
+    folded, hits = read[0], matcher.hits(*read)
     if not hits:
         return set()
     spans = [m.span() for m in TOKEN.finditer(folded)]
