@@ -7,9 +7,8 @@ The ``HEAD`` most frequent ones have leaves of their own in the model.
 Model: every word is a leaf of a tree of classes, split into at most ``FAN`` parts of about equal frequency at each node;
 frequent tokens are leaves of their own, all others are dealt by their hash into groups of about ``GROUP`` tokens.  A
 token's probability is the product of softmaxes along its path, each over features of the context hashed with the node:
-the previous word and, on the first ``UPPER`` levels, which tell about 256 classes apart, the previous two and the one
-before the previous (a skip).  Within a group it is the token's share
-of their smoothed counts, one share left for unseen ones, so that probabilities sum to one.  Biases start at the counts,
+the previous word, the previous two, and the one before the previous (a skip).  Within a group it is the token's share of
+their smoothed counts, one share left for unseen ones, so that probabilities sum to one.  Biases start at the counts,
 so the untrained model is the unigram model.  Groups grow in number with the distinct tokens, buckets of features with
 the square root of the training tokens, as every task holds them all.
 
@@ -44,7 +43,6 @@ HEAD = 1 << 17
 #: Counts of so many tokens travel with the tasks; the others are joined to the texts.
 COUNTS = 1 << 20
 FAN = 16
-UPPER = 2
 GROUP = 256
 #: Buckets of a feature: 2 to the power of BITS at least, about BUCKETS times the square root of the training tokens, and 2 to
 #: the power of MOST_BITS at most, as every task holds 192 bytes a bucket.
@@ -55,7 +53,7 @@ TASK, LEAST_TASKS = 1000, 8
 LANE = 64
 ROUNDS = 2
 BATCH = 2048
-RATE = 0.35
+RATE = 0.7
 #: Weights are held within these bounds after each round, so that exponentials of their sums stay finite.
 MOST_WEIGHT = 20.0
 SMOOTH = 0.1
@@ -224,28 +222,20 @@ def _groups(model: Model, h: np.ndarray) -> np.ndarray:
 
 
 def _steps(model: Model, h: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(token, node, child, buckets of the features) of all steps on the tokens' paths, those of the upper levels first.
-
-    The previous word is a feature of every step, the pair and the skip of the steps of the upper levels; ``at`` has the
-    tokens' places in the head if they are known.
-    """
+    """(token, node, child, buckets of the features) of all steps on the tokens' paths; ``at`` has the tokens' places in the head if they are known."""
     at = _headed(model, h) if at is None else at
     leaf = model.leaf.take(np.where(at >= 0, at, len(model.head) + _groups(model, h)))
     first = model.path_first.take(leaf)
     many = model.path_first.take(leaf + 1) - first
-    owners, steps = [], []
-    for skipped, n in ((0, np.minimum(many, UPPER)), (UPPER, np.maximum(many - UPPER, 0))):
-        owners.append(np.repeat(np.arange(len(h)), n))
-        steps.append(np.arange(len(owners[-1])) + np.repeat(first + skipped - np.cumsum(n) + n, n))
-    owner, step = np.concatenate(owners), np.concatenate(steps)
+    owner = np.repeat(np.arange(len(h)), many)
+    step = np.arange(len(owner)) + np.repeat(first - np.cumsum(many) + many, many)
     node = model.path_node.take(step)
     shift = np.uint64(64 - (model.weights.shape[1].bit_length() - 1))
     salt = (node.astype(np.uint64) + np.uint64(1)) * _ODD[4]
-    keys = (one * _ODD[0], owner, salt), (one * _ODD[1] + two * _ODD[2], owners[0], salt[: len(owners[0])]), (two * _ODD[3], owners[0], salt[: len(owners[0])])
     buckets = []
-    for (k, o, s), odd in zip(keys, (_ODD[2], _ODD[3], _ODD[1]), strict=True):
-        bucket = k.take(o)
-        bucket += s
+    for key, odd in ((one * _ODD[0], _ODD[2]), (one * _ODD[1] + two * _ODD[2], _ODD[3]), (two * _ODD[3], _ODD[1])):
+        bucket = key.take(owner)
+        bucket += salt
         bucket *= odd
         bucket >>= shift
         buckets.append(bucket.view(np.int64))
@@ -256,7 +246,7 @@ def _summed(bias: np.ndarray, weights: np.ndarray, buckets: list[np.ndarray]) ->
     z = weights[0].take(buckets[0], axis=0)
     z += bias
     for table, b in zip(weights[1:], buckets[1:], strict=True):
-        z[: len(b)] += table.take(b, axis=0)
+        z += table.take(b, axis=0)
     return z
 
 
@@ -315,7 +305,7 @@ class Trainer:
         g /= _exp_sums(g)
         g.reshape(-1)[np.arange(0, g.size, FAN) + child] -= 1
         for k, b in enumerate(buckets):
-            _descend(self.weights[k], self.seen[k], b, g[: len(b)])
+            _descend(self.weights[k], self.seen[k], b, g)
 
     def changes(self):
         """(block, bytes, bytes): changes, in half precision, and tokens, for blocks of buckets that were met."""
