@@ -8,9 +8,13 @@ first model ranks held-back positives and unlabelled rows, and the least ratio o
 positives among the unlabelled.
 
 The fit starts on at most ``MOST_FIT`` positives and as many unlabelled rows, drawn by a hash of id and text from all of
-them.  Beyond that many unlabelled rows, every task goes on from there over all of its own, and the results are averaged by
-rows.  Standardisation and the upper tails for the prior rest on every unlabelled text (in the query all documents, the
-trusted ones among them; for the tails less those that the first model was fitted on); scoring covers every text.
+them.  From there ``ROUNDS`` Newton steps go on over every unlabelled row, at any number of rows and however these are split:
+one pass adds up the slope of the risk, the curvature comes from the sample, and another pass measures the risk at several
+lengths of the step, of which the best is taken.  The part of the risk
+that must not be negative counts by its size, so a step that over-fits is cut short, down to length 0.
+Standardisation and the upper tails for the prior rest on every unlabelled text as well (in the query all documents, the
+trusted ones among them; for the tails less those that the first model was fitted on); scoring covers every text.  Sums of
+tasks are added up by other tasks until few are left, so the driver gets as many of them at any size.
 
 Edge cases: null and empty texts give the vector of an empty text and are scored like any other; texts are used whole;
 a table without trusted positives gives the prior 0.5 to every row; other columns pass through.
@@ -31,8 +35,12 @@ from lectern.llm.runtime import arrow_batches, extend
 #: Trusted positives used, and unlabelled rows that the fit starts on, at most.
 MOST_FIT = 12_000
 EPOCHS, BATCH, RATE, DECAY = 40, 1024, 0.02, 2e-4
-#: Step size of the pass over all unlabelled rows.
-FINE = 0.002
+#: Newton steps over all unlabelled rows, and the lengths that each is tried at.
+ROUNDS = 2
+LENGTHS = np.array([0.0, *(2.0**-k for k in range(6, -1, -1))])
+#: Sums that the driver adds up, and that a task adds up to one.
+MOST_SUMS = 32
+KEYS = 1 << 60
 CLASSES = 12
 ENDINGS = 64
 FEATURES = CLASSES + CLASSES * CLASSES + ENDINGS + 12
@@ -114,7 +122,7 @@ class Model:
     prior: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
+        return _scaled(self, x) @ self.weights + self.bias
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -124,8 +132,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class _Descent:
     """Adam on the non-negative risk, one batch of both kinds at a time."""
 
-    def __init__(self, w: np.ndarray, b: float, prior: float, rate: float = RATE):
-        self.w, self.b, self.prior, self.rate = w, b, prior, rate
+    def __init__(self, w: np.ndarray, b: float, prior: float):
+        self.w, self.b, self.prior = w, b, prior
         self.m, self.v, self.t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
 
     def step(self, p: np.ndarray, u: np.ndarray) -> None:
@@ -142,7 +150,7 @@ class _Descent:
         g = np.append(u.T @ du + p.T @ dp + DECAY * w, du.sum() + dp.sum())
         self.t += 1
         self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
-        step = self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        step = RATE * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
         self.w, self.b = w - step[:-1], b - step[-1]
 
 
@@ -179,12 +187,12 @@ def _prior(positive: np.ndarray, below: np.ndarray, n: int) -> float:
 
 
 def _key() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(KEYS))
 
 
 def _sample(rows: DataFrame, most: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature vectors and keys of at most ``most`` of the ``n`` rows, the lowest by a hash of id and text."""
-    drawn = rows.where(_key() < int(min(1.0, 1.2 * most / max(1, n)) * (1 << 30))).withColumn("key", _key())
+    drawn = rows.where(_key() < int(min(1.0, 1.2 * most / max(1, n)) * KEYS)).withColumn("key", _key())
 
     def kernel():
         return lambda column: [pa.array([x.tobytes() for x in features(column)], pa.binary())]
@@ -197,15 +205,30 @@ def _totals(rows: DataFrame, size: int, start) -> np.ndarray:
     """Sum over the tasks of the ``size`` numbers of ``start() -> (add(features), result())``."""
     arrow_batches(rows.sparkSession)
 
+    def packed(total) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.asarray(total, float).tobytes()], pa.binary())], names=["raw"])
+
     def run(batches):
         add, result = start()
         for batch in batches:
             for i, j in textkit.slices(textkit.buffers(batch.column(0))[1]):
                 add(features(batch.column(0).slice(i, j - i)).astype(float))
-        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(result(), float).tobytes()], pa.binary())], names=["raw"])
+        yield packed(result())
 
+    def together(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw)
+        yield packed(total)
+
+    texts = rows.select(F.col("text").cast("string"))
+    sums, tasks = texts.mapInArrow(run, "raw binary"), texts.rdd.getNumPartitions()
+    while tasks > MOST_SUMS:
+        tasks = -(-tasks // MOST_SUMS)
+        sums = sums.repartition(tasks).mapInArrow(together, "raw binary")
     total = np.zeros(size)
-    for r in rows.select(F.col("text").cast("string")).mapInArrow(run, "raw binary").collect():
+    for r in sums.collect():
         total += np.frombuffer(r["raw"])
     return total
 
@@ -229,29 +252,58 @@ def _below(model: Model, cuts: np.ndarray):
     return add, lambda: total
 
 
-def _refined(model: Model, positive: np.ndarray):
-    """Weights and bias after steps over all rows of the task, times rows, and rows."""
-    rng, descent = np.random.default_rng(7), _Descent(model.weights, model.bias, model.prior, FINE)
-    held: list[np.ndarray] = []
-    n = 0
+def _scaled(model: Model, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - model.mean) / model.scale, -6, 6)
+
 
-    def step():
-        descent.step(positive[rng.integers(0, len(positive), BATCH)], np.clip((np.concatenate(held) - model.mean) / model.scale, -6, 6))
-        held.clear()
+def _slope(model: Model):
+    """Sums over rows: the gradient of the loss as a negative by weights and bias, that loss, and rows."""
+    total = np.zeros(FEATURES + 3)
 
     def add(x):
-        nonlocal n
-        n += len(x)
-        held.append(x)
-        if sum(map(len, held)) >= BATCH:
-            step()
+        x = _scaled(model, x)
+        z = x @ model.weights + model.bias
+        s = _sigmoid(z)
+        total[:] += np.concatenate([s @ x, [s.sum(), np.logaddexp(0, z).sum(), len(x)]])
+
+    return add, lambda: total
+
+
+def _losses(model: Model, step: np.ndarray):
+    """Sums over rows of the loss as a negative at each length of ``step``, and rows."""
+    total = np.zeros(len(LENGTHS) + 1)
+
+    def add(x):
+        x = _scaled(model, x)
+        z, dz = x @ model.weights + model.bias, x @ step[:-1] + step[-1]
+        total[:] += np.append(np.logaddexp(0, z[:, None] + dz[:, None] * LENGTHS).sum(0), len(x))
+
+    return add, lambda: total
 
-    def result():
-        if held:
-            step()
-        return np.concatenate([n * descent.w, [n * descent.b, n]])
 
-    return add, result
+def _newton(model: Model, positive: np.ndarray, sample: np.ndarray, unlabelled: DataFrame) -> Model:
+    """One step down the risk over all of ``unlabelled``; ``positive`` and ``sample`` are standardised rows."""
+    one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    p, u, prior, w = one(positive), one(sample), model.prior, np.append(model.weights, model.bias)
+    decay = np.append(np.full(FEATURES, DECAY), 0.0)
+    sums = _totals(unlabelled, FEATURES + 3, lambda: _slope(model))
+    n, zp = sums[-1], p @ w
+    excess = sums[-2] / n - prior * np.logaddexp(0, zp).mean()  # the part that must not be negative
+    if excess >= 0:
+        slope = sums[:-2] / n - prior * p.mean(0) + decay * w
+    else:  # as in single steps: undo the over-fitting
+        slope = prior * (_sigmoid(zp) @ p) / len(p) - sums[:-2] / n
+    s = _sigmoid(u @ w)
+    curvature = (u * (s * (1 - s))[:, None]).T @ u / len(u) + np.diag(decay + 1e-6)
+    step = -np.linalg.solve(curvature, slope)
+    sums = _totals(unlabelled, len(LENGTHS) + 1, lambda: _losses(model, step))
+    z, dz = p @ w, p @ step
+    at = z[:, None] + dz[:, None] * LENGTHS
+    excess = sums[:-1] / n - prior * np.logaddexp(0, at).mean(0)
+    moved = w[:, None] + step[:, None] * LENGTHS
+    risk = prior * np.logaddexp(0, -at).mean(0) + np.abs(excess) + 0.5 * (decay[:, None] * moved**2).sum(0)
+    w = moved[:, int(np.argmin(risk))]
+    return Model(model.mean, model.scale, w[:-1], float(w[-1]), prior)
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, most: int = MOST_FIT) -> Model:
@@ -263,7 +315,8 @@ def fit(positives: DataFrame, unlabelled: DataFrame, most: int = MOST_FIT) -> Mo
     sums = _totals(unlabelled, 2 * FEATURES + 1, _moments)
     mean = sums[:FEATURES] / sums[-1]
     scale = np.sqrt(np.maximum(sums[FEATURES:-1] / sums[-1] - mean * mean, 0)) + 1e-3
-    p, u = np.clip((p - mean) / scale, -6, 6), np.clip((u - mean) / scale, -6, 6)
+    at = Model(mean, scale, np.zeros(FEATURES), 0.0, 0.5)
+    p, u = _scaled(at, p), _scaled(at, u)
     half_p, half_u = len(p) // 2, len(u) // 2
     if half_p and half_u:
         first = Model(mean, scale, *minimise(p[:half_p], u[:half_u], 0.5, epochs=12), 0.5)
@@ -274,11 +327,9 @@ def fit(positives: DataFrame, unlabelled: DataFrame, most: int = MOST_FIT) -> Mo
         prior = _prior(margins, counts[:-1], int(counts[-1])) if counts[-1] else 0.5
     else:
         prior = 0.5
-    w, b = minimise(p, u, prior)
-    model = Model(mean, scale, w, b, prior)
-    if n > len(u):
-        sums = _totals(unlabelled, FEATURES + 2, lambda: _refined(model, p))
-        model = Model(mean, scale, sums[:FEATURES] / sums[-1], float(sums[-2] / sums[-1]), prior)
+    model = Model(mean, scale, *minimise(p, u, prior), prior)
+    for _ in range(ROUNDS):
+        model = _newton(model, p, u, unlabelled)
     return model
 
 

@@ -92,7 +92,7 @@ def test_no_training_data_means_undetermined(spark):
 
 @pytest.mark.parametrize(
     ("text", "hits"),
-    [("you bilge", 1), ("you b1lge!", 1), ("уou rаscаl", 1), ("bìlgë", 1), ("bil\u200bge", 1), ("ra$cal", 1), ("bilges", 0), ("bilge$$$", 1), ("the bilge pump", 0), ("bilge", 1), ("bilge pump bilge", 1), ("", 0), ("ｂｉｌｇｅ", 1), ("bilge1", 1)],
+    [("you bilge", 1), ("you b1lge!", 1), ("уou rаscаl", 1), ("bìlgë", 1), ("bil\u200bge", 1), ("ra$cal", 1), ("bilges", 0), ("bilge$$$", 1), ("the bilge pump", 0), ("bilge", 1), ("bilge pump bilge", 1), ("", 0), ("ｂｉｌｇｅ", 1), ("bilge1", 1), ("bilg3", 1), ("bilg3!", 1), ("bilg3!!", 1), ("bilge!", 1), ("ra5ca|", 0), ("ra5ca1", 0), ("bilg3 pump", 0), ("bilge pump5", 0), ("bilge pum9", 1), ("3bilg3", 0)],
 )
 def test_folding_boundaries_and_exceptions(text, hits):
     matcher = toxicity.Matcher(toxicity.Lexicon({"bilge": 1.0, "rascal": 1.0}, {}, ("bilge pump",)))
@@ -103,30 +103,32 @@ def _slow_density(lexicon, text):
     """The same by looking at every term at every place."""
     text = "".join(toxicity._table().get(ord(c), c) or "" for c in text.lower())
     symbols = "0134578@$!|"
-    out = ""
+    letters = "oieastbasil"
+    outs = ["", ""]
     for k, c in enumerate(text):
-        rest = text[k:].lstrip(symbols)
-        out += "oieastbasil"[symbols.index(c)] if c in symbols and rest and rest[0].isalpha() else c
-    letter = lambda k: 0 <= k < len(out) and out[k].isalpha()
-    starts = [k for k in range(len(out)) if not letter(k - 1)]
-    spared = [(k, k + len(x)) for x in lexicon.exceptions for k in starts if out.startswith(x, k) and not letter(k + len(x))]
-    total = 0.0
-    for k in starts:
-        best = (0.0, 0, 0)
-        for stem, terms in ((True, lexicon.stems), (False, lexicon.words)):
-            for x, w in terms.items():
-                if out.startswith(x, k) and (stem or not letter(k + len(x))):
-                    best = max(best, (w, k, k + len(x)))
-        if best[0] and not any(a <= best[1] and best[2] <= b for a, b in spared):
-            total += best[0]
-    return total / max(20, len(out.split())) ** 0.5
+        rest, before = text[k:].lstrip(symbols), text[:k].rstrip(symbols)
+        touches = rest != "" and rest[0].isalpha(), before != "" and before[-1].isalpha() and text[k : len(text) - len(rest)].strip("!|") != ""
+        for i, read in enumerate((touches[0], any(touches))):
+            outs[i] += letters[symbols.index(c)] if c in symbols and read else c
+    hits, spared = {}, []
+    for out in outs:
+        letter = lambda k: 0 <= k < len(out) and out[k].isalpha()  # noqa: B023, E731
+        starts = [k for k in range(len(out)) if not letter(k - 1)]
+        spared += [(k, k + len(x)) for x in lexicon.exceptions for k in starts if out.startswith(x, k) and not letter(k + len(x))]
+        for k in starts:
+            for stem, terms in ((True, lexicon.stems), (False, lexicon.words)):
+                for x, w in terms.items():
+                    if out.startswith(x, k) and (stem or not letter(k + len(x))):
+                        hits[k] = max(hits.get(k, (0.0, 0)), (w, k + len(x)))
+    total = sum(w for k, (w, end) in hits.items() if not any(a <= k and end <= b for a, b in spared))
+    return total / max(20, len(text.split())) ** 0.5
 
 
 def test_density_against_every_term_at_every_place():
     lexicon = toxicity.Lexicon({"bilge": 1.0, "rascal": 2.5, "gash": 0.5}, {"grum": 1.5, "bil": 0.25}, ("bilge pump", "old rascal", "rascal bilge pump"))
     matcher = toxicity.Matcher(lexicon)
     r = random.Random(3)
-    parts = ["bilge", "b1lge", "pump", "old", "ra$cal", "RASCAL", "grumfe", "billow", "gash", "g4sh", "ga5hes", "11", "$$", "x", "é", "!!bilge", "bilge!!", "rаscаl", "\u200b"]
+    parts = ["bilge", "b1lge", "pump", "old", "ra$cal", "RASCAL", "grumfe", "billow", "gash", "g4sh", "ga5hes", "11", "$$", "x", "é", "!!bilge", "bilge!!", "rаscаl", "\u200b", "bilg3", "bilg3!", "ga5h", "ga5", "pump5", "0ld", "grum7!!", "7", "ra5ca1"]
     for _ in range(600):
         text = "".join(r.choice(parts) + r.choice([" ", " ", "\n", "", "-", "  "]) for _ in range(r.randrange(12)))
         assert toxicity.density(matcher, text)[0] == pytest.approx(_slow_density(lexicon, text)), text
@@ -210,6 +212,56 @@ def test_quality_fit_sees_all_unlabelled_texts(spark):
     assert sum(by[i] >= 0.3 for i, _ in good) + sum(by[i] < 0.3 for i, _ in junk) >= 0.97 * len(by)
 
 
+def test_quality_is_the_same_for_any_split_and_above_and_below_the_sample(spark):
+    good = [(k, ". ".join(prose(10 * k + j, 12) for j in range(6)) + ".") for k in range(300)]
+    junk = [(1000 + k, " | ".join(prose(k, 60).split())) for k in range(100)]
+    rows = good + junk + good[:7]
+    for most in (12_000, 120):
+        found = []
+        for n in (2, 12):
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+            model = quality.fit(docs.where("doc_id < 150"), docs, most)
+            found.append(sorted((r.doc_id, r.score) for r in quality.score(docs, model).collect()))
+        assert np.allclose([s for _, s in found[0]], [s for _, s in found[1]], atol=1e-6)
+
+
+def _slow_features(text):
+    """The vector of a text, character by character and word by word."""
+    data = (text or "").encode()
+    sets = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:", b"!?", b"'\"()-", b"#$%&*", b"|<>{}[]\\/=_", b"@^~`+"]
+    kind = [next((k for k, s in enumerate(sets) if c in s), 11) for c in data]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n, size, m = quality.CLASSES, max(1, len(data)), max(1, len(words))
+    singles, pairs = collections.Counter(kind), collections.Counter(zip(kind, kind[1:]))
+    ends = collections.Counter()
+    for w in words:
+        k = [next((i for i, s in enumerate(sets) if c in s), 11) for c in w]
+        ends[((k[-1] * n + k[max(len(k) - 2, 0)]) * 0x9E3779B1 >> 7) % quality.ENDINGS] += 1
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / m
+    runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [tuple(words)] if words else []
+    more = [math.log1p(len(data)), math.log1p(len(words)), mean, math.sqrt(max(0.0, sum(x * x for x in lengths) / m - mean**2)), len(set(words)) / m, sum(a == b for a, b in zip(words, words[1:])) / m]
+    more += [len(set(runs)) / max(1, len(runs)), len(words) / (data.count(b"\n") + 1), sum(x >= 20 for x in lengths) / m, sum(x == 1 for x in lengths) / m, len(set(words)) / math.sqrt(m), float(not data)]
+    return [singles[k] / size for k in range(n)] + [math.sqrt(pairs[a, b] / size) for a in range(n) for b in range(n)] + [math.sqrt(ends[k] / m) for k in range(quality.ENDINGS)] + more
+
+
+def test_quality_features_against_a_slow_version():
+    texts = ["", None, "a", "Ab, cd!! 12\n\nx  y", prose(1, 300), "é ß 😀 word word word", " | ".join(prose(2, 60).split()), "x" * 5000, "a\nb\n" * 400, "\t \x0b", 'He said: "no" (yes) - #1 $2 {x} @y ~z']
+    got = quality.features(pa.array(texts, pa.string()))
+    for text, row in zip(texts, got, strict=True):
+        assert np.allclose(row, _slow_features(text), atol=1e-4), text
+
+
+def test_names_with_dots_pass_through(spark):
+    rows = [(k, prose(k, 30), k, "x") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `Score.x` string")
+    model = quality.fit(docs.where("doc_id < 20"), docs)
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    profiles = langid.fit_profiles(docs.selectExpr("doc_id", "text", "'en' as lang"))
+    for found in (quality.score(docs, model), toxicity.score(docs, lexicon), langid.identify(docs, profiles)):
+        assert found.columns[:4] == docs.columns and [(r["doc_id"], r["a.b"]) for r in found.orderBy("doc_id").collect()] == [(k, k) for k in range(40)]
+
+
 def test_quality_without_positives(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = quality.fit(docs.limit(0), docs)
