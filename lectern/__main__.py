@@ -106,7 +106,7 @@ def report(spark: SparkSession, args) -> None:
 def serve(spark: SparkSession, args) -> None:
     service = Service(spark, args.folder, lambda: lambda question, history: {"answer": question, "cost_usd": 0.0, "sources": []}, args.limit, args.longest, args.cap)
     messages = spark.readStream.schema("chat_id long, seq long, t double, text string").json(args.messages)
-    service.start(messages, f"{args.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    service.run_available(messages)
     service.replies().orderBy("chat_id", "seq").show(truncate=80)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,17 @@ def costs(turns: DataFrame) -> DataFrame:
     return turns.select("chat_id", "seq", amount.alias("cost_usd")).where("cost_usd is not null")
 
 
+#: What a message that begins with a slash is for; other commands are ignored.
+COMMANDS = {"start": "onboarding", "help": "onboarding", "reset": "reset"}
+
+
 def routes(messages: DataFrame) -> DataFrame:
     """Adds route: onboarding, reset, ignored (unknown commands) or question."""
-    command = F.regexp_extract("text", r"^/(\w+)", 1)
-    known = F.when(command.isin("start", "help"), "onboarding").when(command == "reset", "reset").when(F.col("text").startswith("/"), "ignored")
-    return messages.withColumn("route", known.otherwise("question"))
+    named = F.create_map(*[F.lit(x) for pair in COMMANDS.items() for x in pair])[F.regexp_extract("text", r"^/(\w+)", 1)]
+    return messages.withColumn("route", F.coalesce(named, F.when(F.col("text").startswith("/"), "ignored"), F.lit("question")))
+
+
+def route_of(text: str) -> str:
+    """The same for one text."""
+    command = re.match(r"/([A-Za-z0-9_]+)", text)
+    return COMMANDS.get(command[1] if command else "", "ignored" if text.startswith("/") else "question")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.guards import WINDOW_SECONDS
@@ -84,11 +85,29 @@ class SessionKeeper(StatefulProcessor):
         pass
 
 
-def _keyed(events: DataFrame, processor: StatefulProcessor, fields: str, time_mode: str = "none") -> DataFrame:
-    """Needs ``spark.sql.streaming.stateStore.providerClass`` to name the RocksDB provider; it is set where nothing is."""
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state of this kind needs the RocksDB provider: it takes the place of Spark's default, and a session that names a third one is an error."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    if "RocksDB" not in events.sparkSession.conf.get(key, ""):
-        events.sparkSession.conf.set(key, ROCKSDB)
+    if "HDFSBacked" in spark.conf.get(key, "HDFSBacked"):
+        spark.conf.set(key, ROCKSDB)
+    elif "RocksDB" not in spark.conf.get(key):
+        raise ValueError(f"{key} must name the RocksDB provider")
+
+
+@contextmanager
+def no_empty_batches(spark: SparkSession) -> Iterator[None]:
+    """For queries that start within: they run no batches for timers alone, so that one with ``availableNow`` ends."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _keyed(events: DataFrame, processor: StatefulProcessor, fields: str, time_mode: str = "none") -> DataFrame:
+    use_rocksdb(events.sparkSession)
     return events.groupBy("chat_id").transformWithStateInPandas(processor, fields, "append", time_mode)
 
 
