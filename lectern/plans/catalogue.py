@@ -656,16 +656,22 @@ def cited_hits(spark, sf_dir):
     return rag.cited(answers, hits, "NO ANSWER").select("qid", "chunk_id", "rank", "text")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, trim('**' || role || '** ' || text || ' `' || conv_id || '`', ' ' || chr(9) || chr(10) || chr(13)) AS raw, trim(role || ' ' || text || ' ' || conv_id, ' ' || chr(9) || chr(10) || chr(13)) AS plain, text FROM conversations)
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN plain ELSE plain || chr(10) || chr(10) || 'Источники:' || chr(10) || '— RFC ' || conv_id || ' §' || turn || '.1' || CASE WHEN turn % 3 = 0 THEN '' ELSE ' p.' || turn END END AS rendered, 1 AS parts FROM t WHERE NOT regexp_matches(text, '[*_`#]')""")
+_ANSWER = f"(SELECT conv_id, turn, {_PLAIN_TEXT} AS text FROM (SELECT conv_id, turn, '**' || role || '** ' || text || ' `' || conv_id || '`' AS m FROM conversations))"
+_ANSWER_PARTS = _PARTS[: _PARTS.rindex("SELECT doc_id")].replace("doc_id", "conv_id, turn").replace("FROM documents", f"FROM {_ANSWER}").replace(" at)", " cut_at)").replace("at + 1", "cut_at + 1").replace("AS at ", "AS cut_at ")
+
+
+@query(f"""{_ANSWER_PARTS}, l AS (SELECT conv_id, turn, list(part ORDER BY i) FILTER (part <> '') AS ps FROM p WHERE i > 0 GROUP BY conv_id, turn),
+c AS (SELECT *, CASE WHEN turn % 2 = 1 THEN 'Источники:' || chr(10) || '— RFC ' || conv_id || ' §' || turn || '.1' || CASE WHEN turn % 3 = 0 THEN '' ELSE ' p.' || turn END END AS cited FROM l),
+j AS (SELECT conv_id, turn, CASE WHEN cited IS NULL THEN ps WHEN len(ps[-1]) + 2 + len(cited) <= 300 THEN ps[:-2] || [ps[-1] || chr(10) || chr(10) || cited] ELSE ps || [cited] END AS ps FROM c)
+SELECT conv_id, turn, array_to_string(ps, '|') AS rendered, len(ps)::INTEGER AS parts FROM j""")
 def rendered_answers(spark, sf_dir):
-    """Answers with markup, and with sources on every other turn, as one message each."""
+    """Answers with markup, and with sources on every other turn, in messages of at most 300 characters."""
     turn = F.col("turn")
     source = F.struct(F.col("conv_id").cast("int").alias("rfc"), F.concat(turn.cast("string"), F.lit(".1")).alias("section"), F.when(turn % 3 > 0, turn.cast("int")).alias("page"))
     none = F.array().cast("array<struct<rfc:int,section:string,page:int>>")
     text = F.concat(F.lit("**"), "role", F.lit("** "), "text", F.lit(" `"), F.col("conv_id").cast("string"), F.lit("`"))
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[*_`#]"))
-    parts = render_answer(text, F.when(turn % 2 == 1, F.array(source)).otherwise(none), 1_000_000)
+    rows = table(spark, sf_dir, "conversations")
+    parts = render_answer(text, F.when(turn % 2 == 1, F.array(source)).otherwise(none), 300)
     return rows.select("conv_id", "turn", F.array_join(parts, "|").alias("rendered"), F.size(parts).alias("parts"))
 
 

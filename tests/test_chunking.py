@@ -107,13 +107,32 @@ def raw_pages():
     ]
 
 
-def test_furniture_body_tail_and_wraps():
-    cleaned = P.clean_document([page(t, k) for k, t in enumerate(raw_pages())])
-    assert [p["pdf"] for p in cleaned] == [2, 3, 4] and [p["printed"] for p in cleaned] == [3, 4, 5]
-    assert cleaned[0]["text"].startswith("1 Introduction\nThe case-\ninsensitive text.\n\n\nFull Copyright")
-    assert "after the foot" in cleaned[1]["text"] and "2002" not in cleaned[1]["text"]
-    assert cleaned[2]["text"] == "3 References\n[1] A book"
-    assert P.clean_document([page("nothing here")]) == []
+def cleaned(spark, *documents):
+    docs = spark.createDataFrame([(k, [{"text": t, "pdf": i, "printed": None} for i, t in enumerate(pages)]) for k, pages in enumerate(documents)], f"rfc int, pages {P.PAGES}")
+    return [r.pages for r in P.clean_pages(docs.repartition(2)).orderBy("rfc").collect()]
+
+
+def test_furniture_body_tail_and_wraps(spark):
+    whole, none = cleaned(spark, raw_pages(), ["nothing here"])
+    assert [p["pdf"] for p in whole] == [2, 3, 4] and [p["printed"] for p in whole] == [3, 4, 5]
+    assert whole[0]["text"].startswith("1 Introduction\nThe case-insensitive text.\n\nFull Copyright")
+    assert "after the foot" in whole[1]["text"] and "2002" not in whole[1]["text"]
+    assert whole[2]["text"] == "3 References\n[1] A book" and none == []
+
+
+def test_the_tail_is_cut_by_three_preferences(spark):
+    body, service = ["1 Scope", "words"], "Acknowledgements"
+    after, late, anywhere, uncut = cleaned(
+        spark,
+        ["\n".join([*body, service, "more"]), "2 References\nbook", f"3 {service}\nthanks"],  # behind the last References
+        ["\n".join([*body, service, "more"]), "2 More\nwords", "3 More\nwords", f"{service}\nthanks"],  # in the last quarter
+        ["\n".join(body), f"2 More\n{service}\nthanks", "3 More", "4 More", "5 More\nend"],  # anywhere
+        ["\n".join([service, *body]), "2 More\r\nwords\x0cpage"],  # none behind the body's start
+    )
+    assert [p["text"] for p in after] == ["1 Scope\nwords\nAcknowledgements\nmore", "2 References\nbook"]
+    assert [p["text"] for p in late] == ["1 Scope\nwords\nAcknowledgements\nmore", "2 More\nwords", "3 More\nwords"]
+    assert [p["text"] for p in anywhere] == ["1 Scope\nwords", "2 More"]
+    assert [p["text"] for p in uncut] == ["1 Scope\nwords", "2 More\nwords\npage"]
 
 
 def test_hyphens_and_blank_lines(spark):

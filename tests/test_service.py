@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 from lectern.operators import guards, rag, reporting, sessions
-from lectern.operators.client import Client, OverBudget, Usage
+from lectern.operators.client import Client, OverBudget
 from lectern.operators.embedding import hash_encoder
 from lectern.plans import benchmark
 from lectern.sources import jsonl, pages
@@ -239,8 +239,8 @@ def test_client_retries_adds_up_and_stops():
         return {"content": None, "usage": {"prompt_tokens": 10, "completion_tokens": None, "cost": None if len(sent) == 3 else 0.5}}
 
     client = Client(transport, 0.6, {"m": (0.01, 0.02)}, pause=pauses.append)
-    assert client.chat("m", [])["content"] == "" and pauses == [2.0, 4.0] and client.usage == Usage(10, 0, 0.1)
-    assert client.chat("x", [], max_tokens=5)["cost"] == 0.5 and sent[-1]["max_tokens"] == 5
+    assert client.chat("m", [])["content"] == "" and pauses == [2.0, 4.0] and client.rows == [{"model": "m", "prompt_tokens": 10, "completion_tokens": 0, "cost_usd": 0.1}]
+    assert client.chat("x", [], max_tokens=5)["cost_usd"] == 0.5 and sent[-1]["max_tokens"] == 5
     with pytest.raises(OverBudget):
         client.chat("m", [])
     with pytest.raises(RuntimeError):

@@ -66,14 +66,19 @@ def test_amounts_costs_and_tables(spark):
     assert [one(spark, T.last_quarter_start(F.lit(n))) for n in (1, 4, 7, 8)] == [1, 3, 6, 6]
 
 
+def pieces(text, limit):
+    return [text[a:b].rstrip() for a, b in R.cuts(text, limit)]
+
+
 def test_split_text_prefers_paragraphs_lines_spaces():
-    assert R.parts_of("aa\n\nbb cc", 6) == ["aa", "bb cc"]
-    assert R.parts_of("aa bb\ncc", 6) == ["aa bb", "cc"]
-    assert R.parts_of("aaaaaaaaaa", 4) == ["aaaa", "aaaa", "aa"]
-    assert R.parts_of("", 4) == [""] and R.parts_of("  ab  ", 4) == ["ab"]
+    assert pieces("aa\n\nbb cc", 6) == ["aa", "bb cc"]
+    assert pieces("aa bb\ncc", 6) == ["aa bb", "cc"]
+    assert pieces("aaaaaaaaaa", 4) == ["aaaa", "aaaa", "aa"]
+    assert pieces("", 4) == [] and pieces("  ab  ", 4) == ["ab"]
     text = " ".join(f"word{k}" for k in range(500))
-    parts = R.parts_of(text, 100)
+    parts = pieces(text, 100)
     assert all(len(p) <= 100 for p in parts) and " ".join(parts) == text
+    assert pieces("a\n\n\nb", 2) == ["a", "b"] and pieces(" \n\n ", 3) == [] and pieces("aaaa    bb", 4) == ["aaaa", "bb"] and pieces("aaa\n\nbb", 3) == ["aaa", "bb"]
 
 
 def test_render_answer(spark):
@@ -82,7 +87,9 @@ def test_render_answer(spark):
     got = {r.id: r.parts for r in df.select("id", R.render_answer(F.col("text"), F.col("sources"), 60).alias("parts")).collect()}
     assert got[1] == ["Hi there\n\nИсточники:\n— RFC 3261 §9.1 p.4\n— RFC 3262"]
     assert got[2] == [R.EMPTY] and got[3] == ["x" * 35 + "\n\nИсточники:\n— RFC 1 p.2"] and got[4] == ["Источники:\n— RFC 1 §2"]
-    assert len(df.where("id = 3").select(R.render_answer(F.col("text"), F.col("sources"), 40)).first()[0]) == 2
+    parts = {r.id: r.parts for r in df.select("id", R.render_answer(F.col("text"), F.col("sources"), 25).alias("parts")).collect()}
+    assert parts[1] == ["Hi there\n\nИсточники:", "— RFC 3261 §9.1 p.4", "— RFC 3262"] and parts[2] == [R.EMPTY]
+    assert parts[3] == ["x" * 25, "x" * 10, "Источники:\n— RFC 1 p.2"] and parts[4] == ["Источники:\n— RFC 1 §2"]
 
 
 def test_hit_and_source_formats(spark):
