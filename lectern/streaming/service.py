@@ -1,7 +1,7 @@
 """A chat service: messages in, guarded questions to an agent, rendered replies out, by three streams.
 
     messages, answers --charge--> events --converse--> turns --answer--> answers
-                                                       turns -> replies
+                                                       turns --reply--> whoever sends them
 
 * ``charge`` writes each batch's messages and answers with what the service had spent before them.  It keeps one number from
   batch to batch; a batch that is sent again replaces what it wrote.
@@ -97,9 +97,16 @@ class Service:
 
     def replies(self) -> DataFrame:
         """(chat_id, seq, parts) of everything that is said."""
+        return self._spoken(self.turns())
+
+    def reply(self) -> DataStreamWriter:
+        """The same as a stream, for a sink of the caller's choice."""
+        return self._checkpointed(self._spoken(self._stream("turns", TURNS)).writeStream, "reply")
+
+    def _spoken(self, turns: DataFrame) -> DataFrame:
         said = F.create_map(*[F.lit(x) for pair in REPLIES.items() for x in pair])
         sources = F.coalesce(F.from_json("sources", _SOURCES), F.array().cast(_SOURCES))
-        spoken = self.turns().where("kind <> 'ask'").select("chat_id", "seq", F.coalesce(said[F.col("kind")], "text").alias("text"), sources.alias("sources"))
+        spoken = turns.where("kind <> 'ask'").select("chat_id", "seq", F.coalesce(said[F.col("kind")], "text").alias("text"), sources.alias("sources"))
         return spoken.select("chat_id", "seq", render_answer(F.col("text"), F.col("sources"), LIMIT).alias("parts"))
 
     # --- within ---------------------------------------------------------------------------------------------------
