@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.rendering import render_answer, split_text
 from lectern.operators import bm25, chunking, embedding, evaluation, guards, pagetext, rag, reporting, sessions
+from lectern.operators.bm25store import StoredIndex
 from lectern.operators.fusion import rrf
 from lectern.operators.vectors import vector_topk
 from lectern.plans import hybrid as plans
+from lectern.shared import new_folder
 from lectern.sources.jsonl import parse_journal, total_spend
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +95,17 @@ def bm25_topk(spark, sf_dir):
     return bm25.bm25_topk(corpus(spark, sf_dir), items(spark, sf_dir))
 
 
+@query(f"WITH {bm25_sql()} SELECT * FROM words")
+def bm25_stored_topk(spark, sf_dir):
+    """The same from a stored index: documents of even and of odd ids as two segments, written to the shared folder."""
+    index = StoredIndex(spark, new_folder(spark, "bm25"))
+    docs = corpus(spark, sf_dir).select("id", "text")
+    odd = F.coalesce(F.col("id") % 2 == 1, F.lit(False))
+    index.add(docs.where(~odd), "even")
+    index.add(docs.where(odd), "odd")
+    return index.search(items(spark, sf_dir))
+
+
 @query(f"WITH {bm25_sql(where=chr(39).join(['source LIKE ', 'src1%', '']))} SELECT * FROM words")
 def bm25_filtered(spark, sf_dir):
     """The filter comes before the statistics and the ranking."""
