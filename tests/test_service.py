@@ -181,12 +181,39 @@ def test_agent_stops_after_its_steps():
 
     def model(log, tools):
         seen.append(tools)
-        return {"content": "done", "cost": 0.5, "tool_calls": [{"id": "1", "arguments": "{bad"}] if tools else []}
+        return {"content": "done", "cost_usd": 0.5, "tool_calls": [{"id": "1", "arguments": "{bad"}] if tools else []}
 
     got = rag.run_agent("q", model, lambda a: f"hits {a}", 2)
     assert got == {"answer": "done", "cost_usd": 1.5, "steps": 3, "tool_calls": ["{bad", "{bad"]} and seen == [True, True, False]
 
 
+def test_agents_of_all_questions_equal_the_loop(spark):
+    """Questions that take none, one, two and too many rounds, several calls a round, broken arguments, and odd numbers."""
+
+    def factory():
+        def model(log, tools):
+            question, heard = log[0]["content"], [m["content"] for m in log if m["role"] == "tool"]
+            rounds = int(question.split()[0])
+            n = sum(m["role"] == "assistant" for m in log)
+            if not tools or n >= rounds:
+                return {"content": f"{question} after {len(heard)}: {' | '.join(heard)}", "cost_usd": 0.25, "tool_calls": []}
+            asks = [{"query": f"{n}"}, {"query": f"{n + 3}", "rfc": 1}, {"query": "9", "rfc": 99}]
+            calls = [{"id": f"{n}-{i}", "arguments": a} for i, a in enumerate(["{bad", "[1]", *map(__import__("json").dumps, asks)][: 2 + rounds])]
+            return {"content": None if n else "wait", "cost_usd": 0.5, "tool_calls": calls}
+
+        return model
+
+    rows = [(f"c{k}", k % 2, None if k % 3 else f"{k} S", k, f"text {k}", [float(x) for x in hash_encoder(8)([f"query: {k}"])[0]]) for k in range(8)]
+    table = spark.createDataFrame(rows, "chunk_id string, rfc int, section_path string, page int, text string, vector array<float>")
+    questions = [(f"q{k}", f"{rounds} rounds") for k, rounds in enumerate([0, 1, 2, 3, 9, 0])]
+    kb = rag.knowledge_base(table, hash_encoder(8), 2)
+    tool = lambda a: kb(a.get("query", ""), a.get("rfc"))
+    expected = {q: rag.run_agent(text, factory(), tool, 3) for q, text in questions}
+    found = rag.run_agents(spark.createDataFrame(questions, "qid string, question string").repartition(3), factory, table, lambda: hash_encoder(8), 2, 3)
+    assert {r.qid: {"answer": r.answer, "cost_usd": r.cost_usd, "steps": r.steps, "tool_calls": r.tool_calls} for r in found.collect()} == expected
+    assert rag.run_agents(spark.createDataFrame([], "qid long, question string"), factory, table, lambda: hash_encoder(8)).count() == 0
+
+
 def test_knowledge_base(spark):
     rows = [(f"c{k}", k % 2, None if k % 3 else f"{k} S", k, f"text {k}", [float(x) for x in hash_encoder(8)([f"query: {k}"])[0]]) for k in range(8)]
     table = spark.createDataFrame(rows, "chunk_id string, rfc int, section_path string, page int, text string, vector array<float>")
