@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,13 @@ from lectern.functions.rendering import render_answer, split_text
 from lectern.operators import bm25, chunking, embedding, evaluation, guards, pagetext, rag, reporting, sessions
 from lectern.operators.bm25store import StoredIndex
 from lectern.operators.fusion import rrf
+from lectern.operators.embedding import EmbeddingStore
 from lectern.operators.vectors import vector_topk
 from lectern.plans import hybrid as plans
-from lectern.shared import new_folder
+from lectern.plans.corpus import build_chunks
+from lectern.shared import cut, new_folder
+from lectern.sources import jsonl
+from lectern.sources.collection import Collection
 from lectern.sources.jsonl import parse_journal, total_spend
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,13 +616,15 @@ def document_heads(spark, sf_dir):
 _TRIMMED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-@query(f"""WITH l AS (SELECT doc_id, i, {_TRIMMED} AS x FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) AS i FROM documents)),
+_CLEANED = f"""WITH l AS (SELECT doc_id, i, {_TRIMMED} AS x FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) AS i FROM documents)),
 k AS (SELECT *, lag(x = '') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l),
 body AS (SELECT doc_id, rtrim('1 Introduction' || chr(10) || string_agg(x, chr(10) ORDER BY i) FILTER (NOT (x = '' AND coalesce(before, FALSE))), chr(10)) AS text FROM k GROUP BY doc_id)
 SELECT doc_id::INTEGER AS rfc, 1 AS pdf, (doc_id % 90 + 2)::INTEGER AS printed, text FROM body
-UNION ALL SELECT doc_id::INTEGER, 2, (doc_id % 90 + 3)::INTEGER, '2 References' || chr(10) || '[1] ' || source FROM documents""")
-def cleaned_pages(spark, sf_dir):
-    """Documents as three pages with running heads, feet, a table of contents and a service part, cleaned to their body."""
+UNION ALL SELECT doc_id::INTEGER, 2, (doc_id % 90 + 3)::INTEGER, '2 References' || chr(10) || '[1] ' || source FROM documents"""
+
+
+def _raw_pages(spark, sf_dir):
+    """(rfc, pages): documents as three pages with running heads, feet, a table of contents and a service part."""
     line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     i = F.col("doc_id")
     head, foot = line("RFC ", i.cast("string"), "      Some Title      June 2002\n"), lambda k: line("\nSomeone      Standards Track      [Page", F.when(i % 2 == 0, " ").otherwise("\n"), (i % 90 + k).cast("string"), "]")
@@ -627,6 +636,13 @@ def cleaned_pages(spark, sf_dir):
     ]
     pages = F.array(*[F.struct(t.alias("text"), F.lit(k).alias("pdf"), F.lit(None).cast("int").alias("printed")) for k, t in enumerate(texts)])
     docs = table(spark, sf_dir, "documents").select(i.cast("int").alias("rfc"), pages.alias("pages"))
+    return docs
+
+
+@query(_CLEANED)
+def cleaned_pages(spark, sf_dir):
+    """Pages cut to the body of their document."""
+    docs = _raw_pages(spark, sf_dir)
     return pagetext.clean_pages(docs).select("rfc", F.inline("pages")).select("rfc", "pdf", "printed", "text")
 
 
@@ -698,3 +714,120 @@ def tool_replies(spark, sf_dir):
     passages = rows.select(F.col("id").alias("chunk_id"), F.col("label").alias("rfc"), F.lit(None).cast("string").alias("section_path"), F.col("id").alias("page"), F.concat(F.lit("vector "), F.col("id").cast("string")).alias("text"), "vector")
     calls = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector", F.when(F.col("id") % 100 == 0, F.col("label")).alias("rfc"))
     return rag.tool_replies(calls, passages).select("qid", "reply")
+
+
+# --- sources, stores and services ---------------------------------------------------------------------------------------
+
+
+@query(chunks_sql().replace("FROM documents WHERE", f"FROM (SELECT rfc AS doc_id, string_agg(text, chr(10) ORDER BY pdf) AS text FROM ({_CLEANED}) GROUP BY rfc) WHERE") + """
+SELECT printf('naive-%d-%04d', doc_id, i) AS chunk_id, doc_id::INTEGER AS rfc, 'Some Title' AS title, len(text)::INTEGER AS n_chars, text, s::INTEGER AS start, e::INTEGER AS "end" FROM numbered""")
+def built_chunks(spark, sf_dir):
+    """From raw pages to chunks: gathered, cleaned, titled by their running heads, cut into windows."""
+    rows = _raw_pages(spark, sf_dir).select("rfc", F.inline("pages")).select("rfc", "pdf", "printed", "text")
+    return build_chunks(rows, "naive").select("chunk_id", "rfc", "title", "n_chars", "text", "start", "end")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    """Documents as JSON lines: those in English written, the others appended, all read back."""
+    path, docs = new_folder(spark, "jsonl"), table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    jsonl.write(docs.where(english), path)
+    jsonl.append(docs.where(~english), path)
+    return jsonl.read(spark, path, docs.schema)
+
+
+@query("""SELECT 'v' || vec_id AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'naive' ELSE 'structural' END AS method, label::BIGINT AS rfc, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 90 END AS page,
+CASE WHEN vec_id % 3 = 0 THEN 'revised ' ELSE 'first ' END || vec_id AS text, list_sum(embedding::DOUBLE[]) > 0 AS positive, count(*) OVER (PARTITION BY vec_id % 2) AS of_method FROM embeddings""")
+def collection_upsert(spark, sf_dir):
+    """A vector collection that is filled and then given a third of its rows again; its rows, and how many each method has."""
+    chunk_id = F.concat(F.lit("v"), F.col("id").cast("string"))
+    page = F.struct((F.col("id") % 90).cast("int").alias("pdf"), F.when(F.col("id") % 7 != 0, (F.col("id") % 90).cast("int")).alias("printed"))
+    none = F.lit(None).cast("string")
+    rows = vectors(spark, sf_dir).select("id", chunk_id.alias("chunk_id"), F.when(F.col("id") % 2 == 0, "naive").otherwise("structural").alias("method"), F.col("label").cast("int").alias("rfc"), none.alias("title"), none.alias("section_id"), none.alias("section_path"), page.alias("page_start"), page.alias("page_end"), "vector")
+    collection = Collection(spark, f"collection_{uuid.uuid4().hex}")
+    collection.ensure()
+    collection.insert(rows.withColumn("text", F.concat(F.lit("first "), F.col("id").cast("string"))))
+    collection.insert(rows.where("id % 3 = 0").withColumn("text", F.concat(F.lit("revised "), F.col("id").cast("string"))))
+    found = spark.table(collection.name)
+    counts = found.groupBy("method").agg(F.count("*").alias("of_method"))
+    positive = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x) > 0
+    out = cut(found.join(counts, "method").select("chunk_id", "method", "rfc", F.col("page_start_printed").alias("page"), "text", positive.alias("positive"), "of_method"))
+    collection.drop()
+    return out
+
+
+def _counting_encoder():
+    """A stand-in that SQL has, too: the number of characters and of spaces."""
+    return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], np.float32).reshape(len(texts), 2)
+
+
+@query("SELECT doc_id, len('passage: ' || text)::DOUBLE AS chars, (len('passage: ' || text) - len(replace('passage: ' || text, ' ', '')))::DOUBLE AS spaces, count(DISTINCT text) OVER () AS stored FROM documents")
+def embedded_texts(spark, sf_dir):
+    """Texts embedded through a store, those of even ids first; equal texts are encoded once, and none is encoded again."""
+    store = EmbeddingStore(spark, new_folder(spark, "embeddings"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store.embed(docs.where("doc_id % 2 = 0"), "m", _counting_encoder)
+    vec = store.embed(docs, "m", _counting_encoder).select("doc_id", F.get("vec", F.lit(0)).cast("double").alias("chars"), F.get("vec", F.lit(1)).cast("double").alias("spaces"))
+    return vec.withColumn("stored", F.lit(store.rows("m").count()).cast("long"))
+
+
+@query(f"WITH {bm25_sql(k=1)} SELECT b.item_id AS qid, coalesce('[1] RFC ' || w.id, '(пусто)') AS answer FROM benchmark b LEFT JOIN words w ON w.qid = b.item_id")
+def rag_answers(spark, sf_dir):
+    """Test items answered from the documents found by words; the stand-in for a model repeats the first line it is given."""
+    hits = bm25.bm25_topk(corpus(spark, sf_dir), items(spark, sf_dir), 5).join(corpus(spark, sf_dir).select("id", "text"), "id")
+    none = F.lit(None)
+    hits = hits.select("qid", "rank", F.col("id").cast("int").alias("rfc"), none.cast("string").alias("section_path"), none.cast("int").alias("page"), "text")
+    questions = items(spark, sf_dir).select("qid", F.col("text").alias("question"))
+    return rag.answer(questions, hits, "answer from the context").select("qid", "answer")
+
+
+def _strict_judge():
+    """A stand-in for a judge: an answer is correct if it holds the gold one, refused if it is empty; its replies differ in form."""
+
+    def judge(messages):
+        asked = json.loads(messages[0]["content"])
+        verdict = "refused" if not asked["answer"] else "correct" if asked["gold"] in asked["answer"] else "wrong"
+        return f'Well: {{"verdict": "{verdict.upper()}"}}' if len(asked["question"]) % 2 else f"I call it {verdict}."
+
+    return judge
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'refused' WHEN contains(text, role) THEN 'correct' ELSE 'wrong' END AS verdict FROM conversations""")
+def judged_answers(spark, sf_dir):
+    """Turns of conversations as answers, their role as what is asked for; every fifth is empty."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.col("role").alias("gold"), F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("answer"))
+    return rag.judged(rows, _strict_judge).select("conv_id", "turn", "verdict")
+
+
+def _eighths():
+    """An encoder whose vectors stand for a number modulo 8."""
+    return lambda texts: np.eye(8, dtype=np.float32)[[int(t.rsplit(" ", 1)[1]) % 8 for t in texts]].reshape(len(texts), 8)
+
+
+def _curious_agent():
+    """A stand-in that asks for its number, then, if that is even, within one document, then answers with what it has heard."""
+
+    def model(log, tools):
+        k, heard = int(log[0]["content"]), [m["content"] for m in log if m["role"] == "tool"]
+        asks = [{"query": str(k)}, *([{"query": str(k), "rfc": k % 3}] if k % 2 == 0 else [])]
+        if not tools or len(heard) >= len(asks):
+            return {"content": "; ".join(heard), "cost_usd": 0.25}
+        return {"content": "", "cost_usd": 0.5, "tool_calls": [{"id": "1", "arguments": json.dumps(asks[len(heard)])}]}
+
+    return model
+
+
+@query("""WITH d AS (SELECT doc_id, (doc_id % 3)::INTEGER AS rfc FROM documents), q AS (SELECT item_id FROM benchmark),
+a AS (SELECT item_id, doc_id, rfc, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id % 8 <> item_id % 8), doc_id) AS rank FROM q, d QUALIFY rank <= 2),
+b AS (SELECT item_id, doc_id, rfc, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id % 8 <> item_id % 8), doc_id) AS rank FROM q, d WHERE item_id % 2 = 0 AND rfc = item_id % 3 QUALIFY rank <= 2),
+r AS (SELECT item_id, 1 AS n, string_agg('[' || rank || '] RFC ' || rfc || ' · стр. ' || doc_id || chr(10) || 'document ' || doc_id, chr(10) || chr(10) ORDER BY rank) AS reply FROM a GROUP BY item_id
+  UNION ALL SELECT item_id, 2, string_agg('[' || rank || '] RFC ' || rfc || ' · стр. ' || doc_id || chr(10) || 'document ' || doc_id, chr(10) || chr(10) ORDER BY rank) FROM b GROUP BY item_id)
+SELECT item_id AS qid, string_agg(reply, '; ' ORDER BY n) AS answer, 0.25 + 0.5 * count(*) AS cost_usd, (1 + count(*))::INTEGER AS steps FROM r GROUP BY item_id""")
+def agent_answers(spark, sf_dir):
+    """Every test item's number asked by an agent over all documents: tool rounds, costs over steps, and the last answer."""
+    k = F.col("doc_id")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i == k % 8).cast("float"))
+    rows = table(spark, sf_dir, "documents").select(k.alias("chunk_id"), (k % 3).cast("int").alias("rfc"), F.lit(None).cast("string").alias("section_path"), k.cast("int").alias("page"), F.concat(F.lit("document "), k.cast("string")).alias("text"), vector.alias("vector"))
+    questions = items(spark, sf_dir).select("qid", F.col("qid").cast("string").alias("question"))
+    return rag.run_agents(questions, _curious_agent, rows, _eighths, 2).select("qid", "answer", "cost_usd", "steps")
