@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.rendering import render_answer, split_text
-from lectern.operators import bm25, chunking, embedding, evaluation, guards, pagetext, rag, reporting, sessions
+from lectern.operators import bm25, chunking, embedding, evaluation, guards, pagetext, rag, reporting, sessions, tablefunctions
 from lectern.operators.bm25store import StoredIndex
 from lectern.operators.fusion import rrf
 from lectern.operators.embedding import EmbeddingStore
@@ -831,3 +831,15 @@ def agent_answers(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(k.alias("chunk_id"), (k % 3).cast("int").alias("rfc"), F.lit(None).cast("string").alias("section_path"), k.cast("int").alias("page"), F.concat(F.lit("document "), k.cast("string")).alias("text"), vector.alias("vector"))
     questions = items(spark, sf_dir).select("qid", F.col("qid").cast("string").alias("question"))
     return rag.run_agents(questions, _curious_agent, rows, _eighths, 2).select("qid", "answer", "cost_usd", "steps")
+
+
+@query(f"{chunks_sql()} SELECT doc_id::INTEGER AS rfc, (i)::INTEGER AS i, s::BIGINT AS start, e::BIGINT AS \"end\", text FROM numbered")
+def chunks_by_table_function(spark, sf_dir):
+    """Documents as pages of a line each, chunked in SQL by the table function, page by page."""
+    tablefunctions.register(spark)
+    line = F.posexplode(F.split("text", "\n")).alias("pdf", "text")
+    view = f"pages_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("rfc"), F.lit(None).cast("int").alias("printed"), line).createOrReplaceTempView(view)
+    found = spark.sql(f"SELECT rfc, i, start, `end`, text FROM chunk_naive(TABLE({view}) PARTITION BY rfc ORDER BY pdf)")
+    spark.catalog.dropTempView(view)
+    return found
