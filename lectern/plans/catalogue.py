@@ -23,6 +23,7 @@ from lectern.shared import cut, new_folder
 from lectern.sources import jsonl
 from lectern.sources.collection import Collection
 from lectern.sources.jsonl import parse_journal, total_spend
+from lectern.sources.sessionstore import SessionStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -843,3 +844,17 @@ def chunks_by_table_function(spark, sf_dir):
     found = spark.sql(f"SELECT rfc, i, start, `end`, text FROM chunk_naive(TABLE({view}) PARTITION BY rfc ORDER BY pdf)")
     spark.catalog.dropTempView(view)
     return found
+
+
+@query("""WITH z AS (SELECT conv_id, max(turn) FILTER (turn % 4 = 3) AS z FROM conversations GROUP BY conv_id)
+SELECT conv_id AS chat_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT c.* FROM conversations c JOIN z USING (conv_id) WHERE turn % 4 <> 3 AND (z IS NULL OR turn > z)
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY conv_id""")
+def session_snapshots(spark, sf_dir):
+    """Conversations in three batches, every fourth turn a reset, folded behind the first; the last three turns of each."""
+    store, turns = SessionStore(spark, new_folder(spark, "sessions"), 3), table(spark, sf_dir, "conversations")
+    log = turns.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 4 == 3, "reset").otherwise("append").alias("op"), "role", "text")
+    for batch, part in enumerate((log.where("seq < 2"), log.where("seq >= 2 and seq < 5"), log.where("seq >= 5"))):
+        store.append(part, batch)
+        if batch == 0:
+            store.fold()
+    return store.history().select("chat_id", F.array_join(F.transform("items", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("history"))
