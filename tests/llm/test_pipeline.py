@@ -58,5 +58,5 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_every_query_is_registered():
     names = __spark_entry__.queries()
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 13))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
