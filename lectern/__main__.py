@@ -5,7 +5,7 @@
     python -m lectern search NAME TEXT [--filter EXPR] [--limit N]
     python -m lectern evaluate CHUNKS QUESTIONS OUT [--name NAME]  by words; with a collection by vectors and both, too
     python -m lectern hybrid CHUNKS QUESTIONS OUT --name NAME      the same, printed as a table of recall
-    python -m lectern benchmark QUESTIONS FOLDER [--limit N] [--configs A,B] [--budget USD]
+    python -m lectern benchmark QUESTIONS FOLDER [--limit N] [--configs notools,rag,agent] [--budget USD] [--name NAME]
     python -m lectern report RECORDS
     python -m lectern serve MESSAGES FOLDER                        answers the messages of a folder of JSON lines
 
@@ -15,13 +15,15 @@ Models are callables of the library; the command line uses the stand-ins.
 from __future__ import annotations
 
 import argparse
+import json
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions.text import rfc_from_path
-from lectern.operators import bm25, embedding, evaluation, reporting
+from lectern.operators import bm25, embedding, evaluation, rag, reporting
 from lectern.operators.embedding import EmbeddingStore, hash_encoder
 from lectern.plans import benchmark, hybrid
 from lectern.plans.corpus import build_chunks, ingest
@@ -88,10 +90,45 @@ def run_hybrid(spark: SparkSession, args) -> None:
         print(r["line"])
 
 
+SYSTEM = "answer from the context"
+
+
+def _agent():
+    """A stand-in that asks the knowledge base its question once and repeats the first line of the reply."""
+
+    def model(log: list[dict], tools: bool) -> dict:
+        heard = [m["content"] for m in log if m["role"] == "tool"]
+        if heard or not tools:
+            return {"content": heard[0].split("\n", 1)[0] if heard else "", "cost_usd": 0.0}
+        return {"content": "", "cost_usd": 0.0, "tool_calls": [{"id": "1", "arguments": json.dumps({"query": log[0]["content"]})}]}
+
+    return model
+
+
+def _by_retrieval(collection: Collection, questions):
+    keyed = questions.select(F.col("qid").alias("key"), F.col("question").alias("text"))
+    vectors = embedding.encode(keyed, hash_encoder, "query: ").select(F.col("key").alias("qid"), F.col("vec").alias("vector"))
+    hits = collection.search(vectors, 5)
+    ids = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+    return rag.answer(questions, hits, SYSTEM).select("qid", "answer").join(ids, "qid", "left")
+
+
+def _by_agents(collection: Collection, questions):
+    rows = collection.spark.table(collection.name).select("chunk_id", "rfc", "section_path", F.col("page_start_printed").alias("page"), "text", "vector")
+    return rag.run_agents(questions, _agent, rows.withColumn("rfc", F.col("rfc").cast("int")), hash_encoder)
+
+
 def run_benchmark(spark: SparkSession, args) -> None:
-    made = {name: benchmark.Configuration(MODEL, lambda: lambda q: {"answer": q, "cost_usd": 0.0}) for name in args.configs.split(",")}
-    run = benchmark.Run(spark, args.folder, args.budget)
-    run.answer(jsonl.read(spark, args.questions, schemas.QUESTION), made, args.limit)
+    """A configuration is named by its mode, with whatever behind a hyphen: rag and agent take their passages from a collection."""
+    run, questions = benchmark.Run(spark, args.folder, args.budget), jsonl.read(spark, args.questions, schemas.QUESTION)
+    for name in args.configs.split(","):
+        plan = {"rag": _by_retrieval, "agent": _by_agents}.get(name.split("-")[0])
+        if plan is None:
+            run.answer(questions, {name: benchmark.Configuration(MODEL, lambda: lambda q: {"answer": q, "cost_usd": 0.0})}, args.limit)
+        elif args.name is None:
+            raise SystemExit(f"{name} needs the name of a collection")
+        else:
+            run.answer_by_plan(questions, name, MODEL, partial(plan, Collection(spark, args.name)), args.limit)
     run.judge(lambda: lambda q, g, a: ("correct" if g and g in a else "wrong", 0.0))
     run.report().orderBy("config").show(truncate=False)
 
@@ -135,6 +172,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--limit", type=int, default=0)
     p.add_argument("--configs", default="notools")
     p.add_argument("--budget", type=float, default=benchmark.BUDGET)
+    p.add_argument("--name")
     add("report", report, "records")
     p = add("serve", serve, "messages", "folder")
     for name, kind, default in (("--limit", int, 5), ("--longest", int, 1000), ("--cap", float, 1.0)):

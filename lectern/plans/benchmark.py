@@ -18,9 +18,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lectern.functions.text import parse_verdict
 from lectern.operators.reporting import config_report, head_of_each, latest, unfinished, with_verdicts
 from lectern.schemas import RECORD
+from lectern.shared import cut
 from lectern.sources import jsonl
 
-BATCH = 32
+BATCH, ROUND = 32, 10_000
 BUDGET = 1.50
 LOG = StructType([*RECORD.fields, StructField("at", LongType())])
 #: question -> answer, cost_usd, tool_calls, steps, chunk_ids, prompt_tokens, completion_tokens; missing fields are empty.
@@ -93,6 +94,26 @@ class Run:
                 finally:
                     part.unpersist()
 
+    def answer_by_plan(self, questions: DataFrame, name: str, model: str, plan: Callable[[DataFrame], DataFrame], limit: int = 0, at_once: int = ROUND) -> None:
+        """The same for a configuration that answers many questions in one plan, such as retrieval or agents.
+
+        ``plan`` takes (qid, question) and gives (qid, answer) with any of the other columns of a record.  The budget is looked
+        at before each round of at most ``at_once`` questions, so it may be overrun by one round.
+        """
+        asked = head_of_each(questions, limit).select(F.col("id").alias("qid"), "question", F.col("answer").alias("gold"), "answerable")
+        config = self.spark.createDataFrame([(name,)], "config string")
+        while True:
+            rest = cut(unfinished(config, asked, self.log()).orderBy("qid").limit(at_once).join(asked, "qid"))
+            if rest.isEmpty():
+                return
+            at = self._guard()
+            made = plan(rest.select("qid", "question"))
+            known = {"at": F.lit(at), "model": F.lit(model), **{c: F.col(f"q.{c}") for c in rest.columns}, **{c: F.col(f"a.{c}") for c in made.columns if c not in rest.columns}}
+            empty = {"cost_usd": F.lit(0.0), "steps": F.lit(1), "tool_calls": F.array(), "chunk_ids": F.array(), "prompt_tokens": F.lit(0), "completion_tokens": F.lit(0)}
+            joined = rest.alias("q").join(made.alias("a"), F.col("q.qid") == F.col("a.qid"), "left")
+            record = [F.coalesce(known.get(f.name, F.lit(None)).cast(f.dataType), empty[f.name].cast(f.dataType)) if f.name in empty else known.get(f.name, F.lit(None)).cast(f.dataType) for f in LOG.fields]
+            jsonl.append(joined.select(*[c.alias(f.name) for c, f in zip(record, LOG.fields, strict=True)]), f"{self.folder}/log")
+
     def judge(self, judge: Callable[[], Judge]) -> None:
         """Adds a judged copy of every record without a verdict; verdicts that are known are not asked for again."""
         while True:

@@ -22,8 +22,15 @@ def test_from_pages_to_evaluation(spark, tmp_path, capsys):
     main(["hybrid", str(tmp_path / "out/naive"), str(tmp_path / "q.jsonl"), str(tmp_path / "report"), "--name", "cli_chunks"])
     out = capsys.readouterr().out
     assert "vector        1.000    1.000    1.000    1.000" in out and "hybrid        1.000" in out and "words         1.000" in out
-    main(["benchmark", str(tmp_path / "q.jsonl"), str(tmp_path / "run"), "--configs", "notools,other"])
-    assert "other" in capsys.readouterr().out
+    for _ in range(2):  # the second run finds everything answered
+        main(["benchmark", str(tmp_path / "q.jsonl"), str(tmp_path / "run"), "--configs", "notools,rag,agent", "--name", "cli_chunks"])
+        out = capsys.readouterr().out
+        assert "notools" in out and "rag" in out and "agent" in out
+    log = [json.loads(x) for f in (tmp_path / "run/log").glob("*.json") for x in f.read_text().splitlines()]
+    answers = {(r["config"], r["qid"]): r for r in log}
+    assert answers["rag", "q1"]["answer"] == answers["agent", "q1"]["answer"] == "[1] RFC 77 · стр. 3" and answers["rag", "q1"]["chunk_ids"] == ["naive-77-0000"]
+    assert answers["agent", "q2"]["steps"] == 2 and json.loads(answers["agent", "q2"]["tool_calls"][0]) == {"query": "?"} and answers["notools", "q2"]["answer"] == "?"
+    assert all(r["verdict"] in (None, "wrong") for r in log)
     main(["report", str(tmp_path / "run/log")])
     assert "notools" in capsys.readouterr().out
     (tmp_path / "messages").mkdir()

@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import guards, rag, reporting, sessions
 from lectern.operators.client import Client, OverBudget
@@ -251,6 +252,16 @@ def test_benchmark_resumes_stops_at_its_budget_and_judges(spark, tmp_path):
     last = {(r.config, r.qid): r for r in run.records().collect()}
     assert run.log().count() == 24 and last[("a", "q1")].verdict == "correct" and last[("b", "q5")].verdict == "refused" and last[("b", "q5")].chunk_ids == ["c"]
     assert {r.config: (r.n, r.accuracy, r.honest_refusals) for r in run.report().collect()} == {c: (6, 0.25, 1.0) for c in "ab"}
+    planned = benchmark.Run(spark, str(tmp_path / "planned"), budget=1.0)
+    plan = lambda q: q.select("qid", F.concat(F.lit("re: "), "question").alias("answer"), F.lit(0.3).alias("cost_usd"))
+    with pytest.raises(benchmark.BudgetExceeded):
+        planned.answer_by_plan(questions, "p", "m", plan, at_once=2)
+    assert planned.log().count() == 4  # two rounds of two: the second ends beyond the budget
+    planned.budget = 9.0
+    planned.answer_by_plan(questions, "p", "m", plan, at_once=2)
+    planned.answer_by_plan(questions, "p", "m", plan)
+    got = planned.log().collect()
+    assert len(got) == len({r.qid for r in got}) == 6 and all(r.answer.startswith("re: ") and r.model == "m" and r.steps == 1 and r.tool_calls == [] for r in got)
     small = benchmark.Run(spark, str(tmp_path / "small"))
     small.answer(questions, {"a": configurations["a"]}, limit=2)
     assert small.log().count() == 3
