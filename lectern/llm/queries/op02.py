@@ -23,7 +23,7 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, k, t AS a, lead(t, 1) OVER o AS b, lead(t, 2) OVER o AS c, spot AS i, lead(spot, 1) OVER o AS j, lead(spot, 2) OVER o AS m FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY k)
 ), o AS (
-  SELECT *, row_number() OVER p AS nth, count(*) OVER (PARTITION BY a, b, c) AS n FROM w WHERE c IS NOT NULL WINDOW p AS (PARTITION BY a, b, c ORDER BY doc_id, k)
+  SELECT *, row_number() OVER p AS nth, count(*) OVER (PARTITION BY a, b, c) AS n FROM w WHERE c IS NOT NULL WINDOW p AS (PARTITION BY a, b, c ORDER BY doc_id NULLS FIRST, k)
 ), s AS (
   SELECT doc_id, unnest([i, j, m]) AS spot, nth > 1 AS later FROM o WHERE n > 1
 ), g AS (
