@@ -644,7 +644,8 @@ def _raw_pages(spark, sf_dir):
 def cleaned_pages(spark, sf_dir):
     """Pages cut to the body of their document."""
     docs = _raw_pages(spark, sf_dir)
-    return pagetext.clean_pages(docs).select("rfc", F.inline("pages")).select("rfc", "pdf", "printed", "text")
+    # outer: else Spark tests beforehand, by cleaning once more, whether there are pages
+    return pagetext.clean_pages(docs).select("rfc", F.inline_outer("pages")).where("pdf is not null").select("rfc", "pdf", "printed", "text")
 
 
 # --- answers of tools and models --------------------------------------------------------------------------------------------
