@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.text import tokens
+from lectern.operators.batches import runs, text_parts
 from lectern.operators.topk import Best
 
 K1, B = 1.5, 0.75
@@ -26,6 +27,8 @@ K1, B = 1.5, 0.75
 MOST_BROADCAST_TERMS = 200_000
 #: Pairs of query and term up to this number are sent to the tasks.
 MOST_QUERY_TERMS = 1_000_000
+#: Scores of a text's word for a query that a task adds up at once, but for those of a single text.
+PAIRS = 500_000
 _WORD = re.compile("[a-z0-9]+")
 
 
@@ -89,10 +92,11 @@ def _statistics(texts: DataFrame, shared) -> tuple[int, int, np.ndarray]:
         terms = shared.value
         df, n, total = np.zeros(len(terms), np.int64), 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                length, codes = _codes(text, terms)
-                df[np.unique(codes)] += 1
-                n, total = n + 1, total + length
+            for part in text_parts(batch):
+                for text in part.column(0).to_pylist():
+                    length, codes = _codes(text, terms)
+                    df[np.unique(codes)] += 1
+                    n, total = n + 1, total + length
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], met)), pa.array(np.append([n, total], df[met]))], names=["term", "c"])
 
@@ -123,13 +127,16 @@ def _scored(shared, weights, k: int, types: list):
             length = np.array([n for n, _ in made], float)
             value = tf / (tf + K1 * (1 - B + B * length[row] / average))
             many = first[code + 1] - first[code]
-            at = np.arange(many.sum()) + np.repeat(first[code] - np.cumsum(many) + many, many)
-            score = np.bincount(np.repeat(row, many) * len(names) + owner[at], np.repeat(value, many) * weight[at], minlength=len(made) * len(names)).reshape(len(made), -1)
-            best.take(score, ids, score > 0)
+            pairs = np.bincount(row, many, minlength=len(made)).astype(np.int64)
+            for a, b in runs(pairs, PAIRS, best.step()):
+                some = slice(*np.searchsorted(row, (a, b)))
+                each = many[some]
+                at = np.arange(each.sum()) + np.repeat(first[code[some]] - np.cumsum(each) + each, each)
+                score = np.bincount(np.repeat(row[some] - a, each) * len(names) + owner[at], np.repeat(value[some], each) * weight[at], minlength=(b - a) * len(names)).reshape(b - a, -1)
+                best.take(score, ids[a:b], score > 0)
 
         for batch in batches:
-            for i in range(0, len(batch), best.step()):
-                part = batch.slice(i, best.step())
+            for part in text_parts(batch):
                 take([_codes(t, terms) for t in part.column(0).to_pylist()], part.column(1).to_pylist())
         yield best.batch(types)
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.text import plain_words, squeezed
+from lectern.operators.batches import text_parts
 
 KS = (1, 3, 5, 10)
-#: Evidence texts that are searched for in one pass.
-EVIDENCE_BLOCK = 50_000
+#: Evidence texts that are searched for in one pass, and their characters: each may be a node of the automaton.
+EVIDENCE_BLOCK, EVIDENCE_CHARS = 50_000, 2_000_000
+#: Matches that are sent on at once, about.
+MATCHES = 100_000
 
 
 def evidence_matches(corpus: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -32,7 +35,8 @@ def contained(corpus: DataFrame, evidence: DataFrame) -> DataFrame:
     schema = f"qid {dict(asked.dtypes)['qid']}, id {dict(norm.dtypes)['id']}"
     found = spark.createDataFrame([], schema)
     batch_types = [to_arrow_type(f.dataType) for f in found.schema.fields]
-    blocks = max(1, -(-asked.count() // EVIDENCE_BLOCK))
+    n, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()
+    blocks = max(1, -(-n // EVIDENCE_BLOCK), -(-chars // EVIDENCE_CHARS))
     for b in range(blocks):
         rows = [(r["qid"], r["norm"]) for r in asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()]
         always = [q for q, t in rows if t == ""]
@@ -48,14 +52,21 @@ def contained(corpus: DataFrame, evidence: DataFrame) -> DataFrame:
                 automaton.add_word(t, qs)
             if names:
                 automaton.make_automaton()
+            def batch_of(qids, ids):
+                return pa.RecordBatch.from_arrays([pa.array(qids, batch_types[0]), pa.array(ids, batch_types[1])], names=["qid", "id"])
+
             for batch in batches:
                 qids, ids = [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hit = {q for _, qs in automaton.iter(text) for q in qs} if names else set()
-                    hit.update(always)
-                    qids += hit
-                    ids += [i] * len(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(qids, batch_types[0]), pa.array(ids, batch_types[1])], names=["qid", "id"])
+                for part in text_parts(batch, 1):
+                    for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        hit = {q for _, qs in automaton.iter(text) for q in qs} if names else set()
+                        hit.update(always)
+                        qids += hit
+                        ids += [i] * len(hit)
+                        if len(ids) >= MATCHES:
+                            yield batch_of(qids, ids)
+                            qids, ids = [], []
+                yield batch_of(qids, ids)
 
         found = found.unionByName(norm.mapInArrow(run, found.schema))
     return found

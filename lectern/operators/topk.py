@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Scores that a task computes at once.
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 class Best:

@@ -139,3 +139,56 @@ def test_embedding_reuses_the_cache_and_collections_upsert(spark):
     assert c.ensure(recreate=False) is False and c.count() == 2 and not spark.catalog.tableExists("chunks_test_aside")
     c.drop()
     assert not c.ready()
+
+
+def _texts(n, chars=2000):
+    """Texts of words that every query asks for, so that a batch of them makes many pairs of words and queries."""
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choices(vocabulary, k=chars // 4)) for _ in range(50)]
+    return [texts[k % 50] for k in range(n)]
+
+
+def _peak(run, batch):
+    import tracemalloc
+
+    list(run([batch.slice(0, 50)]))
+    tracemalloc.start()
+    out = list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return peak, out
+
+
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_scoring_and_matching_hold_no_more_for_a_larger_batch(spark):
+    """What a task holds is bounded, whatever the number of texts in a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    terms = {f"w{k}": k for k in range(60)}
+    names = list(range(40))
+    owner, code = np.tile(np.arange(40), 60), np.repeat(np.arange(60), 40)
+    weights = (names, np.searchsorted(code, np.arange(61)), owner, 1.0 + (owner * 7 + code * 13) % 11, 500.0)
+    score = bm25._scored(_Shared(terms), _Shared(weights), 5, [pa.int64(), pa.int64(), pa.float64()])
+    rows = _texts(6000)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(range(6000))], names=["low", "id"])
+    peak, out = _peak(score, batch)
+    assert peak < 90, peak
+    assert sum(len(b) for b in out) == 200
+    halves = bm25._scored(_Shared(terms), _Shared(weights), 5, [pa.int64(), pa.int64(), pa.float64()])
+    assert [b.to_pylist() for b in halves([batch.slice(k, 100) for k in range(0, 6000, 100)])] == [b.to_pylist() for b in out]
+
+
+def test_evidence_is_split_by_its_characters(spark, monkeypatch):
+    docs = spark.createDataFrame(CHUNKS, "id string, text string")
+    asked = spark.createDataFrame([(1, "forwards the request"), (2, "each\trequest"), (3, "absent"), (4, None), (5, "")], "qid int, text string")
+    monkeypatch.setattr(evaluation, "EVIDENCE_CHARS", 20)
+    monkeypatch.setattr(evaluation, "MATCHES", 1)
+    found = evaluation.evidence_matches(docs, asked)
+    assert found._jdf.queryExecution().logical().toString().count("MapInArrow") == 2
+    assert {(r.qid, r.id) for r in found.collect()} == {(1, "a"), (2, "b"), (5, "a"), (5, "b"), (5, "c")}
