@@ -107,6 +107,33 @@ def _statistics(texts: DataFrame, shared) -> tuple[int, int, np.ndarray]:
     return n, total, df
 
 
+def saturated(tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    return tf / (tf + K1 * (1 - B + B * length / average))
+
+
+def add_up(best: Best, row: np.ndarray, code: np.ndarray, value: np.ndarray, ids: list, first: np.ndarray, owner: np.ndarray, weight: np.ndarray, asked: np.ndarray | None = None) -> None:
+    """Scores the texts ``ids`` for all queries, a bounded number of pairs at a time.
+
+    ``row``, ascending, ``code`` and ``value``: a text's place, a word of it, and what the word counts; from ``first[code]`` on ``owner``
+    and ``weight`` name the queries that have the word.  ``asked`` marks the queries that count.
+    """
+    many = first[code + 1] - first[code]
+    pairs = np.bincount(row, many, minlength=len(ids)).astype(np.int64)
+    for a, b in runs(pairs, PAIRS, best.step()):
+        some = slice(*np.searchsorted(row, (a, b)))
+        each = many[some]
+        at = np.arange(each.sum()) + np.repeat(first[code[some]] - np.cumsum(each) + each, each)
+        cell = np.repeat(row[some] - a, each) * len(best.names) + owner[at]
+        score = np.bincount(cell, np.repeat(value[some], each) * weight[at], minlength=(b - a) * len(best.names)).reshape(b - a, -1)
+        best.take(score, ids[a:b], score > 0 if asked is None else (score > 0) & asked)
+
+
+def by_code(code: np.ndarray, n: int, owner: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, owner, weight) in the order of codes."""
+    order = np.argsort(code, kind="stable")
+    return np.searchsorted(code[order], np.arange(n + 1)), owner[order], weight[order]
+
+
 def _scored(shared, weights, k: int, types: list):
     """(low, id) -> the k best (qid, id, score) of each query among the task's texts.
 
@@ -125,15 +152,7 @@ def _scored(shared, weights, k: int, types: list):
             code, tf = np.unique(row * len(terms) + np.concatenate([c for _, c in made]), return_counts=True)
             row, code = code // max(1, len(terms)), code % max(1, len(terms))
             length = np.array([n for n, _ in made], float)
-            value = tf / (tf + K1 * (1 - B + B * length[row] / average))
-            many = first[code + 1] - first[code]
-            pairs = np.bincount(row, many, minlength=len(made)).astype(np.int64)
-            for a, b in runs(pairs, PAIRS, best.step()):
-                some = slice(*np.searchsorted(row, (a, b)))
-                each = many[some]
-                at = np.arange(each.sum()) + np.repeat(first[code[some]] - np.cumsum(each) + each, each)
-                score = np.bincount(np.repeat(row[some] - a, each) * len(names) + owner[at], np.repeat(value[some], each) * weight[at], minlength=(b - a) * len(names)).reshape(b - a, -1)
-                best.take(score, ids[a:b], score > 0)
+            add_up(best, row, code, saturated(tf, length[row], average), ids, first, owner, weight)
 
         for batch in batches:
             for part in text_parts(batch):
@@ -163,9 +182,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     owner = np.array([number[q] for q in qids], np.int64)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     weight = table.column("qtf").to_numpy() * idf[code] * (K1 + 1) if len(code) else np.zeros(0)
-    order = np.argsort(code, kind="stable")
-    first = np.searchsorted(code[order], np.arange(len(terms) + 1))
-    weights = spark.sparkContext.broadcast((names, first, owner[order], weight[order], total / n if total else 1.0))
+    weights = spark.sparkContext.broadcast((names, *by_code(code, len(terms), owner, weight), total / n if total else 1.0))
     schema = spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, id {dict(corpus.dtypes)['id']}, score double").schema
     found = texts.mapInArrow(_scored(shared, weights, k, [to_arrow_type(f.dataType) for f in schema]), schema)
     return ranked(found, k).withColumn("score", F.round("score", 6))

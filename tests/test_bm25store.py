@@ -90,3 +90,23 @@ def test_many_terms_are_joined(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bm25store, "MOST_NAMED", 2)
     assert rows(index.search(queries(spark))) == expected
     assert index.search(queries(spark).where(F.lit(False))).count() == 0
+
+
+def test_what_a_search_shuffles_does_not_grow_with_queries_and_documents(spark, tmp_path, monkeypatch):
+    """Of a slice come k rows a query, not all pairs that share a word; of the buckets only the terms asked for."""
+    from lectern.operators import bm25store
+
+    index = StoredIndex(spark, str(tmp_path), docs=50, buckets=4)
+    index.add(frame(spark, corpus(300)), "one")
+    asked = bm25.query_terms(queries(spark).where("qid < 90"))
+    monkeypatch.setattr(bm25store, "MOST_NAMED", 2)
+    met = index.met(asked)
+    terms = {r.term for r in asked.select("term").distinct().collect()}
+    assert {r.term for r in met.select("term").distinct().collect()} <= terms < set(WORDS)
+    search = bm25store._Search(met, asked, index._sums(), 3)
+    slices = search.bounds.select("qid", "segment", "slice")
+    assert 0 < search.scores(slices).count() <= 3 * slices.count() < search.all_scores(slices).count()
+    few = rows(bm25.ranked(search.scores(slices), 3))
+    assert few == rows(bm25.ranked(search.all_scores(slices), 3))
+    monkeypatch.setattr(bm25, "MOST_QUERY_TERMS", 2)
+    assert not bm25store._Search(met, asked, index._sums(), 3).few and rows(index.search(queries(spark).where("qid < 90"), 3)) == few
