@@ -157,3 +157,31 @@ def test_pages_to_chunks_in_spark(spark):
     assert [c.chunk_id for c in chunks] == ["naive-77-0000"] and chunks[0].title == "Calling Things" and chunks[0].page_end.printed == 5
     sections = build_chunks(df, "structural").collect()
     assert [c.chunk_id for c in sections] == ["structural-77-0000"] and sections[0].section_path == "1 Introduction"
+
+
+def test_a_task_holds_few_chunks_at_once(spark):
+    """Ten times the documents in a batch, no more memory; a null array of pages gives none."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(f"rfc int, title string, i int, {C.CHUNK}"))
+    run = C._rows(lambda pages, *_: C.fixed_windows(pages), schema)
+    text = prose(1, 1500)
+
+    def peak(n):
+        batch = pa.RecordBatch.from_pylist([{"rfc": k, "title": None, "pages": None if k == 3 else [page(text)]} for k in range(n)], to_arrow_schema(StructType.fromDDL(f"rfc int, title string, pages {P.PAGES}")))
+        tracemalloc.start()
+        made = [len(b) for b in run([batch])]
+        most = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        return made, most
+
+    each = len(C.window_spans(text))
+    (few, _), (made, most) = peak(100), peak(2000)
+    assert sum(few) == 99 * each and sum(made) == 1999 * each and max(made) < 2000 and most < 10, (max(made), most)
+    docs = spark.createDataFrame([(k, "t", [page(text)]) for k in range(3)] + [(3, None, None), (4, None, [page(None)])], f"rfc int, title string, pages {P.PAGES}")
+    assert C.chunk(docs.repartition(1), "naive").count() == 3 * each
+    assert C.chunk(docs, "naive").schema.names == ["chunk_id", "method", "rfc", "title", "text", "n_chars", "section_id", "section_path", "page_start", "page_end", "start", "end"]
