@@ -192,3 +192,31 @@ def test_evidence_is_split_by_its_characters(spark, monkeypatch):
     found = evaluation.evidence_matches(docs, asked)
     assert found._jdf.queryExecution().logical().toString().count("MapInArrow") == 2
     assert {(r.qid, r.id) for r in found.collect()} == {(1, "a"), (2, "b"), (5, "a"), (5, "b"), (5, "c")}
+
+
+def test_the_steps_of_per_question_hold_no_more_for_a_larger_batch(spark, monkeypatch):
+    """Statistics, scoring and evidence matching, as the query itself sets them up."""
+    import pyarrow as pa
+
+    from lectern.plans.catalogue import items, per_question
+
+    data = "/root/testdata/sf0.001"
+    steps, frame = [], type(spark.range(0))
+
+    def seen(self, run, schema, plain=frame.mapInArrow, **more):
+        steps.append((self.columns, run))
+        return plain(self, run, schema, **more)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    per_question(spark, data)
+    asked = [r.text for r in items(spark, data).collect()]
+    r = random.Random(5)
+    words = " ".join(asked).lower().split()
+    texts = [" ".join([*r.choices(words, k=250), " ".join(asked[k % len(asked)].split())]) for k in range(6000)]
+    columns = {"low": pa.array([t.lower() for t in texts]), "norm": pa.array(texts), "id": pa.array(range(6000))}
+    of_texts = [(names, run) for names, run in steps if {"low", "norm"} & set(names)]
+    assert sorted(names for names, _ in of_texts) == [["id", "norm"], ["low"], ["low", "id"]]
+    for names, run in of_texts:
+        batch = pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+        (less, _), (more, out) = _peak(run, batch.slice(0, 1500)), _peak(run, batch)
+        assert sum(map(len, out)) > 0 and more < 1.3 * less + 1, (names, less, more)
